@@ -81,6 +81,14 @@ class Words:
         self.hash = range_hash(self.sums, self.start, self.end)
 
 
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds [a, b) of runs of equal neighbours."""
+    if not len(x):
+        return []
+    cut = (np.flatnonzero(x[1:] != x[:-1]) + 1).tolist()
+    return list(zip([0, *cut], [*cut, len(x)], strict=True))
+
+
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of each run of ``size`` neighbouring word hashes."""
     n = len(hashes) - size + 1

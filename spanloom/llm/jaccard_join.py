@@ -10,9 +10,9 @@ under every order.
 1. Shingles are counted over all documents in hash partitions, as packed arrays. A shingle of only one document can't be
    shared, so a document of which less than t of the shingles are found elsewhere has no partner.
 2. Equal sets become one class. Only classes go on, and their shingles are counted anew.
-3. Each prefix shingle is a bucket. A bucket's classes are first matched with one leader each; classes that are
-   connected by then need no further comparison. Then all pairs of a bucket that still lie in different components are
-   matched, which makes the components exact without all pairs of a group of near copies.
+3. Each prefix shingle is a bucket. In a few rounds each class is matched with one leader, the best of those of its
+   buckets; classes that are connected by then need no further comparison. Then all pairs of a bucket that still lie in
+   different components are matched, which makes the components exact without all pairs of a group of near copies.
 
 Row counts stay linear in the input besides pairs across components. Shingles are 64-bit hashes (classes: 128 bits).
 """
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import as_bytes, mix, shingle_sets
+from .bytetext import as_bytes, mix, runs, shingle_sets
 from .components import components
-from .shared import Stages, parts_for
+from .shared import Stages, parts_for, planned_bytes
 
 _SALTS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x8E6C7F1B3D5A9207))
 _PACK = "part int, docs binary, keys binary, counts binary, tokens binary"
@@ -40,24 +40,28 @@ def _packed(size: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = np.asarray(batch.column("doc_id").fill_null(-1)).astype(np.int64)
-            key = np.asarray(batch.column("th")).astype(np.int64)
-            sets = list(shingle_sets(as_bytes(batch.column("text")), size))
-            yield from _rows(doc, key, sets, parts)
+            for piece in _pieces(batch, 4000):
+                doc, key = (np.asarray(piece.column(c)).astype(np.int64) for c in ("doc_id", "th"))
+                sets = list(shingle_sets(as_bytes(piece.column("text")), size))
+                yield from _rows(doc, key, sets, parts)
 
     return run
 
 
+def _pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _rows(doc: np.ndarray, key: np.ndarray, sets: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     size = np.array([len(s) for s in sets], np.int64)
     tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
     part = (((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts < 65536 else np.uint32)
     order = np.argsort(part, kind="stable")
     part, owner, low = part[order], owner[order], tokens[order].astype(np.uint32)
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
     out = []
-    for a, b in zip(cut, [*cut[1:], len(part)], strict=True):
+    for a, b in runs(part):
         first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
         who = owner[a:b][first]
         out.append((int(part[a]), doc[who].tobytes(), key[who].tobytes(), np.diff([*first, b - a]).astype(np.uint32).tobytes(), low[a:b].tobytes()))
@@ -140,8 +144,7 @@ def _packed_classes(parts: int):
             part = (((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, owner, tokens = part[order], owner[order], tokens[order]
-            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
-            yield _batch([(int(part[a]), owner[a:b].tobytes(), None, None, tokens[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(part)], strict=True)], [pa.int32(), *[pa.binary()] * 4], ["part", "docs", "keys", "counts", "tokens"])
+            yield _batch([(int(part[a]), owner[a:b].tobytes(), None, None, tokens[a:b].tobytes()) for a, b in runs(part)], [pa.int32(), *[pa.binary()] * 4], ["part", "docs", "keys", "counts", "tokens"])
 
     return run
 
@@ -155,8 +158,7 @@ def _counted_of(packed: list[tuple]) -> pa.RecordBatch:
     keep = np.flatnonzero(count > 1)
     keep = keep[np.argsort(owner[keep], kind="stable")]
     owner, token, count = owner[keep], token[keep], count[keep].astype(np.uint32)
-    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
-    return _batch([(int(owner[a]), token[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(owner)], strict=True)], [pa.int64(), pa.binary(), pa.binary()], ["node", "tokens", "counts"])
+    return _batch([(int(owner[a]), token[a:b].tobytes(), count[a:b].tobytes()) for a, b in runs(owner)], [pa.int64(), pa.binary(), pa.binary()], ["node", "tokens", "counts"])
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -164,7 +166,10 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _prefixes(percent: int):
-    """Classes with the shared shingles of each hash partition to (node, size, tokens, prefix): prefix as of order 1."""
+    """Classes with the shared shingles of each hash partition to (node, size, hits, typical, tokens, prefix).
+
+    hits: its shared shingles; typical: in how many classes a shingle of it is on average; prefix: as of order 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +180,8 @@ def _prefixes(percent: int):
                     continue
                 left = prefix_size(size, percent) - (size - len(token))  # shingles of this class alone come first
                 first = token[np.lexsort((token, count))[:left]]
-                out.append((node, size, np.sort(token).tobytes(), first.astype(np.int64).tolist()))
-            yield _batch(out, [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], ["node", "size", "tokens", "prefix"])
+                out.append((node, size, len(token), float(count.sum()) / size, np.sort(token).tobytes(), first.astype(np.int64).tolist()))
+            yield _batch(out, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())], ["node", "size", "hits", "typical", "tokens", "prefix"])
 
     return run
 
@@ -187,27 +192,26 @@ def meets(x: np.ndarray, n: int, y: np.ndarray, m: int, percent: int, salt: np.u
     return len(np.intersect1d(*p, assume_unique=True)) > 0
 
 
-def _verified(percent: int):
+def _verified(percent: int, every: bool):
+    """Pairs that link, or every pair, with the number of shared shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m", "x", "y")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if not all(meets(x, n, y, m, percent, s) for s in _SALTS):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (n + m - both):
-                    out.append((a, b))
-            yield _batch(out, [pa.int64(), pa.int64()], ["a", "b"])
+            for piece in _pieces(batch, 500):
+                for a, b, n, m, x, y in zip(*(piece.column(c).to_pylist() for c in ("a", "b", "n", "m", "x", "y")), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    meet = all(meets(x, n, y, m, percent, s) for s in _SALTS)
+                    if meet or every:
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        link = meet and 100 * both >= percent * (n + m - both)
+                        if link or every:
+                            out.append((a, b, both, link))
+            yield _batch(out, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], ["a", "b", "both", "link"])
 
     return run
 
 
-def _fits(percent: int, n: Column, m: Column) -> Column:
-    """Whether two sets of these sizes can reach the threshold."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
 class JaccardJoin:
     """Links texts of which ``percent`` or more of the joint ``size``-word shingles are shared.
 
@@ -235,7 +239,7 @@ class JaccardJoin:
         nodes = stages.write(nodes.select(F.conv(F.substring(F.hex("set_id"), 1, 15), 16, 10).cast("long").alias("node"), (F.octet_length("tokens") / 8).cast("long").alias("size"), "tokens"), "nodes")
         members = stages.write(sets.select("doc_id", "th", F.conv(F.substring(F.hex("set_id"), 1, 15), 16, 10).cast("long").alias("node")).distinct(), "members")
         stages.drop(sets)
-        comps = self._components(nodes, stages, parts)
+        comps = self._components(nodes, stages)
         named_comp = members.join(comps, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("comp"))
         named_comp = stages.write(named_comp, "placed")
         real = F.when(F.col("doc_id") > -(1 << 61), F.col("doc_id"))
@@ -244,50 +248,73 @@ class JaccardJoin:
         out = sized.join(linked, ["doc_id", "th"], "left")
         return out.select(real.alias("doc_id"), "th", F.col("size").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(real).alias("component_id"))
 
-    def _components(self, nodes: DataFrame, stages: Stages, parts: int) -> DataFrame:
+    def _components(self, nodes: DataFrame, stages: Stages) -> DataFrame:
+        parts = max(1, planned_bytes(nodes) >> 24)
         packed = nodes.select("node", "tokens").mapInArrow(_packed_classes(parts), _PACK)
         counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_counted_of), "node long, tokens binary, counts binary")
         whole = counted.groupBy("node").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
         sized = nodes.select("node", "size").join(whole, "node")
-        live = stages.write(sized.mapInArrow(_prefixes(self.percent), "node long, size long, tokens binary, prefix array<long>"), "live")
-        index = stages.write(live.select("node", "size", F.explode("prefix").alias("token")), "index")
+        live = stages.write(sized.mapInArrow(_prefixes(self.percent), "node long, size long, hits long, typical double, tokens binary, prefix array<long>"), "live")
+        index = stages.write(live.select("node", "size", "hits", "typical", F.explode("prefix").alias("token")), "index")
         sets = live.select("node", "size", "tokens")
         links = None
         comps = index.select("node").distinct().select("node", F.col("node").alias("comp"))
         for k in range(self.star_rounds + 1):
-            placed = index.join(comps, "node", "left").select("token", "node", "size", F.coalesce("comp", "node").alias("comp"))
-            rank = F.struct(F.xxhash64("node", F.lit(k)), "node", "size", "comp")
+            placed = index.join(comps, "node", "left").select("token", "node", "size", "hits", "typical", F.coalesce("comp", "node").alias("comp"))
+            # the most typical class leads first, any one after that
+            rank = F.struct(*([-F.col("typical")] if k == 0 else []), F.xxhash64("node", F.lit(k)).alias("h"), "node", "size", "hits", "comp")
             bucket = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(rank).alias("lead"))
-            open_ = bucket.where("lo <> hi").select("token", F.col("lead.node").alias("a"), F.col("lead.size").alias("n"), F.col("lead.comp").alias("ac"))
+            open_ = bucket.where("lo <> hi").select("token", "lead")
             if k < self.star_rounds:
-                pairs = placed.join(open_, "token").where(F.col("comp") != F.col("ac"))
-                pairs = pairs.where(_fits(self.percent, F.col("n"), F.col("size"))).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+                met = placed.join(open_, "token").where((F.col("comp") != F.col("lead.comp")) & self._fits("size", "lead.size", "hits", "lead.hits"))
+                pairs = met.groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("lead")).select("a", F.col("lead.node").alias("b"))
             else:
-                pairs = self._across(placed.join(open_.select("token"), "token", "left_semi"))
+                pairs = self._across(placed.join(open_.select("token"), "token", "left_semi").join(led, "node", "left"))
             pairs = stages.write(pairs.distinct(), "pairs")
             if pairs.isEmpty():
                 break
-            new = stages.write(self._verify(pairs, sets), "links")
+            found = stages.write(self._verify(pairs, sets, every=k == 0), "links")
+            if k == 0:
+                led = found.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("both").alias("over"))
+            new = found.where("link").select("a", "b")
             if not new.isEmpty():
                 links = new if links is None else links.union(new)
                 comps = stages.write(components(links, stages), "comps")
                 links = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
         return comps
 
+    def _fits(self, n: str, m: str, u: str, v: str) -> Column:
+        """Whether two sets of sizes n and m, of which u and v shingles are found elsewhere at all, can reach the threshold."""
+        n, m, u, v = (F.col(c) for c in (n, m, u, v))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & self._enough(F.least(u, v), n, m)
+
+    def _enough(self, both: Column, n: Column, m: Column) -> Column:
+        return both * (100 + self.percent) >= (n + m) * self.percent
+
     def _across(self, placed: DataFrame) -> DataFrame:
-        """All pairs of a bucket's classes of different components that fit in size. Pairs of one component never meet."""
+        """All pairs of a bucket's classes of different components that can link. Pairs of one component never meet.
+
+        Of two classes that were matched with the same leader, the shared shingles are some of the fewer that one shares
+        with it and some of the fewer that one has besides.
+        """
         parts = placed.select("token", "comp").distinct()
         p, q = parts.alias("p"), parts.alias("q")
         over = p.join(q, F.col("p.token") == F.col("q.token")).where("p.comp < q.comp").select("p.token", F.col("p.comp").alias("pc"), F.col("q.comp").alias("qc"))
-        left = placed.select("token", F.col("comp").alias("pc"), F.col("node").alias("u"), F.col("size").alias("un"))
-        right = placed.select("token", F.col("comp").alias("qc"), F.col("node").alias("v"), F.col("size").alias("vn"))
-        pairs = over.join(left, ["token", "pc"]).join(right, ["token", "qc"]).where(_fits(self.percent, F.col("un"), F.col("vn")))
-        return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
-    def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        def side(c: str) -> DataFrame:
+            return placed.select(F.col("token").alias(f"{c}_token"), F.col("comp").alias(f"{c}_comp"), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "hits", "lead", "over")))
+
+        most = F.least("u_over", "v_over") + F.least(F.col("u_hits") - F.col("u_over"), F.col("v_hits") - F.col("v_over"))
+        open_ = F.coalesce((F.col("u_lead") != F.col("v_lead")) | self._enough(most, F.col("u_size"), F.col("v_size")), F.lit(True))
+        unmatched = F.coalesce(F.col("u_lead") != F.col("v_node"), F.lit(True)) & F.coalesce(F.col("v_lead") != F.col("u_node"), F.lit(True))
+        u = over.join(side("u"), (F.col("token") == F.col("u_token")) & (F.col("pc") == F.col("u_comp")))
+        pairs = u.join(side("v"), (F.col("token") == F.col("v_token")) & (F.col("qc") == F.col("v_comp")) & self._fits("u_size", "v_size", "u_hits", "v_hits") & open_ & unmatched)
+        return pairs.select(F.least("u_node", "v_node").alias("a"), F.greatest("u_node", "v_node").alias("b"))
+
+    def _verify(self, pairs: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("tokens").alias("x"))
         b = sets.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("tokens").alias("y"))
-        return pairs.join(a, "a").join(b, "b").mapInArrow(_verified(self.percent), "a long, b long")
+        return pairs.join(a, "a").join(b, "b").mapInArrow(_verified(self.percent, every), "a long, b long, both long, link boolean")
 
 
 def op1(docs: DataFrame) -> DataFrame:
