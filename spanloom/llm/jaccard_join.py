@@ -40,7 +40,7 @@ def _packed(size: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in _pieces(batch, 4000):
+            for piece in _pieces(batch, 1000):
                 doc, key = (np.asarray(piece.column(c)).astype(np.int64) for c in ("doc_id", "th"))
                 sets = list(shingle_sets(as_bytes(piece.column("text")), size))
                 yield from _rows(doc, key, sets, parts)
@@ -81,16 +81,16 @@ def _shared_of(packed: list[tuple]) -> pa.RecordBatch:
     found = [x for x in packed if x[3] is not None]
     if found:
         count = [np.frombuffer(x[2], np.uint32) for x in found]
-        token = np.concatenate([np.frombuffer(x[3], np.uint32) for x in found])
         doc, key = (np.concatenate([np.frombuffer(x[k], np.int64) for x in found]) for k in (0, 1))
-        owner = np.repeat(np.arange(len(doc), dtype=np.int32), np.concatenate(count))
-        order = np.argsort(token)
-        token = token[order]
+        both = np.concatenate([np.frombuffer(x[3], np.uint32) for x in found]).astype(np.uint64) << np.uint64(32)
+        both |= np.repeat(np.arange(len(doc), dtype=np.uint32), np.concatenate(count))
+        both.sort()
+        token = (both >> np.uint64(32)).astype(np.uint32)
         same = token[1:] == token[:-1]
         twice = np.zeros(len(token), bool)
         twice[1:] = same
         twice[:-1] |= same
-        n = np.bincount(owner[order[twice]], minlength=len(doc))
+        n = np.bincount((both[twice] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(doc))
         at = np.flatnonzero(n)
         docs, keys, sizes, hits = [doc[at]], [key[at]], [np.zeros(len(at), np.int64)], [n[at]]
     for x in packed:
@@ -108,13 +108,12 @@ def _by_part(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for part, *rest in zip(*columns, strict=True):
+            for k, part in enumerate(batch.column(0).to_pylist()):
                 if part != at and held:
                     yield make(held)
                     held = []
                 at = part
-                held.append(tuple(rest))
+                held.append(tuple(c[k].as_py() for c in batch.columns[1:]))
         if held:
             yield make(held)
 
@@ -125,17 +124,17 @@ def _class_sets(size: int):
     """(doc_id, th) to its set as packed 64-bit shingles and the set's 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(as_bytes(batch.column("text")), size)]
+        for piece in (p for batch in batches for p in _pieces(batch, 1000)):
+            sets = [s.tobytes() for s in shingle_sets(as_bytes(piece.column("text")), size)]
             digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "th", "set_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("th"), pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "th", "set_id", "tokens"])
 
     return run
 
 
 def _packed_classes(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in _pieces(b, 2000)):
             node = np.asarray(batch.column("node")).astype(np.int64)
             sets = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
             size = np.array([len(s) for s in sets], np.int64)
@@ -172,7 +171,7 @@ def _prefixes(percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in _pieces(b, 1000)):
             out = []
             for node, size, tokens, counts in zip(*(batch.column(c).to_pylist() for c in ("node", "size", "tokens", "counts")), strict=True):
                 token, count = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(counts), np.uint32)
@@ -249,18 +248,19 @@ class JaccardJoin:
         return out.select(real.alias("doc_id"), "th", F.col("size").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(real).alias("component_id"))
 
     def _components(self, nodes: DataFrame, stages: Stages) -> DataFrame:
-        parts = max(1, planned_bytes(nodes) >> 24)
+        parts = max(1, planned_bytes(nodes) >> 23)
         packed = nodes.select("node", "tokens").mapInArrow(_packed_classes(parts), _PACK)
         counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_counted_of), "node long, tokens binary, counts binary")
         whole = counted.groupBy("node").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
         sized = nodes.select("node", "size").join(whole, "node")
         live = stages.write(sized.mapInArrow(_prefixes(self.percent), "node long, size long, hits long, typical double, tokens binary, prefix array<long>"), "live")
-        index = stages.write(live.select("node", "size", "hits", "typical", F.explode("prefix").alias("token")), "index")
+        # a shingle's position in order 1 counts the class's own shingles, which come first
+        index = stages.write(live.select("node", "size", "hits", "typical", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("size") - F.col("hits")), "index")
         sets = live.select("node", "size", "tokens")
         links = None
         comps = index.select("node").distinct().select("node", F.col("node").alias("comp"))
         for k in range(self.star_rounds + 1):
-            placed = index.join(comps, "node", "left").select("token", "node", "size", "hits", "typical", F.coalesce("comp", "node").alias("comp"))
+            placed = index.join(comps, "node", "left").select("token", "pos", "node", "size", "hits", "typical", F.coalesce("comp", "node").alias("comp"))
             # the most typical class leads first, any one after that
             rank = F.struct(*([-F.col("typical")] if k == 0 else []), F.xxhash64("node", F.lit(k)).alias("h"), "node", "size", "hits", "comp")
             bucket = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(rank).alias("lead"))
@@ -292,24 +292,36 @@ class JaccardJoin:
         return both * (100 + self.percent) >= (n + m) * self.percent
 
     def _across(self, placed: DataFrame) -> DataFrame:
-        """All pairs of a bucket's classes of different components that can link. Pairs of one component never meet.
+        """All pairs of a bucket's classes of different components that can link. Large parts of a component never meet.
 
-        Of two classes that were matched with the same leader, the shared shingles are some of the fewer that one shares
-        with it and some of the fewer that one has besides.
+        At the first shingle that two sets share, neither can share more than what follows it. Of two classes that were
+        matched with the same leader, the shared shingles are some of the fewer that one shares with it and some of the
+        fewer that one has besides.
         """
-        parts = placed.select("token", "comp").distinct()
-        p, q = parts.alias("p"), parts.alias("q")
-        over = p.join(q, F.col("p.token") == F.col("q.token")).where("p.comp < q.comp").select("p.token", F.col("p.comp").alias("pc"), F.col("q.comp").alias("qc"))
+        size = placed.groupBy(F.col("token").alias("t"), F.col("comp").alias("c")).agg(F.count("*").alias("members"))
+        placed = placed.join(size, (F.col("token") == F.col("t")) & (F.col("comp") == F.col("c"))).select(*placed.columns, (F.col("members") > 8).alias("large"))
 
-        def side(c: str) -> DataFrame:
-            return placed.select(F.col("token").alias(f"{c}_token"), F.col("comp").alias(f"{c}_comp"), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "hits", "lead", "over")))
+        def side(c: str, large: bool) -> DataFrame:
+            return placed.where(F.col("large") == large).select(*(F.col(x).alias(f"{c}_{x}") for x in ("token", "pos", "comp", "node", "size", "hits", "lead", "over")))
 
         most = F.least("u_over", "v_over") + F.least(F.col("u_hits") - F.col("u_over"), F.col("v_hits") - F.col("v_over"))
-        open_ = F.coalesce((F.col("u_lead") != F.col("v_lead")) | self._enough(most, F.col("u_size"), F.col("v_size")), F.lit(True))
+        near = F.coalesce((F.col("u_lead") != F.col("v_lead")) | self._enough(most, F.col("u_size"), F.col("v_size")), F.lit(True))
         unmatched = F.coalesce(F.col("u_lead") != F.col("v_node"), F.lit(True)) & F.coalesce(F.col("v_lead") != F.col("u_node"), F.lit(True))
-        u = over.join(side("u"), (F.col("token") == F.col("u_token")) & (F.col("pc") == F.col("u_comp")))
-        pairs = u.join(side("v"), (F.col("token") == F.col("v_token")) & (F.col("qc") == F.col("v_comp")) & self._fits("u_size", "v_size", "u_hits", "v_hits") & open_ & unmatched)
-        return pairs.select(F.least("u_node", "v_node").alias("a"), F.greatest("u_node", "v_node").alias("b"))
+        follow = self._enough(F.least(F.col("u_size") - F.col("u_pos"), F.col("v_size") - F.col("v_pos")), F.col("u_size"), F.col("v_size"))
+        can = self._fits("u_size", "v_size", "u_hits", "v_hits") & follow & near & unmatched & (F.col("u_comp") != F.col("v_comp"))
+        same = F.col("u_token") == F.col("v_token")
+        small = side("u", False).join(side("v", False), same & (F.col("u_node") < F.col("v_node")) & can)
+        mixed = side("u", True).join(side("v", False), same & can)
+        parts = placed.where("large").select("token", "comp").distinct()
+        p, q = parts.select(F.col("token").alias("p_token"), F.col("comp").alias("pc")), parts.select(F.col("token").alias("q_token"), F.col("comp").alias("qc"))
+        over = p.join(q, (F.col("p_token") == F.col("q_token")) & (F.col("pc") < F.col("qc")))
+        u = over.join(side("u", True), (F.col("p_token") == F.col("u_token")) & (F.col("pc") == F.col("u_comp")))
+        large = u.join(side("v", True), same & (F.col("qc") == F.col("v_comp")) & can)
+        pairs = None
+        for x in (small, mixed, large):
+            x = x.select(F.least("u_node", "v_node").alias("a"), F.greatest("u_node", "v_node").alias("b"))
+            pairs = x if pairs is None else pairs.union(x)
+        return pairs
 
     def _verify(self, pairs: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("tokens").alias("x"))

@@ -118,3 +118,32 @@ def mixed(docs: DataFrame, weight: Column, block: int = 16) -> DataFrame:
     plan = schedule(docs.select("doc_id", "source", row.alias("row")), weight, block).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("row").alias("__of")).agg(F.min("slot").alias("__slot"), F.min("at").alias("__at"))
     joined = marked.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__row") == F.col("__of")))
     return joined.repartitionByRange(parts_for(docs, 32), "__slot", "__at").sortWithinPartitions("__slot", "__at").drop("__row", "__id", "__source", "__of", "__slot", "__at")
+
+
+def by_number(source: Column) -> Column:
+    """The target weights of the query and the pipeline: 1 to 4 by the number in a source's name, 1 without one."""
+    number = F.substring(F.regexp_extract(source, "([0-9]+)", 1), -9, 9)
+    return F.coalesce(number.try_cast("long"), F.lit(0)) % 4 + 1
+
+
+#: DuckDB's account of ``schedule`` with those weights and blocks of 16: earliest deadline first, slot by slot.
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at,
+    coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4 + 1 AS w FROM documents
+),
+src AS (SELECT source, any_value(w) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM d GROUP BY source),
+t AS (SELECT CAST(sum(w) AS BIGINT) AS total, list(w ORDER BY i) AS ws FROM src),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS slot, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick FROM t
+  UNION ALL
+  SELECT slot + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + CAST(i = best AS BIGINT)), best FROM (
+    SELECT slot, done, list_min(list_transform(list_filter(range(1, len(ws) + 1), lambda i: done[i] < ws[i] AND done[i] * total // ws[i] <= slot),
+      lambda i: ((done[i] + 1) * total + ws[i] - 1) // ws[i] * 1000000 + i)) % 1000000 AS best
+    FROM run, t WHERE slot < total)
+),
+plan AS (SELECT pick AS i, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM run WHERE pick IS NOT NULL)
+SELECT d.doc_id, d.source, d.at, d.at // 16 AS block, (d.at // 16) * total // d.w AS release, ((d.at // 16 + 1) * total + d.w - 1) // d.w AS deadline,
+  (d.at // 16) // d.w * total + plan.slot AS slot
+FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source CROSS JOIN t JOIN plan ON plan.i = src.i AND plan.j = (d.at // 16) % d.w
+"""

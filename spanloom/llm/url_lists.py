@@ -51,20 +51,69 @@ def rules_of(url: Column) -> Column:
 
 
 def judged(captures: DataFrame, entries: DataFrame, span: int = 64) -> DataFrame:
-    """``captures`` (capture_id, url, day) as (capture_id, host, day, blocked, rule, since).
+    """``captures`` (capture_id, url, day) as (capture_id, url, day, host, blocked, rule, since).
 
-    rule: the longest rule that is on; since: its entry's day. day counts days. Rows that repeat a capture_id are judged
-    each for itself.
+    rule: the longest rule that is on at the day, since: its entry's day; null and -1 where the capture isn't blocked. day
+    counts days. Rows that repeat all three columns are one capture.
     """
+    captures = captures.select(F.col("capture_id").cast("long").alias("capture_id"), F.col("url").cast("string").alias("url"), F.col("day").cast("long").alias("day"))
+    end = captures.agg(F.max("day")).first()[0] or 0  # an open interval need not be laid out any further
     valid = intervals(entries).where("action = 'on'")
-    ends = F.coalesce(F.col("day_to") - 1, F.greatest("day_from", F.lit(1) * captures.agg(F.max("day")).first()[0]) if not captures.isEmpty() else F.col("day_from"))
-    laid = valid.select("rule", "day_from", "day_to", F.explode(F.sequence(F.floor(F.col("day_from") / span), F.greatest(F.floor(ends / span), F.floor(F.col("day_from") / span)))).alias("period"))
+    until = F.greatest(F.coalesce(F.col("day_to") - 1, F.lit(end).cast("long")), F.col("day_from"))
+    laid = valid.select("rule", "day_from", "day_to", F.explode(F.sequence(F.floor(F.col("day_from") / span), F.floor(until / span))).alias("period"))
     few = laid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    asked = captures.select("capture_id", "url", F.col("day").cast("long").alias("day")).withColumn("row", F.monotonically_increasing_id())
-    keys = asked.select("capture_id", "row", "day", F.explode(rules_of(F.col("url"))).alias("key"), F.floor(F.col("day") / span).alias("at"))
-    found = keys.join(F.broadcast(laid) if few else laid, (F.col("key") == F.col("rule")) & (F.col("at") == F.col("period")) & (F.col("day") >= F.col("day_from")) & (F.col("day_to").isNull() | (F.col("day") < F.col("day_to"))))
-    del asked
-    return found
+    keys = captures.select("*", F.explode_outer(rules_of(F.col("url"))).alias("key"), F.floor(F.col("day") / span).alias("at"))
+    active = (F.col("key") == F.col("rule")) & (F.col("at") == F.col("period")) & (F.col("day") >= F.col("day_from")) & (F.col("day_to").isNull() | (F.col("day") < F.col("day_to")))
+    met = keys.join(F.broadcast(laid) if few else laid, active, "left")
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", F.col("day_from").alias("since"))))
+    out = met.groupBy("capture_id", "url", "day").agg(best.alias("best"))
+    return out.select("capture_id", "url", "day", host_of(F.col("url")).alias("host"), F.col("best").isNotNull().alias("blocked"), F.col("best.rule").alias("rule"), F.coalesce("best.since", F.lit(-1)).alias("since"))
 
 
-__all__ = ["BROADCAST_ROWS", "host_of", "intervals", "judged", "path_of", "rules_of"]
+def sample_list(urls: DataFrame) -> DataFrame:
+    """A dated list (rule, day, seq, action) for ``urls`` (url), made by rule from hosts and first directories.
+
+    Stands in for a real list: every third host length is listed, delisted and listed again; every fifth has its first
+    directories listed.
+    """
+    seen = urls.select(host_of(F.col("url")).alias("host"), F.regexp_extract(path_of(F.col("url")), "^/+([^/]+)", 1).alias("head")).where("host is not null").distinct()
+    hosts = seen.select("host").distinct().withColumn("n", F.length("host")).where("n % 3 = 0")
+    days = F.array(*(F.struct(((F.col("n") * 37) % 300 + plus).cast("long").alias("day"), F.lit(seq).alias("seq"), F.lit(action).alias("action")) for plus, seq, action in ((0, 0, "on"), (40, 1, "off"), (90, 2, "on"))))
+    of_hosts = hosts.select(F.col("host").alias("rule"), F.explode(days).alias("e")).select("rule", "e.*")
+    heads = seen.where("head <> '' and length(host) % 5 = 0").select(F.concat("host", F.lit("/"), "head").alias("rule"), ((F.length("host") * 11) % 300).cast("long").alias("day"), F.lit(0).alias("seq"), F.lit("on").alias("action"))
+    return of_hosts.unionByName(heads)
+
+
+def op5(pages: DataFrame) -> DataFrame:
+    """Per page (page_id, host, day, blocked, rule, since): fetched on day page_id modulo 365, judged by ``sample_list``."""
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", (F.col("page_id") % 365).alias("day"))
+    return judged(captures, sample_list(pages.select("url"))).select(F.col("capture_id").alias("page_id"), "host", "day", "blocked", "rule", "since")
+
+
+#: DuckDB's account of ``op5``.
+SQL = r"""
+WITH u AS (
+  SELECT DISTINCT page_id, url, page_id % 365 AS day,
+    nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.$', ''), '') AS host,
+    rtrim(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/') AS path
+  FROM pages
+),
+hosts AS (SELECT DISTINCT host, length(host) AS n FROM u WHERE host IS NOT NULL),
+heads AS (SELECT DISTINCT host, regexp_extract(path, '^/+([^/]+)', 1) AS head FROM u WHERE host IS NOT NULL),
+entries AS (
+  SELECT host AS rule, unnest([(n * 37) % 300, (n * 37) % 300 + 40, (n * 37) % 300 + 90]) AS day, unnest(['on', 'off', 'on']) AS action FROM hosts WHERE n % 3 = 0
+  UNION ALL SELECT host || '/' || head, (length(host) * 11) % 300, 'on' FROM heads WHERE head <> '' AND length(host) % 5 = 0
+),
+valid AS (SELECT rule, day AS day_from, lead(day) OVER (PARTITION BY rule ORDER BY day) AS day_to, action FROM entries),
+m AS (
+  SELECT u.page_id, v.rule, v.day_from, row_number() OVER (PARTITION BY u.page_id ORDER BY length(v.rule) DESC, v.rule DESC) AS k
+  FROM u JOIN valid v ON v.action = 'on' AND u.day >= v.day_from AND (v.day_to IS NULL OR u.day < v.day_to)
+    AND (u.host = split_part(v.rule, '/', 1) OR suffix(u.host, '.' || split_part(v.rule, '/', 1)))
+    AND (v.rule NOT LIKE '%/%' OR u.path = '/' || split_part(v.rule, '/', 2) OR prefix(u.path, '/' || split_part(v.rule, '/', 2) || '/'))
+)
+SELECT u.page_id, u.host, u.day, m.rule IS NOT NULL AS blocked, m.rule, CAST(coalesce(m.day_from, -1) AS BIGINT) AS since
+FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.k = 1
+"""
+
+
+__all__ = ["BROADCAST_ROWS", "host_of", "intervals", "judged", "op5", "path_of", "rules_of", "sample_list"]
