@@ -32,7 +32,8 @@ from .components import components
 from .shared import Stages, parts_for, planned_bytes
 
 _SALTS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x8E6C7F1B3D5A9207))
-_PACK = "part int, docs binary, keys binary, counts binary, tokens binary"
+_PACK = "part int, batch long, docs binary, keys binary, counts binary, tokens binary"
+_COUNTS = "batch long, docs binary, keys binary, sizes binary, hits binary"
 
 
 def _packed(size: int, parts: int):
@@ -60,14 +61,15 @@ def _rows(doc: np.ndarray, key: np.ndarray, sets: list[np.ndarray], parts: int)
     part = (((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts < 65536 else np.uint32)
     order = np.argsort(part, kind="stable")
     part, owner, low = part[order], owner[order], tokens[order].astype(np.uint32)
+    name = int(mix(np.uint64(len(doc)) + (doc[:1].view(np.uint64) ^ key[:1].view(np.uint64)))[0].astype(np.int64)) if len(doc) else 0
     out = []
     for a, b in runs(part):
         first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
         who = owner[a:b][first]
-        out.append((int(part[a]), doc[who].tobytes(), key[who].tobytes(), np.diff([*first, b - a]).astype(np.uint32).tobytes(), low[a:b].tobytes()))
+        out.append((int(part[a]), name, doc[who].tobytes(), key[who].tobytes(), np.diff([*first, b - a]).astype(np.uint32).tobytes(), low[a:b].tobytes()))
     # a row without shingles carries the size of each set
-    out.append((int(key[0]) % parts if len(key) else 0, doc.tobytes(), key.tobytes(), size.astype(np.uint32).tobytes(), None))
-    yield _batch(out, [pa.int32(), *[pa.binary()] * 4], ["part", "docs", "keys", "counts", "tokens"])
+    out.append((name % parts, name, doc.tobytes(), key.tobytes(), size.astype(np.uint32).tobytes(), None))
+    yield _batch(out, [pa.int32(), pa.int64(), *[pa.binary()] * 4], ["part", "batch", "docs", "keys", "counts", "tokens"])
 
 
 def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
@@ -76,30 +78,40 @@ def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
 
 
 def _shared_of(packed: list[tuple]) -> pa.RecordBatch:
-    """(doc_id, th, size, hits) of a partition: hits counts the document's shingles that another document has as well."""
-    docs, keys, sizes, hits = [], [], [], []
-    found = [x for x in packed if x[3] is not None]
+    """Packed counts of a partition, by batch of documents: how many of a document's shingles another document has as well."""
+    out = [(x[0], x[1], x[2], x[3], None) for x in packed if x[4] is None]
+    found = [x for x in packed if x[4] is not None]
     if found:
-        count = [np.frombuffer(x[2], np.uint32) for x in found]
-        doc, key = (np.concatenate([np.frombuffer(x[k], np.int64) for x in found]) for k in (0, 1))
-        both = np.concatenate([np.frombuffer(x[3], np.uint32) for x in found]).astype(np.uint64) << np.uint64(32)
-        both |= np.repeat(np.arange(len(doc), dtype=np.uint32), np.concatenate(count))
+        count = [np.frombuffer(x[3], np.uint32) for x in found]
+        border = np.cumsum([0, *(len(c) for c in count)])
+        both = np.concatenate([np.frombuffer(x[4], np.uint32) for x in found]).astype(np.uint64) << np.uint64(32)
+        both |= np.repeat(np.arange(border[-1], dtype=np.uint32), np.concatenate(count))
         both.sort()
         token = (both >> np.uint64(32)).astype(np.uint32)
         same = token[1:] == token[:-1]
         twice = np.zeros(len(token), bool)
         twice[1:] = same
         twice[:-1] |= same
-        n = np.bincount((both[twice] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(doc))
-        at = np.flatnonzero(n)
-        docs, keys, sizes, hits = [doc[at]], [key[at]], [np.zeros(len(at), np.int64)], [n[at]]
+        n = np.bincount((both[twice] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=int(border[-1])).astype(np.uint32)
+        for x, a, b in zip(found, border, border[1:], strict=False):
+            at = np.flatnonzero(n[a:b])
+            if len(at):
+                out.append((x[0], np.frombuffer(x[1], np.int64)[at].tobytes(), np.frombuffer(x[2], np.int64)[at].tobytes(), None, n[a:b][at].tobytes()))
+    return _batch(out, [pa.int64(), *[pa.binary()] * 4], ["batch", "docs", "keys", "sizes", "hits"])
+
+
+def _summed(packed: list[tuple]) -> pa.RecordBatch:
+    """Packed counts of a batch of documents to (doc_id, th, size, hits) of each."""
+    whole = [x for x in packed if x[2] is not None]
+    size = {}
+    for x in whole:
+        for k, n in zip(zip(*(np.frombuffer(c, np.int64).tolist() for c in x[:2]), strict=True), np.frombuffer(x[2], np.uint32).tolist(), strict=True):
+            size[k] = [n, 0]
     for x in packed:
-        if x[3] is None:
-            docs.append(np.frombuffer(x[0], np.int64))
-            keys.append(np.frombuffer(x[1], np.int64))
-            sizes.append(np.frombuffer(x[2], np.uint32).astype(np.int64))
-            hits.append(np.zeros(len(docs[-1]), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64), pa.int64()) for c in (docs, keys, sizes, hits)], names=["doc_id", "th", "size", "hits"])
+        if x[2] is None:
+            for k, n in zip(zip(*(np.frombuffer(c, np.int64).tolist() for c in x[:2]), strict=True), np.frombuffer(x[3], np.uint32).tolist(), strict=True):
+                size[k][1] += n
+    return _batch([(*k, *v) for k, v in size.items()], [pa.int64()] * 4, ["doc_id", "th", "size", "hits"])
 
 
 def _by_part(make):
@@ -143,15 +155,15 @@ def _packed_classes(parts: int):
             part = (((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, owner, tokens = part[order], owner[order], tokens[order]
-            yield _batch([(int(part[a]), owner[a:b].tobytes(), None, None, tokens[a:b].tobytes()) for a, b in runs(part)], [pa.int32(), *[pa.binary()] * 4], ["part", "docs", "keys", "counts", "tokens"])
+            yield _batch([(int(part[a]), 0, owner[a:b].tobytes(), None, None, tokens[a:b].tobytes()) for a, b in runs(part)], [pa.int32(), pa.int64(), *[pa.binary()] * 4], ["part", "batch", "docs", "keys", "counts", "tokens"])
 
     return run
 
 
 def _counted_of(packed: list[tuple]) -> pa.RecordBatch:
     """(node, tokens, counts) of a partition: a class's shingles that other classes have, and in how many classes each is."""
-    owner = np.concatenate([np.frombuffer(x[0], np.int64) for x in packed])
-    token = np.concatenate([np.frombuffer(x[3], np.uint64) for x in packed])
+    owner = np.concatenate([np.frombuffer(x[1], np.int64) for x in packed])
+    token = np.concatenate([np.frombuffer(x[4], np.uint64) for x in packed])
     _, where, count = np.unique(token, return_inverse=True, return_counts=True)
     count = count[where]
     keep = np.flatnonzero(count > 1)
@@ -229,8 +241,9 @@ class JaccardJoin:
         named = docs.withColumn("nil", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)) + F.shiftright("th", 8)))
         parts = parts_for(docs, 8)
         packed = named.select("doc_id", "th", "text").mapInArrow(_packed(self.size, parts), _PACK)
-        found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_shared_of), "doc_id long, th long, size long, hits long")
-        sized = stages.write(found.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.sum("hits").alias("hits")), "sizes")
+        found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_shared_of), _COUNTS)
+        found = found.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_by_part(_summed), "doc_id long, th long, size long, hits long")
+        sized = stages.write(found.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.max("hits").alias("hits")), "sizes")
         likely = sized.where(f"size > 0 and hits * 100 >= size * {self.percent}").select("doc_id", "th")
         chosen = named.join(likely, ["doc_id", "th"], "left_semi")
         sets = stages.write(chosen.mapInArrow(_class_sets(self.size), "doc_id long, th long, set_id binary, tokens binary"), "sets")
