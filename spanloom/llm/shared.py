@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -37,6 +38,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession):
+    """While a stage is written, Spark removes its shuffle files at its end: the table takes their place."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if before is None:
+        yield
+        return
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Stages:
     """Tables written once and read back, so that later steps neither recompute nor lose them.
 
@@ -50,7 +66,8 @@ class Stages:
 
     def write(self, df: DataFrame, step: str) -> DataFrame:
         path = f"{self.root}/{step}-{len(self.paths)}"
-        df.write.option("compression", "zstd").parquet(path)
+        with _tidy(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._hold = getattr(self, "_hold", []) + [out]

@@ -13,8 +13,8 @@ dealt out so that all which share ``size`` bytes meet:
    Equal contexts become one, with its number and first place. Contexts are dealt by anchor; an anchor with very many is
    dealt in shares, each of which looks at the strings whose hash falls to it.
 4. For each anchor, suffixes of its contexts are sorted and longest previous and next factors found. A factor of more
-   than ``size`` bytes covers the starts behind it as well, so only starts that no factor covers yet become suffixes. A
-   hash of each string tells beforehand which starts can't repeat.
+   than ``size`` bytes covers the starts behind it as well, so only starts that no factor covers yet become suffixes,
+   along with those that can share ``size`` bytes with them, as a hash of each string tells beforehand.
 5. Found ranges go back to the occurrences of their context, and by text to the documents.
 
 Comparisons are of bytes; a hash only ever rules out or deals out. ``removed(..., keep_first=True)`` removes the later
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import as_bytes, chunks, prefix_sums, range_hash, runs
+from .bytetext import as_bytes, chunks, mix, prefix_sums, range_hash, runs
 from .jaccard_join import _batch, _by_part
 from .shared import Stages, parts_for, planned_bytes
 
@@ -169,13 +169,16 @@ def longest_factors(order: np.ndarray, lcp: np.ndarray, rank: np.ndarray) -> np.
     return np.array(best, np.int64)
 
 
-def _sorted_suffixes(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order within groups, and common prefixes of neighbours (0 between groups)."""
-    width = -(-most // 8) * 8
+def _sorted_suffixes(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order within groups, and common prefixes of neighbours (0 between groups).
+
+    A group's suffixes agree on their first ``known`` bytes, so what follows sorts them; prefixes are compared whole.
+    """
+    width = -(-int(length.max()) // 8) * 8
     m = data[np.minimum(start[:, None] + np.arange(width), len(data) - 1)]
     m[np.arange(width) >= length[:, None]] = 0
-    words = m.view(">u8")
-    order = np.lexsort([*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), group])
+    tail = np.ascontiguousarray(m[:, known // 8 * 8 :]).view(">u8")
+    order = np.lexsort([*(tail[:, k] for k in range(tail.shape[1] - 1, -1, -1)), group])
     if len(order) < 2:
         return order, np.zeros(len(order), np.int64)
     x = m[order]
@@ -201,7 +204,9 @@ def _strings(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, share:
         mark = range_hash(prefix_sums(np.frombuffer(b"".join(part), np.uint8)), start, start + size)
         ctx += a
         mine = mark % shares[ctx].astype(np.uint64) == share[ctx].astype(np.uint64)
-        out.append((ctx[mine], at[mine], (mark ^ (groups[ctx].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))[mine]))
+        # strings that match stand the same way to their anchor
+        place = (groups[ctx] * 1024 + at - lefts[ctx] + 512).astype(np.uint64)
+        out.append((ctx[mine], at[mine], (mark ^ mix(place))[mine]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -214,6 +219,8 @@ def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts:
     anywhere, before = counts[ctx] > 1, np.zeros(len(ctx), bool)
     order = np.argsort(label)
     same = label[order][1:] == label[order][:-1]
+    kind = np.empty(len(ctx), np.int64)  # strings of one kind are equal, as far as hashes tell
+    kind[order] = np.concatenate([[0], np.cumsum(~same)])[: len(ctx)]
     live = np.zeros(len(ctx), bool)
     live[order[1:]] = same
     live[order[:-1]] |= same
@@ -222,21 +229,22 @@ def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts:
     data = np.frombuffer(b"".join(bodies), np.uint8)
     length = np.array([len(b) for b in bodies], np.int64)
     offset = np.cumsum([0, *length])[:-1]
-    # strings that match stand the same way to their anchor
-    code = groups[ctx] * 1024 + (at - lefts[ctx]) + 512
     whole, last = bool((shares == 1).all()), np.searchsorted(ctx, ctx, side="right") - 1
     while live.any():
+        # the first open string of each run becomes a suffix, and so do all of its kind
         head = live.copy()
         head[1:] &= ~(live[:-1] & (ctx[1:] == ctx[:-1]))
-        cand = np.flatnonzero(np.isin(code, np.unique(code[head])))
-        cand = cand[np.argsort(code[cand], kind="stable")]
-        border = np.flatnonzero(np.concatenate([[True], code[cand][1:] != code[cand][:-1], [True]]))
+        wanted = np.zeros(len(ctx) + 1, bool)
+        wanted[kind[head]] = True
+        cand = np.flatnonzero(wanted[kind])
+        cand = cand[np.argsort(kind[cand], kind="stable")]
+        border = np.flatnonzero(np.concatenate([[True], kind[cand][1:] != kind[cand][:-1], [True]]))
         x = 0
-        while x < len(border) - 1:  # some alignments at a time
-            y = max(x + 1, int(np.searchsorted(border, border[x] + 50_000, side="right")) - 1)
+        while x < len(border) - 1:  # some kinds at a time
+            y = max(x + 1, int(np.searchsorted(border, border[x] + 30_000, side="right")) - 1)
             some = cand[border[x] : border[y]]
             rest = length[ctx[some]] - at[some]
-            s_order, lcp = _sorted_suffixes(data, code[some], offset[ctx[some]] + at[some], rest, int(rest.max()))
+            s_order, lcp = _sorted_suffixes(data, kind[some], offset[ctx[some]] + at[some], rest, size)
             rank = ranks[ctx[some]]
             earlier = longest_factors(s_order, lcp, rank)
             reaches = [(before, earlier)] if keep_first else [(anywhere, np.maximum(earlier, longest_factors(s_order, lcp, -rank)))]
@@ -331,10 +339,10 @@ def removed(docs: DataFrame, size: int = 200, keep_first: bool = False) -> DataF
     cut = long.select("key", "text", "low").join(marked, "key").mapInArrow(_contexts(size), "context binary, anchor long, left int, body binary, place long, key binary, low long")
     cut = stages.write(cut, "contexts")
     distinct = cut.groupBy("context", "anchor", "left").agg(F.first("body").alias("body"), F.count("*").alias("n"), F.min(F.struct(F.col("low").isNull().alias("z"), F.coalesce("low", F.lit(0)).alias("low"), F.hex("key").alias("key"), "place")).alias("at"))
-    distinct = stages.write(distinct, "distinct")
-    many = distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.max("n").alias("top")).where("m > 1 or top > 1").select("anchor", F.ceil(F.col("m") / SHARE).cast("int").alias("shares"))
+    per = cut.groupBy("context", "anchor").agg(F.count("*").alias("n"))
+    many = stages.write(per.groupBy("anchor").agg(F.count("*").alias("m"), F.max("n").alias("top")), "anchors").where("m > 1 or top > 1").select("anchor", F.ceil(F.col("m") / SHARE).cast("int").alias("shares"))
     dealt = distinct.join(many, "anchor").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(distinct) >> 22)
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(cut) >> 22)
     ranges = dealt.select("context", "anchor", "share", "shares", "left", "body", "n", "at").repartition(spread, "anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
     places = cut.select("context", "key", "place", "left", F.length("body").alias("length"), "low").join(ranges, "context")
     if keep_first:
