@@ -8,15 +8,17 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edits between two word arrays: each distinct word becomes one character, which ``levenshtein`` then compares.
 
     Holds for up to 35,000 distinct words in a pair.
     """
-    words = F.array_distinct(F.concat(reference, hypothesis))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 19968), 4, "0")), "UTF-16BE")
-    return F.levenshtein(F.array_join(F.transform(reference, code), ""), F.array_join(F.transform(hypothesis, code), "")).cast("long")
+    char = lambda v, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 19968), 4, "0")), "UTF-16BE")
+    coded = lambda v, words: F.array_join(F.transform(words, lambda w: char(v, w)), "")
+    return bound(F.array_distinct(F.concat(reference, hypothesis)), lambda v: F.levenshtein(coded(v, reference), coded(v, hypothesis))).cast("long")
 
 
 def rate(edits: Column, reference: Column, hypothesis: Column) -> Column:
@@ -93,6 +95,6 @@ def _mark(o: Column) -> Column:
 
 def marked_errors(ops: Column, context: int = 4) -> Column:
     """The diff with ``context`` operations to either side of errors; each longer run of others as one ellipsis."""
-    near = lambda k: F.exists(F.slice(ops, F.greatest(k - context, F.lit(0)) + 1, F.least(k, F.lit(context)) + context + 1), lambda o: o.tag != "equal")
-    shown = F.transform(ops, lambda o, k: F.when(near(k), _mark(o)).otherwise("…"))
-    return F.array_join(F.filter(shown, lambda s, k: (s != "…") | (k == 0) | (F.get(shown, k - 1) != "…")), " ")
+    near = lambda all_, k: F.exists(F.slice(all_, F.greatest(k - context, F.lit(0)) + 1, F.least(k, F.lit(context)) + context + 1), lambda o: o.tag != "equal")
+    shown = bound(ops, lambda all_: F.transform(all_, lambda o, k: F.when(near(all_, k), _mark(o)).otherwise("…")))
+    return F.array_join(bound(shown, lambda s: F.filter(s, lambda x, k: (x != "…") | (k == 0) | (F.get(s, k - 1) != "…"))), " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -36,6 +37,11 @@ def profile(name: str | Profile | None) -> Profile:
     return PROFILES[name or "default"]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, though inner lambdas read it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs as one space, none at the ends; case and punctuation stay. Null as empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -57,7 +63,7 @@ def tokens(text: Column, using: str | Profile | None = None) -> Column:
 
 def without_repeats(words: Column) -> Column:
     """Words without those that repeat the one before."""
-    return F.filter(words, lambda w, k: (k == 0) | (w != F.get(words, k - 1)))
+    return F.array_compact(F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, before: F.when(w != before, w)))
 
 
 def normalize(text: Column, using: str | Profile | None = None) -> Column:

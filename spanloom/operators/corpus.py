@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import VOCABULARY, content_tokens, plain_sentences, sentences, source_ratio, squeeze
+from ..functions.text import VOCABULARY, bound, content_tokens, plain_sentences, sentences, source_ratio, squeeze
 from .intervals import window_text
 from .windows import fixed_windows
 
@@ -49,19 +49,21 @@ def best_slice(clean: Column, ctc: Column, whisper: Column) -> Column:
 
     The first of equal runs; the whole text if it has one sentence, or the sources no words.
     """
-    parts = sentences(clean, ".!?…")
-    source = F.array_distinct(F.concat(content_tokens(ctc), content_tokens(whisper)))
-    target = F.greatest(F.size(content_tokens(ctc)), F.size(content_tokens(whisper)), F.lit(1))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.transform(F.sequence(i, F.size(parts) - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-
-    def scored(x: Column) -> Column:
-        text = F.array_join(F.slice(parts, x.i + 1, x.j - x.i + 1), " ")
-        words = content_tokens(text)
-        score = source_ratio(F.array_distinct(words), source) - 0.25 * F.abs(F.size(words) - target) / F.greatest(F.size(words), F.lit(1))
-        return F.when(F.size(words) > 0, F.struct(score.alias("score"), (-x.i).alias("i"), (-x.j).alias("j"), text.alias("text")))
-
-    best = F.array_max(F.array_compact(F.transform(spans, scored)))
-    return F.when((F.size(parts) <= 1) | (F.size(source) == 0), squeeze(clean)).otherwise(F.coalesce(best.text, squeeze(clean)))
+    facts = F.struct(
+        sentences(clean, ".!?…").alias("parts"), F.array_distinct(F.concat(content_tokens(ctc), content_tokens(whisper))).alias("source"),
+        F.greatest(F.size(content_tokens(ctc)), F.size(content_tokens(whisper)), F.lit(1)).alias("target"), squeeze(clean).alias("whole"),
+    )
+
+    def chosen(f: Column) -> Column:
+        def scored(i: Column, j: Column) -> Column:
+            text = F.array_join(F.slice(f.parts, i + 1, j - i + 1), " ")
+            score = lambda w: source_ratio(F.array_distinct(w), f.source) - 0.25 * F.abs(F.size(w) - f.target) / F.greatest(F.size(w), F.lit(1))
+            return bound(content_tokens(text), lambda w: F.when(F.size(w) > 0, F.struct(score(w).alias("score"), (-i).alias("i"), (-j).alias("j"), text.alias("text"))))
+
+        spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size(f.parts) - 1), lambda i: F.transform(F.sequence(i, F.size(f.parts) - 1), lambda j: scored(i, j))))
+        return F.when((F.size(f.parts) <= 1) | (F.size(f.source) == 0), f.whole).otherwise(F.coalesce(F.array_max(F.array_compact(spans)).text, f.whole))
+
+    return bound(facts, chosen)
 
 
 def primary_pairs(whisper: DataFrame, ctc: DataFrame, clean: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def error_rates(pairs: DataFrame, profile: str | None = None) -> DataFrame:
 def corpus_aggregate(items: DataFrame, *by: str) -> DataFrame:
     """Macro means of wer and cer, and micro rates of pooled edits and lengths; micro is null if an item has no edits."""
     micro = lambda e, n: F.when(F.count_if(F.col(e).isNull()) == 0, F.bround(F.sum(e) / F.nullif(F.sum(n), F.lit(0)), 6))
-    return items.groupBy(*by).agg(F.count("*").alias("n_items"), F.bround(F.avg("wer"), 6).alias("macro_wer"), F.bround(F.avg("cer"), 6).alias("macro_cer"), micro("word_edits", "ref_words").alias("micro_wer"), micro("char_edits", "ref_chars").alias("micro_cer"))
+    mean = lambda c: F.bround(F.sum(F.round(F.col(c) * 1_000_000).cast("long")) / F.count(c), 0) / 1_000_000
+    return items.groupBy(*by).agg(F.count("*").alias("n_items"), mean("wer").alias("macro_wer"), mean("cer").alias("macro_cer"), micro("word_edits", "ref_words").alias("micro_wer"), micro("char_edits", "ref_chars").alias("micro_cer"))
 
 
 def by_speaker(segments: DataFrame) -> DataFrame:

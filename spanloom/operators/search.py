@@ -15,7 +15,7 @@ def bm25(segments: DataFrame, queries: DataFrame, top: int = 10, k: float = 1.2,
     """
     t = segments.select("meeting_id", "seg_idx", content_tokens(F.col("text")).alias("w"))
     size = t.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("mean"))
-    asked = queries.select("query_id", F.explode("terms").alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     tf = t.select("meeting_id", "seg_idx", F.size("w").alias("len"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("meeting_id", "seg_idx", "term").agg(F.first("len").alias("len"), F.count("*").alias("f"))
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("d"))
     each = asked.join(tf, "term").join(df, "term").join(F.broadcast(size))

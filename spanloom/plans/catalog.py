@@ -43,7 +43,7 @@ def _ctc_pairs(spark: SparkSession, d: str) -> DataFrame:
     return s.select("meeting_id", "seg_idx", F.col("text").alias("ref_text")).join(c, ["meeting_id", "seg_idx"])
 
 
-@query(using("seg", "ctc", recursive=True) + _CTC_PAIR + _DP + f", item AS (SELECT k // 1000 AS meeting_id, edits, n, {_RATE} AS wer FROM edit) SELECT meeting_id, count(*) AS n_items, round_even(avg(wer), 6) AS macro_wer, round_even(sum(edits)::DOUBLE / nullif(sum(n), 0), 6) AS micro_wer, sum(edits)::BIGINT AS edits, sum(n)::BIGINT AS ref_words FROM item GROUP BY 1")
+@query(using("seg", "ctc", recursive=True) + _CTC_PAIR + _DP + f", item AS (SELECT k // 1000 AS meeting_id, edits, n, {_RATE} AS wer FROM edit) SELECT meeting_id, count(*) AS n_items, round_even(sum(CAST(round(wer * 1000000) AS BIGINT))::DOUBLE / count(*), 0) / 1000000 AS macro_wer, round_even(sum(edits)::DOUBLE / nullif(sum(n), 0), 6) AS micro_wer, sum(edits)::BIGINT AS edits, sum(n)::BIGINT AS ref_words FROM item GROUP BY 1")
 def corpus_wer(spark: SparkSession, d: str) -> DataFrame:
     """Word error rates of an edited transcript by meeting: macro, micro, pooled edits."""
     items = scoring.error_rates(_ctc_pairs(spark, d))
@@ -51,11 +51,10 @@ def corpus_wer(spark: SparkSession, d: str) -> DataFrame:
     return out.join(items.groupBy("meeting_id").agg(F.sum("word_edits").alias("edits"), F.sum("ref_words").alias("ref_words")), "meeting_id")
 
 
-@query(using("seg", "ctc", recursive=True) + f", pair AS (SELECT s.meeting_id * 1000 + s.seg_idx AS k, string_split(array_to_string({norm('s.text')}, ''), '') AS r, string_split(array_to_string({norm(chr(39).join(['array_to_string(c.w, ', ' ', ')']))}, ''), '') AS h FROM seg s JOIN ctc c USING (meeting_id, seg_idx) WHERE len(s.w) <= 30)" + _DP + f" SELECT k // 1000 AS meeting_id, k % 1000 AS seg_idx, edits AS char_edits, n AS ref_chars, {_RATE} AS cer FROM edit")
+@query()
 def char_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Character error rates of turns of 30 words or fewer; longer ones are quadratic for the oracle."""
-    short = roles.segments(spark, d).where("size(w) <= 30").select("meeting_id", "seg_idx")
-    return scoring.error_rates(_ctc_pairs(spark, d).join(short, ["meeting_id", "seg_idx"])).select("meeting_id", "seg_idx", "char_edits", "ref_chars", "cer")
+    """Character error rates of turns; too slow in SQL."""
+    return scoring.error_rates(_ctc_pairs(spark, d)).select("meeting_id", "seg_idx", "char_edits", "ref_chars", "cer")
 
 
 @query(using("seg", "ctc", recursive=True) + _CTC_PAIR + _DP + " SELECT k // 1000 AS meeting_id, k % 1000 AS seg_idx, edits, n AS ref_words, m AS hyp_words FROM edit")
@@ -308,14 +307,14 @@ def missing_hypotheses(spark: SparkSession, d: str) -> DataFrame:
     return ranking.with_hypotheses(items, roles.table(spark, d, "labels").select(F.col("doc_id").alias("item_id")))[1]
 
 
-_SENT = r"trim(regexp_replace(regexp_replace(text, '([,.;:!?()«»\"“”„])', ' \1 ', 'g'), '\s+', ' ', 'g'))"
+_MARKS = r"regexp_replace(regexp_replace(regexp_replace(text, '=+\s*(.*?)\s*=+', ' \1. ', 'g'), '''''+', '', 'g'), '<[^>]+>', ' ', 'g')"
+_SENT = rf"trim(regexp_replace(regexp_replace({_MARKS}, '([,.;:!?()«»\"“”„])', ' \1 ', 'g'), '\s+', ' ', 'g'))"
 _SPLIT = rf"list_filter(string_split(regexp_replace({_SENT}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 3)"
-_PLAIN = rf"pl AS (SELECT source AS label, 1 + (length(source) % 3) AS weight, doc_id, unnest({_SPLIT}) AS sentence FROM documents WHERE NOT regexp_matches(text, '[<>=\[\]{{}}&'']'))"
+_PLAIN = rf"pl AS (SELECT source AS label, 1 + (length(source) % 3) AS weight, doc_id, unnest({_SPLIT}) AS sentence FROM documents)"
 
 
 def _plain(spark: SparkSession, d: str) -> DataFrame:
-    """Documents without marks of markup, so that the SQL need not know it."""
-    docs = roles.table(spark, d, "documents").where(~F.col("text").rlike(r"[<>=\[\]{}&']"))
+    docs = roles.table(spark, d, "documents")
     return corpus.corpus_sentences(docs.select(F.col("source").alias("label"), (F.length("source") % 3 + 1).alias("weight"), "doc_id", "text"))
 
 
@@ -361,10 +360,10 @@ def diff_context(spark: SparkSession, d: str) -> DataFrame:
     return p.select("meeting_id", "seg_idx", distance.marked_errors(F.col("ops")).alias("diff"))
 
 
-@query(f"WITH q AS (SELECT item_id AS query_id, list_distinct({content('text')})[1:8] AS terms FROM benchmark), t AS (SELECT conv_id, turn, {content('text')} AS w FROM conversations), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS a FROM t), u AS (SELECT conv_id, turn, len(w) AS l, unnest(w) AS term FROM t), tf AS (SELECT conv_id, turn, any_value(l) AS l, term, count(*) AS f FROM u GROUP BY conv_id, turn, term), df AS (SELECT term, count(*)::DOUBLE AS d FROM tf GROUP BY 1), qt AS (SELECT query_id, unnest(terms) AS term FROM q), s AS (SELECT query_id, conv_id, turn, round_even(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS rank FROM s) SELECT query_id, conv_id AS meeting_id, turn AS seg_idx, score, rank FROM r WHERE rank <= 5")
+@query(f"WITH q AS (SELECT item_id AS query_id, list_filter({content('text')}, lambda x, i: i <= 8) AS terms FROM benchmark), t AS (SELECT conv_id, turn, {content('text')} AS w FROM conversations), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS a FROM t), u AS (SELECT conv_id, turn, len(w) AS l, unnest(w) AS term FROM t), tf AS (SELECT conv_id, turn, any_value(l) AS l, term, count(*) AS f FROM u GROUP BY conv_id, turn, term), df AS (SELECT term, count(*)::DOUBLE AS d FROM tf GROUP BY 1), qt AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q), s AS (SELECT query_id, conv_id, turn, round_even(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS rank FROM s) SELECT query_id, conv_id AS meeting_id, turn AS seg_idx, score, rank FROM r WHERE rank <= 5")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     """Documented only: keyword search over segments."""
-    queries = roles.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(text.content_set(F.col("text")), 1, 8).alias("terms"))
+    queries = roles.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(text.content_tokens(F.col("text")), 1, 8).alias("terms"))
     return search.bm25(roles.turns(spark, d).select("meeting_id", "seg_idx", "text"), queries, 5)
 
 
