@@ -43,7 +43,7 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     kind: transcript (an object with segments), list (a bare list; its ends may be missing, see ``windows.infer_ends``) or
     text (lines ``[..] SPEAKER: text``, or text alone). Anything else in a .json file raises.
     """
-    files = spark.read.option("wholetext", True).text(path).select(_stem(F.col("_metadata.file_path")).alias("meeting_id"), F.lower("_metadata.file_path").endswith(".json").alias("js"), "value")
+    files = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("meeting_id"), F.lower("_metadata.file_path").endswith(".json").alias("js"), "value")
     listed = F.from_json("value", f"array<{REFERENCE_ITEM}>")
     nested = F.from_json("value", f"struct<segments:array<{REFERENCE_ITEM}>>").segments
     first = F.substring(F.ltrim("value"), 1, 1)
@@ -67,7 +67,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_tuning_cases(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, audio_path, reference_path, duration_limit) from a list, an object with entries, or JSON lines."""
     kind = "struct<case_id:string,audio_path:string,reference_path:string,duration_limit:double>"
-    whole = spark.read.option("wholetext", not path.endswith(".jsonl")).text(path).where("trim(value) <> ''")
+    whole = spark.read.text(path, wholetext=not path.endswith(".jsonl")).where("trim(value) <> ''")
     first = F.substring(F.ltrim("value"), 1, 1)
     items = F.when(first == "[", F.from_json("value", f"array<{kind}>")).when(F.lit(path.endswith(".jsonl")), F.array(F.from_json("value", kind))).otherwise(F.from_json("value", f"struct<entries:array<{kind}>>").entries)
     rows = whole.select(F.explode(items).alias("r")).select("r.*")
@@ -101,7 +101,7 @@ def read_texts(spark: SparkSession, path: str, label: str, weight: int = 1) -> D
     """(label, weight, doc_id, text) of all files of a folder or of one file."""
     if weight <= 0:
         raise ValueError(f"the weight of {label} must be positive, not {weight}")
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
