@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -39,8 +40,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def _tidy(spark: SparkSession):
-    """While a stage is written, Spark removes its shuffle files at its end: the table takes their place."""
+def tidy(spark: SparkSession):
+    """Plans made in here lose their shuffle files when they have run: the table that they write takes their place."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     if before is None:
@@ -64,12 +65,16 @@ class Stages:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame, step: str) -> DataFrame:
+    def write(self, df: DataFrame, step: str, large: bool = False) -> DataFrame:
+        """``large``: have the driver collect its garbage afterwards, which lets Spark remove shuffle files of earlier steps."""
         path = f"{self.root}/{step}-{len(self.paths)}"
-        with _tidy(self.spark):
+        with tidy(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        if large:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         self._hold = getattr(self, "_hold", []) + [out]
         return out
 

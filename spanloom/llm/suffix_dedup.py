@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import as_bytes, chunks, mix, prefix_sums, range_hash, runs
 from .jaccard_join import _batch, _by_part
-from .shared import Stages, parts_for, planned_bytes
+from .shared import Stages, parts_for, planned_bytes, tidy
 
 GRAM = 32
 _SLICE = 1 << 22
@@ -130,7 +130,7 @@ def _repeated(packed: list[tuple]) -> pa.RecordBatch:
 
 
 def _contexts(size: int):
-    """Texts with their repeated anchors to (context, anchor, left, body, place, key, low): one row for each anchor."""
+    """Texts with their repeated anchors to (context, anchor, left, length, place, key, low): one row for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +142,27 @@ def _contexts(size: int):
                     for x, h in zip(p.tolist(), g.tolist(), strict=True):
                         start = max(0, x - (size - GRAM))
                         body = text[start : x + size]
-                        out.append((hashlib.blake2b(body + (x - start).to_bytes(2, "little"), digest_size=16).digest(), h, x - start, body, x, key, low))
-                yield _batch(out, [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64()], ["context", "anchor", "left", "body", "place", "key", "low"])
+                        out.append((hashlib.blake2b(body + (x - start).to_bytes(2, "little"), digest_size=16).digest(), h, x - start, len(body), x, key, low))
+                yield _batch(out, [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()], ["context", "anchor", "left", "length", "place", "key", "low"])
+
+    return run
+
+
+def _bodies(size: int):
+    """Texts with the contexts to cut from them to (context, anchor, share, shares, left, body, n, at)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("wanted").type.value_type.field("at").type
+            for at in range(0, batch.num_rows, 500):
+                out = []
+                piece = batch.slice(at, 500)
+                for text, wanted in zip(as_bytes(piece.column("text")), piece.column("wanted").to_pylist(), strict=True):
+                    for w in wanted:
+                        start = w["at"]["place"] - w["left"]
+                        body = text[start : start + w["length"]]
+                        out.extend((w["context"], w["anchor"], share, w["shares"], w["left"], body, w["n"], w["at"]) for share in range(w["shares"]))
+                yield _batch(out, [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), kind], ["context", "anchor", "share", "shares", "left", "body", "n", "at"])
 
     return run
 
@@ -328,27 +347,40 @@ def removed(docs: DataFrame, size: int = 200, keep_first: bool = False) -> DataF
     Texts are UTF-8 bytes, null as empty; matches never cross documents; the input decides, not what is left of it. spans:
     from, to, from, to of the maximal removed runs. Null and repeated doc_ids are rows like others.
     """
+    with tidy(docs.sparkSession):
+        return _removed(docs, size, keep_first)
+
+
+def _removed(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     stages = Stages(docs.sparkSession, "suffixes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    texts = stages.write(docs.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"), F.min("doc_id").alias("low")), "texts")
+    texts = stages.write(docs.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"), F.min("doc_id").alias("low")), "texts", large=True)
     long = texts.where(f"octet_length(text) >= {size}")
     parts = parts_for(texts, 16)
     packed = long.select("key", "text").mapInArrow(_packed_anchors(size, parts), "part int, keys binary, owners binary, places binary, grams binary")
     repeated = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_repeated), "key binary, places binary, grams binary")
     marked = repeated.groupBy("key").agg(F.collect_list("places").alias("places"), F.collect_list("grams").alias("grams"))
-    cut = long.select("key", "text", "low").join(marked, "key").mapInArrow(_contexts(size), "context binary, anchor long, left int, body binary, place long, key binary, low long")
-    cut = stages.write(cut, "contexts")
-    distinct = cut.groupBy("context", "anchor", "left").agg(F.first("body").alias("body"), F.count("*").alias("n"), F.min(F.struct(F.col("low").isNull().alias("z"), F.coalesce("low", F.lit(0)).alias("low"), F.hex("key").alias("key"), "place")).alias("at"))
-    per = cut.groupBy("context", "anchor").agg(F.count("*").alias("n"))
-    many = stages.write(per.groupBy("anchor").agg(F.count("*").alias("m"), F.max("n").alias("top")), "anchors").where("m > 1 or top > 1").select("anchor", F.ceil(F.col("m") / SHARE).cast("int").alias("shares"))
-    dealt = distinct.join(many, "anchor").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(cut) >> 22)
-    ranges = dealt.select("context", "anchor", "share", "shares", "left", "body", "n", "at").repartition(spread, "anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
-    places = cut.select("context", "key", "place", "left", F.length("body").alias("length"), "low").join(ranges, "context")
+    cut = stages.write(long.select("key", "text", "low").join(marked, "key").mapInArrow(_contexts(size), "context binary, anchor long, left int, length int, place long, key binary, low long"), "contexts", large=True)
+    place = F.struct(F.col("low").isNull().alias("z"), F.coalesce("low", F.lit(0)).alias("low"), F.hex("key").alias("key"), "place")
+    distinct = stages.write(cut.groupBy("context", "anchor", "left", "length").agg(F.count("*").alias("n"), F.min(place).alias("at")), "distinct", large=True)
+    many = distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.max("n").alias("top")).where("m > 1 or top > 1")
+    grouped = distinct.join(many, "anchor")
+    lo, hi = F.greatest(-F.col("left"), F.lit(GRAM - size)), F.least(F.lit(0), F.col("length") - F.col("left") - size) + size
+    none = F.array().cast("array<int>")
+    # a context that no other one shares its anchor with repeats as a whole
+    alone = grouped.where("m = 1").select("context", F.array(lo).alias("starts"), F.array(hi).alias("ends"), none.alias("first_starts"), none.alias("first_ends"))
+    wanted = grouped.where("m > 1").groupBy(F.unhex("at.key").alias("key")).agg(F.collect_list(F.struct("context", "anchor", F.ceil(F.col("m") / SHARE).cast("int").alias("shares"), "left", "length", "n", "at")).alias("wanted"))
+    at = "at struct<z:boolean,low:bigint,key:string,place:bigint>"
+    bodies = long.select("key", "text").join(wanted, "key").mapInArrow(_bodies(size), f"context binary, anchor long, share int, shares int, left int, body binary, n long, {at}")
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(cut) >> 20)
+    searched = bodies.repartition(spread, "anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
+    ranges = stages.write(searched.unionByName(alone), "ranges", large=True)
+    if not keep_first:
+        stages.drop(distinct)
+    places = cut.select("context", "key", "place", "left", "length").join(ranges, "context")
     if keep_first:
         one = distinct.select("context", F.unhex("at.key").alias("k"), F.col("at.place").alias("p"))
         places = places.join(one, "context").withColumn("lead", (F.col("key") == F.col("k")) & (F.col("place") == F.col("p")))
-        lo, hi = F.greatest(-F.col("left"), F.lit(GRAM - size)), F.least(F.lit(0), F.col("length") - F.col("left") - size) + size
         starts = F.when(F.col("lead"), F.col("first_starts")).otherwise(F.array(lo))
         ends = F.when(F.col("lead"), F.col("first_ends")).otherwise(F.array(hi))
     else:
