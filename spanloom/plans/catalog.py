@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance, text
-from ..operators import corpus, intervals, merge, quality, ranking, scoring, search, windows
+from ..operators import corpus, intervals, merge, quality, ranking, scoring, search, stages, windows
+from ..sources import writers
 from . import roles
 from .roles import content, norm, using
 
@@ -378,3 +379,53 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 def segment_page(spark: SparkSession, d: str) -> DataFrame:
     """Documented only: a page of a speaker's segments."""
     return search.page(roles.turns(spark, d).select("meeting_id", "seg_idx", "speaker"), 50, 20, "user")
+
+
+@query(using("seg") + ", q AS (SELECT *, s / 1000.0::DOUBLE AS a, e / 1000.0::DOUBLE AS b FROM seg) SELECT meeting_id, seg_idx, printf('[%02d:%02d:%05.2f -> %02d:%02d:%05.2f] %s: %s', CAST(floor(a / 3600) AS BIGINT), CAST(floor((a % 3600) / 60) AS BIGINT), a % 60, CAST(floor(b / 3600) AS BIGINT), CAST(floor((b % 3600) / 60) AS BIGINT), b % 60, speaker, text) AS line FROM q")
+def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
+    s = roles.segments(spark, d).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
+    return writers.transcript_lines(s)
+
+
+@query(using("seg") + " SELECT meeting_id, speaker, string_agg(trim(text), ' ' ORDER BY seg_idx) AS text FROM seg WHERE trim(text) <> '' GROUP BY 1, 2")
+def text_by_speaker(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.by_speaker(roles.segments(spark, d)).select("meeting_id", "speaker", "text")
+
+
+@query(using("seg") + " SELECT meeting_id, string_agg(trim(text), ' ' ORDER BY seg_idx) AS text FROM seg WHERE trim(text) <> '' GROUP BY 1")
+def flat_text(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.flat_text(roles.segments(spark, d))
+
+
+@query(using("seg", "word") + ", b AS (SELECT meeting_id, seg_idx, s + 1000 AS s, e - 1000 AS e FROM seg) SELECT b.meeting_id, b.seg_idx, coalesce(string_agg(w.word, ' ' ORDER BY w.ws, w.seg_idx, w.word_idx), '') AS text FROM b LEFT JOIN word w ON w.meeting_id = b.meeting_id AND w.ws >= b.s AND w.we <= b.e GROUP BY 1, 2")
+def contained_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words wholly inside segments that are narrowed by a second on either side."""
+    s = roles.segments(spark, d)
+    narrow = s.select("meeting_id", "seg_idx", (F.col("start") + 1000).alias("start"), (F.col("end") - 1000).alias("end"), F.lit("").alias("text"))
+    return intervals.contained(narrow, roles.words(s)).select("meeting_id", "seg_idx", "text")
+
+
+@query(using("seg") + " SELECT meeting_id, seg_idx, round_even(s / 1000.0::DOUBLE + 12.3456::DOUBLE, 3) AS start, round_even(e / 1000.0::DOUBLE + 12.3456::DOUBLE, 3) AS \"end\" FROM seg")
+def shifted_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = roles.segments(spark, d).select("meeting_id", "seg_idx", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"))
+    return stages.shifted(s, F.lit(12.3456))
+
+
+@query("SELECT user_id AS run_id, max(event_id) AS seq, arg_max(event_type, struct_pack(t := ts, i := event_id)) AS stage FROM events GROUP BY 1")
+def latest_events(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each user as a run's state; ids grow with time."""
+    e = roles.table(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", F.col("event_id").alias("seq"), F.lit("run").alias("status"), F.col("value").alias("percent"), F.col("event_type").alias("stage"), F.col("event_id").alias("details"))
+    return writers.latest_events(e).select("run_id", F.col("details").alias("seq"), "stage")
+
+
+@query("WITH a AS (SELECT item_id AS k, text FROM benchmark) SELECT k AS item_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g')))::BIGINT AS n, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM a")
+def squeezed(spark: SparkSession, d: str) -> DataFrame:
+    s = text.squeeze(F.col("text"))
+    return roles.table(spark, d, "benchmark").select("item_id", F.length(s).cast("long").alias("n"), s.alias("squeezed"))
+
+
+@query(f"WITH p AS (SELECT item_id % 4 AS v, item_id, {content('text')} AS w FROM benchmark), q AS (SELECT 'v' || v AS variant, round_even(len(w) / 7.0::DOUBLE, 4) AS score, len(w) / 100.0::DOUBLE AS anchor_overlap, len(w) % 3 AS unsupported, item_id % 2 = 0 AS merged, item_id % 3 = 0 AS changed, item_id FROM p), a AS (SELECT variant, count(*) AS candidate_count, round_even(avg(score), 4) AS avg_score, sum(unsupported)::BIGINT AS unsupported_token_total, count(*) FILTER (merged) AS llm_accepted_count, count(*) FILTER (changed) AS changed_from_canary_count, min(item_id) AS position FROM q GROUP BY 1) SELECT * EXCLUDE (position), row_number() OVER (ORDER BY avg_score DESC, unsupported_token_total, llm_accepted_count DESC, position) AS rank FROM a")
+def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
+    n = F.size(text.content_tokens(F.col("text")))
+    q = roles.table(spark, d, "benchmark").select(F.concat(F.lit("v"), F.col("item_id") % 4).alias("variant"), F.bround(n / 7.0, 4).alias("score"), (n / 100.0).alias("anchor_overlap"), (n % 3).alias("unsupported"), F.when(F.col("item_id") % 2 == 0, "merged").otherwise("canary_base").alias("source"), (F.col("item_id") % 3 == 0).alias("changed"), F.col("item_id").alias("position"))
+    return ranking.prompt_summary(q).drop("avg_anchor_overlap")

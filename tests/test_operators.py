@@ -304,3 +304,22 @@ def test_stream(spark, tmp_path):
     q = progress.per_window(progress.read_events(spark, str(tmp_path))).writeStream.format("memory").queryName("progress").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.events, r.furthest) for r in spark.table("progress").collect()) == [(1, 5.0), (1, 50.0)]
+
+
+def test_stages(spark):
+    from spanloom.operators import stages
+
+    t = F.col("t")
+    for raw, want in (('{"text": "", "prediction": " x "}', "x"), ('{"chunks": [{"text": "a"}, {"prediction": "b"}]}', "a b"), (" plain ", "plain"), ('[{"text": "l"}]', "l")):
+        assert one(spark, stages.output_text(t), t=raw) == (want,)
+    assert one(spark, stages.decoder_labels(F.col("p"), F.lit(4)), p=["<unk>", " ", "a"]) == (["▁⁇▁", "▁", "a", ""],)
+    with pytest.raises(Exception, match="don't fit"):
+        one(spark, stages.decoder_labels(F.col("p"), F.lit(9)), p=["a"])
+    runs = spark.createDataFrame([(None, 5, "multi-speaker", "therapy_hybrid", False), (None, None, "single-speaker", "therapy_hybrid", False)], "min_speakers int, max_speakers int, content_mode string, backend_id string, skip_diarization boolean")
+    assert [(x.min_speakers, x.max_speakers) for x in stages.speaker_bounds(runs).collect()] == [(2, 5), (None, None)]
+    stages.register("diarize", "one", stages.synthetic_diarization, "meeting_id long, speaker string, start double, end double")
+    assert stages.apply("diarize", "one", spark.createDataFrame([(1, 3.0)], "meeting_id int, duration double")).first().speaker == "SPEAKER_00"
+    with pytest.raises(ValueError):
+        stages.apply("diarize", "none", runs)
+    a = spark.createDataFrame([("p", [0.0, 1.0, 2.0, 3.0])], "path string, samples array<float>")
+    assert stages.resampled(a, 4, 8).first().samples[:4] == [0.0, 0.5, 1.0, 1.5]
