@@ -115,6 +115,18 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
                 yield whole[:0]
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to its machine, which it shares with the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def as_bytes(column) -> list[bytes]:
     """An Arrow string column's texts as UTF-8; null as empty."""
     import pyarrow as pa

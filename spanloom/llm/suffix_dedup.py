@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import as_bytes, chunks, mix, prefix_sums, range_hash, runs
+from .bytetext import as_bytes, chunks, mix, prefix_sums, range_hash, release, runs
 from .jaccard_join import _batch, _by_part
 from .shared import Stages, parts_for, planned_bytes, tidy
 
@@ -40,7 +40,7 @@ GRAM = 32
 _SLICE = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
 #: Distinct contexts of one anchor that go to one share.
-SHARE = 3000
+SHARE = 1200
 
 
 def _slid_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -62,7 +62,7 @@ def anchors(texts: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]
         for at in range(0, max(1, len(t) - size + 1), _SLICE):
             pieces.append((k, at, t if len(t) <= _SLICE else t[at : at + _SLICE + size - 1]))
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
-    for a, b in chunks([p[2] for p in pieces]):
+    for a, b in chunks([p[2] for p in pieces], 1 << 18):
         part = pieces[a:b]
         data = np.frombuffer(b"".join(p[2] for p in part), np.uint8)
         if len(data) < size:
@@ -92,8 +92,8 @@ def _packed_anchors(size: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
                 found = anchors(as_bytes(piece.column("text")), size)
                 keys = piece.column("key").to_pylist()
                 owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(p) for p, _ in found])
@@ -107,6 +107,7 @@ def _packed_anchors(size: int, parts: int):
                     who, index = np.unique(owner[a:b], return_inverse=True)
                     rows.append((int(part[a]), b"".join(keys[k] for k in who), index.astype(np.uint16).tobytes(), place[a:b].astype(np.int64).tobytes(), gram[a:b].tobytes()))
                 yield _batch(rows, [pa.int32(), *[pa.binary()] * 4], ["part", "keys", "owners", "places", "grams"])
+        release()
 
     return run
 
@@ -144,6 +145,7 @@ def _contexts(size: int):
                         body = text[start : x + size]
                         out.append((hashlib.blake2b(body + (x - start).to_bytes(2, "little"), digest_size=16).digest(), h, x - start, len(body), x, key, low))
                 yield _batch(out, [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()], ["context", "anchor", "left", "length", "place", "key", "low"])
+        release()
 
     return run
 
@@ -163,6 +165,7 @@ def _bodies(size: int):
                         body = text[start : start + w["length"]]
                         out.extend((w["context"], w["anchor"], share, w["shares"], w["left"], body, w["n"], w["at"]) for share in range(w["shares"]))
                 yield _batch(out, [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), kind], ["context", "anchor", "share", "shares", "left", "body", "n", "at"])
+        release()
 
     return run
 
@@ -260,7 +263,7 @@ def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts:
         border = np.flatnonzero(np.concatenate([[True], kind[cand][1:] != kind[cand][:-1], [True]]))
         x = 0
         while x < len(border) - 1:  # some kinds at a time
-            y = max(x + 1, int(np.searchsorted(border, border[x] + 30_000, side="right")) - 1)
+            y = max(x + 1, int(np.searchsorted(border, border[x] + 20_000, side="right")) - 1)
             some = cand[border[x] : border[y]]
             rest = length[ctx[some]] - at[some]
             s_order, lcp = _sorted_suffixes(data, kind[some], offset[ctx[some]] + at[some], rest, size)
@@ -298,9 +301,9 @@ def _found(size: int, keep_first: bool):
         name = {x: k for k, x in enumerate(dict.fromkeys((r[1], r[2]) for r in rows))}
         groups = np.array([name[r[1], r[2]] for r in rows], np.int64)
         lefts, counts, share, shares = (np.array([r[k] for r in rows], np.int64) for k in (4, 6, 2, 3))
-        order = sorted(range(len(rows)), key=lambda k: rows[k][7])
-        ranks = np.empty(len(rows), np.int64)
-        ranks[order] = np.arange(len(rows))
+        ranks = np.arange(len(rows))  # any order will do if all places go
+        if keep_first:
+            ranks[sorted(range(len(rows)), key=lambda k: tuple(rows[k][7].values()))] = np.arange(len(rows))
         bodies = [r[5] for r in rows]
         ctx, at, anywhere, before = covered(groups, bodies, lefts, counts, ranks, share, shares, size, keep_first)
         out = []
@@ -312,21 +315,23 @@ def _found(size: int, keep_first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("context", "anchor", "share", "shares", "left", "body", "n", "at")), strict=True):
+        names = ["context", "anchor", "share", "shares", "left", "body", "n", *(["at"] if keep_first else [])]
+        for piece in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
+            for row in zip(*(piece.column(c).to_pylist() for c in names), strict=True):
                 if len(held) >= SHARE and (row[1], row[2]) != (held[-1][1], held[-1][2]):
                     yield make(held)
                     held = []
-                held.append((*row[:7], tuple(row[7].values())))
+                held.append(row)
         if held:
             yield make(held)
+        release()
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with ranges to remove to (key, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
-    for batch in batches:
+    for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
         out = []
         for text, key, whole, starts, ends in zip(as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in ("key", "whole", "starts", "ends")), strict=True):
             spans: list[list[int]] = [[0, len(text)]] if whole else []
@@ -339,6 +344,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)) if spans else text
             out.append((key, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [x for s in spans for x in s]))
         yield _batch(out, [pa.binary(), *[pa.int64()] * 3, pa.string(), pa.list_(pa.int64())], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+    release()
 
 
 def removed(docs: DataFrame, size: int = 200, keep_first: bool = False) -> DataFrame:
