@@ -52,9 +52,9 @@ def skips_diarization(runs: DataFrame) -> Column:
     return F.coalesce("skip_diarization", F.lit(False)) | F.coalesce(F.col("content_mode") == "single-speaker", F.lit(False))
 
 
-def speaker_bounds(runs: DataFrame) -> DataFrame:
-    """Runs with the bounds that hold: two speakers where the hybrid backend has several and none are given."""
-    hybrid = ~skips_diarization(runs) & (F.col("backend_id") == "therapy_hybrid") & (F.col("content_mode") == "multi-speaker")
+def speaker_bounds(runs: DataFrame, backend: str = "hybrid") -> DataFrame:
+    """Runs with the bounds that hold: two speakers where ``backend`` has several and none are given."""
+    hybrid = ~skips_diarization(runs) & (F.col("backend_id") == backend) & (F.col("content_mode") == "multi-speaker")
     return runs.withColumns({c: F.coalesce(c, F.when(hybrid, 2)) for c in ("min_speakers", "max_speakers")})
 
 

@@ -315,7 +315,7 @@ def test_stages(spark):
     assert one(spark, stages.decoder_labels(F.col("p"), F.lit(4)), p=["<unk>", " ", "a"]) == (["▁⁇▁", "▁", "a", ""],)
     with pytest.raises(Exception, match="don't fit"):
         one(spark, stages.decoder_labels(F.col("p"), F.lit(9)), p=["a"])
-    runs = spark.createDataFrame([(None, 5, "multi-speaker", "therapy_hybrid", False), (None, None, "single-speaker", "therapy_hybrid", False)], "min_speakers int, max_speakers int, content_mode string, backend_id string, skip_diarization boolean")
+    runs = spark.createDataFrame([(None, 5, "multi-speaker", "hybrid", False), (None, None, "single-speaker", "hybrid", False)], "min_speakers int, max_speakers int, content_mode string, backend_id string, skip_diarization boolean")
     assert [(x.min_speakers, x.max_speakers) for x in stages.speaker_bounds(runs).collect()] == [(2, 5), (None, None)]
     stages.register("diarize", "one", stages.synthetic_diarization, "meeting_id long, speaker string, start double, end double")
     assert stages.apply("diarize", "one", spark.createDataFrame([(1, 3.0)], "meeting_id int, duration double")).first().speaker == "SPEAKER_00"
