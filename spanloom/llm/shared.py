@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,8 +74,11 @@ class Stages:
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         if large:
+            context = self.spark.sparkContext
+            context._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # its last event still holds the plan
             gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+            context._jvm.System.gc()
+            time.sleep(1)  # for Spark's cleaner
         self._hold = getattr(self, "_hold", []) + [out]
         return out
 

@@ -381,6 +381,7 @@ def _removed(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(cut) >> 20)
     searched = bodies.repartition(spread, "anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
     ranges = stages.write(searched.unionByName(alone), "ranges", large=True)
+    del searched, alone, bodies, wanted, grouped, many, repeated, marked, packed
     if not keep_first:
         stages.drop(distinct)
     places = cut.select("context", "key", "place", "left", "length").join(ranges, "context")
@@ -391,7 +392,8 @@ def _removed(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
         ends = F.when(F.col("lead"), F.col("first_ends")).otherwise(F.array(hi))
     else:
         starts, ends = F.col("starts"), F.col("ends")
-    by_text = places.select("key", F.transform(starts, lambda x: x + F.col("place")).alias("starts"), F.transform(ends, lambda x: x + F.col("place")).alias("ends")).groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    found = places.select("key", F.transform(starts, lambda x: x + F.col("place")).alias("starts"), F.transform(ends, lambda x: x + F.col("place")).alias("ends")).groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    by_text = stages.write(found, "places", large=True)
     whole = (F.col("n") > 1) & (F.octet_length("text") >= size) if not keep_first else F.lit(False)
     sized = stages.write(texts.withColumn("whole", whole).join(by_text, "key", "left").select("key", "text", "whole", "starts", "ends").mapInArrow(_cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"), "sized")
     rows = docs.select("doc_id", "key")
