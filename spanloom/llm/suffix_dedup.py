@@ -9,7 +9,7 @@ dealt out so that all which share ``size`` bytes meet:
 2. Of the 32-byte grams that start in each ``size``-byte string the one of least hash is its anchor (winnowing, Schleimer
    et al., 2003). Equal strings have equal anchors at equal offsets; about one position in 85 is one. Anchors that occur
    once are dropped.
-3. Around each other anchor its context is cut, up to ``size`` bytes to either side: all strings that have this anchor.
+3. Around each other anchor its context is cut: all strings of which it is the anchor, which start one after the other.
    Equal contexts become one, with its number and first place. Contexts are dealt by anchor; an anchor with very many is
    dealt in shares, each of which looks at the strings whose hash falls to it.
 4. For each anchor, suffixes of its contexts are sorted and longest previous and next factors found. A factor of more
@@ -55,13 +55,13 @@ def _slid_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(texts: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(offsets, hashes) of each text's anchors, ascending."""
+def anchors(texts: list[bytes], size: int) -> list[tuple[np.ndarray, ...]]:
+    """(offsets, hashes, first, last) of each text's anchors, ascending; first, last: starts of the strings whose anchor it is."""
     pieces = []  # a long text in slices that overlap by all but one byte of a string
     for k, t in enumerate(texts):
         for at in range(0, max(1, len(t) - size + 1), _SLICE):
             pieces.append((k, at, t if len(t) <= _SLICE else t[at : at + _SLICE + size - 1]))
-    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in texts]
     for a, b in chunks([p[2] for p in pieces], 1 << 18):
         part = pieces[a:b]
         data = np.frombuffer(b"".join(p[2] for p in part), np.uint8)
@@ -75,15 +75,16 @@ def anchors(texts: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]
         first = np.cumsum([0, *(len(p[2]) for p in part)])
         for (k, skip, t), x in zip(part, first, strict=False):
             if len(t) >= size:
-                p = np.unique(least[x : x + len(t) - size + 1] & _PLACE).astype(np.int64)
-                found[k].append((p - x + skip, gram[p]))
+                p = (least[x : x + len(t) - size + 1] & _PLACE).astype(np.int64)  # never falls
+                a = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1])
+                found[k].append((p[a] - x + skip, gram[p[a]], a + skip, np.append(a[1:], len(p)) - 1 + skip))
     out = []
     for f in found:
         if len(f) > 1:
-            p = np.concatenate([x[0] for x in f])
-            p, first = np.unique(p, return_index=True)
-            f = [(p, np.concatenate([x[1] for x in f])[first])]
-        out.append(f[0] if f else (np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+            p, g, a, b = (np.concatenate(c) for c in zip(*f, strict=True))
+            at = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1])  # one that two slices share is one
+            f = [(p[at], g[at], a[at], b[np.append(at[1:], len(p)) - 1])]
+        out.append(f[0] if f else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
     return out
 
 
@@ -96,29 +97,32 @@ def _packed_anchors(size: int, parts: int):
                 piece = batch.slice(at, 1000)
                 found = anchors(as_bytes(piece.column("text")), size)
                 keys = piece.column("key").to_pylist()
-                owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(p) for p, _ in found])
-                place = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in found)])
-                gram = np.concatenate([np.zeros(0, np.uint64), *(g for _, g in found)])
+                owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(f[0]) for f in found])
+                place = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+                gram = np.concatenate([np.zeros(0, np.uint64), *(f[1] for f in found)])
+                # of the strings that an anchor has, how far before it the first and the last start
+                reach = np.concatenate([np.zeros(0, np.int64), *((f[0] - f[2]) << 16 | (f[0] - f[3]) for f in found)])
                 part = (((gram >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint32)
                 order = np.argsort(part, kind="stable")
-                part, owner, place, gram = part[order], owner[order], place[order], gram[order]
+                part, owner, place, gram, reach = part[order], owner[order], place[order], gram[order], reach[order].astype(np.uint32)
                 rows = []
                 for a, b in runs(part):
                     who, index = np.unique(owner[a:b], return_inverse=True)
-                    rows.append((int(part[a]), b"".join(keys[k] for k in who), index.astype(np.uint16).tobytes(), place[a:b].astype(np.int64).tobytes(), gram[a:b].tobytes()))
-                yield _batch(rows, [pa.int32(), *[pa.binary()] * 4], ["part", "keys", "owners", "places", "grams"])
+                    rows.append((int(part[a]), b"".join(keys[k] for k in who), index.astype(np.uint16).tobytes(), place[a:b].astype(np.int64).tobytes(), gram[a:b].tobytes(), reach[a:b].tobytes()))
+                yield _batch(rows, [pa.int32(), *[pa.binary()] * 5], ["part", "keys", "owners", "places", "grams", "reaches"])
         release()
 
     return run
 
 
 def _repeated(packed: list[tuple]) -> pa.RecordBatch:
-    """(key, places, grams) of the anchors of a partition that occur more than once, by text."""
+    """(key, places, grams, reaches) of the anchors of a partition that occur more than once, by text."""
     keys = np.concatenate([np.frombuffer(x[0], "V16") for x in packed])
     skip = np.cumsum([0, *(len(x[0]) // 16 for x in packed)])
     owner = np.concatenate([np.frombuffer(x[1], np.uint16).astype(np.int64) + s for x, s in zip(packed, skip, strict=False)])
     place = np.concatenate([np.frombuffer(x[2], np.int64) for x in packed])
     gram = np.concatenate([np.frombuffer(x[3], np.uint64) for x in packed])
+    reach = np.concatenate([np.frombuffer(x[4], np.uint32) for x in packed])
     order = np.argsort(gram)
     same = gram[order][1:] == gram[order][:-1]
     twice = np.zeros(len(gram), bool)
@@ -126,8 +130,8 @@ def _repeated(packed: list[tuple]) -> pa.RecordBatch:
     twice[:-1] |= same
     keep = np.sort(order[twice])
     keep = keep[np.argsort(owner[keep], kind="stable")]
-    owner, place, gram = owner[keep], place[keep], gram[keep]
-    return _batch([(keys[owner[a]].tobytes(), place[a:b].tobytes(), gram[a:b].tobytes()) for a, b in runs(owner)], [pa.binary()] * 3, ["key", "places", "grams"])
+    owner, place, gram, reach = owner[keep], place[keep], gram[keep], reach[keep]
+    return _batch([(keys[owner[a]].tobytes(), place[a:b].tobytes(), gram[a:b].tobytes(), reach[a:b].tobytes()) for a, b in runs(owner)], [pa.binary()] * 4, ["key", "places", "grams", "reaches"])
 
 
 def _contexts(size: int):
@@ -138,12 +142,12 @@ def _contexts(size: int):
             for at in range(0, batch.num_rows, 500):
                 out = []
                 piece = batch.slice(at, 500)
-                for text, key, low, places, grams in zip(as_bytes(piece.column("text")), *(piece.column(c).to_pylist() for c in ("key", "low", "places", "grams")), strict=True):
-                    p, g = np.frombuffer(b"".join(places), np.int64), np.frombuffer(b"".join(grams), np.int64)
-                    for x, h in zip(p.tolist(), g.tolist(), strict=True):
-                        start = max(0, x - (size - GRAM))
-                        body = text[start : x + size]
-                        out.append((hashlib.blake2b(body + (x - start).to_bytes(2, "little"), digest_size=16).digest(), h, x - start, len(body), x, key, low))
+                for text, key, low, *packed in zip(as_bytes(piece.column("text")), *(piece.column(c).to_pylist() for c in ("key", "low", "places", "grams", "reaches")), strict=True):
+                    p, g, r = (np.frombuffer(b"".join(x), k).tolist() for x, k in zip(packed, (np.int64, np.int64, np.uint32), strict=True))
+                    for x, h, reach in zip(p, g, r, strict=True):
+                        left = reach >> 16
+                        body = text[x - left : x - (reach & 0xFFFF) + size]
+                        out.append((hashlib.blake2b(body + left.to_bytes(2, "little"), digest_size=16).digest(), h, left, len(body), x, key, low))
                 yield _batch(out, [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()], ["context", "anchor", "left", "length", "place", "key", "low"])
         release()
 
@@ -191,6 +195,13 @@ def longest_factors(order: np.ndarray, lcp: np.ndarray, rank: np.ndarray) -> np.
     return np.array(best, np.int64)
 
 
+def _any_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix, the longest factor it shares with any other one, which a neighbour has."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+    return out
+
+
 def _sorted_suffixes(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order within groups, and common prefixes of neighbours (0 between groups).
 
@@ -225,7 +236,7 @@ def _strings(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, share:
         start = offset[ctx] + at
         mark = range_hash(prefix_sums(np.frombuffer(b"".join(part), np.uint8)), start, start + size)
         ctx += a
-        mine = mark % shares[ctx].astype(np.uint64) == share[ctx].astype(np.uint64)
+        mine = slice(None) if (shares[a : a + 1000] == 1).all() else mark % shares[ctx].astype(np.uint64) == share[ctx].astype(np.uint64)
         # strings that match stand the same way to their anchor
         place = (groups[ctx] * 1024 + at - lefts[ctx] + 512).astype(np.uint64)
         out.append((ctx[mine], at[mine], (mark ^ mix(place))[mine]))
@@ -269,7 +280,7 @@ def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts:
             s_order, lcp = _sorted_suffixes(data, kind[some], offset[ctx[some]] + at[some], rest, size)
             rank = ranks[ctx[some]]
             earlier = longest_factors(s_order, lcp, rank)
-            reaches = [(before, earlier)] if keep_first else [(anywhere, np.maximum(earlier, longest_factors(s_order, lcp, -rank)))]
+            reaches = [(before, earlier)] if keep_first else [(anywhere, np.maximum(earlier, _any_factors(s_order, lcp)))]
             for found, reach in reaches:
                 hit = np.flatnonzero(reach >= size)
                 # a factor of size + k covers the k starts behind it, too; in shares each start is looked at by itself
@@ -363,9 +374,9 @@ def _removed(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     texts = stages.write(docs.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"), F.min("doc_id").alias("low")), "texts", large=True)
     long = texts.where(f"octet_length(text) >= {size}")
     parts = parts_for(texts, 16)
-    packed = long.select("key", "text").mapInArrow(_packed_anchors(size, parts), "part int, keys binary, owners binary, places binary, grams binary")
-    repeated = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_repeated), "key binary, places binary, grams binary")
-    marked = repeated.groupBy("key").agg(F.collect_list("places").alias("places"), F.collect_list("grams").alias("grams"))
+    packed = long.select("key", "text").mapInArrow(_packed_anchors(size, parts), "part int, keys binary, owners binary, places binary, grams binary, reaches binary")
+    repeated = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_repeated), "key binary, places binary, grams binary, reaches binary")
+    marked = repeated.groupBy("key").agg(F.collect_list("places").alias("places"), F.collect_list("grams").alias("grams"), F.collect_list("reaches").alias("reaches"))
     cut = stages.write(long.select("key", "text", "low").join(marked, "key").mapInArrow(_contexts(size), "context binary, anchor long, left int, length int, place long, key binary, low long"), "contexts", large=True)
     place = F.struct(F.col("low").isNull().alias("z"), F.coalesce("low", F.lit(0)).alias("low"), F.hex("key").alias("key"), "place")
     distinct = stages.write(cut.groupBy("context", "anchor", "left", "length").agg(F.count("*").alias("n"), F.min(place).alias("at")), "distinct", large=True)
