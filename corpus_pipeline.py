@@ -29,13 +29,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files that follow the Pfair schedule of their sources."""
-    return pfair.mixed(docs, pfair.by_number(F.col("source")))
+    """All documents, in files that follow the Pfair schedule of their sources, each with its slot there."""
+    return pfair.mixed(docs, pfair.by_number(F.col("source")), slot="mix_slot")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and file in a compacted store of all documents."""
-    return sharding.sharded(docs)
+    """Each document's shard and file in a compacted store of all documents, whose shards follow the mix."""
+    return sharding.sharded(docs, order="mix_slot")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]

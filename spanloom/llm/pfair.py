@@ -111,13 +111,17 @@ def schedule(docs: DataFrame, weight: Column, block: int = 16) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, weight: Column, block: int = 16) -> DataFrame:
-    """All rows of ``docs`` with all their columns, sorted by slot: written, its files follow the mix."""
+def mixed(docs: DataFrame, weight: Column, block: int = 16, slot: str | None = None) -> DataFrame:
+    """All rows of ``docs`` with all their columns, sorted by slot: written, its files follow the mix.
+
+    slot: the name of a further column with each row's slot, for steps that go by the mix.
+    """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     marked = docs.withColumn("__row", row)
     plan = schedule(docs.select("doc_id", "source", row.alias("row")), weight, block).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("row").alias("__of")).agg(F.min("slot").alias("__slot"), F.min("at").alias("__at"))
     joined = marked.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__row") == F.col("__of")))
-    return joined.repartitionByRange(parts_for(docs, 32), "__slot", "__at").sortWithinPartitions("__slot", "__at").drop("__row", "__id", "__source", "__of", "__slot", "__at")
+    placed = joined.repartitionByRange(parts_for(docs, 32), "__slot", "__at").sortWithinPartitions("__slot", "__at")
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), *([F.col("__slot").alias(slot)] if slot else []))
 
 
 def by_number(source: Column) -> Column:

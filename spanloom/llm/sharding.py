@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import filesystem, remove, shared_dir
+from .shared import Stages, filesystem, remove, shared_dir
 
 BROADCAST_ROWS = 200_000
 _MANIFEST = "folder string, file string, shard long, n_rows long, n_bytes long, file_rows long, file_bytes long, version long"
@@ -135,11 +135,28 @@ class Store:
                 remove(self.spark, name)
 
 
-def sharded(docs: DataFrame, arrivals: int = 8, small: int = 8 << 20, target: int = 64 << 20) -> DataFrame:
+def _along(docs: DataFrame, order: str, size: Column, shards: int, total: int, spans: int = 256) -> DataFrame:
+    """(place, at): the shard of each value of ``order``. Shards are runs of values, of about the same bytes each.
+
+    The bytes before a value are those of earlier spans of values and of earlier values of its own span.
+    """
+    each = docs.groupBy(F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("place")).agg(F.sum(size).alias("bytes"))
+    low, high = each.agg(F.min("place"), F.max("place")).first()
+    each = each.withColumn("span", F.expr(f"(place - {low or 0}) div {((high or 0) - (low or 0)) // spans + 1}"))
+    span = each.groupBy("span").agg(F.sum("bytes").alias("all"))  # at most ``spans`` rows
+    span = span.select("span", (F.sum("all").over(Window.orderBy("span")) - F.col("all")).alias("before"))
+    near = F.sum("bytes").over(Window.partitionBy("span").orderBy("place")) - F.col("bytes")
+    before = each.withColumn("near", near).join(F.broadcast(span), "span").withColumn("before", F.col("before") + F.col("near"))
+    return before.select("place", F.least(F.expr(f"before * {shards} div {max(1, total)}"), F.lit(shards - 1)).alias("at"))
+
+
+def sharded(docs: DataFrame, arrivals: int = 8, small: int = 8 << 20, target: int = 64 << 20, order: str | None = None) -> DataFrame:
     """``docs`` appended as arrivals of small shards, compacted, and read back through the manifest.
 
-    doc_id modulo ``arrivals`` is the arrival; it comes in as many shards as it has ``small`` bytes for. Returns (doc_id,
-    n_bytes, shard, file, file_rows, file_bytes).
+    doc_id modulo ``arrivals`` is the arrival; it comes in as many shards as it has ``small`` bytes for. With ``order``, a
+    column of whole numbers, arrivals and shards follow each other along it instead: the first shards, up to any one, hold
+    what comes first by it, and the column is stored with the rows. Returns (doc_id, n_bytes, shard, file, file_rows,
+    file_bytes).
     """
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
@@ -147,7 +164,13 @@ def sharded(docs: DataFrame, arrivals: int = 8, small: int = 8 << 20, target: in
     shards = max(1, total // (arrivals * small))
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     store = Store(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target)
-    store.append(docs, F.pmod(at, F.lit(arrivals)) * shards + F.pmod(F.floor(at / arrivals), F.lit(shards)))
+    shard = F.pmod(at, F.lit(arrivals)) * shards + F.pmod(F.floor(at / arrivals), F.lit(shards))
+    if order:
+        places = Stages(spark, "shards").write(_along(docs, order, size, arrivals * shards, total), "places").withColumnsRenamed({"place": "__place", "at": "__at"})
+        few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        docs = docs.join(F.broadcast(places) if few else places, F.coalesce(F.col(order).cast("long"), F.lit(0)) == F.col("__place"), "left").drop("__place")
+        shard = F.coalesce("__at", F.lit(0))
+    store.append(docs, shard)
     store.compact()
     store.vacuum()
     return store.read().select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__file").alias("file"), "file_rows", "file_bytes")

@@ -307,3 +307,31 @@ def test_pipeline(spark):
                     comp[a] = comp[b] = min(comp[a], comp[b])
     leaks = {r.doc_id for r in decontamination.contained(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     assert sorted(out.doc_id) == sorted(k for k in texts if comp[k] == k and k not in leaks)
+
+
+def test_pipeline_shards_follow_mix(spark):
+    """The first shards, up to any one, hold each source to within a block of its weight, until a source has run out."""
+    n, weights = 1600, {"src1": 2, "src2": 3, "src3": 4}
+    rows = [(k * n + i, f"{s} {i} " + "word " * 20, "en", s, 0) for k, s in enumerate(weights) for i in range(n)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = corpus_pipeline.mix(spark, docs, DATA).localCheckpoint()
+    assert sorted(map(str, mixed.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    shard = {r.doc_id: r.shard for r in corpus_pipeline.shard(spark, mixed, DATA).collect()}
+    assert len(shard) == 3 * n and set(shard.values()) == set(range(8))
+    checked = 0
+    for last in range(8):
+        done = Counter(s for i, _, _, s, _ in rows if shard[i] <= last)
+        if max(done.values()) < n:
+            total = sum(done.values())
+            assert all(abs(done[s] - total * w / 9) < 16 for s, w in weights.items()), (last, done)
+            checked += 1
+    assert checked >= 4
+    sizes = Counter(shard.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 32
+
+
+def test_shards_along_odd_order(spark, odd, none):
+    """Nulls, ties and empty tables: no row is lost."""
+    for c in (F.lit(None).cast("long"), F.col("doc_id"), -F.col("doc_id"), F.lit(7)):
+        assert sharding.sharded(odd.withColumn("o", c), order="o").count() == len(ODD)
+    assert sharding.sharded(none.withColumn("o", F.lit(1)), order="o").count() == 0
