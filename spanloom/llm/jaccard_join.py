@@ -261,6 +261,7 @@ class JaccardJoin:
         return out.select(real.alias("doc_id"), "th", F.col("size").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(real).alias("component_id"))
 
     def _components(self, nodes: DataFrame, stages: Stages) -> DataFrame:
+        spark = nodes.sparkSession
         parts = max(1, planned_bytes(nodes) >> 23)
         packed = nodes.select("node", "tokens").mapInArrow(_packed_classes(parts), _PACK)
         counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_counted_of), "node long, tokens binary, counts binary")
@@ -271,6 +272,7 @@ class JaccardJoin:
         index = stages.write(live.select("node", "size", "hits", "typical", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("size") - F.col("hits")), "index")
         sets = live.select("node", "size", "tokens")
         links = None
+        led = spark.createDataFrame([], "node long, lead long, over long")
         comps = index.select("node").distinct().select("node", F.col("node").alias("comp"))
         for k in range(self.star_rounds + 1):
             placed = index.join(comps, "node", "left").select("token", "pos", "node", "size", "hits", "typical", F.coalesce("comp", "node").alias("comp"))
@@ -285,7 +287,7 @@ class JaccardJoin:
                 pairs = self._across(placed.join(open_.select("token"), "token", "left_semi").join(led, "node", "left"))
             pairs = stages.write(pairs.distinct(), "pairs")
             if pairs.isEmpty():
-                break
+                continue  # no class fits its leader, but others of a bucket may link
             found = stages.write(self._verify(pairs, sets, every=k == 0), "links")
             if k == 0:
                 led = found.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("both").alias("over"))

@@ -73,6 +73,17 @@ def test_jaccard_without_star_rounds(near):
     assert a == b
 
 
+def test_jaccard_leader_fits_no_class(spark):
+    """Two texts link although the leader of all their buckets is too long for either, so that leader rounds are empty."""
+    word = lambda c, n: [f"{c}{k}" for k in range(n)]
+    both, common, grown = word("s", 35), word("c", 20), word("x", 200)
+    texts = [both + word("a", 5), both + word("b", 5), both + common, *(common + grown[: n - 20] for n in (20, 28, 40, 55, 77, 108, 151))]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    for rounds in (2, 1, 0):
+        out = {r.doc_id: r.component_id for r in jaccard_join.JaccardJoin(size=1, star_rounds=rounds).classes(docs).collect()}
+        assert out == {k: 0 if k == 1 else k for k in range(len(texts))}, rounds
+
+
 def test_jaccard_odd(odd, none):
     out = [tuple(r) for r in jaccard_join.op1(odd).collect()]
     assert Counter(out)[(4, 1, 3)] == 1 and (3, 1, 3) in out and (5, len(shingles(LONG)), 5) in out and (8, len(shingles(LONG)), 5) in out
