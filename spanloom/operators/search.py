@@ -25,14 +25,14 @@ def bm25(segments: DataFrame, queries: DataFrame, top: int = 10, k: float = 1.2,
 
 
 def cosine(vectors: DataFrame, probes: DataFrame, top: int = 10, most: int = 1000) -> DataFrame:
-    """The ``top`` vectors (vec_id, embedding) nearest to each probe (query_id, probe), itself left out; a stated set of
-    probes, at most ``most``, goes to all vectors."""
-    if probes.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} probes")
+    """The ``top`` vectors (vec_id, embedding) nearest to each probe (query_id, probe), itself left out. Up to ``most``
+    probes go to all vectors at once, more of them in blocks of about ``most``."""
+    n = probes.count()
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("l", length("e"))
     q = probes.select("query_id", F.col("probe").cast("array<double>").alias("p")).withColumn("m", length("p"))
-    each = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    q = F.broadcast(q) if n <= most else q.repartition(-(-n // most)).hint("shuffle_replicate_nl")
+    each = v.join(q, F.col("vec_id") != F.col("query_id"))
     dot = F.aggregate(F.zip_with("e", "p", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     return _top(each.select("query_id", "vec_id", F.bround(dot / (F.col("l") * F.col("m")), 4).alias("score")), top, "vec_id")
 

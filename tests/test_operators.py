@@ -323,3 +323,13 @@ def test_stages(spark):
         stages.apply("diarize", "none", runs)
     a = spark.createDataFrame([("p", [0.0, 1.0, 2.0, 3.0])], "path string, samples array<float>")
     assert stages.resampled(a, 4, 8).first().samples[:4] == [0.0, 0.5, 1.0, 1.5]
+
+
+def test_cosine_in_blocks(spark):
+    """More probes than fit one block give what one block gives."""
+    from spanloom.operators import search
+
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 11) + 1, float(k % 5)]) for k in range(60)], "vec_id long, embedding array<float>")
+    probes = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    whole, blocks = (sorted(map(tuple, search.cosine(v, probes, 4, most).collect())) for most in (1000, 6))
+    assert len(whole) == 80 and blocks == whole
