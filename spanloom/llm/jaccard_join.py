@@ -4,15 +4,16 @@ Two texts link when the Jaccard similarity of their shingle sets reaches a thres
 shingles shares at least ceil(t n) of them with any partner, so under any fixed global order its first
 n - ceil(t n) + 1 shingles, its prefix, share one with the partner's prefix (Chaudhuri et al., 2006; several orders:
 Rong et al., "Efficient and Scalable Processing of String Similarity Join", 2013). Order 1 is rarest first; orders 2 and
-3 put the shingles of a single set first, too, and shuffle the others. A pair is verified only if its prefixes meet
-under every order.
+3 put the shingles of a single set first, too, and shuffle the others. Order 1's prefixes are the buckets that make
+pairs; the pair's prefixes under orders 2 and 3, 32 bits a shingle, are joined to it next, and only pairs that meet under
+every order get their whole sets joined and verified.
 
 1. Shingles are counted over all documents in hash partitions, as packed arrays. A shingle of only one document can't be
    shared, so a document of which less than t of the shingles are found elsewhere has no partner.
 2. Equal sets become one class. Only classes go on, and their shingles are counted anew.
-3. Each prefix shingle is a bucket. In a few rounds each class is matched with one leader, the best of those of its
-   buckets; classes that are connected by then need no further comparison. Then all pairs of a bucket that still lie in
-   different components are matched, which makes the components exact without all pairs of a group of near copies.
+3. Each prefix shingle of order 1 is a bucket. In a few rounds each class is matched with one leader, the best of those
+   of its buckets; classes that are connected by then need no further comparison. Then all pairs of a bucket that still
+   lie in different components are matched, which makes the components exact without all pairs of a group of near copies.
 
 Row counts stay linear in the input besides pairs across components. Shingles are 64-bit hashes (classes: 128 bits).
 """
@@ -24,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import as_bytes, mix, runs, shingle_sets
 from .components import components
-from .shared import Stages, parts_for, planned_bytes
+from .shared import Stages, parts_for, planned_bytes, unused
 
 _SALTS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x8E6C7F1B3D5A9207))
+#: Packed rows are held and counted by hash partitions of so many MB of input; a task takes several, one after the other.
+PART_MB, TASK_PARTS = 8, 16
 _PACK = "part int, batch long, docs binary, keys binary, counts binary, tokens binary"
+_SHARES = 32
 _COUNTS = "batch long, docs binary, keys binary, sizes binary, hits binary"
 
 
@@ -101,17 +105,20 @@ def _shared_of(packed: list[tuple]) -> pa.RecordBatch:
 
 
 def _summed(packed: list[tuple]) -> pa.RecordBatch:
-    """Packed counts of a batch of documents to (doc_id, th, size, hits) of each."""
-    whole = [x for x in packed if x[2] is not None]
-    size = {}
-    for x in whole:
-        for k, n in zip(zip(*(np.frombuffer(c, np.int64).tolist() for c in x[:2]), strict=True), np.frombuffer(x[2], np.uint32).tolist(), strict=True):
-            size[k] = [n, 0]
-    for x in packed:
-        if x[2] is None:
-            for k, n in zip(zip(*(np.frombuffer(c, np.int64).tolist() for c in x[:2]), strict=True), np.frombuffer(x[3], np.uint32).tolist(), strict=True):
-                size[k][1] += n
-    return _batch([(*k, *v) for k, v in size.items()], [pa.int64()] * 4, ["doc_id", "th", "size", "hits"])
+    """Packed counts of a batch of documents to (doc_id, th, size, hits, times) of each; times: rows that repeat it."""
+    whole, found = [x for x in packed if x[2] is not None], [x for x in packed if x[2] is None]
+    numbers = lambda rows, k, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x[k], kind) for x in rows)])
+    doc, key = numbers(whole + found, 0, np.int64), numbers(whole + found, 1, np.int64)
+    order = np.lexsort((key, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])
+    name = np.empty(len(order), np.int64)
+    name[order] = np.cumsum(new) - 1
+    n, own = int(new.sum()), numbers(whole, 2, np.uint32)
+    size, times = np.zeros(n, np.int64), np.bincount(name[: len(own)], minlength=n)
+    size[name[: len(own)]] = own
+    hits = np.bincount(name[len(own) :], numbers(found, 3, np.uint32), minlength=n).astype(np.int64) // times  # each repeated row brings its own
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[order][new], key[order][new], size, hits, times)], names=["doc_id", "th", "size", "hits", "times"])
 
 
 def _by_part(make):
@@ -177,9 +184,10 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _prefixes(percent: int):
-    """Classes with the shared shingles of each hash partition to (node, size, hits, typical, tokens, prefix).
+    """Classes with the shared shingles of each hash partition to (node, size, hits, typical, tokens, prefix, second, third).
 
-    hits: its shared shingles; typical: in how many classes a shingle of it is on average; prefix: as of order 1.
+    hits: its shared shingles; typical: in how many classes a shingle of it is on average; prefix, second, third: the
+    prefixes under the three orders, without the class's own shingles, which come first in each and meet nobody's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,35 +197,33 @@ def _prefixes(percent: int):
                 token, count = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(counts), np.uint32)
                 if 100 * len(token) < percent * size:
                     continue
-                left = prefix_size(size, percent) - (size - len(token))  # shingles of this class alone come first
+                left = prefix_size(size, percent) - (size - len(token))
                 first = token[np.lexsort((token, count))[:left]]
-                out.append((node, size, len(token), float(count.sum()) / size, np.sort(token).tobytes(), first.astype(np.int64).tolist()))
-            yield _batch(out, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())], ["node", "size", "hits", "typical", "tokens", "prefix"])
+                out.append((node, size, len(token), float(count.sum()) / size, np.sort(token).tobytes(), first.astype(np.int64).tolist(), *(shuffled(token, left, salt) for salt in _SALTS)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield _batch(out, kinds, ["node", "size", "hits", "typical", "tokens", "prefix", "second", "third"])
 
     return run
 
 
-def meets(x: np.ndarray, n: int, y: np.ndarray, m: int, percent: int, salt: np.uint64) -> bool:
-    """Whether the prefixes of two sets meet under the order of ``salt``. x, y: their shared shingles, n, m: their sizes."""
-    p = [s[np.argsort(mix(s ^ salt))[: prefix_size(k, percent) - (k - len(s))]] for s, k in ((x, n), (y, m))]
-    return len(np.intersect1d(*p, assume_unique=True)) > 0
+def shuffled(tokens: np.ndarray, left: int, salt: np.uint64) -> list[int]:
+    """The first ``left`` shared shingles under the order of ``salt``, 32 bits of each: equal shingles stay equal."""
+    order = mix(tokens ^ salt)
+    if left < len(order):
+        order = np.partition(order, left)[:left] if left else order[:0]
+    return order.astype(np.uint32).view(np.int32).tolist()
 
 
-def _verified(percent: int, every: bool):
-    """Pairs that link, or every pair, with the number of shared shingles."""
+def _verified(percent: int):
+    """Pairs with the number of shingles that their whole sets share, and whether they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for piece in _pieces(batch, 500):
                 for a, b, n, m, x, y in zip(*(piece.column(c).to_pylist() for c in ("a", "b", "n", "m", "x", "y")), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    meet = all(meets(x, n, y, m, percent, s) for s in _SALTS)
-                    if meet or every:
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        link = meet and 100 * both >= percent * (n + m - both)
-                        if link or every:
-                            out.append((a, b, both, link))
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    out.append((a, b, both, 100 * both >= percent * (n + m - both)))
             yield _batch(out, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], ["a", "b", "both", "link"])
 
     return run
@@ -226,9 +232,10 @@ def _verified(percent: int, every: bool):
 class JaccardJoin:
     """Links texts of which ``percent`` or more of the joint ``size``-word shingles are shared.
 
-    ``classes(docs)`` has a row for each document: (doc_id, th, n_shingles, component_id); th is the text's hash. Rows that
-    repeat both doc_id and text are one document. component_id is the least doc_id of the component, null ids aside (null
-    if it has no others). A text without words, an empty text and null are sets without shingles and linked with nothing.
+    ``classes(docs)`` has a row for each document: (doc_id, th, times, n_shingles, component_id, comp); th is the text's
+    hash. Rows that repeat both doc_id and text are one document, times says how many. component_id is the least doc_id of
+    the component, null ids aside (null if it has no others); comp is the component's own number, null of a document
+    without links. A text without words, an empty text and null are sets without shingles and linked with nothing.
     """
 
     def __init__(self, size: int = 5, percent: int = 75, star_rounds: int = 2):
@@ -238,39 +245,41 @@ class JaccardJoin:
         spark, stages = docs.sparkSession, Stages(docs.sparkSession, "jaccard")
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("text").cast("string").alias("text"))
         # a null id gets one of its own below all others, by its text's hash
-        named = docs.withColumn("nil", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)) + F.shiftright("th", 8)))
-        parts = parts_for(docs, 8)
+        named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)) + F.shiftright("th", 8)))
+        parts = parts_for(docs, PART_MB)
+        tasks = parts_for(docs, PART_MB * TASK_PARTS)
         packed = named.select("doc_id", "th", "text").mapInArrow(_packed(self.size, parts), _PACK)
-        found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_shared_of), _COUNTS)
-        found = found.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_by_part(_summed), "doc_id long, th long, size long, hits long")
-        sized = stages.write(found.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.max("hits").alias("hits")), "sizes")
+        found = packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_by_part(_shared_of), _COUNTS)
+        found = found.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(_by_part(_summed), "doc_id long, th long, size long, hits long, times long")
+        sized = stages.write(found.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.max("hits").alias("hits"), F.sum("times").alias("times")), "sizes")
         likely = sized.where(f"size > 0 and hits * 100 >= size * {self.percent}").select("doc_id", "th")
         chosen = named.join(likely, ["doc_id", "th"], "left_semi")
         sets = stages.write(chosen.mapInArrow(_class_sets(self.size), "doc_id long, th long, set_id binary, tokens binary"), "sets")
+        node = F.conv(F.substring(F.hex("set_id"), 1, 15), 16, 10).cast("long").alias("node")
         nodes = sets.groupBy("set_id").agg(F.first("tokens").alias("tokens"))
-        nodes = stages.write(nodes.select(F.conv(F.substring(F.hex("set_id"), 1, 15), 16, 10).cast("long").alias("node"), (F.octet_length("tokens") / 8).cast("long").alias("size"), "tokens"), "nodes")
-        members = stages.write(sets.select("doc_id", "th", F.conv(F.substring(F.hex("set_id"), 1, 15), 16, 10).cast("long").alias("node")).distinct(), "members")
+        nodes = stages.write(nodes.select(node, (F.octet_length("tokens") / 8).cast("long").alias("size"), "tokens"), "nodes")
+        members = stages.write(sets.select("doc_id", "th", node).distinct(), "members")
         stages.drop(sets)
         comps = self._components(nodes, stages)
-        named_comp = members.join(comps, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("comp"))
-        named_comp = stages.write(named_comp, "placed")
+        placed = stages.write(members.join(comps, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("comp")), "placed")
+        stages.keep(sized, placed)
         real = F.when(F.col("doc_id") > -(1 << 61), F.col("doc_id"))
-        least = named_comp.groupBy("comp").agg(F.min(real).alias("component_id"))
-        linked = named_comp.join(least, "comp").select("doc_id", "th", "component_id", F.lit(True).alias("linked"))
+        least = placed.groupBy("comp").agg(F.min(real).alias("component_id"), F.count("*").alias("members"))
+        linked = placed.join(least, "comp").select("doc_id", "th", "component_id", F.lit(True).alias("linked"), F.when(F.col("members") > 1, F.col("comp")).alias("comp"))
         out = sized.join(linked, ["doc_id", "th"], "left")
-        return out.select(real.alias("doc_id"), "th", F.col("size").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(real).alias("component_id"))
+        return out.select(real.alias("doc_id"), "th", "times", F.col("size").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(real).alias("component_id"), "comp")
 
     def _components(self, nodes: DataFrame, stages: Stages) -> DataFrame:
         spark = nodes.sparkSession
-        parts = max(1, planned_bytes(nodes) >> 23)
+        parts = max(1, planned_bytes(nodes) // (PART_MB << 20))
         packed = nodes.select("node", "tokens").mapInArrow(_packed_classes(parts), _PACK)
-        counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_by_part(_counted_of), "node long, tokens binary, counts binary")
+        counted = packed.repartition(max(1, -(-parts // TASK_PARTS), min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part").mapInArrow(_by_part(_counted_of), "node long, tokens binary, counts binary")
         whole = counted.groupBy("node").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
         sized = nodes.select("node", "size").join(whole, "node")
-        live = stages.write(sized.mapInArrow(_prefixes(self.percent), "node long, size long, hits long, typical double, tokens binary, prefix array<long>"), "live")
+        live = stages.write(sized.mapInArrow(_prefixes(self.percent), "node long, size long, hits long, typical double, tokens binary, prefix array<long>, second array<int>, third array<int>"), "live")
+        stages.drop(nodes)
         # a shingle's position in order 1 counts the class's own shingles, which come first
         index = stages.write(live.select("node", "size", "hits", "typical", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("size") - F.col("hits")), "index")
-        sets = live.select("node", "size", "tokens")
         links = None
         led = spark.createDataFrame([], "node long, lead long, over long")
         comps = index.select("node").distinct().select("node", F.col("node").alias("comp"))
@@ -285,12 +294,10 @@ class JaccardJoin:
                 pairs = met.groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("lead")).select("a", F.col("lead.node").alias("b"))
             else:
                 pairs = self._across(placed.join(open_.select("token"), "token", "left_semi").join(led, "node", "left"))
-            pairs = stages.write(pairs.distinct(), "pairs")
-            if pairs.isEmpty():
-                continue  # no class fits its leader, but others of a bucket may link
-            found = stages.write(self._verify(pairs, sets, every=k == 0), "links")
+            found = stages.write(self._verify(self._filtered(pairs.distinct(), live), live), "links")
             if k == 0:
                 led = found.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("both").alias("over"))
+            # an empty leader round ends nothing: if no class fits its leader, others of a bucket may link
             new = found.where("link").select("a", "b")
             if not new.isEmpty():
                 links = new if links is None else links.union(new)
@@ -298,6 +305,13 @@ class JaccardJoin:
                 links = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
         return comps
 
+    def _filtered(self, pairs: DataFrame, live: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b), made by order 1, whose prefixes meet under orders 2 and 3 as well."""
+        p = live.select(F.col("node").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
+        q = live.select(F.col("node").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
+        met = pairs.join(p, "a").join(q, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+        return met.select("a", "b")
+
     def _fits(self, n: str, m: str, u: str, v: str) -> Column:
         """Whether two sets of sizes n and m, of which u and v shingles are found elsewhere at all, can reach the threshold."""
         n, m, u, v = (F.col(c) for c in (n, m, u, v))
@@ -313,8 +327,11 @@ class JaccardJoin:
         matched with the same leader, the shared shingles are some of the fewer that one shares with it and some of the
         fewer that one has besides.
         """
-        size = placed.groupBy(F.col("token").alias("t"), F.col("comp").alias("c")).agg(F.count("*").alias("members"))
-        placed = placed.join(size, (F.col("token") == F.col("t")) & (F.col("comp") == F.col("c"))).select(*placed.columns, (F.col("members") > 8).alias("large"))
+        # rows of a large part are spread by node: the part's few sizes are repeated for each share
+        size = placed.groupBy(F.col("token").alias("t"), F.col("comp").alias("c")).agg(F.count("*").alias("members")).where("members > 8")
+        size = size.select("t", "c", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("s"), F.lit(True).alias("big"))
+        placed = placed.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(_SHARES)).cast("int"))
+        placed = placed.join(size, (F.col("token") == F.col("t")) & (F.col("comp") == F.col("c")) & (F.col("share") == F.col("s")), "left").select(*placed.columns, F.coalesce("big", F.lit(False)).alias("large"))
 
         def side(c: str, large: bool) -> DataFrame:
             return placed.where(F.col("large") == large).select(*(F.col(x).alias(f"{c}_{x}") for x in ("token", "pos", "comp", "node", "size", "hits", "lead", "over")))
@@ -338,10 +355,10 @@ class JaccardJoin:
             pairs = x if pairs is None else pairs.union(x)
         return pairs
 
-    def _verify(self, pairs: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("tokens").alias("x"))
-        b = sets.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("tokens").alias("y"))
-        return pairs.join(a, "a").join(b, "b").mapInArrow(_verified(self.percent, every), "a long, b long, both long, link boolean")
+    def _verify(self, pairs: DataFrame, live: DataFrame) -> DataFrame:
+        a = live.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("tokens").alias("x"))
+        b = live.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("tokens").alias("y"))
+        return pairs.join(a, "a").join(b, "b").mapInArrow(_verified(self.percent), "a long, b long, both long, link boolean")
 
 
 def op1(docs: DataFrame) -> DataFrame:
@@ -350,15 +367,24 @@ def op1(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, join: JaccardJoin | None = None) -> DataFrame:
-    """``docs`` without all but one document, that of the least doc_id, of each component.
+    """``docs`` without all but one row of each component, with all their columns.
 
-    Rows that repeat a kept doc_id go as well. A document with a null id stays if its component has no other id.
+    The document of the least doc_id stays, of equal ids that of the lesser text hash, null ids last. Documents without
+    links stay, also such as share their doc_id with another text; of rows that repeat both doc_id and text, the first by
+    (lang, source, other sortable columns) stays.
     """
-    at = (join or JaccardJoin()).classes(docs.select("doc_id", "text")).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = at.where("doc_id is not null").groupBy("doc_id").agg(F.min("th").alias("th")).select("doc_id", "th")
-    nameless = at.where("doc_id is null").select("doc_id", "th").distinct()
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keys = kept.union(nameless).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    marked = docs.withColumn("__h", th)
-    out = marked.join(keys, marked["doc_id"].eqNullSafe(keys["__id"]) & (marked["__h"] == keys["__th"]), "left_semi").drop("__h")
-    return out
+    found = Stages(docs.sparkSession, "kept").write((join or JaccardJoin()).classes(docs.select("doc_id", "text")), "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "times")
+    of_comp = found.where("comp is not null").groupBy("comp").agg(F.min(first).alias("k")).select("k.doc_id", "k.th", "k.times")
+    keys = of_comp.unionByName(found.where("comp is null").select("doc_id", "th", "times"))
+    row, doc, th, times = unused(docs.columns, "row", "id", "th", "times")
+    keys = keys.select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("times").alias(times))
+    own = docs.withColumn(row, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = own["doc_id"].cast("long").eqNullSafe(keys[doc]) & (own[row] == keys[th])
+    if found.where("times > 1").isEmpty():
+        return own.join(keys, same, "left_semi").select(*columns)
+    met = own.join(keys, same)
+    sortable = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    again = met.where(F.col(times) > 1).withColumn(row, F.row_number().over(Window.partitionBy(doc, th).orderBy(*sortable)))
+    return met.where(F.col(times) == 1).select(*columns).unionAll(again.where(F.col(row) == 1).select(*columns))

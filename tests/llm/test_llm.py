@@ -53,12 +53,7 @@ def shingles(text, size=5):
 def test_jaccard_components(near):
     rows, docs = near
     sets = {r[0]: shingles(r[1]) for r in rows}
-    comp = {k: k for k in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+    comp = components_of(sets)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op1(docs).collect()}
     assert got == {k: (len(sets[k]), comp[k]) for k in sets}
     kept = {r.doc_id for r in jaccard_join.one_of_each(docs).collect()}
@@ -89,8 +84,64 @@ def test_jaccard_odd(odd, none):
     assert Counter(out)[(4, 1, 3)] == 1 and (3, 1, 3) in out and (5, len(shingles(LONG)), 5) in out and (8, len(shingles(LONG)), 5) in out
     assert (1, 0, 1) in out and (2, 0, 2) in out and (None, 0, None) in out and (None, 1, None) in out
     assert jaccard_join.op1(none).count() == 0
-    clash = odd.withColumn("token", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("__h", F.lit(3))
-    assert jaccard_join.one_of_each(clash.drop("__h")).columns == clash.drop("__h").columns
+    clash = odd.withColumns({c: F.lit(k) for k, c in enumerate(("token", "component_id", "comp", "th", "times", "id", "row", "_row", "__h"))})
+    kept = jaccard_join.one_of_each(clash)
+    # all but one of documents 5 and 8, of (4, "a b") and 3, of repeated rows
+    assert kept.columns == clash.columns and sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == sorted(((k or 0, (t or "")[:5]) for k, t, *_ in ODD if k != 8 and (k, t) != (4, "a b")))
+
+
+def test_one_of_each_keeps_other_texts_of_a_doc_id(spark):
+    """A doc_id with two texts that aren't alike loses neither; repeated rows count once."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a, "en", "s", 0), (3, b, "en", "s", 0), (1, a, "de", "s", 0), (9, "lone", None, None, None), (9, "lone", None, None, None)]
+    out = jaccard_join.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in out if r.doc_id < 9) == [(1, a, "de"), (1, b, "en")] and [r.text for r in out if r.doc_id == 9] == ["lone"]
+
+
+def components_of(sets, percent=75):
+    """By brute force."""
+    comp = {k: k for k in sets}
+    while True:
+        moved = False
+        for a in sets:
+            for b in sets:
+                if comp[a] > comp[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and sets[a]:
+                    comp[a], moved = comp[b], True
+        if not moved:
+            return comp
+
+
+def test_jaccard_nested_texts(spark):
+    """Long texts that contain shorter ones lead their buckets without fitting them."""
+    r = random.Random(12)
+    for turn in range(4):
+        pool, rows = [f"p{k}" for k in range(60)], []
+        for _ in range(45):
+            base = pool[(at := r.randrange(30)) : at + r.choice([8, 12, 20, 22, 30])]
+            grown = base + [f"x{r.randrange(400)}" for _ in range(r.choice([0, 0, 1, 2, 40, 90]))]
+            rows.append((len(rows), " ".join(grown), "en", "s", 0))
+        docs = spark.createDataFrame(rows, DOCS)
+        want = components_of({k: shingles(t, 1) for k, t, *_ in rows})
+        got = {x.doc_id: x.component_id for x in jaccard_join.JaccardJoin(size=1, star_rounds=turn % 3).classes(docs).collect()}
+        assert got == want
+
+
+def test_jaccard_orders_filter(spark):
+    """Candidates of order 1 that don't meet under the other orders never reach verification; all links do."""
+    r, rows = random.Random(13), []
+    for k in range(40):
+        rows.append((k, " ".join(["rare"] * 0 + [f"s{k // 2}"] + [f"c{r.randrange(150)}" for _ in range(24)]), "en", "s", 0))
+    docs, sets = spark.createDataFrame(rows, DOCS), {k: shingles(t, 1) for k, t, *_ in rows}
+    seen = []
+
+    class Watched(jaccard_join.JaccardJoin):
+        def _filtered(self, pairs, live):
+            out = super()._filtered(pairs, live)
+            seen.append((pairs.count(), out.count()))
+            return out
+
+    got = {x.doc_id: x.component_id for x in Watched(size=1, star_rounds=0).classes(docs).collect()}
+    assert got == components_of(sets) and seen[-1][1] < seen[-1][0]
 
 
 def test_suffixes(spark):
