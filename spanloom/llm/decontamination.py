@@ -9,7 +9,7 @@ so an item that is contained has a signature hash in the document and none is lo
 with all their shingle hashes, so long ones need no signature that would drown a short item. Candidates that are too
 short are left out, and the rest verified: the item's shingles, as words, are looked up among the document's.
 
-All of it is DataFrame functions. Benchmark signatures and candidate pairs are broadcast up to ``BROADCAST_ROWS`` rows,
+All of it is DataFrame functions. Benchmark signatures and candidate pairs are broadcast up to ``shared.BROADCAST_ROWS`` rows,
 which is counted first, and joined by a shuffle beyond that. Null texts and texts without words contain nothing and are
 contained in nothing. Rows with equal (doc_id, text) are one document, null ids included, as are equal items.
 """
@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stages
+from .shared import Stages, bounded, unused
 
 SIZE = 5
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -39,11 +38,6 @@ def _strings(w: str, length: int) -> Column:
     return F.expr(f"CASE WHEN size({w}) >= {length} THEN transform(sequence(0, size({w}) - {length}), i -> concat_ws(' ', {parts})) ELSE array() END")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if its rows, which are counted, are few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def contained(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, th, item_id, n_shared, n_item): pairs of documents (doc_id, text) and items (item_id, text); th: text's hash."""
     stages = Stages(docs.sparkSession, "containment")
@@ -61,22 +55,23 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     read = docs.select("doc_id", "th", words(F.col("text")).alias("w"))
     probes = read.select("doc_id", "th", F.size("w").alias("n_words"), F.explode(F.flatten(F.array(*(_hashes("w", k) for k in lengths)))).alias("hash"))
-    met = probes.join(_bounded(signed), "hash").where(F.col("n_words") * 100 >= F.col("n") * percent)
+    met = probes.join(bounded(signed), "hash").where(F.col("n_words") * 100 >= F.col("n") * percent)
     pairs = stages.write(met.select("doc_id", "th", "item_id").distinct(), "candidates")
-    keys = _bounded(pairs.select(F.col("doc_id").alias("d"), F.col("th").alias("h")).distinct())
+    keys = bounded(pairs.select(F.col("doc_id").alias("d"), F.col("th").alias("h")).distinct())
     named = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "th"])
     full = named.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), words(F.col("text")).alias("w")).select("d", "h", F.flatten(F.array(*(_strings("w", k) for k in lengths))).alias("have"))
-    sets = _bounded(pairs).join(full, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).join(_bounded(listed.select(F.col("item_id").alias("i"), "shingles", "n")), F.col("item_id").eqNullSafe(F.col("i")))
+    sets = bounded(pairs).join(full, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).join(bounded(listed.select(F.col("item_id").alias("i"), "shingles", "n")), F.col("item_id").eqNullSafe(F.col("i")))
     found = sets.select("doc_id", "th", "item_id", F.size(F.array_intersect("shingles", "have")).cast("long").alias("n_shared"), F.col("n").cast("long").alias("n_item"))
     return found.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
-    found = contained(docs.select("doc_id", "text"), items, percent).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
-    found = _bounded(Stages(docs.sparkSession, "leaks").write(found, "documents"))
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (th == F.col("__h")), "left_anti")
+    doc, th = unused(docs.columns, "id", "th")
+    found = contained(docs.select("doc_id", "text"), items, percent).select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
+    found = bounded(Stages(docs.sparkSession, "leaks").write(found, "documents"))
+    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[doc]) & (own == found[th]), "left_anti")
 
 
 #: DuckDB's account of ``op3``.
