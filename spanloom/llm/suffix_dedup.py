@@ -2,7 +2,7 @@
 
 In suffix order, the longest factor that a suffix shares with any suffix of an earlier position is shared with its previous
 or its next neighbour of smaller position (Crochemore and Ilie, "Computing Longest Previous Factor in linear time", 2008).
-With positions turned round the same gives the longest later factor. A corpus has no one suffix array here; suffixes are
+With positions turned round the same gives the longest later factor, and both together every place of a string. A corpus has no one suffix array here; suffixes are
 dealt out so that all which share ``size`` bytes meet:
 
 1. Equal texts become one, with its number.
@@ -10,14 +10,15 @@ dealt out so that all which share ``size`` bytes meet:
    et al., 2003). Equal strings have equal anchors at equal offsets; about one position in 85 is one. Anchors that occur
    once are dropped.
 3. Around each other anchor its context is cut: all strings of which it is the anchor, which start one after the other.
-   Equal contexts become one, with its number and first place. Contexts are dealt by anchor; an anchor with very many is
-   dealt in shares, each of which looks at the strings whose hash falls to it.
-4. For each anchor, suffixes of its contexts are sorted and longest previous and next factors found. A factor of more
+   Equal contexts become one, with its number and first place. Contexts are dealt by anchor; the contexts of an anchor
+   with more than ``MANY`` are cut further, into single strings dealt by themselves, of which again equal ones become one.
+4. For each other anchor, suffixes of its contexts are sorted and longest previous and next factors found. A factor of more
    than ``size`` bytes covers the starts behind it as well, so only starts that no factor covers yet become suffixes,
    along with those that can share ``size`` bytes with them, as a hash of each string tells beforehand.
 5. Found ranges go back to the occurrences of their context, and by text to the documents.
 
-Comparisons are of bytes; a hash only ever rules out or deals out. ``removed(..., keep_first=True)`` removes the later
+Texts, contexts and the single strings of very common anchors are equal if their 128-bit digests are; suffixes are compared
+byte by byte, and other hashes only ever rule out or deal out. ``removed(..., keep_first=True)`` removes the later
 copies and keeps each string's first place, by (text's least doc_id, text, offset). ``keep_first=False`` removes every
 place of a string that starts anywhere else as well.
 """
@@ -37,10 +38,12 @@ from .jaccard_join import _batch, _by_part
 from .shared import Stages, parts_for, planned_bytes, tidy
 
 GRAM = 32
+_AT = "at struct<z:boolean,low:bigint,key:string,place:bigint>"
 _SLICE = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
-#: Distinct contexts of one anchor that go to one share.
-SHARE = 1200
+#: Distinct contexts of one anchor that are sorted together; more are cut into single strings.
+MANY = 1200
+_BLOCK = 20_000
 
 
 def _slid_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -136,6 +139,7 @@ def _repeated(packed: list[tuple]) -> pa.RecordBatch:
 
 def _contexts(size: int):
     """Texts with their repeated anchors to (context, anchor, left, length, place, key, low): one row for each anchor."""
+    kinds, names = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()], ["context", "anchor", "left", "length", "place", "key", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,63 +147,108 @@ def _contexts(size: int):
                 out = []
                 piece = batch.slice(at, 500)
                 for text, key, low, *packed in zip(as_bytes(piece.column("text")), *(piece.column(c).to_pylist() for c in ("key", "low", "places", "grams", "reaches")), strict=True):
-                    p, g, r = (np.frombuffer(b"".join(x), k).tolist() for x, k in zip(packed, (np.int64, np.int64, np.uint32), strict=True))
-                    for x, h, reach in zip(p, g, r, strict=True):
-                        left = reach >> 16
-                        body = text[x - left : x - (reach & 0xFFFF) + size]
-                        out.append((hashlib.blake2b(body + left.to_bytes(2, "little"), digest_size=16).digest(), h, left, len(body), x, key, low))
-                yield _batch(out, [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()], ["context", "anchor", "left", "length", "place", "key", "low"])
+                    p, g, r = (np.frombuffer(b"".join(x), k) for x, k in zip(packed, (np.int64, np.int64, np.uint32), strict=True))
+                    for k in range(0, len(p), _BLOCK):  # a long text has many
+                        for x, h, reach in zip(*(v[k : k + _BLOCK].tolist() for v in (p, g, r)), strict=True):
+                            left = reach >> 16
+                            body = text[x - left : x - (reach & 0xFFFF) + size]
+                            out.append((hashlib.blake2b(body + left.to_bytes(2, "little"), digest_size=16).digest(), h, left, len(body), x, key, low))
+                        if len(out) >= _BLOCK:
+                            yield _batch(out, kinds, names)
+                            out = []
+                yield _batch(out, kinds, names)
         release()
 
     return run
 
 
-def _bodies(size: int):
-    """Texts with the contexts to cut from them to (context, anchor, share, shares, left, body, n, at)."""
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the contexts to cut from them to (context, anchor, common, left, body, n, at)."""
+    for batch in batches:
+        kind = batch.schema.field("wanted").type.value_type.field("at").type
+        kinds, names = [pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), kind], ["context", "anchor", "common", "left", "body", "n", "at"]
+        for at in range(0, batch.num_rows, 500):
+            out = []
+            piece = batch.slice(at, 500)
+            for text, wanted in zip(as_bytes(piece.column("text")), piece.column("wanted").to_pylist(), strict=True):
+                for w in wanted:
+                    start = w["at"]["place"] - w["left"]
+                    out.append((w["context"], w["anchor"], w["common"], w["left"], text[start : start + w["length"]], w["n"], w["at"]))
+                if len(out) >= _BLOCK:
+                    yield _batch(out, kinds, names)
+                    out = []
+            yield _batch(out, kinds, names)
+    release()
+
+
+def _singles(size: int):
+    """Contexts to (context, n, at, start, strings): digests of the strings of which the anchor is theirs, in order.
+
+    start: where the first one starts, from the anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind = batch.schema.field("wanted").type.value_type.field("at").type
-            for at in range(0, batch.num_rows, 500):
-                out = []
-                piece = batch.slice(at, 500)
-                for text, wanted in zip(as_bytes(piece.column("text")), piece.column("wanted").to_pylist(), strict=True):
-                    for w in wanted:
-                        start = w["at"]["place"] - w["left"]
-                        body = text[start : start + w["length"]]
-                        out.extend((w["context"], w["anchor"], share, w["shares"], w["left"], body, w["n"], w["at"]) for share in range(w["shares"]))
-                yield _batch(out, [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), kind], ["context", "anchor", "share", "shares", "left", "body", "n", "at"])
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            starts, strings = [], []
+            for body, left in zip(batch.column("body").to_pylist(), batch.column("left").to_pylist(), strict=True):
+                lo, hi = max(0, left - (size - GRAM)), min(left, len(body) - size)
+                starts.append(lo - left)
+                strings.append([hashlib.blake2b(body[x : x + size], digest_size=16).digest() for x in range(lo, hi + 1)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("context", "n", "at")), pa.array(starts, pa.int32()), pa.array(strings, pa.list_(pa.binary()))], names=["context", "n", "at", "start", "strings"])
         release()
 
     return run
 
 
+def _common(bodies: DataFrame, size: int, stages: Stages) -> DataFrame:
+    """What ``_found`` gives, for contexts of very common anchors: each string by its digest, in any number of contexts."""
+    cut = stages.write(bodies.mapInArrow(_singles(size), f"context binary, n long, {_AT}, start int, strings array<binary>"), "singles")
+    each = cut.select("context", "n", "at", "start", F.posexplode("strings").alias("k", "string"))
+    again = each.groupBy("string").agg(F.sum("n").alias("c"), F.min("at").alias("first")).where("c > 1")
+    hit = each.join(again, "string").select("context", (F.col("start") + F.col("k")).alias("x"), (F.col("first") < F.col("at")).alias("later"))
+    lists = hit.groupBy("context").agg(F.array_sort(F.collect_list("x")).alias("a"), F.array_sort(F.collect_list(F.when(F.col("later"), F.col("x")))).alias("b"))
+    begins = lambda c: F.filter(c, lambda x, k: (k == 0) | (F.get(F.col(c), k - 1) != x - 1))
+    ends = lambda c: F.transform(F.filter(c, lambda x, k: (k == F.size(c) - 1) | (F.get(F.col(c), k + 1) != x + 1)), lambda x: x + size)
+    return lists.select("context", begins("a").alias("starts"), ends("a").alias("ends"), begins("b").alias("first_starts"), ends("b").alias("first_ends"))
+
+
 def longest_factors(order: np.ndarray, lcp: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """For each suffix, the longest factor it shares with any suffix of smaller rank.
 
-    order: suffixes in suffix order; lcp[i]: common prefix of order[i - 1] and order[i]; rank: positions by suffix. A stack
-    holds suffixes of ascending rank, so that what lies below a suffix is its previous smaller one, and what removes it its
-    next smaller one.
+    order: suffixes in suffix order; lcp[i]: common prefix of order[i - 1] and order[i]; rank: positions by suffix. The
+    longer of those that it shares with its previous and its next suffix of smaller rank.
     """
-    best = [0] * len(order)
-    stack: list[tuple[int, int]] = []  # suffix, common prefix with the one below
-    ranks = rank.tolist()
-    for s, common in zip(order.tolist(), lcp.tolist(), strict=True):
-        while stack and ranks[stack[-1][0]] > ranks[s]:
-            t, below = stack.pop()
-            best[t] = max(below, common)
-            common = min(common, below)
-        stack.append((s, common if stack else 0))
-    for t, below in stack:
-        best[t] = max(best[t], below)
-    return np.array(best, np.int64)
-
-
-def _any_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """For each suffix, the longest factor it shares with any other one, which a neighbour has."""
-    out = np.empty(len(order), np.int64)
-    out[order] = np.maximum(lcp, np.append(lcp[1:], 0))
-    return out
+    best, r = np.zeros(len(order), np.int64), rank[order]
+    if len(order):
+        back = _shared_with_smaller(r[::-1], np.concatenate([[0], lcp[:0:-1]]))[::-1]
+        best[order] = np.maximum(_shared_with_smaller(r, lcp), back)
+    return best
+
+
+def _shared_with_smaller(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each place the common prefix with the nearest place before it of smaller rank; common[0] is 0.
+
+    All places go back at once by falling powers of two, as far as only larger ranks lie between. Tables have the least
+    rank and the least common prefix of the last 1, 2, 4, ... places. Beyond a common prefix of 0 nothing is looked for.
+    """
+    n = len(rank)
+    border = np.flatnonzero(common == 0)
+    levels = int(np.diff(np.append(border, n)).max()).bit_length()
+    least, least_common = [rank], [common]
+    for k in range(levels):
+        step = 1 << k
+        for table in (least, least_common):
+            longer = table[-1].copy()
+            longer[step:] = np.minimum(table[-1][step:], table[-1][:-step]) if step < n else longer[step:]
+            table.append(longer)
+    at, shared = np.arange(n), np.full(n, np.iinfo(np.int64).max)
+    for k in range(levels, -1, -1):
+        step = 1 << k
+        go = np.flatnonzero(at >= step)
+        go = go[least[k][at[go] - 1] > rank[go]]
+        shared[go] = np.minimum(shared[go], least_common[k][at[go]])
+        at[go] -= step
+    return np.where(at > 0, np.minimum(shared, common[at]), 0)
 
 
 def _sorted_suffixes(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,8 +271,8 @@ def _sorted_suffixes(data: np.ndarray, group: np.ndarray, start: np.ndarray, len
     return order, np.concatenate([[0], lcp])
 
 
-def _strings(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, share: np.ndarray, shares: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(context, start within it, label) of the strings that hold their context's anchor and fall to its share."""
+def _strings(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(context, start within it, label) of the strings that hold their context's anchor."""
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(bodies), 1000):
         part, left = bodies[a : a + 1000], lefts[a : a + 1000]
@@ -236,19 +285,18 @@ def _strings(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, share:
         start = offset[ctx] + at
         mark = range_hash(prefix_sums(np.frombuffer(b"".join(part), np.uint8)), start, start + size)
         ctx += a
-        mine = slice(None) if (shares[a : a + 1000] == 1).all() else mark % shares[ctx].astype(np.uint64) == share[ctx].astype(np.uint64)
         # strings that match stand the same way to their anchor
         place = (groups[ctx] * 1024 + at - lefts[ctx] + 512).astype(np.uint64)
-        out.append((ctx[mine], at[mine], (mark ^ mix(place))[mine]))
+        out.append((ctx, at, mark ^ mix(place)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts: np.ndarray, ranks: np.ndarray, share: np.ndarray, shares: np.ndarray, size: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts: np.ndarray, ranks: np.ndarray, size: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, start, anywhere, before) of strings: whether each starts elsewhere; with ``keep_first``, or earlier.
 
     A context that counts several occurrences repeats as a whole.
     """
-    ctx, at, label = _strings(groups, bodies, lefts, share, shares, size)
+    ctx, at, label = _strings(groups, bodies, lefts, size)
     anywhere, before = counts[ctx] > 1, np.zeros(len(ctx), bool)
     order = np.argsort(label)
     same = label[order][1:] == label[order][:-1]
@@ -262,7 +310,7 @@ def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts:
     data = np.frombuffer(b"".join(bodies), np.uint8)
     length = np.array([len(b) for b in bodies], np.int64)
     offset = np.cumsum([0, *length])[:-1]
-    whole, last = bool((shares == 1).all()), np.searchsorted(ctx, ctx, side="right") - 1
+    last = np.searchsorted(ctx, ctx, side="right") - 1
     while live.any():
         # the first open string of each run becomes a suffix, and so do all of its kind
         head = live.copy()
@@ -279,14 +327,14 @@ def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts:
             rest = length[ctx[some]] - at[some]
             s_order, lcp = _sorted_suffixes(data, kind[some], offset[ctx[some]] + at[some], rest, size)
             rank = ranks[ctx[some]]
-            earlier = longest_factors(s_order, lcp, rank)
-            reaches = [(before, earlier)] if keep_first else [(anywhere, np.maximum(earlier, _any_factors(s_order, lcp)))]
-            for found, reach in reaches:
-                hit = np.flatnonzero(reach >= size)
-                # a factor of size + k covers the k starts behind it, too; in shares each start is looked at by itself
-                span = np.minimum(reach[hit] - size if whole else 0, last[some[hit]] - some[hit])
-                edge = np.bincount(some[hit], minlength=len(ctx) + 1) - np.bincount(some[hit] + span + 1, minlength=len(ctx) + 1)
-                found |= np.cumsum(edge[:-1]) > 0
+            reach = longest_factors(s_order, lcp, rank)
+            if not keep_first:
+                reach = np.maximum(reach, longest_factors(s_order, lcp, -rank))  # positions turned round: later places
+            hit = np.flatnonzero(reach >= size)
+            # a factor of size + k covers the k starts behind it, too
+            span = np.minimum(reach[hit] - size, last[some[hit]] - some[hit])
+            edge = np.bincount(some[hit], minlength=len(ctx) + 1) - np.bincount(some[hit] + span + 1, minlength=len(ctx) + 1)
+            need |= np.cumsum(edge[:-1]) > 0
             x = y
         live[cand] = False
         live &= ~need
@@ -306,30 +354,30 @@ def _ranges(flag: np.ndarray, ctx: np.ndarray, at: np.ndarray, n: int, size: int
 
 
 def _found(size: int, keep_first: bool):
-    """Contexts sorted by anchor and share to (context, starts, ends, first_starts, first_ends), from the anchor."""
+    """Contexts sorted by anchor to (context, starts, ends, first_starts, first_ends), from the anchor."""
 
     def make(rows: list[tuple]) -> pa.RecordBatch:
-        name = {x: k for k, x in enumerate(dict.fromkeys((r[1], r[2]) for r in rows))}
-        groups = np.array([name[r[1], r[2]] for r in rows], np.int64)
-        lefts, counts, share, shares = (np.array([r[k] for r in rows], np.int64) for k in (4, 6, 2, 3))
+        name = {x: k for k, x in enumerate(dict.fromkeys(r[1] for r in rows))}
+        groups = np.array([name[r[1]] for r in rows], np.int64)
+        lefts, counts = (np.array([r[k] for r in rows], np.int64) for k in (2, 4))
         ranks = np.arange(len(rows))  # any order will do if all places go
         if keep_first:
-            ranks[sorted(range(len(rows)), key=lambda k: tuple(rows[k][7].values()))] = np.arange(len(rows))
-        bodies = [r[5] for r in rows]
-        ctx, at, anywhere, before = covered(groups, bodies, lefts, counts, ranks, share, shares, size, keep_first)
+            ranks[sorted(range(len(rows)), key=lambda k: tuple(rows[k][5].values()))] = np.arange(len(rows))
+        bodies = [r[3] for r in rows]
+        ctx, at, anywhere, before = covered(groups, bodies, lefts, counts, ranks, size, keep_first)
         out = []
         for r, x, y in zip(rows, *(_ranges(f, ctx, at, len(rows), size) for f in (anywhere, before)), strict=True):
             if x or y or keep_first:
-                out.append((r[0], *([v[k] - r[4] for v in z] for z in (x, y) for k in (0, 1))))
+                out.append((r[0], *([v[k] - r[2] for v in z] for z in (x, y) for k in (0, 1))))
         kinds = [pa.binary(), *[pa.list_(pa.int32())] * 4]
         return _batch(out, kinds, ["context", "starts", "ends", "first_starts", "first_ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        names = ["context", "anchor", "share", "shares", "left", "body", "n", *(["at"] if keep_first else [])]
+        names = ["context", "anchor", "left", "body", "n", *(["at"] if keep_first else [])]
         for piece in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
             for row in zip(*(piece.column(c).to_pylist() for c in names), strict=True):
-                if len(held) >= SHARE and (row[1], row[2]) != (held[-1][1], held[-1][2]):
+                if len(held) >= MANY and row[1] != held[-1][1]:
                     yield make(held)
                     held = []
                 held.append(row)
@@ -386,13 +434,17 @@ def _removed(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     none = F.array().cast("array<int>")
     # a context that no other one shares its anchor with repeats as a whole
     alone = grouped.where("m = 1").select("context", F.array(lo).alias("starts"), F.array(hi).alias("ends"), none.alias("first_starts"), none.alias("first_ends"))
-    wanted = grouped.where("m > 1").groupBy(F.unhex("at.key").alias("key")).agg(F.collect_list(F.struct("context", "anchor", F.ceil(F.col("m") / SHARE).cast("int").alias("shares"), "left", "length", "n", "at")).alias("wanted"))
-    at = "at struct<z:boolean,low:bigint,key:string,place:bigint>"
-    bodies = long.select("key", "text").join(wanted, "key").mapInArrow(_bodies(size), f"context binary, anchor long, share int, shares int, left int, body binary, n long, {at}")
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(cut) >> 20)
-    searched = bodies.repartition(spread, "anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
-    ranges = stages.write(searched.unionByName(alone), "ranges", large=True)
-    del searched, alone, bodies, wanted, grouped, many, repeated, marked, packed
+    wanted = grouped.where("m > 1").groupBy(F.unhex("at.key").alias("key")).agg(F.collect_list(F.struct("context", "anchor", (F.col("m") > MANY).alias("common"), "left", "length", "n", "at")).alias("wanted"))
+    bodies = stages.write(long.select("key", "text").join(wanted, "key").mapInArrow(_bodies, f"context binary, anchor long, common boolean, left int, body binary, n long, {_AT}"), "bodies", large=True)
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(bodies) >> 20)
+    searched = bodies.where("not common").repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
+    ranges = searched.unionByName(alone)
+    common = bodies.where("common")
+    if not common.isEmpty():
+        ranges = ranges.unionByName(_common(common, size, stages))
+    ranges = stages.write(ranges, "ranges", large=True)
+    stages.drop(bodies)
+    del searched, alone, common, wanted, grouped, many, repeated, marked, packed
     if not keep_first:
         stages.drop(distinct)
     places = cut.select("context", "key", "place", "left", "length").join(ranges, "context")
@@ -407,6 +459,7 @@ def _removed(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     by_text = stages.write(found, "places", large=True)
     whole = (F.col("n") > 1) & (F.octet_length("text") >= size) if not keep_first else F.lit(False)
     sized = stages.write(texts.withColumn("whole", whole).join(by_text, "key", "left").select("key", "text", "whole", "starts", "ends").mapInArrow(_cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"), "sized")
+    stages.keep(texts, sized) if keep_first else stages.keep(sized)
     rows = docs.select("doc_id", "key")
     if keep_first:
         # of equal texts the first keeps what the search left, the others lose every string of the size

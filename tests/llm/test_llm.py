@@ -144,35 +144,46 @@ def test_jaccard_orders_filter(spark):
     assert got == components_of(sets) and seen[-1][1] < seen[-1][0]
 
 
-def test_suffixes(spark):
-    r, rows = random.Random(5), []
+def repeated_texts(seed, n=60):
+    r, rows = random.Random(seed), []
     shared = ["".join(r.choice("abc ") for _ in range(n)) for n in (150, 260, 330, 700)]
-    for k in range(60):
+    for k in range(n):
         parts = ["".join(r.choice("abcdef é") for _ in range(r.randint(0, 220))) for _ in range(3)]
         parts.insert(r.randint(0, 3), r.choice(shared)[r.randint(0, 60) :])
         rows.append((k, "".join(parts)))
-    rows += [(100, "z" * 900), (101, rows[0][1]), (102, ("ab" * 120) + rows[1][1]), (103, None), (104, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    seen = Counter(b[p : p + 200] for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - 199))
-    for r_ in suffix_dedup.removed(docs).collect():
-        b = (dict(rows)[r_.doc_id] or "").encode()
-        gone = bytearray(len(b))
+    return rows + [(100, "z" * 900), (101, rows[0][1]), (102, ("ab" * 120) + rows[1][1]), (103, None), (104, ""), (None, rows[2][1]), (None, "null id " + rows[3][1]), (7, "another text of 7 " + rows[4][1]), (50, rows[50][1])]
+
+
+def cut_by_force(rows, keep_first):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each row, by all strings of 200 bytes."""
+    texts = [(t or "").encode() for _, t in rows]
+    low = {}
+    for (k, _), b in zip(rows, texts, strict=True):
+        low[b] = min(low.get(b, (True, 0)), (k is None, k or 0))
+    order = sorted(range(len(rows)), key=lambda i: (low[texts[i]], hashlib.md5(texts[i]).hexdigest(), rows[i][0] is None, rows[i][0] or 0))
+    seen = Counter(b[p : p + 200] for b in texts for p in range(len(b) - 199))
+    out, before = [], set()
+    for i in order:
+        b, gone = texts[i], bytearray(len(texts[i]))
         for p in range(len(b) - 199):
-            if seen[b[p : p + 200]] > 1:
+            if b[p : p + 200] in before if keep_first else seen[b[p : p + 200]] > 1:
                 gone[p : p + 200] = b"\1" * 200
+            before.add(b[p : p + 200])
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-        assert (r_.n_bytes, r_.n_removed, r_.n_spans, r_.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()), r_.doc_id
+        out.append((rows[i][0], len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
 
 
-def test_suffixes_share_hot_anchors(spark, monkeypatch):
-    """An anchor with many contexts is dealt in shares, with the same result."""
-    r = random.Random(6)
-    line = "".join(r.choice("abcdefgh") for _ in range(230))
-    docs = spark.createDataFrame([(k, line + "".join(r.choice("xyz") for _ in range(300))) for k in range(30)], "doc_id long, text string")
-    plain = sorted(map(tuple, suffix_dedup.removed(docs).drop("spans").collect()))
-    monkeypatch.setattr(suffix_dedup, "SHARE", 7)
-    assert sorted(map(tuple, suffix_dedup.removed(docs).drop("spans").collect())) == plain and plain[0][2] >= 230
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_suffixes(spark, keep_first, monkeypatch):
+    """Against brute force, with equal texts, null and repeated ids, with common anchors cut into strings or not."""
+    rows = repeated_texts(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = cut_by_force(rows, keep_first)
+    for many in (1200, 4):
+        monkeypatch.setattr(suffix_dedup, "MANY", many)
+        assert Counter(map(tuple, suffix_dedup.removed(docs, keep_first=keep_first).drop("spans").collect())) == want, many
 
 
 def test_longest_factors():
@@ -182,8 +193,9 @@ def test_longest_factors():
         order = sorted(range(len(t)), key=lambda k: t[k:])
         common = lambda i, j: next((k for k in range(len(t)) if i + k >= len(t) or j + k >= len(t) or t[i + k] != t[j + k]), len(t))
         lcp = [0, *(common(a, b) for a, b in zip(order, order[1:], strict=False))]
-        got = suffix_dedup.longest_factors(np.array(order), np.array(lcp), np.arange(len(t)))
-        assert got.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(len(t))]
+        for rank in (np.arange(len(t)), -np.arange(len(t)), np.array(r.sample(range(len(t)), len(t)))):
+            got = suffix_dedup.longest_factors(np.array(order), np.array(lcp), rank)
+            assert got.tolist() == [max((common(i, j) for j in range(len(t)) if rank[j] < rank[i]), default=0) for i in range(len(t))]
 
 
 def test_suffixes_odd(odd, none):
