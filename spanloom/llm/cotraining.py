@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, as_bytes, chunks
+from .shared import unused
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "other": range(128, 256), "space": (32, 9, 13), "line": (10,), "stop": b".,;:?'\"-()", "bang": b"!", "bar": b"|<>{}[]\\/=+_~^`", "odd": b"#$%&*@"}
 _KIND = np.full(256, len(_CLASSES), np.uint8)
@@ -224,4 +225,4 @@ def kept(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
             good = model.score(*_features(view))[2] >= fit.keep_from
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(good))
 
-    return docs.select("*", F.struct(*typed).alias("__view")).mapInArrow(run, docs.schema)
+    return docs.select("*", F.struct(*typed).alias(unused(docs.columns, "view")[0])).mapInArrow(run, docs.schema)

@@ -8,7 +8,8 @@ meets every such window, so after any number of slots each source is less than o
 Windows repeat every W slots, so one period is planned, on the driver, from the weights alone; the k-th block of a source
 then finds its slot by arithmetic. A source that has run out leaves its slots empty, and the rest keep theirs: no row is
 dropped or repeated. Documents are numbered within a source by ranges of (source, doc_id), so a source may hold any part
-of all rows.
+of all rows. Texts are carried, never read, so they may be of any length; ties and repeated rows of a source follow each
+other, null sources are one source, null ids come first in theirs, and an empty table makes an empty mix.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Stages, parts_for
+from .shared import Stages, bounded, parts_for
 
 
 def period(weights: list[int]) -> list[int]:
@@ -50,37 +52,38 @@ def _numbered(docs: DataFrame, stages: Stages) -> DataFrame:
     ranged = docs.repartitionByRange(parts_for(docs, 64), *keys).sortWithinPartitions(*keys)
     placed = stages.write(ranged.mapInArrow(_counted, "part int, source string, doc_id long, row long, near long, last boolean"), "ranges")
     ends = placed.where("last").select("part", "source", (F.col("near") + 1).alias("n"))
-    before = ends.alias("b").join(ends.alias("e"), F.col("b.source").eqNullSafe(F.col("e.source")) & (F.col("b.part") > F.col("e.part"))).groupBy(F.col("b.part").alias("p"), F.col("b.source").alias("s")).agg(F.sum("e.n").alias("n"))
-    joined = placed.join(before, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    return joined.select("source", "doc_id", "row", (F.col("near") + F.coalesce("n", F.lit(0))).alias("at"))
+    # one row for each range and source: their running sums within a source
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
+    starts = ends.select(F.col("part").alias("p"), F.col("source").alias("s"), before.alias("before"))
+    joined = placed.join(bounded(starts), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
+    return joined.select("source", "doc_id", "row", (F.col("near") + F.col("before")).alias("at"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, source, n, held = TaskContext.get().partitionId(), None, 0, None
+    part, counted, held = TaskContext.get().partitionId(), None, None  # source and rows of it so far; the batch before
 
     def made(batch: pa.RecordBatch, near: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(near), part, np.int32)), *(batch.column(c) for c in ("source", "doc_id", "row")), pa.array(near), pa.array(last)], names=["part", "source", "doc_id", "row", "near", "last"])
 
-    started = False
     for batch in batches:
-        names = batch.column("source").to_pylist()
-        if not names:
+        n = batch.num_rows
+        if not n:
             continue
-        near, last = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
-        for k, x in enumerate(names):
-            if not started or x != source:
-                if k:
-                    last[k - 1] = True
-                elif held is not None:
-                    held[2][-1] = True
-                started, source, n = True, x, 0
-            near[k] = n
-            n += 1
+        code = pa.compute.fill_null(batch.column("source").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        near = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+        head = batch.column("source")[0].as_py()
+        if counted is not None and counted[0] == head:
+            near[: first[1] if len(first) > 1 else n] += counted[1]
+        elif held is not None:
+            held[2][-1] = True
+        last = np.zeros(n, bool)
+        last[first[1:] - 1] = True
         if held is not None:
             yield made(*held)
-        held = (batch, near, last)
+        held, counted = (batch, near, last), (batch.column("source")[n - 1].as_py(), int(near[-1]) + 1)
     if held is not None:
         held[2][-1] = True
         yield made(*held)
@@ -89,8 +92,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def schedule(docs: DataFrame, weight: Column, block: int = 16) -> DataFrame:
     """(doc_id, source, row, at, block, release, deadline, slot) of each row of ``docs`` (doc_id, source).
 
-    ``weight``: the whole target weight of a row's source, 1 or more; sources (a config's worth of them) and weights come
-    to the driver. row tells rows of the same source and doc_id apart. A null source is a source of its own.
+    ``weight``: the whole target weight of a row's source, 1 or more. Target weights are configuration, and the schedule of
+    one period needs all of them: sources and weights come to the driver, never rows. row tells rows of the same source and
+    doc_id apart. A null source is a source of its own.
     """
     stages = Stages(docs.sparkSession, "pfair")
     cols = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("row").cast("long").alias("row"))
@@ -102,7 +106,7 @@ def schedule(docs: DataFrame, weight: Column, block: int = 16) -> DataFrame:
         slots[s].append(slot)
     plan = docs.sparkSession.createDataFrame([(name, w, s) for (name, w), s in zip(found, slots, strict=True)], "name string, w long, slots array<int>")
     k = F.floor(F.col("at") / block)
-    out = numbered.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name"))).withColumn("block", k.cast("long"))
+    out = numbered.join(bounded(plan), F.col("source").eqNullSafe(F.col("name"))).withColumn("block", k.cast("long"))
     turn, rest = F.floor(F.col("block") / F.col("w")), (F.col("block") % F.col("w")).cast("int")
     return out.select(
         "doc_id", "source", "row", "at", "block",
@@ -111,17 +115,18 @@ def schedule(docs: DataFrame, weight: Column, block: int = 16) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, weight: Column, block: int = 16, slot: str | None = None) -> DataFrame:
-    """All rows of ``docs`` with all their columns, sorted by slot: written, its files follow the mix.
+def mixed(docs: DataFrame, weight: Column, block: int = 16) -> DataFrame:
+    """All rows of ``docs`` with all their columns, sorted by slot: written, its files follow the mix, row by row.
 
-    slot: the name of a further column with each row's slot, for steps that go by the mix.
+    Rows that are equal in all sortable columns share a slot.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.withColumn("__row", row)
-    plan = schedule(docs.select("doc_id", "source", row.alias("row")), weight, block).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("row").alias("__of")).agg(F.min("slot").alias("__slot"), F.min("at").alias("__at"))
-    joined = marked.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__row") == F.col("__of")))
-    placed = joined.repartitionByRange(parts_for(docs, 32), "__slot", "__at").sortWithinPartitions("__slot", "__at")
-    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), *([F.col("__slot").alias(slot)] if slot else []))
+    sortable = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    key, name, of = F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(*sortable)
+    marked = docs.select(F.struct("*").alias("row"), key.alias("key"), name.alias("name"), of.alias("of"))
+    plan = schedule(docs.select("doc_id", "source", of.alias("row")), weight, block).groupBy(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("row").alias("o")).agg(F.min("slot").alias("slot"), F.min("at").alias("at"))
+    joined = marked.join(plan, F.col("key").eqNullSafe(F.col("k")) & F.col("name").eqNullSafe(F.col("s")) & (F.col("of") == F.col("o")))
+    placed = joined.repartitionByRange(parts_for(docs, 128), "slot", "at").sortWithinPartitions("slot", "at")
+    return placed.select("row.*")
 
 
 def by_number(source: Column) -> Column:

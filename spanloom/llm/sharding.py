@@ -1,34 +1,46 @@
 """Sharding by size-tiered compaction, with a versioned manifest.
 
-A store is a folder. Each arrival is appended as small shards that are never changed. ``compact`` puts shards of like size,
-in the same power of two of bytes, into tiers; a tier's shards, in order, fill files of the target size one after the
-other, so rows are rewritten only along with others of their size. A shard alone in its tier, or of the target size and
-more, stays as it is. Each change writes its data first, then a manifest of the next version, whose folder is renamed into
-place: that one step commits, and it fails if another writer has committed the version meanwhile. Readers take the highest
-version and see all of a change or nothing. Shards that the last manifest no longer names can then be removed.
-
-The main path is DataFrame functions and Spark's own writer; sizes are bytes of text. The manifest is a table and is
-planned as one; from it only distinct folders, one for each change, come to the driver. Null texts count no bytes; null
-ids go to shard 0 of their arrival; repeated rows are kept.
+A store is a folder. Each arrival is appended as small shards that are never changed. ``compact`` puts files of like size,
+in the same power of two of bytes and below half the target, into tiers; a tier's files, in order of their first shard, are
+merged into files of about the target size, one after the other. What they make may fill the next tier: merges are
+planned on in the manifest until nothing more comes together, and only then is each row rewritten, once. A file alone in
+its tier, or of half the target and more, stays as it is.
+
+Each change writes its data first, then a manifest of the next version, whose folder is renamed into place: that one step
+commits, and it fails if another writer has committed the version meanwhile. This needs a file system whose renames are
+atomic and fail where the target exists, as HDFS and local disks have; a bare object store needs a committer of its own.
+Readers take the highest version and see all of a change or nothing. ``vacuum`` removes files that it no longer names.
+
+The main path is DataFrame functions and Spark's own writer; sizes are bytes of text, and rows are shuffled to their shard
+before they are written, so a shard is one file. Rows are stored whole, below one column, so columns may have any names,
+and arrivals different ones. The manifest is a table and is planned as one; from it only distinct folders, one for each
+change, come to the driver, and files to delete, one at a time. Null texts count no bytes. A text of any length is one row;
+a shard that one row makes larger than the target stays alone. Repeated rows are kept; rows of one doc_id share a shard,
+rows without one are spread by their text.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import Stages, filesystem, remove, shared_dir
+from .shared import Stages, bounded, filesystem, remove, remove_at_exit, shared_dir, unused
 
-BROADCAST_ROWS = 200_000
+#: Shards whose sizes are summed together, in order, when files are planned.
+SPAN = 4096
 _MANIFEST = "folder string, file string, shard long, n_rows long, n_bytes long, file_rows long, file_bytes long, version long"
+_NAMES = [c.split()[0] for c in _MANIFEST.split(", ")]
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, target: int = 64 << 20, weight: str = "text"):
         self.spark, self.path, self.target, self.weight = spark, path.rstrip("/"), target, weight
-        self.schema = None
+        self.schema: T.StructType | None = None  # of the last arrival
+        self.schemas: dict[str, T.StructType] = {}  # by folder, of those written here
 
     def version(self) -> int:
         """Of the last commit; 0 before the first."""
@@ -47,7 +59,7 @@ class Store:
     def _commit(self, rows: DataFrame, base: int) -> int:
         """Makes ``rows`` version base + 1, unless there is one."""
         spare, final = f"{self.path}/manifest/.{uuid.uuid4().hex}", f"{self.path}/manifest/v{base + 1:08d}"
-        rows.select(*(c.split()[0] for c in _MANIFEST.split(", "))).write.parquet(spare)
+        rows.select(*_NAMES).coalesce(8).write.parquet(spare)
         jvm = self.spark.sparkContext._jvm
         source, target = jvm.org.apache.hadoop.fs.Path(spare), jvm.org.apache.hadoop.fs.Path(final)
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -55,136 +67,196 @@ class Store:
         context.rename(source, target, none)
         return base + 1
 
-    def append(self, docs: DataFrame, shard: Column) -> int:
-        """Writes ``docs`` as new shards, numbered by ``shard``; numbers of earlier shards aren't used again."""
+    def _write(self, rows: DataFrame, files: int) -> str:
+        """``rows`` (row, shard, size, file) as files of a new folder, each written by one task."""
+        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        rows.repartition(max(1, 3 * files), "file").write.option("compression", "zstd").partitionBy("file").parquet(folder)
+        self.schemas[folder] = T.StructType([*rows.drop("file").schema.fields, T.StructField("file", T.StringType())])
+        return folder
+
+    def append(self, docs: DataFrame, shard: Column, shards: int = 64, first: int | None = None, columns: list[str] | None = None) -> int:
+        """Writes ``docs`` as new shards: ``first`` + ``shard``, by default from the first number that isn't used yet.
+
+        shards: about how many there are; columns: those that are stored, by default all. Numbers of earlier shards can't
+        be used again.
+        """
         base = self.version()
         before = self.manifest(base)
-        skip = (before.agg(F.max("shard")).first()[0] + 1) if base and not before.isEmpty() else 0
-        docs = docs.drop("__shard", "__file")  # names of the store's own
-        numbered = docs.withColumn("__shard", (shard + skip).cast("long"))
-        self.schema = docs.schema
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        # the shard is stored within the rows, too, for the time after the merge
-        numbered.withColumn("__file", F.concat(F.lit("s"), F.col("__shard"))).write.option("compression", "zstd").partitionBy("__file").parquet(folder)
+        free = (before.agg(F.max("shard")).first()[0] + 1) if base and not before.isEmpty() else 0
+        first = free if first is None else first
+        if first < free:
+            raise ValueError(f"shards from {first} on were asked for, but those below {free} are in use")
+        stored = [F.col(f"`{c}`") for c in columns or docs.columns]
+        self.schema = docs.select(*stored).schema
         size = F.coalesce(F.octet_length(F.col(self.weight).cast("string")), F.lit(0)).cast("long")
-        own = numbered.groupBy(F.col("__shard").alias("shard")).agg(F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"))
+        number = (shard + first).cast("long")
+        folder = self._write(docs.select(F.struct(*stored).alias("row"), number.alias("shard"), size.alias("size"), F.concat(F.lit("s"), number).alias("file")), shards)
+        own = self.spark.read.schema("shard long, size long").parquet(folder).groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"))
         new = own.select(F.lit(folder).alias("folder"), F.concat(F.lit("s"), F.col("shard")).alias("file"), "shard", "n_rows", "n_bytes", F.col("n_rows").alias("file_rows"), F.col("n_bytes").alias("file_bytes"), F.lit(base + 1).cast("long").alias("version"))
         return self._commit(before.unionByName(new), base)
 
+    def _merges(self, files: DataFrame) -> DataFrame:
+        """(first, low) of ``files`` (first, size) that come together: low is the first shard of the file that they make.
+
+        The bytes before a file in its tier are those of earlier spans of shards and of earlier files of its own span.
+        """
+        small = files.where(F.col("size") * 2 < self.target).withColumn("tier", F.length(F.bin("size"))).withColumn("span", F.floor(F.col("first") / SPAN))
+        spans = small.groupBy("tier", "span").agg(F.sum("size").alias("all"))
+        earlier = spans.select("tier", "span", (F.sum("all").over(Window.partitionBy("tier").orderBy("span")) - F.col("all")).alias("earlier"))
+        near = F.sum("size").over(Window.partitionBy("tier", "span").orderBy("first")) - F.col("size")
+        placed = small.withColumn("near", near).join(earlier, ["tier", "span"]).withColumn("group", F.floor((F.col("earlier") + F.col("near")) / self.target))
+        low = placed.groupBy("tier", "group").agg(F.min("first").alias("low"), F.count("*").alias("members")).where("members > 1")
+        return placed.join(low, ["tier", "group"]).select("first", "low")
+
     def plan(self, manifest: DataFrame) -> DataFrame:
-        """``manifest`` with ``into``: the file that a shard's rows go to, null if they stay. Files, not shards, are merged."""
-        files = manifest.groupBy("folder", "file").agg(F.min("shard").alias("first"), F.max("file_bytes").alias("size"))
-        files = files.withColumn("tier", F.length(F.bin("size")))
-        tier = Window.partitionBy("tier").orderBy("first", "folder", "file")
-        placed = files.where(F.col("size") < self.target).withColumn("group", F.floor((F.sum("size").over(tier) - F.col("size")) / self.target))
-        among = placed.withColumn("members", F.count("*").over(Window.partitionBy("tier", "group"))).where("members > 1")
-        into = among.select(F.col("folder").alias("f"), F.col("file").alias("g"), F.concat(F.lit("t"), "tier", F.lit("g"), "group").alias("into"))
-        return manifest.join(into, (F.col("folder") == F.col("f")) & (F.col("file") == F.col("g")), "left").drop("f", "g")
+        """``manifest`` with ``into``: the file that a shard's rows go to, null if they stay."""
+        stages = Stages(self.spark, "plan")
+        now = stages.write(manifest.withColumn("was", F.min("shard").over(Window.partitionBy("folder", "file"))).withColumn("first", F.col("was")), "files")
+        while True:
+            merges = stages.write(self._merges(now.groupBy("first").agg(F.sum("n_bytes").alias("size"))), "merges")
+            if merges.isEmpty():
+                break
+            now = stages.write(now.join(merges, "first", "left").withColumn("first", F.coalesce("low", "first")).drop("low"), "files")
+        moved = now.groupBy("first").agg(F.countDistinct("was").alias("members")).where("members > 1").select(F.col("first").alias("f"), F.concat(F.lit("m"), "first").alias("into"))
+        return now.join(moved, F.col("first") == F.col("f"), "left").drop("f", "first", "was")
 
     def compact(self) -> int:
         """Merges files of like size and commits; the version as it was if there is nothing to merge."""
         base = self.version()
-        planned = self.plan(self.manifest(base)).cache()
+        planned = Stages(self.spark, "compaction").write(self.plan(self.manifest(base)), "plan")
         moved = planned.where("into is not null")
-        if moved.isEmpty():
-            return base
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        n = moved.select("into").distinct().count()
-        rows = self._rows(moved).withColumn("__file", F.concat("into", F.lit(f"v{base + 1}"))).drop("into", "__folder")
-        rows.repartition(n, "__file").write.option("compression", "zstd").partitionBy("__file").parquet(folder)
         sums = moved.groupBy(F.col("into").alias("g")).agg(F.sum("n_rows").alias("r"), F.sum("n_bytes").alias("b"))
-        merged = moved.join(sums, F.col("into") == F.col("g")).select(F.lit(folder).alias("folder"), F.concat("into", F.lit(f"v{base + 1}")).alias("file"), "shard", "n_rows", "n_bytes", F.col("r").alias("file_rows"), F.col("b").alias("file_bytes"), F.lit(base + 1).cast("long").alias("version"))
-        self._commit(planned.where("into is null").drop("into").unionByName(merged), base)
-        planned.unpersist()
-        return base + 1
+        n = sums.count()
+        if not n:
+            return base
+        folder = self._write(self._rows(moved).select("row", "shard", "size", F.col("into").alias("file")), n)
+        merged = moved.join(sums, F.col("into") == F.col("g")).select(F.lit(folder).alias("folder"), F.col("into").alias("file"), "shard", "n_rows", "n_bytes", F.col("r").alias("file_rows"), F.col("b").alias("file_bytes"), F.lit(base + 1).cast("long").alias("version"))
+        return self._commit(planned.where("into is null").drop("into").unionByName(merged), base)
 
     def _rows(self, manifest: DataFrame) -> DataFrame:
-        """Rows of the files in ``manifest``, with ``__shard``, ``__file``, ``__folder`` and its other columns."""
-        files = manifest.select("folder", "file", *(c for c in ("into", "file_rows", "file_bytes") if c in manifest.columns)).distinct()
-        folders = [r[0] for r in files.select("folder").distinct().collect()]
-        few = files.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        """Rows (row, shard, size) of the files in ``manifest``, with its columns file, file_rows, file_bytes and into."""
+        tags = ["file_rows", "file_bytes", *(c for c in ("into",) if c in manifest.columns)]
+        files = manifest.select("folder", "file", *tags).distinct()
         out = None
-        for folder in sorted(folders):
-            reader = self.spark.read.schema(self._stored()) if self.schema else self.spark.read
-            of = files.where(F.col("folder") == folder).drop("folder").withColumnRenamed("file", "__name")
-            part = reader.parquet(folder).withColumn("__folder", F.lit(folder))
-            part = part.join(F.broadcast(of) if few else of, F.col("__file") == F.col("__name")).drop("__name")
-            out = part if out is None else out.unionByName(part)
+        for folder in sorted(r[0] for r in files.select("folder").distinct().collect()):
+            reader = self.spark.read.schema(self.schemas[folder]) if folder in self.schemas else self.spark.read
+            of = files.where(F.col("folder") == folder).drop("folder").withColumnRenamed("file", "name")
+            part = reader.parquet(folder).join(bounded(of), F.col("file") == F.col("name")).drop("name")
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         if out is None:
-            schema = self._stored() if self.schema else None
-            empty = self.spark.createDataFrame([], schema) if schema else self.spark.createDataFrame([], "__shard long, __file string")
-            out = empty.withColumn("__folder", F.lit("")).withColumn("file_rows", F.lit(0).cast("long")).withColumn("file_bytes", F.lit(0).cast("long"))
+            kinds = [T.StructField("row", self.schema or T.StructType([])), T.StructField("shard", T.LongType()), T.StructField("size", T.LongType()), T.StructField("file", T.StringType())]
+            out = self.spark.createDataFrame([], T.StructType(kinds)).withColumns({c: F.lit(None).cast("string" if c == "into" else "long") for c in tags})
         return out
 
-    def _stored(self):
-        from pyspark.sql import types as T
-
-        return T.StructType([*self.schema.fields, T.StructField("__shard", T.LongType()), T.StructField("__file", T.StringType())])
+    def placed(self, version: int | None = None) -> DataFrame:
+        """(row, shard, size, file, file_rows, file_bytes) of all rows as of a version; row has their own columns."""
+        return self._rows(self.manifest(version))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows as of a version, with the number of their shard and the name and size of their file."""
-        return self._rows(self.manifest(version)).drop("__folder", "into")
+        """All rows as of a version, as they were appended."""
+        return self.placed(version).select("row.*")
 
     def vacuum(self) -> None:
         """Removes files that the last manifest doesn't name; earlier versions can't be read any more."""
-        live = {r[0] for r in self.manifest().select("folder").distinct().collect()}
+        last = self.version()
+        live = self.manifest(last).select("folder", "file").distinct()
+        folders = {r[0] for r in live.select("folder").distinct().collect()}
         fs, where = filesystem(self.spark, f"{self.path}/data")
         for s in fs.listStatus(where) if fs.exists(where) else []:
             name = f"{self.path}/data/{s.getPath().getName()}"
-            if name not in live:
+            if name not in folders:
                 remove(self.spark, name)
+        for version in range(last - 1, 0, -1):
+            old = f"{self.path}/manifest/v{version:08d}"
+            if not fs.exists(filesystem(self.spark, old)[1]):
+                break
+            for r in self.manifest(version).select("folder", "file").distinct().join(live, ["folder", "file"], "left_anti").where(F.col("folder").isin(*folders)).toLocalIterator():
+                remove(self.spark, f"{r.folder}/file={r.file}")
+            remove(self.spark, old)
 
 
-def _along(docs: DataFrame, order: str, size: Column, shards: int, total: int, spans: int = 256) -> DataFrame:
-    """(place, at): the shard of each value of ``order``. Shards are runs of values, of about the same bytes each.
+def _in_order(docs: DataFrame, size: Column, shards: int, total: int, at: str) -> DataFrame:
+    """``docs`` with column ``at``, the shard of each row along the order of rows in their files.
 
-    The bytes before a value are those of earlier spans of values and of earlier values of its own span.
+    Files follow each other by part number and name. A row's place among all bytes is that of its file and, within the
+    file, as far in as its row number tells: shards are runs of rows, of about the same bytes each.
     """
-    each = docs.groupBy(F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("place")).agg(F.sum(size).alias("bytes"))
-    low, high = each.agg(F.min("place"), F.max("place")).first()
-    each = each.withColumn("span", F.expr(f"(place - {low or 0}) div {((high or 0) - (low or 0)) // spans + 1}"))
-    span = each.groupBy("span").agg(F.sum("bytes").alias("all"))  # at most ``spans`` rows
-    span = span.select("span", (F.sum("all").over(Window.orderBy("span")) - F.col("all")).alias("before"))
-    near = F.sum("bytes").over(Window.partitionBy("span").orderBy("place")) - F.col("bytes")
-    before = each.withColumn("near", near).join(F.broadcast(span), "span").withColumn("before", F.col("before") + F.col("near"))
-    return before.select("place", F.least(F.expr(f"before * {shards} div {max(1, total)}"), F.lit(shards - 1)).alias("at"))
-
-
-def sharded(docs: DataFrame, arrivals: int = 8, small: int = 8 << 20, target: int = 64 << 20, order: str | None = None) -> DataFrame:
-    """``docs`` appended as arrivals of small shards, compacted, and read back through the manifest.
-
-    doc_id modulo ``arrivals`` is the arrival; it comes in as many shards as it has ``small`` bytes for. With ``order``, a
-    column of whole numbers, arrivals and shards follow each other along it instead: the first shards, up to any one, hold
-    what comes first by it, and the column is stored with the rows. Returns (doc_id, n_bytes, shard, file, file_rows,
-    file_bytes).
+    path, row = unused(docs.columns, "path", "row_index")
+    try:
+        marked = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:  # no files to be in the order of
+        written = Stages(docs.sparkSession, "ordered").write(docs, "docs")
+        marked = written.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    part = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).try_cast("long")
+    files = marked.groupBy(F.col(path).alias("p")).agg(F.sum(size).alias("own"), (F.max(row) + 1).alias("rows")).withColumn("part", F.regexp_extract("p", r"part-(\d+)[^/]*$", 1).try_cast("long"))
+    before = F.sum("own").over(Window.orderBy(F.asc_nulls_first("part"), "p")) - F.col("own")
+    files = Stages(docs.sparkSession, "ordered").write(files.select("p", "own", "rows", before.alias("before")), "files")
+    p, own, rows, earlier = unused([*marked.columns], "p", "own", "rows", "before")
+    joined = marked.join(bounded(files.toDF(p, own, rows, earlier)), F.col(path) == F.col(p))
+    share = (F.col(earlier) + F.col(own) * (F.col(row) / F.col(rows))) * (shards / max(1, total))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.least(F.floor(share), F.lit(shards - 1)).cast("long").alias(at))
+
+
+def sharded(docs: DataFrame, arrivals: int = 8, small: int = 8 << 20, target: int = 64 << 20, ordered: bool = False) -> DataFrame:
+    """``docs`` appended arrival by arrival as small shards, compacted after each half, and read back by the manifest.
+
+    doc_id modulo ``arrivals`` is a row's arrival, which comes in as many shards as it has ``small`` bytes for. With
+    ``ordered``, arrivals and shards follow each other along the order of rows in the files of ``docs`` instead: the first
+    shards, up to any one, hold what comes first. Returns (doc_id, n_bytes, shard, file, file_rows, file_bytes).
     """
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
     total = docs.agg(F.sum(size)).first()[0] or 0
     shards = max(1, total // (arrivals * small))
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     store = Store(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target)
-    shard = F.pmod(at, F.lit(arrivals)) * shards + F.pmod(F.floor(at / arrivals), F.lit(shards))
-    if order:
-        places = Stages(spark, "shards").write(_along(docs, order, size, arrivals * shards, total), "places").withColumnsRenamed({"place": "__place", "at": "__at"})
-        few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        docs = docs.join(F.broadcast(places) if few else places, F.coalesce(F.col(order).cast("long"), F.lit(0)) == F.col("__place"), "left").drop("__place")
-        shard = F.coalesce("__at", F.lit(0))
-    store.append(docs, shard)
-    store.compact()
-    store.vacuum()
-    return store.read().select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__file").alias("file"), "file_rows", "file_bytes")
+    remove_at_exit(spark, store.path)
+    (number,) = unused(docs.columns, "number")
+    if ordered:
+        marked = _in_order(docs, size, arrivals * shards, total, number)
+    else:
+        doc = F.col("doc_id").cast("long")
+        nameless = F.conv(F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+        at = F.coalesce(doc, nameless)
+        marked = docs.withColumn(number, F.pmod(at, F.lit(arrivals)) * shards + F.pmod(F.floor(at / arrivals), F.lit(shards)))
+    for k in range(arrivals):
+        mine = marked.where(F.floor(F.col(number) / shards) == k)
+        store.append(mine, F.col(number) - k * shards, shards, k * shards, docs.columns)
+        if k in (arrivals // 2 - 1, arrivals - 1):
+            store.compact()
+            store.vacuum()
+    return store.placed().select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("size").alias("n_bytes"), "shard", "file", "file_rows", "file_bytes")
 
 
-#: DuckDB's account of ``sharded``.
-SQL = """
+def _rounds(start: str, names: str, target: int, rounds: int = 5) -> tuple[str, str]:
+    """DuckDB's account of ``compact``, as common table expressions from ``start`` (shard, n_rows, n_bytes, first) on."""
+    out, now = [], start
+    for k in range(rounds):
+        f, p, q, x = (f"{names}{k}{c}" for c in "fpqx")
+        out.append(f"""{f} AS (SELECT first, CAST(sum(n_bytes) AS BIGINT) AS size FROM {now} GROUP BY first),
+{p} AS (SELECT first, length(bin(size)) AS tier, CAST(floor((sum(size) OVER (PARTITION BY length(bin(size)) ORDER BY first) - size) / {target}) AS BIGINT) AS g FROM {f} WHERE size * 2 < {target}),
+{q} AS (SELECT first, min(first) OVER (PARTITION BY tier, g) AS low FROM {p}),
+{x} AS (SELECT shard, n_rows, n_bytes, coalesce(low, t.first) AS first FROM {now} t LEFT JOIN {q} ON t.first = {q}.first)""")
+        now = x
+    return ",\n".join(out), now
+
+
+def _sql(arrivals: int = 8, small: int = 8 << 20, target: int = 64 << 20) -> str:
+    early, half = _rounds("a", "e", target)
+    late, end = _rounds("b", "l", target)
+    return f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes FROM documents),
-k AS (SELECT greatest(1, CAST(coalesce(sum(n_bytes), 0) AS BIGINT) // (8 * 8388608)) AS k FROM d),
-s AS (SELECT doc_id, n_bytes, coalesce(doc_id, 0) % 8 * k + (coalesce(doc_id, 0) // 8) % k AS shard FROM d, k),
-f AS (SELECT shard, count(*) AS n_rows, CAST(sum(n_bytes) AS BIGINT) AS size, length(bin(CAST(sum(n_bytes) AS BIGINT))) AS tier FROM s GROUP BY 1),
-p AS (SELECT *, CAST(floor((sum(size) OVER (PARTITION BY tier ORDER BY shard) - size) / 67108864) AS BIGINT) AS g FROM f WHERE size < 67108864),
-m AS (SELECT *, count(*) OVER (PARTITION BY tier, g) AS members, sum(n_rows) OVER (PARTITION BY tier, g) AS r, sum(size) OVER (PARTITION BY tier, g) AS b FROM p)
-SELECT s.doc_id, s.n_bytes, s.shard, CASE WHEN members > 1 THEN 't' || m.tier || 'g' || m.g || 'v2' ELSE 's' || s.shard END AS file,
-  CAST(CASE WHEN members > 1 THEN m.r ELSE f.n_rows END AS BIGINT) AS file_rows, CAST(CASE WHEN members > 1 THEN m.b ELSE f.size END AS BIGINT) AS file_bytes
-FROM s JOIN f USING (shard) LEFT JOIN (SELECT shard, members, tier, g, r, b FROM m) m USING (shard)
+k AS (SELECT greatest(1, CAST(coalesce(sum(n_bytes), 0) AS BIGINT) // ({arrivals} * {small})) AS k FROM d),
+s AS (SELECT doc_id, n_bytes, doc_id % {arrivals} * k + (doc_id // {arrivals}) % k AS shard, doc_id % {arrivals} AS arrival FROM d, k),
+f AS (SELECT shard, any_value(arrival) AS arrival, count(*) AS n_rows, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM s GROUP BY 1),
+a AS (SELECT shard, n_rows, n_bytes, shard AS first FROM f WHERE arrival < {arrivals // 2}),
+{early},
+b AS (SELECT shard, n_rows, n_bytes, first FROM {half} UNION ALL SELECT shard, n_rows, n_bytes, shard FROM f WHERE arrival >= {arrivals // 2}),
+{late},
+o AS (SELECT shard, first, count(*) OVER w AS members, sum(n_rows) OVER w AS r, sum(n_bytes) OVER w AS b FROM {end} WINDOW w AS (PARTITION BY first))
+SELECT s.doc_id, s.n_bytes, s.shard, CASE WHEN members > 1 THEN 'm' ELSE 's' END || o.first AS file, CAST(o.r AS BIGINT) AS file_rows, CAST(o.b AS BIGINT) AS file_bytes
+FROM s JOIN o USING (shard)
 """
+
+
+#: DuckDB's account of ``sharded``.
+SQL = _sql()
