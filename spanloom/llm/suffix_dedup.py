@@ -163,17 +163,17 @@ def _contexts(size: int):
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the contexts to cut from them to (context, anchor, common, left, body, n, at)."""
+    """Texts with the contexts to cut from them to (context, anchor, left, body, n, at)."""
     for batch in batches:
         kind = batch.schema.field("wanted").type.value_type.field("at").type
-        kinds, names = [pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), kind], ["context", "anchor", "common", "left", "body", "n", "at"]
+        kinds, names = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), kind], ["context", "anchor", "left", "body", "n", "at"]
         for at in range(0, batch.num_rows, 500):
             out = []
             piece = batch.slice(at, 500)
             for text, wanted in zip(as_bytes(piece.column("text")), piece.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
                     start = w["at"]["place"] - w["left"]
-                    out.append((w["context"], w["anchor"], w["common"], w["left"], text[start : start + w["length"]], w["n"], w["at"]))
+                    out.append((w["context"], w["anchor"], w["left"], text[start : start + w["length"]], w["n"], w["at"]))
                 if len(out) >= _BLOCK:
                     yield _batch(out, kinds, names)
                     out = []
@@ -434,17 +434,16 @@ def _removed(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     none = F.array().cast("array<int>")
     # a context that no other one shares its anchor with repeats as a whole
     alone = grouped.where("m = 1").select("context", F.array(lo).alias("starts"), F.array(hi).alias("ends"), none.alias("first_starts"), none.alias("first_ends"))
-    wanted = grouped.where("m > 1").groupBy(F.unhex("at.key").alias("key")).agg(F.collect_list(F.struct("context", "anchor", (F.col("m") > MANY).alias("common"), "left", "length", "n", "at")).alias("wanted"))
-    bodies = stages.write(long.select("key", "text").join(wanted, "key").mapInArrow(_bodies, f"context binary, anchor long, common boolean, left int, body binary, n long, {_AT}"), "bodies", large=True)
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(bodies) >> 20)
-    searched = bodies.where("not common").repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
-    ranges = searched.unionByName(alone)
-    common = bodies.where("common")
-    if not common.isEmpty():
-        ranges = ranges.unionByName(_common(common, size, stages))
-    ranges = stages.write(ranges, "ranges", large=True)
-    stages.drop(bodies)
-    del searched, alone, common, wanted, grouped, many, repeated, marked, packed
+    def bodies(which: str) -> DataFrame:
+        wanted = grouped.where(which).groupBy(F.unhex("at.key").alias("key")).agg(F.collect_list(F.struct("context", "anchor", "left", "length", "n", "at")).alias("wanted"))
+        return long.select("key", "text").join(wanted, "key").mapInArrow(_bodies, f"context binary, anchor long, left int, body binary, n long, {_AT}")
+
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(cut) >> 20)
+    searched = bodies(f"m > 1 and m <= {MANY}").repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
+    ranges = stages.write(searched.unionByName(alone), "ranges", large=True)
+    if not many.where(f"m > {MANY}").isEmpty():
+        ranges = ranges.unionByName(stages.write(_common(bodies(f"m > {MANY}"), size, stages), "common", large=True))
+    del searched, alone, bodies, grouped, many, repeated, marked, packed
     if not keep_first:
         stages.drop(distinct)
     places = cut.select("context", "key", "place", "left", "length").join(ranges, "context")
