@@ -9,8 +9,11 @@ Intervals are laid out by ``span``-day periods, so that the as-of join is an equ
 entries of one period behind it: a rule with a long history, or one that a third of all captures ask for, multiplies
 nothing. Ties: the last entry in ``seq`` of a rule and day holds. Of several active rules the longest is reported.
 
+A URL is looked up only as deep as the list has rules: of hosts and paths with more parts than any rule, the other parts
+are not spelled out, so work on a URL grows with its length, not with its square. Two numbers tell how deep that is.
+
 Null, empty or unparsable URLs have a null host and are never blocked, nor is a capture without a day. Entries without a
-rule or a day are left out.
+rule or a day are left out. An empty list blocks nothing. Columns besides those named are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More rows than this are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+from .shared import bounded
 
 
 def host_of(url: Column) -> Column:
@@ -41,13 +43,25 @@ def intervals(entries: DataFrame) -> DataFrame:
     return last.select("rule", F.col("day").alias("day_from"), F.lead("day").over(w).alias("day_to"), "action")
 
 
-def rules_of(url: Column) -> Column:
-    """All rules that could match: each host suffix of two labels or more, alone and with each leading directory."""
-    labels = F.split(host_of(url), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    heads = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))))
-    return F.when(host_of(url).isNotNull(), F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(heads, lambda p: F.concat(h, p))))))
+def rules_of(url: Column, labels: int, heads: int) -> Column:
+    """All rules of up to ``labels`` host labels and ``heads`` directories that could match.
+
+    These are each host suffix of two labels or more (a host's only label, if it has one), alone and with each leading path.
+    """
+    split = F.split(host_of(url), r"\.")
+    least = F.least(F.lit(2), F.size(split))
+    sizes = F.when(F.lit(labels) >= least, F.sequence(least, F.least(F.size(split), F.lit(labels))))
+    hosts = F.transform(sizes, lambda k: F.array_join(F.slice(split, -k, k), "."))
+    parts = F.slice(F.filter(F.split(path_of(url), "/"), lambda p: p != ""), 1, heads) if heads else F.array().cast("array<string>")
+    paths = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))))
+    return F.when(host_of(url).isNotNull(), F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+
+
+def depth_of(rules: DataFrame) -> tuple[int, int]:
+    """The most host labels and the most directories of ``rules`` (rule)."""
+    parts = F.split("rule", "/")
+    row = rules.agg(F.max(F.size(F.split(F.get(parts, F.lit(0)), r"\."))), F.max(F.size(parts) - 1)).first()
+    return row[0] or 0, row[1] or 0
 
 
 def judged(captures: DataFrame, entries: DataFrame, span: int = 64) -> DataFrame:
@@ -61,10 +75,9 @@ def judged(captures: DataFrame, entries: DataFrame, span: int = 64) -> DataFrame
     valid = intervals(entries).where("action = 'on'")
     until = F.greatest(F.coalesce(F.col("day_to") - 1, F.lit(end).cast("long")), F.col("day_from"))
     laid = valid.select("rule", "day_from", "day_to", F.explode(F.sequence(F.floor(F.col("day_from") / span), F.floor(until / span))).alias("period"))
-    few = laid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keys = captures.select("*", F.explode_outer(rules_of(F.col("url"))).alias("key"), F.floor(F.col("day") / span).alias("at"))
+    keys = captures.select("*", F.explode_outer(rules_of(F.col("url"), *depth_of(valid))).alias("key"), F.floor(F.col("day") / span).alias("at"))
     active = (F.col("key") == F.col("rule")) & (F.col("at") == F.col("period")) & (F.col("day") >= F.col("day_from")) & (F.col("day_to").isNull() | (F.col("day") < F.col("day_to")))
-    met = keys.join(F.broadcast(laid) if few else laid, active, "left")
+    met = keys.join(bounded(laid), active, "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", F.col("day_from").alias("since"))))
     out = met.groupBy("capture_id", "url", "day").agg(best.alias("best"))
     return out.select("capture_id", "url", "day", host_of(F.col("url")).alias("host"), F.col("best").isNotNull().alias("blocked"), F.col("best.rule").alias("rule"), F.coalesce("best.since", F.lit(-1)).alias("since"))
@@ -114,6 +127,3 @@ m AS (
 SELECT u.page_id, u.host, u.day, m.rule IS NOT NULL AS blocked, m.rule, CAST(coalesce(m.day_from, -1) AS BIGINT) AS since
 FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.k = 1
 """
-
-
-__all__ = ["BROADCAST_ROWS", "host_of", "intervals", "judged", "op5", "path_of", "rules_of", "sample_list"]

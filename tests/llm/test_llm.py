@@ -280,6 +280,31 @@ def test_urls(spark):
         ads = d is not None and k // 1000 == 3 and d >= 5
         assert got[k] == ((True, "bad.org", 10 if d < 20 else 200) if bad else (True, "x.net/ads", 5) if ads else (False, None, -1)), (u, d)
     assert url_lists.op5(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "http://bad.org/", 15, "x", "y")], "capture_id long, url string, day long, rule string, period string")
+    assert url_lists.judged(clash, entries).first().blocked and not url_lists.judged(clash, entries.limit(0)).first().blocked
+
+
+def test_long_urls(spark):
+    """URLs of a megabyte, with as many directories, labels, or neither."""
+    entries = spark.createDataFrame([("bad.org/a/b", 0, 0, "on"), ("y.z", 0, 0, "on")], "rule string, day long, seq int, action string")
+    urls = ["http://bad.org/a/b" + "/d" * 500_000, "http://bad.org/a" + "/d" * 500_000, "http://" + "q." * 500_000 + "y.z/", "http://bad.org/a/b/" + "x" * 1_000_000]
+    rows = spark.createDataFrame([(k, u, 5) for k, u in enumerate(urls)], "capture_id long, url string, day long")
+    assert {r.capture_id: r.rule for r in url_lists.judged(rows, entries).collect()} == {0: "bad.org/a/b", 1: None, 2: "y.z", 3: "bad.org/a/b"}
+
+
+def test_rules_of_every_depth(spark):
+    """All suffixes and heads that plain Python finds, within the depth asked for."""
+    urls = ["http://a.b.c.d/x/y//z?q", "http://only/x", "http://b.c", "ftp://u@B.c:80/x#f", "bad", None]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    for labels, heads in ((9, 9), (2, 1), (3, 0), (1, 2)):
+        for u, got in frame.select("url", url_lists.rules_of(F.col("url"), labels, heads).alias("r")).collect():
+            if u in ("bad", None):
+                assert not got
+                continue
+            host, path = {0: ("a.b.c.d", "x/y/z"), 1: ("only", "x"), 2: ("b.c", ""), 3: ("b.c", "x")}[urls.index(u)]
+            h, p = host.split("."), [x for x in path.split("/") if x]
+            want = {".".join(h[-k:]) + "".join("/" + x for x in p[:j]) for k in range(min(2, len(h)), min(labels, len(h)) + 1) for j in range(min(heads, len(p)) + 1)}
+            assert set(got or []) == want, (u, labels, heads)
 
 
 def test_token_counts(odd, none):
