@@ -216,6 +216,41 @@ def test_fingerprints(spark, odd, none):
     assert fingerprints.against_next(odd.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_likeness_by_force(spark):
+    """near_edited and near_next are the share of runs in common, worked out without any tree; the tree comes back from its text."""
+    from spanloom.llm.bytetext import Words
+
+    r, rows = random.Random(14), []
+    lines = [" ".join(r.choice("red green blue grey ash oak elm".split()) for _ in range(r.randint(0, 9))) for _ in range(12)]
+    for k in range(40):
+        rows.append((k, r.choice(["\n", "\r\n", "\n\n"]).join(r.choice(lines) for _ in range(r.randint(0, 12)))))
+    rows += [(40, None), (41, ""), (42, "\n \n"), (43, "\n\n")]
+
+    def runs(text):
+        out = Counter()
+        for line in text.split("\n"):
+            now = []
+            for w in line.encode().split():
+                now.append(w)
+                if not int(Words([w], lower=False).hash[0]) & 3:
+                    out[tuple(now)] += 1
+                    now = []
+            out[tuple(now)] += bool(now)
+        return +out
+
+    def alike(x, y):
+        a, b = runs(x), runs(y)
+        total = a.total() + b.total()
+        return 1.0 if x == y else 2 * (a & b).total() / total if total else 0.0
+
+    texts = {k: t or "" for k, t in rows}
+    for x in fingerprints.against_next(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t, after = texts[x.doc_id], texts[x.doc_id - 1 if x.doc_id else 43]
+        e = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert (x.near_edited, x.near_next) == (pytest.approx(alike(t, e)), pytest.approx(alike(t, after))), x.doc_id
+        assert fingerprints.Tree.of(x.fingerprint).text == x.fingerprint
+
+
 def test_differences():
     a = "\n".join(f"line {k} of the text" for k in range(40))
     b = a.replace("line 20 of", "line twenty of")
