@@ -10,8 +10,9 @@ dealt out so that all which share ``size`` bytes meet:
    et al., 2003). Equal strings have equal anchors at equal offsets; about one position in 85 is one. Anchors that occur
    once are dropped.
 3. Around each other anchor its context is cut: all strings of which it is the anchor, which start one after the other.
-   Equal contexts become one, with its number and first place. Contexts are dealt by anchor; the contexts of an anchor
-   with more than ``MANY`` are cut further, into single strings dealt by themselves, of which again equal ones become one.
+   Equal contexts become one, with its number and first place. Contexts are dealt by anchor; those of an anchor with more
+   than ``MANY`` are cut further, into single strings dealt by digest. Equal ones become one there, too, and do so first
+   among the contexts of each task, so that neither a common anchor nor a common string is gathered anywhere.
 4. For each other anchor, suffixes of its contexts are sorted and longest previous and next factors found. A factor of more
    than ``size`` bytes covers the starts behind it as well, so only starts that no factor covers yet become suffixes,
    along with those that can share ``size`` bytes with them, as a hash of each string tells beforehand.
@@ -26,6 +27,7 @@ place of a string that starts anywhere else as well.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,54 +164,104 @@ def _contexts(size: int):
     return run
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the contexts to cut from them to (context, anchor, left, body, n, at)."""
-    for batch in batches:
-        kind = batch.schema.field("wanted").type.value_type.field("at").type
-        kinds, names = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), kind], ["context", "anchor", "left", "body", "n", "at"]
-        for at in range(0, batch.num_rows, 500):
-            out = []
-            piece = batch.slice(at, 500)
-            for text, wanted in zip(as_bytes(piece.column("text")), piece.column("wanted").to_pylist(), strict=True):
-                for w in wanted:
-                    start = w["at"]["place"] - w["left"]
-                    out.append((w["context"], w["anchor"], w["left"], text[start : start + w["length"]], w["n"], w["at"]))
-                if len(out) >= _BLOCK:
-                    yield _batch(out, kinds, names)
-                    out = []
-            yield _batch(out, kinds, names)
-    release()
+#: Rows to search, all in one shuffle: contexts by anchor; strings of very common anchors by digest; what is known already.
+_CONTEXT, _STRINGS, _KNOWN = 0, 1, 2
+_ROWS = f"kind int, deal long, context binary, left int, body binary, n long, {_AT}, more binary"
+
 
+def _place(at: dict) -> bytes:
+    """A context's first place as bytes that sort like it."""
+    return bytes([at["z"]]) + (at["low"] + (1 << 63)).to_bytes(8, "big") + bytes.fromhex(at["key"]) + at["place"].to_bytes(8, "big")
 
-def _singles(size: int):
-    """Contexts to (context, n, at, start, strings): digests of the strings of which the anchor is theirs, in order.
 
-    start: where the first one starts, from the anchor.
+def _bodies(size: int, parts: int):
+    """Texts with the contexts to cut from them to rows to search.
+
+    Contexts of very common anchors are taken some thousand at a time. Strings that are in several of these are known to
+    repeat; for all others of their kind, elsewhere, the one of the first context goes on, with its digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            starts, strings = [], []
-            for body, left in zip(batch.column("body").to_pylist(), batch.column("left").to_pylist(), strict=True):
-                lo, hi = max(0, left - (size - GRAM)), min(left, len(body) - size)
-                starts.append(lo - left)
-                strings.append([hashlib.blake2b(body[x : x + size], digest_size=16).digest() for x in range(lo, hi + 1)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("context", "n", "at")), pa.array(starts, pa.int32()), pa.array(strings, pa.list_(pa.binary()))], names=["context", "n", "at", "start", "strings"])
+        held: list[tuple] = []
+        at = None
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), at, pa.binary()]
+            return _batch(rows, kinds, ["kind", "deal", "context", "left", "body", "n", "at", "more"])
+
+        for batch in batches:
+            at = batch.schema.field("wanted").type.value_type.field("at").type
+            for piece in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                out = []
+                for text, wanted in zip(as_bytes(piece.column("text")), piece.column("wanted").to_pylist(), strict=True):
+                    for w in wanted:
+                        start = w["at"]["place"] - w["left"]
+                        row = (w["context"], w["left"], text[start : start + w["length"]], w["n"], w["at"])
+                        if w["common"]:
+                            held.append(row)
+                        else:
+                            out.append((_CONTEXT, w["anchor"], *row, None))
+                    if len(out) >= _BLOCK:
+                        yield made(out)
+                        out = []
+                yield made(out)
+                if len(held) >= _BLOCK // 4:
+                    yield made(_singles(held, size, parts))
+                    held = []
+        if held:
+            yield made(_singles(held, size, parts))
         release()
 
     return run
 
 
-def _common(bodies: DataFrame, size: int, stages: Stages) -> DataFrame:
-    """What ``_found`` gives, for contexts of very common anchors: each string by its digest, in any number of contexts."""
-    cut = stages.write(bodies.mapInArrow(_singles(size), f"context binary, n long, {_AT}, start int, strings array<binary>"), "singles")
-    each = cut.select("context", "n", "at", "start", F.posexplode("strings").alias("k", "string"))
-    again = each.groupBy("string").agg(F.sum("n").alias("c"), F.min("at").alias("first")).where("c > 1")
-    hit = each.join(again, "string").select("context", (F.col("start") + F.col("k")).alias("x"), (F.col("first") < F.col("at")).alias("later"))
-    lists = hit.groupBy("context").agg(F.array_sort(F.collect_list("x")).alias("a"), F.array_sort(F.collect_list(F.when(F.col("later"), F.col("x")))).alias("b"))
-    begins = lambda c: F.filter(c, lambda x, k: (k == 0) | (F.get(F.col(c), k - 1) != x - 1))
-    ends = lambda c: F.transform(F.filter(c, lambda x, k: (k == F.size(c) - 1) | (F.get(F.col(c), k + 1) != x + 1)), lambda x: x + size)
-    return lists.select("context", begins("a").alias("starts"), ends("a").alias("ends"), begins("b").alias("first_starts"), ends("b").alias("first_ends"))
+_SINGLE = np.dtype([("context", "S16"), ("x", "<i4"), ("string", "<u8", 2), ("place", "S33"), ("again", "?")])
+
+
+def _singles(rows: list[tuple], size: int, parts: int) -> list[tuple]:
+    """Contexts to what is known of their strings, and one of each string for the search, packed by its digest."""
+    rank = np.empty(len(rows), np.int64)
+    places = [_place(r[4]) for r in rows]
+    rank[sorted(range(len(rows)), key=places.__getitem__)] = np.arange(len(rows))
+    span = [(max(0, left - (size - GRAM)), min(left, len(body) - size)) for _, left, body, *_ in rows]
+    ctx = np.repeat(np.arange(len(rows)), [hi - lo + 1 for lo, hi in span])
+    x = np.concatenate([np.arange(lo, hi + 1) for lo, hi in span])
+    digest = b"".join(hashlib.blake2b(body[k : k + size], digest_size=16).digest() for (_, _, body, *_), (lo, hi) in zip(rows, span, strict=True) for k in range(lo, hi + 1))
+    string = np.frombuffer(digest, "<u8").reshape(-1, 2)
+    order = np.lexsort((rank[ctx], string[:, 1], string[:, 0]))
+    lead = np.ones(len(order), bool)
+    lead[1:] = (string[order][1:] != string[order][:-1]).any(1)
+    kind = np.cumsum(lead) - 1
+    times = np.bincount(kind, np.array([r[3] for r in rows])[ctx[order]])  # occurrences of each string
+    later, again = np.empty(len(order), bool), np.empty(len(order), bool)
+    later[order], again[order] = ~lead, times[kind] > 1
+    known = []
+    for r, a, b in zip(rows, *(_ranges(f, ctx, x, len(rows), size) for f in (again, later)), strict=True):
+        if a or b:
+            # the context's name spreads these rows
+            known.append((_KNOWN, int.from_bytes(r[0][:7], "little"), r[0], r[1], None, None, None, pickle.dumps((a, b))))
+    one = order[lead]
+    packed = np.empty(len(one), _SINGLE)
+    packed["context"], packed["place"] = np.array([r[0] for r in rows], "S16")[ctx[one]], np.array(places, "S33")[ctx[one]]
+    packed["x"], packed["string"], packed["again"] = x[one] - np.array([r[1] for r in rows])[ctx[one]], string[one], again[one]
+    part = string[one, 0] % np.uint64(parts)
+    by = np.argsort(part, kind="stable")
+    return known + [(_STRINGS, int(part[by[a]]), None, None, None, None, None, packed[by[a:b]].tobytes()) for a, b in runs(part[by])]
+
+
+def _again(packed: list[bytes], size: int) -> list[tuple]:
+    """(context, ranges anywhere, ranges before) of single strings of one part that others have as well."""
+    rows = np.concatenate([np.frombuffer(p, _SINGLE) for p in packed])
+    rows = rows[np.lexsort((rows["place"], rows["string"][:, 1], rows["string"][:, 0]))]
+    same = (rows["string"][1:] == rows["string"][:-1]).all(1)
+    later = np.concatenate([[False], same])
+    anywhere = later | np.append(same, False)
+    hit = rows[anywhere]
+    out = []
+    for r, b in zip(hit, later[anywhere].tolist(), strict=True):
+        run = [(int(r["x"]), int(r["x"]) + size)]
+        out.append((r["context"].ljust(16, b"\0"), run, run if b else []))
+    return out
 
 
 def longest_factors(order: np.ndarray, lcp: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -354,7 +406,8 @@ def _ranges(flag: np.ndarray, ctx: np.ndarray, at: np.ndarray, n: int, size: int
 
 
 def _found(size: int, keep_first: bool):
-    """Contexts sorted by anchor to (context, starts, ends, first_starts, first_ends), from the anchor."""
+    """Rows to search, sorted by kind and deal, to (context, starts, ends, first_starts, first_ends), from the anchor."""
+    kinds, columns = [pa.binary(), *[pa.list_(pa.int32())] * 4], ["context", "starts", "ends", "first_starts", "first_ends"]
 
     def make(rows: list[tuple]) -> pa.RecordBatch:
         name = {x: k for k, x in enumerate(dict.fromkeys(r[1] for r in rows))}
@@ -369,22 +422,30 @@ def _found(size: int, keep_first: bool):
         for r, x, y in zip(rows, *(_ranges(f, ctx, at, len(rows), size) for f in (anywhere, before)), strict=True):
             if x or y or keep_first:
                 out.append((r[0], *([v[k] - r[2] for v in z] for z in (x, y) for k in (0, 1))))
-        kinds = [pa.binary(), *[pa.list_(pa.int32())] * 4]
-        return _batch(out, kinds, ["context", "starts", "ends", "first_starts", "first_ends"])
+        return _batch(out, kinds, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        names = ["context", "anchor", "left", "body", "n", *(["at"] if keep_first else [])]
+        names = ["kind", "deal", "context", "left", "body", "n", *(["at"] if keep_first else []), "more"]
         for piece in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
-            for row in zip(*(piece.column(c).to_pylist() for c in names), strict=True):
-                if len(held) >= MANY and row[1] != held[-1][1]:
-                    yield make(held)
+            for kind, deal, context, *row, more in zip(*(piece.column(c).to_pylist() for c in names), strict=True):
+                if held and (kind != held[0][0] or deal != held[-1][1] and (kind == _STRINGS or len(held) >= MANY)):
+                    yield from made(held)
                     held = []
-                held.append(row)
-        if held:
-            yield make(held)
+                held.append((kind, deal, context, *row, more))
+        yield from made(held)
         release()
 
+    def made(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if held and held[0][0] == _CONTEXT:
+            yield make([(r[2], r[1], *r[3:-1]) for r in held])
+        elif held and held[0][0] == _STRINGS:
+            found = _again([r[-1] for r in held], size)
+            yield _batch([(c, *([v[k] for v in z] for z in (x, y) for k in (0, 1))) for c, x, y in found], kinds, columns)
+        elif held:
+            found = [(r[2], r[3], *pickle.loads(r[-1])) for r in held]
+            yield _batch([(c, *([v[k] - left for v in z] for z in (x, y) for k in (0, 1))) for c, left, x, y in found], kinds, columns)
+
     return run
 
 
@@ -428,22 +489,18 @@ def _removed(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
     cut = stages.write(long.select("key", "text", "low").join(marked, "key").mapInArrow(_contexts(size), "context binary, anchor long, left int, length int, place long, key binary, low long"), "contexts", large=True)
     place = F.struct(F.col("low").isNull().alias("z"), F.coalesce("low", F.lit(0)).alias("low"), F.hex("key").alias("key"), "place")
     distinct = stages.write(cut.groupBy("context", "anchor", "left", "length").agg(F.count("*").alias("n"), F.min(place).alias("at")), "distinct", large=True)
-    many = distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.max("n").alias("top")).where("m > 1 or top > 1")
+    many = stages.write(distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.max("n").alias("top")).where("m > 1 or top > 1"), "many")
     grouped = distinct.join(many, "anchor")
     lo, hi = F.greatest(-F.col("left"), F.lit(GRAM - size)), F.least(F.lit(0), F.col("length") - F.col("left") - size) + size
     none = F.array().cast("array<int>")
     # a context that no other one shares its anchor with repeats as a whole
     alone = grouped.where("m = 1").select("context", F.array(lo).alias("starts"), F.array(hi).alias("ends"), none.alias("first_starts"), none.alias("first_ends"))
-    def bodies(which: str) -> DataFrame:
-        wanted = grouped.where(which).groupBy(F.unhex("at.key").alias("key")).agg(F.collect_list(F.struct("context", "anchor", "left", "length", "n", "at")).alias("wanted"))
-        return long.select("key", "text").join(wanted, "key").mapInArrow(_bodies, f"context binary, anchor long, left int, body binary, n long, {_AT}")
-
+    wanted = grouped.where("m > 1").groupBy(F.unhex("at.key").alias("key")).agg(F.collect_list(F.struct("context", "anchor", (F.col("m") > MANY).alias("common"), "left", "length", "n", "at")).alias("wanted"))
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), planned_bytes(cut) >> 20)
-    searched = bodies(f"m > 1 and m <= {MANY}").repartition(spread, "anchor").sortWithinPartitions("anchor").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
+    rows = long.select("key", "text").join(wanted, "key").mapInArrow(_bodies(size, spread), _ROWS)
+    searched = rows.repartition(spread, "kind", "deal").sortWithinPartitions("kind", "deal").mapInArrow(_found(size, keep_first), "context binary, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>")
     ranges = stages.write(searched.unionByName(alone), "ranges", large=True)
-    if not many.where(f"m > {MANY}").isEmpty():
-        ranges = ranges.unionByName(stages.write(_common(bodies(f"m > {MANY}"), size, stages), "common", large=True))
-    del searched, alone, bodies, grouped, many, repeated, marked, packed
+    del searched, alone, rows, wanted, grouped, many, repeated, marked, packed
     if not keep_first:
         stages.drop(distinct)
     places = cut.select("context", "key", "place", "left", "length").join(ranges, "context")
