@@ -1,22 +1,27 @@
 """Quality classifier by co-training (Blum and Mitchell, "Combining Labeled and Unlabeled Data with Co-Training", 1998).
 
 Two logistic regressions see different views: the text's content, and the metadata of its page (language, source,
-length). Both start from the labelled rows. In each round each view labels those unlabelled documents of which it is
-confident, and hands them to the other one as pseudo-labels. At the end each view is calibrated on labelled rows that it
-hasn't learned from, and all documents are scored by the sum of the calibrated log-odds, each weighted by how much its
-view tells there (0 if nothing).
-
-Fitting sees bounded samples, ``Fit.labelled`` and ``Fit.pool`` rows chosen by a hash of the id; scoring sees all rows
-and whole texts. Only features of the samples, a few numbers a row, come to the driver. Rows with a null id, or labelled
-both ways, aren't learned from. Null or empty text has its own feature, null metadata a category of its own. Without
-labels of both classes every document scores 1.
+length). Both start from the labelled rows. In each round each view labels all unlabelled documents of which it is
+confident, and the other one learns from these pseudo-labels as well: together they weigh half as much as the labelled rows
+at most, one by one half as much. At the end each view is calibrated on labelled rows that it hasn't learned from, and all
+documents are scored by the sum of the calibrated log-odds, each weighted by how much its view tells there (0 if nothing).
+
+Fitting sees at most ``Fit.labelled`` labelled rows, chosen by a hash of the id, and every unlabelled row. Features are
+worked out once and written. A document's metadata is one of at most 12,288 codes, so what the text view says of all
+documents comes to the metadata view as counts by code; what the metadata view says is a table by code, with which each
+Newton step of the text view sums its slope and curvature over all unlabelled rows. Only counts by code and those sums
+come to the driver, and the features of the labelled sample.
+
+Rows with a null id, or labelled both ways, aren't learned from; repeated rows are rows like others. Null or empty text has
+its own feature, null metadata a category of its own, and texts of any length are read whole. Without labels of both classes
+every document scores 1.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, as_bytes, chunks
-from .shared import unused
+from .shared import Stages, unused
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "other": range(128, 256), "space": (32, 9, 13), "line": (10,), "stop": b".,;:?'\"-()", "bang": b"!", "bar": b"|<>{}[]\\/=+_~^`", "odd": b"#$%&*@"}
 _KIND = np.full(256, len(_CLASSES), np.uint8)
 for _k, _v in enumerate(_CLASSES.values()):
     _KIND[list(_v)] = _k
 N_TEXT = 2 * (len(_CLASSES) + 7) + 1
-_SOURCES = 64
-N_META = 16 + _SOURCES + 12
+_LANGS, _SOURCES, _LENGTHS = 16, 64, 12
+N_META, N_CODES = _LANGS + _SOURCES + _LENGTHS, _LANGS * _SOURCES * _LENGTHS
 
 
 @dataclass(frozen=True)
 class Fit:
     labelled: int = 4000
-    pool: int = 4000
     rounds: int = 3
     confident: float = 0.95
-    per_round: int = 400
+    steps: int = 12  # of Newton at most, where the pool is summed anew for each
     keep_from: float = 0.5
 
 
@@ -74,29 +78,42 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def meta_features(lang: list, source: list, length: list) -> np.ndarray:
-    out = np.zeros((len(lang), N_META))
-    rows = np.arange(len(lang))
-    out[rows, [zlib.crc32(str(x).lower().encode()) % 15 if x is not None else 15 for x in lang]] = 1
-    out[rows, [16 + (zlib.crc32(str(x).encode()) % (_SOURCES - 1) if x is not None else _SOURCES - 1) for x in source]] = 1
-    out[rows, [16 + _SOURCES + (min(10, max(0, int(x)).bit_length() // 2) if x is not None else 11) for x in length]] = 1
+def meta_codes(lang: list, source: list, length: list) -> np.ndarray:
+    """Language, source and length, each in a few hashed or rounded values, as one number."""
+    x = np.array([zlib.crc32(str(v).lower().encode()) % (_LANGS - 1) if v is not None else _LANGS - 1 for v in lang], np.int64)
+    y = np.array([zlib.crc32(str(v).encode()) % (_SOURCES - 1) if v is not None else _SOURCES - 1 for v in source], np.int64)
+    z = np.array([min(10, max(0, int(v)).bit_length() // 2) if v is not None else _LENGTHS - 1 for v in length], np.int64)
+    return ((x * _SOURCES + y) * _LENGTHS + z).reshape(-1)
+
+
+def meta_features(codes: np.ndarray) -> np.ndarray:
+    """Codes as three ones each among ``N_META`` columns."""
+    out, rows = np.zeros((len(codes), N_META)), np.arange(len(codes))
+    out[rows, codes // _LENGTHS // _SOURCES] = 1
+    out[rows, _LANGS + codes // _LENGTHS % _SOURCES] = 1
+    out[rows, _LANGS + _SOURCES + codes % _LENGTHS] = 1
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the constant."""
+def sums_of(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope and curvature of the logistic loss of some rows, one after the other; the last weight is the constant."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    p = _sigmoid(x @ w)
+    return np.concatenate([x.T @ (weight * (p - y)), ((x * (weight * p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30, more: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; ``more`` gives the sums of further rows."""
+    n = x.shape[1] + 1
+    w, penalty = np.zeros(n), np.full(n, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        slope = x.T @ (weight * (p - y)) + penalty * w
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(curve, slope)
-        w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        sums = sums_of(x, y, weight, w) + (more(w) if more else 0)
+        step = np.linalg.solve(sums[n:].reshape(n, n) + np.diag(penalty + 1e-9), sums[:n] + penalty * w)
+        w = w - step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < (1e-4 if more else 1e-6):
             break
-    return w
+    return np.round(w, 8)  # beyond that the order of summing shows
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -116,69 +133,141 @@ class Model:
     prior: float
     exchanged: tuple[int, int]
 
-    def views(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Calibrated log-odds of each view."""
-        return tuple(c[0] * _odds((x - m) / s, w) + c[1] for x, w, (m, s), c in zip((text, meta), self.weights, self.scale, self.calibration, strict=True))
+    def view(self, v: int, features: np.ndarray) -> np.ndarray:
+        """Calibrated log-odds of a view."""
+        m, s = self.scale[v]
+        return self.calibration[v][0] * _odds((features - m) / s, self.weights[v]) + self.calibration[v][1]
 
-    def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.views(text, meta)
+    def score(self, text: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.view(0, text), self.view(1, meta_features(codes))
         both = self.prior + self.shares[0] * (a - self.prior) + self.shares[1] * (b - self.prior)
         return _sigmoid(a), _sigmoid(b), _sigmoid(both)
 
 
-def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, fit: Fit = Fit()) -> Model | None:
-    """label: 1, 0, or -1 of unlabelled rows. Every fourth labelled row is held back for calibration."""
-    known = np.flatnonzero(label >= 0)
-    held, learn = known[3::4], np.delete(known, np.s_[3::4])
+class Pool:
+    """Unlabelled rows held in memory: text features and codes. ``Table`` has the same of a DataFrame."""
+
+    def __init__(self, text: np.ndarray, codes: np.ndarray):
+        self.text, self.codes = text, codes
+
+    def counts(self) -> np.ndarray:
+        """Rows by code."""
+        return np.bincount(self.codes, minlength=N_CODES)
+
+    def named(self, odds: Callable[[np.ndarray], np.ndarray], least: float) -> np.ndarray:
+        """(2, code): rows that a view of the text is confident are of class 0, and 1."""
+        z = odds(self.text)
+        return np.stack([np.bincount(self.codes[k], minlength=N_CODES) for k in (z <= -least, z >= least)])
+
+    def sums(self, w: np.ndarray, scale: tuple[np.ndarray, np.ndarray], label: np.ndarray) -> np.ndarray:
+        """``sums_of`` the rows whose code has a label of 0 or 1."""
+        y = label[self.codes]
+        some = y >= 0
+        return sums_of((self.text[some] - scale[0]) / scale[1], y[some].astype(float), np.ones(some.sum()), w)
+
+
+class Table:
+    """A pool of the rows of a DataFrame (text, code)."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("text", "code")
+
+    def _total(self, make: Callable[[Pool], np.ndarray]) -> np.ndarray:
+        """The sum over all batches of what ``make`` gives for one, as many numbers each time: one row of them a task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    made = make(Pool(_stacked(batch.column("text")), np.asarray(batch.column("code")).astype(np.int64))).ravel()
+                    total = made if total is None else total + made
+            if total is not None:
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(float))], names=["k", "v"])
+
+        rows = self.rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        size = 1 + max([r.k for r in rows], default=-1)
+        out = np.zeros(size)
+        out[[r.k for r in rows]] = [r.v for r in rows]
+        return out
+
+    def counts(self) -> np.ndarray:
+        return _padded(self._total(lambda p: p.counts()), N_CODES)
+
+    def named(self, odds: Callable[[np.ndarray], np.ndarray], least: float) -> np.ndarray:
+        return _padded(self._total(lambda p: p.named(odds, least)), 2 * N_CODES).reshape(2, -1)
+
+    def sums(self, w: np.ndarray, scale: tuple[np.ndarray, np.ndarray], label: np.ndarray) -> np.ndarray:
+        return _padded(self._total(lambda p: p.sums(w, scale, label)), len(w) + len(w) ** 2)
+
+
+def _padded(x: np.ndarray, size: int) -> np.ndarray:
+    return np.concatenate([x, np.zeros(size - len(x))])
+
+
+def _stacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, N_TEXT).astype(float)
+
+
+def train(text: np.ndarray, codes: np.ndarray, label: np.ndarray, pool: Pool | Table | None = None, fit: Fit = Fit()) -> Model | None:
+    """From labelled rows (label: 1 or 0) and a pool of unlabelled ones. Every fourth labelled row is for calibration."""
+    held, learn = np.arange(len(label))[3::4], np.delete(np.arange(len(label)), np.s_[3::4])
     if len(set(label[learn])) < 2 or len(set(label[held])) < 2:
         return None
-    pool = np.flatnonzero(label < 0)
-    scale = tuple((x[learn].mean(0), np.maximum(x[learn].std(0), 1e-3)) for x in (text, meta))
-    x = [(v - m) / s for v, (m, s) in zip((text, meta), scale, strict=True)]
-    y = label[learn].astype(float)
-    gained: list[dict[int, float]] = [{}, {}]
-    weights, calibration = [None, None], [None, None]
+    view = (text, meta_features(codes))
+    scale = tuple((x[learn].mean(0), np.maximum(x[learn].std(0), 1e-3)) for x in view)
+    x = [(v - m) / s for v, (m, s) in zip(view, scale, strict=True)]
+    y, base = label[learn].astype(float), label[held].mean()
+    prior = float(np.log((base + 1e-6) / (1 - base + 1e-6)))
+    every = meta_features(np.arange(N_CODES))
+    count = pool.counts() if pool is not None else np.zeros(N_CODES)
+    said = np.zeros((2, N_CODES))  # rows by class and code, as the text view says
+    table = np.full(N_CODES, -1)  # class by code, as the metadata view says
+    weights: list[np.ndarray | None] = [None, None]
+    calibration = [np.array([0.0, prior])] * 2
+    trust = lambda n: 0.5 * min(1.0, len(learn) / max(n, 1))
     for turn in range(fit.rounds + 1):
+        given = (count[table >= 0].sum(), said.sum())
+        of_codes = np.flatnonzero(said.sum(0))
+        hot = (every[of_codes] - scale[1][0]) / scale[1][1]
+        more: list[Callable[[np.ndarray], np.ndarray] | None] = [
+            (lambda w: trust(given[0]) * pool.sums(w, scale[0], table)) if given[0] else None,
+            (lambda w: trust(given[1]) * sum(sums_of(hot, np.full(len(hot), float(c)), said[c, of_codes], w) for c in (0, 1))) if given[1] else None,
+        ]
         for v in (0, 1):
-            rows = np.concatenate([learn, np.array(list(gained[v]), np.int64)])
-            target = np.concatenate([y, np.array(list(gained[v].values()), float)])
-            trust = np.concatenate([np.ones(len(learn)), np.full(len(gained[v]), 0.5)])
-            weights[v] = _fit(x[v][rows], target, trust)
+            weights[v] = _fit(x[v][learn], y, np.ones(len(learn)), steps=30 if v or more[v] is None else fit.steps, more=more[v])
             z = _odds(x[v][held], weights[v])
             # calibration keeps the order: a view that tells nothing has slope 0
             c = _fit(z[:, None], label[held].astype(float), np.ones(len(held)), ridge=0.1)
-            calibration[v] = np.array([max(0.0, c[0]), c[1] if c[0] > 0 else np.log((label[held].mean() + 1e-6) / (1 - label[held].mean() + 1e-6))])
-        if turn == fit.rounds or not len(pool):
+            calibration[v] = c if c[0] > 0 else np.array([0.0, prior])
+        made = Model(tuple(weights), scale, tuple(calibration), (1.0, 1.0), prior, tuple(int(n) for n in given))
+        if turn == fit.rounds or pool is None:
             break
-        for v in (0, 1):
-            p = _sigmoid(calibration[v][0] * _odds(x[v][pool], weights[v]) + calibration[v][1])
-            for sure, value in ((p, 1.0), (1 - p, 0.0)):
-                best = np.argsort(-sure, kind="stable")[: fit.per_round]
-                for k in pool[best[sure[best] >= fit.confident]].tolist():
-                    gained[1 - v].setdefault(k, value)
-    base = label[held].mean()
-    prior = float(np.log((base + 1e-6) / (1 - base + 1e-6)))
+        least = float(np.log(fit.confident / (1 - fit.confident)))
+        odds = made.view(1, every)
+        table = np.where(odds >= least, 1, np.where(odds <= -least, 0, -1))
+        said = pool.named(lambda t, m=made: m.view(0, t), least)
 
     def loss(z: np.ndarray) -> float:
         p = np.clip(_sigmoid(z), 1e-9, 1 - 1e-9)
         t = label[held]
         return float(-(t * np.log(p) + (1 - t) * np.log(1 - p)).mean())
 
-    z = [calibration[v][0] * _odds(x[v][held], weights[v]) + calibration[v][1] for v in (0, 1)]
     entropy = loss(np.full(len(held), prior))
-    shares = tuple(float(np.clip((entropy - loss(k)) / max(entropy, 1e-9), 0, 1)) for k in z)
+    shares = tuple(float(np.clip((entropy - loss(made.view(v, view[v][held]))) / max(entropy, 1e-9), 0, 1)) for v in (0, 1))
     top = max(shares) or 1.0
-    return Model(tuple(weights), scale, tuple(calibration), tuple(s / top for s in shares), prior, (len(gained[0]), len(gained[1])))
+    return replace(made, shares=tuple(s / top for s in shares))
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_features(as_bytes(batch.column("text"))), meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+    text = text_features(as_bytes(batch.column("text"))).astype(np.float32).astype(float)
+    return text, meta_codes(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, meta = _features(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("label"), pa.array(list(text.astype(np.float64)), pa.list_(pa.float64())), pa.array(list(meta.astype(np.float64)), pa.list_(pa.float64()))], names=["rank", "label", "text", "meta"])
+        text, codes = _features(batch)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.tobytes() for t in text.astype(np.float32)], pa.binary()), pa.array(codes.astype(np.int32))], names=["doc_id", "text", "code"])
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -187,33 +276,41 @@ def _typed(docs: DataFrame) -> DataFrame:
     return docs.select(*((F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model | None:
-    """The model for ``labels`` (doc_id, quality), from at most ``fit.labelled`` and ``fit.pool`` rows of ``docs``."""
-    docs = _typed(docs)
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi").select("doc_id", F.col("lo").cast("int").alias("label"))
-    ids = docs.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left").withColumn("rank", F.xxhash64("doc_id"))
-    some = ids.where("label is not null").orderBy("rank", "doc_id").limit(fit.labelled).union(ids.where("label is null").orderBy("rank", "doc_id").limit(fit.pool))
-    rows = docs.join(F.broadcast(some.dropDuplicates(["doc_id"])), "doc_id").mapInArrow(_sampled, "rank long, label int, text array<double>, meta array<double>").toPandas().sort_values("rank")
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, code, label) of each row of ``docs``, written; label: 1, 0, null of unlabelled rows, else -1."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
+    known = known.select("doc_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).cast("int").alias("label"))
+    made = _typed(docs).mapInArrow(_featured, "doc_id long, text binary, code int").join(known, "doc_id", "left")
+    made = made.withColumn("label", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("label")))
+    return Stages(docs.sparkSession, "quality").write(made, "features")
+
+
+def fitted(made: DataFrame, fit: Fit = Fit()) -> Model | None:
+    """The model for ``features``."""
+    some = made.where("label >= 0").orderBy(F.xxhash64("doc_id"), "doc_id", "code", "text").limit(fit.labelled)
+    rows = some.select("label", "code", "text").toPandas()
     if not len(rows):
         return None
-    return train(np.stack(rows["text"]), np.stack(rows["meta"]), rows["label"].fillna(-1).to_numpy().astype(int), fit)
+    text = np.frombuffer(b"".join(map(bytes, rows["text"])), np.float32).reshape(-1, N_TEXT).astype(float)
+    return train(text, rows["code"].to_numpy().astype(np.int64), rows["label"].to_numpy().astype(int), Table(made.where("label is null")), fit)
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     """(doc_id, p_text, p_meta, score, keep) of each row; keep where the score is ``fit.keep_from`` or more."""
-    model = fitted(docs, labels, fit)
+    made = features(docs, labels)
+    model = fitted(made, fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, c = model.score(*_features(batch)) if model else [np.ones(len(batch))] * 3
+            a, b, c = model.score(_stacked(batch.column("text")), np.asarray(batch.column("code")).astype(np.int64)) if model else [np.ones(batch.num_rows)] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.float64()) for x in (a, b, c)), pa.array(c >= fit.keep_from)], names=["doc_id", "p_text", "p_meta", "score", "keep"])
 
-    return _typed(docs).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, keep boolean")
+    return made.select("doc_id", "text", "code").mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, keep boolean")
 
 
 def kept(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    model = fitted(docs, labels, fit)
+    model = fitted(features(docs, labels), fit)
     if model is None:
         return docs
     have = {c.lower(): c for c in docs.columns}
