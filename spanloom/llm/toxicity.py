@@ -2,17 +2,20 @@
 
 A word enters as a vector of its own and the mean of those of its byte 3- and 4-grams, the word's ends marked, from hashed
 tables; the first number of each is the log-odds of toxic among texts that have it, and the highest one of a word's grams
-enters as well. A recurrent layer (GRU) reads a window of words in both directions, attention weighs the states, and a logistic unit scores their sum. A text is read in windows of
-``WINDOW`` words every ``STEP`` words, so that all words are read and neighbouring windows overlap; its score is that of
-its highest window. Training follows the highest window of each training text. Half of the training texts give the log-odds,
-the other half train the network, which so never sees odds that come from a text's own label; other numbers of the tables
-are learned only for words and grams of eight texts or more.
-
-Words are runs of letters and digits (any byte from 0x80 counts as a letter), lower-cased in A-Z; a word that repeats at once counts once. Texts without words, and
-null, have one window without words; its score is what remains of the unit, its constant.
-
-``train`` sees at most ``Fit.rows`` texts of each label, chosen by a hash of the id: whole texts, from the labelled rows
-that aren't held out. The scores of all documents use the text alone.
+enters as well. A recurrent layer (GRU) reads a window of words in both directions, attention weighs the states, and a
+logistic unit scores their sum. A text is read in windows of ``WINDOW`` words every ``STEP`` words, so that all words are
+read and neighbouring windows overlap; its score is that of its highest window. Training follows the highest window of each
+training text. Half of the training texts give the log-odds, the other half train the network, which so never sees odds
+that come from a text's own label; other numbers of the tables are learned only for words and grams of eight texts or more.
+
+Words are runs of letters and digits (any byte from 0x80 counts as a letter), lower-cased in A-Z; a word that repeats at once
+counts once. Texts without words, and null, have one window without words; its score is what remains of the unit, its
+constant.
+
+``train`` sees at most ``Fit.rows`` texts of each label, and as many of them as have ``Fit.megabytes`` together (the first
+one in any case), in the order of a hash of the id: whole texts, from the labelled rows that aren't held out. The scores of
+all documents use the text alone, of any length. Null ids are scored and never learned from, as are labels given both ways;
+of rows that repeat an id one is learned from; without labels of both classes the score is a constant.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import Words, as_bytes, chunks, mix
@@ -38,6 +41,7 @@ _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 @dataclass(frozen=True)
 class Fit:
     rows: int = 1200
+    megabytes: float = 32.0
     epochs: int = 6
     batch: int = 32
     rate: float = 0.01
@@ -261,8 +265,11 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> dict[str, np
     """Trained on ``labels`` (doc_id, toxic) of rows that aren't held out; rows labelled both ways are left out."""
     clean = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = clean.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("hi")).where("toxic = hi")
-    have = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id", "left_semi").distinct().join(known, "doc_id").withColumn("rank", F.xxhash64("doc_id"))
+    own = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).alias("size"))
+    have = own.join(known, "doc_id").groupBy("doc_id").agg(F.max("size").cast("long").alias("size"), F.min("toxic").alias("toxic")).withColumn("rank", F.xxhash64("doc_id"))
     chosen = have.where("toxic = 1").orderBy("rank", "doc_id").limit(fit.rows).union(have.where("toxic = 0").orderBy("rank", "doc_id").limit(fit.rows))
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy("rank", "doc_id")) - F.col("size")
+    chosen = chosen.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= int(fit.megabytes * (1 << 20)))).drop("before", "size")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("rank", "toxic", "text").toPandas().sort_values("rank")
     return train([t.encode() for t in rows["text"]], rows["toxic"].to_numpy().astype(np.int64), fit)
 
@@ -278,5 +285,3 @@ def scored(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= 0.7).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
-
-

@@ -373,10 +373,63 @@ def test_toxicity(spark, odd, none):
     assert len(out) == 900 and list(out.held_out) == [toxicity.held_out(k) for k in out.doc_id]
     assert ((held.predicted == 1) == (held.doc_id % 3 == 0)).mean() > 0.9
     few = toxicity.Fit(rows=40, epochs=1)
+    assert toxicity.scored(docs, known, toxicity.Fit(rows=40, epochs=1, megabytes=0.001)).count() == 900
     assert toxicity.scored(odd.withColumn("score", F.lit(0)), known, few).count() == len(ODD)
     assert toxicity.scored(none, known, few).count() == 0 and toxicity.scored(docs, known.limit(0), few).where("predicted = 1").count() == 0
 
 
+def test_toxicity_scores_by_force():
+    """The scores of a network with random weights, against one that reads word by word in plain Python."""
+    from math import exp, tanh
+
+    from spanloom.llm.bytetext import Words, mix
+
+    p = {k: v.astype(float) for k, v in toxicity._start(3).items()}
+    r = random.Random(15)
+    texts = [" ".join(r.choice(["Tree", "river", "rivers", "stone42", "straße", "x", "tree"]) for _ in range(n)) for n in (0, 1, 2, 23, 24, 25, 43, 90)] + ["a-b!c", "..", "same same SAME other"]
+    sig = lambda x: 1 / (1 + exp(-x))
+    h = toxicity.HIDDEN
+
+    def vector(word):
+        hashed = int(Words([word], lower=False, space=toxicity._BREAK).hash[0])
+        chars, rows = [1, *word, 2], []
+        for k in (3, 4):
+            for at in range(len(chars) - k + 1):
+                code = 0
+                for c in chars[at : at + k]:
+                    code = (code * 257 + c) % (1 << 64)
+                rows.append(int(mix(np.array([(code + (k << 40)) % (1 << 64)], np.uint64))[0]) % toxicity.CHAR_ROWS)
+        own = [p["char"][g] for g in rows]
+        return [*p["word"][hashed % toxicity.WORD_ROWS], *np.mean(own, axis=0), max(x[0] for x in own)]
+
+    def states(window, s):
+        state, out = [0.0] * h, {}
+        for t in range(len(window)) if s == "f" else reversed(range(len(window))):
+            x = np.array(vector(window[t])) @ p[f"x{s}"] + p[f"c{s}"]
+            u = p[f"u{s}"]
+            z, k = ([sig(x[o + i] + sum(state[j] * u[j, o + i] for j in range(h))) for i in range(h)] for o in (0, h))
+            new = [tanh(x[2 * h + i] + sum(k[j] * state[j] * u[j, 2 * h + i] for j in range(h))) for i in range(h)]
+            state = [z[i] * state[i] + (1 - z[i]) * new[i] for i in range(h)]
+            out[t] = state
+        return out
+
+    def score(text):
+        low = "".join(c.lower() if c.isascii() else c for c in text).encode()
+        words = [w for w in bytes(c if not toxicity._BREAK[c] else 32 for c in low).split(b" ") if w]
+        words = [w for k, w in enumerate(words) if not k or w != words[k - 1]]
+        best = []
+        for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+            window = words[at : at + toxicity.WINDOW]
+            f, b = states(window, "f"), states(window, "b")
+            joint = [np.array([*f[t], *b[t]]) for t in range(len(window))]
+            share = [exp(float(np.tanh(v @ p["a"]) @ p["v"])) for v in joint]
+            best.append(float(p["k"][0]) + (sum(w * float(v @ p["o"]) for w, v in zip(share, joint, strict=True)) / sum(share) if window else 0))
+        return sig(max(best))
+
+    got = toxicity.scores(toxicity._start(3), [t.encode() for t in texts])
+    assert got.tolist() == pytest.approx([score(t) for t in texts], abs=1e-5)
+
+
 def test_toxicity_gradient():
     p = {k: v.astype(np.float64) for k, v in toxicity._start(1).items()}
     text = toxicity.Text([b"one two three four one", b"two"])
