@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,9 +16,14 @@ from .text import bound
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edits between two word arrays: each distinct word becomes one character, which ``levenshtein`` then compares.
 
-    Holds for up to 35,000 distinct words in a pair.
+    Characters are Unicode's 1,111,000 beyond the first thousand, without surrogates: more distinct words in a pair than
+    that raise. Time grows with the product of both lengths, for finding words' numbers as for comparing them.
     """
-    char = lambda v, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 19968), 4, "0")), "UTF-16BE")
+
+    def char(v: Column, w: Column) -> Column:
+        at = F.array_position(v, w) + 1000
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(at < 55296, at).otherwise(at + 2048)), 8, "0")), "UTF-32")
+
     coded = lambda v, words: F.array_join(F.transform(words, lambda w: char(v, w)), "")
     return bound(F.array_distinct(F.concat(reference, hypothesis)), lambda v: F.levenshtein(coded(v, reference), coded(v, hypothesis))).cast("long")
 
@@ -26,28 +33,35 @@ def rate(edits: Column, reference: Column, hypothesis: Column) -> Column:
     return F.when(reference == 0, F.when(hypothesis == 0, 0.0).otherwise(1.0)).otherwise(F.bround(edits / reference, 6))
 
 
-def align(reference: list[str], hypothesis: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """(tag, reference word, hypothesis word); going back, a diagonal step is preferred to a deletion, that to an insertion.
+def _choices(reference: np.ndarray, hypothesis: np.ndarray) -> np.ndarray:
+    """For each cell of the edit table how its best path arrives: 0 across, 1 from above (deletion), 2 from the left.
 
-    Rows of the table are kept as byte choices, two bits' worth each.
+    Ties go to the lesser number. A row follows from the one above at once: what comes from the left is the least of what
+    comes otherwise, further left, plus the steps in between.
     """
     n, m = len(reference), len(hypothesis)
-    above = list(range(m + 1))
-    choices = [bytearray(b"\x02" * (m + 1))]
-    for i, word in enumerate(reference, 1):
-        row, choice, left = [i], bytearray(m + 1), i
-        choice[0] = 1
-        for j, other in enumerate(hypothesis, 1):
-            across = above[j - 1] + (word != other)
-            best = min(across, above[j] + 1, left + 1)
-            choice[j] = 0 if best == across else 1 if best == above[j] + 1 else 2
-            row.append(best)
-            left = best
-        above = row
-        choices.append(choice)
-    out, i, j = [], n, m
+    step, out = np.arange(m + 1), np.empty((n + 1, m + 1), np.uint8)
+    out[0], out[:, 0] = 2, 1
+    above = step.copy()
+    for i in range(1, n + 1):
+        across, below = above[:-1] + (reference[i - 1] != hypothesis), above[1:] + 1
+        best = np.concatenate([[i], np.minimum(across, below)])
+        above = np.minimum.accumulate(best - step) + step
+        out[i, 1:] = np.where(across == above[1:], 0, np.where(below == above[1:], 1, 2))
+    return out
+
+
+def _numbered(reference: list[str], hypothesis: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    number: dict[str, int] = {}
+    return tuple(np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (reference, hypothesis))
+
+
+def align(reference: list[str], hypothesis: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """(tag, reference word, hypothesis word); going back, a diagonal step is preferred to a deletion, that to an insertion."""
+    choices = _choices(*_numbered(reference, hypothesis))
+    out, i, j = [], len(reference), len(hypothesis)
     while i or j:
-        c = choices[i][j]
+        c = choices[i, j]
         if c == 0:
             i, j = i - 1, j - 1
             out.append(("equal" if reference[i] == hypothesis[j] else "replace", reference[i], hypothesis[j]))
@@ -60,6 +74,29 @@ def align(reference: list[str], hypothesis: list[str]) -> list[tuple[str, str |
     return out[::-1]
 
 
+#: Fixed value: pairs with more cells than this have no split of their edits, only a distance.
+CELLS = 5_000_000
+
+
+def _split(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.struct([(t, pa.int64()) for t in ("hits", "substitutions", "deletions", "insertions")])
+    for r, h in pairs:
+        rows = []
+        for a, b in zip(r.to_pylist(), h.to_pylist(), strict=True):
+            a, b = a or [], b or []
+            if len(a) * len(b) > CELLS:
+                rows.append(None)
+                continue
+            tags = Counter(op[0] for op in align(list(a), list(b)))
+            rows.append({"hits": tags["equal"], "substitutions": tags["replace"], "deletions": tags["delete"], "insertions": tags["insert"]})
+        yield pa.array(rows, kind)
+
+
+def edit_counts(reference: Column, hypothesis: Column) -> Column:
+    """struct<hits, substitutions, deletions, insertions> of two word arrays, or two texts by character; null beyond ``CELLS``."""
+    return F.arrow_udf(_split, "struct<hits:bigint,substitutions:bigint,deletions:bigint,insertions:bigint>")(reference, hypothesis)
+
+
 _OPS = "array<struct<tag:string,reference:string,hypothesis:string>>"
 
 

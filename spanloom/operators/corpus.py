@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import VOCABULARY, bound, content_tokens, plain_sentences, sentences, source_ratio, squeeze
-from .intervals import window_text
+from .intervals import BUCKET, window_text
 from .windows import fixed_windows
 
 
@@ -35,12 +35,12 @@ def vocabulary(sentences_: DataFrame, top: int | None = None) -> DataFrame:
     return counts if top is None else counts.orderBy(F.desc("n"), "token").limit(top)
 
 
-def fixed_pairs(meetings: DataFrame, whisper: DataFrame, ctc: DataFrame, clean: DataFrame, width: float = 30.0) -> DataFrame:
+def fixed_pairs(meetings: DataFrame, whisper: DataFrame, ctc: DataFrame, clean: DataFrame, width: float = 30.0, bucket: float | None = BUCKET) -> DataFrame:
     """Three texts of each fixed window in which none is empty."""
     w = fixed_windows(meetings, width)
     out = w
     for name, segments in (("whisper", whisper), ("ctc", ctc), ("clean", clean)):
-        out = out.join(window_text(w, segments).select("meeting_id", "window_id", F.col("text").alias(name)), ["meeting_id", "window_id"])
+        out = out.join(window_text(w, segments, bucket=bucket).select("meeting_id", "window_id", F.col("text").alias(name)), ["meeting_id", "window_id"])
     return out.where("whisper <> '' and ctc <> '' and clean <> ''")
 
 
@@ -66,13 +66,13 @@ def best_slice(clean: Column, ctc: Column, whisper: Column) -> Column:
     return bound(facts, chosen)
 
 
-def primary_pairs(whisper: DataFrame, ctc: DataFrame, clean: DataFrame) -> DataFrame:
+def primary_pairs(whisper: DataFrame, ctc: DataFrame, clean: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
     """Training pairs on the first transcript's segments, filtered by length and support; ids count all its segments."""
     base = whisper.withColumn("n", F.row_number().over(Window.partitionBy("meeting_id").orderBy("start", "end", "seg_idx")) - 1)
     w = base.select("meeting_id", F.col("seg_idx").alias("window_id"), "start", "end", "n", squeeze(F.col("text")).alias("whisper"))
     out = w
     for name, segments in (("ctc", ctc), ("clean", clean)):
-        out = out.join(window_text(w.select("meeting_id", "window_id", "start", "end"), segments).select("meeting_id", "window_id", F.col("text").alias(name)), ["meeting_id", "window_id"])
+        out = out.join(window_text(w.select("meeting_id", "window_id", "start", "end"), segments, bucket=bucket).select("meeting_id", "window_id", F.col("text").alias(name)), ["meeting_id", "window_id"])
     out = out.where("whisper <> '' and ctc <> '' and clean <> ''").withColumn("clean", best_slice(F.col("clean"), F.col("ctc"), F.col("whisper")))
     a, b, c = (content_tokens(F.col(x)) for x in ("whisper", "ctc", "clean"))
     good = (F.size(a) > 0) & (F.size(b) > 0) & (F.size(c) > 0) & (F.size(c) <= F.greatest(F.size(a), F.size(b)) + 6) & (source_ratio(F.array_distinct(c), a, b) >= 0.35)

@@ -1,12 +1,13 @@
 """Joins of time intervals within meetings.
 
-Every join has the meeting as its equality key, so it is a hash or sort-merge join with the overlap as a condition. For
-long meetings ``overlapping`` also lays intervals out by time buckets, which bounds what one key compares.
+Every join has the meeting and a bucket of time as its equality keys, so it is a hash or sort-merge join with the overlap
+as a condition, and a meeting of any length is compared piece by piece. ``bucket`` is a length of time in the unit of the
+tables, seconds by default; None compares whole meetings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
@@ -17,30 +18,36 @@ def overlap(start: Column, end: Column, other_start: Column, other_end: Column)
     return F.greatest(F.lit(0), F.least(end, other_end) - F.greatest(start, other_start))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: list[str], bucket: float | None = None, how: str = "inner") -> DataFrame:
+BUCKET = 60.0
+
+
+def _slots(start: str, end: str, bucket: float) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)))
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: list[str], bucket: float | None = None) -> DataFrame:
     """Rows of ``left`` (key, start, end) with each row of ``right`` (key, r_start, r_end) that overlaps for more than 0.
 
-    bucket: a length of time; pairs that share several buckets are kept in the first one only. Inner joins alone use it.
+    Pairs that share several buckets are kept in the first one only.
     """
-    meets = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("start") < F.col("end")) & (F.col("r_start") < F.col("r_end"))
-    if bucket is None or how != "inner":
-        return left.join(right, [left[k] == right[k] for k in key] + [meets], how).drop(*(right[k] for k in key))
-    slots = lambda s, e: F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket))
-    l = left.withColumn("__slot", F.explode(slots("start", "end")))
-    r = right.withColumn("__r_slot", F.explode(slots("r_start", "r_end")))
+    left, right = left.where("start < end"), right.where("r_start < r_end")
+    meets = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    if bucket is None:
+        return left.join(right, [left[k] == right[k] for k in key] + [meets]).drop(*(right[k] for k in key))
+    l, r = left.withColumn("__slot", _slots("start", "end", bucket)), right.withColumn("__r_slot", _slots("r_start", "r_end", bucket))
     first = F.floor(F.greatest("start", "r_start") / bucket) == F.col("__slot")
     met = l.join(r, [l[k] == r[k] for k in key] + [F.col("__slot") == F.col("__r_slot"), meets, first])
     return met.drop(*(r[k] for k in key)).drop("__slot", "__r_slot")
 
 
-def window_text(windows: DataFrame, segments: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def window_text(windows: DataFrame, segments: DataFrame, words: DataFrame | None = None, bucket: float | None = BUCKET) -> DataFrame:
     """``windows`` (meeting_id, window_id, start, end) with ``text``: that of all overlapping segments, in order.
 
     A segment (meeting_id, seg_idx, start, end, text) gives its overlapping timed words (meeting_id, seg_idx, word_idx,
     start, end, word) if there are any, else its whole text. Windows without text have an empty one.
     """
     seg = segments.select("meeting_id", "seg_idx", F.coalesce("start", F.lit(0)).alias("r_start"), F.coalesce("end", "start", F.lit(0)).alias("r_end"), squeeze(F.col("text")).alias("r_text"))
-    met = overlapping(windows.select("meeting_id", "window_id", "start", "end"), seg, ["meeting_id"])
+    met = overlapping(windows.select("meeting_id", "window_id", "start", "end"), seg, ["meeting_id"], bucket)
     if words is not None:
         w = words.where("start is not null and end is not null").select(F.col("meeting_id").alias("w_meeting"), F.col("seg_idx").alias("w_seg"), "word_idx", F.col("start").alias("w_start"), F.col("end").alias("w_end"), squeeze(F.col("word")).alias("word"))
         inside = (F.col("meeting_id") == F.col("w_meeting")) & (F.col("seg_idx") == F.col("w_seg")) & (F.col("w_start") < F.col("end")) & (F.col("start") < F.col("w_end")) & (F.col("w_start") < F.col("w_end")) & (F.col("word") != "")
@@ -51,66 +58,107 @@ def window_text(windows: DataFrame, segments: DataFrame, words: DataFrame | None
     return windows.join(text, ["meeting_id", "window_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def speakers(spans: DataFrame, diarization: DataFrame) -> DataFrame:
+def speakers(spans: DataFrame, diarization: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
     """``spans`` (meeting_id, span_id, start, end) with ``speaker``: who overlaps longest, ties to the last name.
 
     Overlap of 0 is nobody's. A span without length takes the first record, by (start, end, speaker), that holds its point.
     """
     d = diarization.select("meeting_id", F.coalesce("speaker", F.lit(UNKNOWN)).alias("who"), F.coalesce("start", F.lit(0)).alias("r_start"), F.coalesce("end", "start", F.lit(0)).alias("r_end"))
     s = spans.select("meeting_id", "span_id", "start", "end")
-    same = s["meeting_id"] == d["meeting_id"]
-    long = s.join(d, same & (F.col("start") < F.col("end")) & (F.col("r_start") < F.col("end")) & (F.col("start") < F.col("r_end"))).drop(d["meeting_id"])
-    total = long.groupBy("meeting_id", "span_id", "who").agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("share"))
+    total = overlapping(s, d, ["meeting_id"], bucket).groupBy("meeting_id", "span_id", "who").agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("share"))
     best = total.where("share > 0").groupBy("meeting_id", "span_id").agg(F.max_by("who", F.struct("share", "who")).alias("speaker"))
-    point = s.where("end <= start").join(d, same & (F.col("start") >= F.col("r_start")) & (F.col("start") <= F.col("r_end"))).drop(d["meeting_id"])
+    inside = (F.col("start") >= F.col("r_start")) & (F.col("start") <= F.col("r_end"))
+    point = _within(s.where("end <= start"), "start", d.where("r_start <= r_end"), "r_start", "r_end", inside, bucket)
     held = point.groupBy("meeting_id", "span_id").agg(F.min_by("who", F.struct("r_start", "r_end", "who")).alias("speaker"))
     return spans.join(best.unionByName(held), ["meeting_id", "span_id"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN)))
 
 
-def segment_speakers(segments: DataFrame, words: DataFrame, diarization: DataFrame) -> DataFrame:
+def _within(points: DataFrame, at: str, spans: DataFrame, start: str, end: str, inside: Column, bucket: float | None) -> DataFrame:
+    """Rows of ``points`` with each row of ``spans`` of the same meeting that holds their time, by ``inside``."""
+    p, q = points, spans
+    on = [p["meeting_id"] == q["meeting_id"]]
+    if bucket is not None:
+        p, q = points.withColumn("__p", F.floor(F.col(at) / bucket)), spans.withColumn("__q", _slots(start, end, bucket))
+        on = [p["meeting_id"] == q["meeting_id"], F.col("__p") == F.col("__q")]
+    return p.join(q, [*on, inside]).drop(q["meeting_id"]).drop("__p", "__q")
+
+
+def segment_speakers(segments: DataFrame, words: DataFrame, diarization: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
     """``segments`` with ``speaker``: of its timed words' speakers the one with the longest words, else by ``speakers``.
 
     Unknown competes like others; ties go to the last name.
     """
+    return _by_words(segments, word_speakers(words, diarization, bucket), diarization, bucket)
+
+
+def word_speakers(words: DataFrame, diarization: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
+    """(meeting_id, seg_idx, word_idx, start, end, speaker) of the words that have both times."""
     timed = words.where("start is not null and end is not null").withColumn("span_id", F.struct("seg_idx", "word_idx"))
-    spoken = speakers(timed.select("meeting_id", "span_id", "start", "end"), diarization)
-    each = spoken.groupBy("meeting_id", F.col("span_id.seg_idx").alias("seg_idx"), "speaker").agg(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0))).alias("share"))
+    spoken = speakers(timed.select("meeting_id", "span_id", "start", "end"), diarization, bucket)
+    return spoken.select("meeting_id", "span_id.seg_idx", "span_id.word_idx", "start", "end", "speaker")
+
+
+def _by_words(segments: DataFrame, spoken: DataFrame, diarization: DataFrame, bucket: float | None) -> DataFrame:
+    each = spoken.groupBy("meeting_id", "seg_idx", "speaker").agg(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0))).alias("share"))
     best = each.groupBy("meeting_id", "seg_idx").agg(F.max(F.struct("share", "speaker")).alias("top")).where("top.share > 0").select("meeting_id", "seg_idx", F.col("top.speaker").alias("by_words"))
-    whole = speakers(segments.drop("speaker").withColumn("span_id", F.col("seg_idx")), diarization).drop("span_id")
+    whole = speakers(segments.drop("speaker").withColumn("span_id", F.col("seg_idx")), diarization, bucket).drop("span_id")
     return whole.join(best, ["meeting_id", "seg_idx"], "left").withColumn("speaker", F.coalesce("by_words", "speaker")).drop("by_words")
 
 
-def contained(segments: DataFrame, words: DataFrame) -> DataFrame:
+def contained(segments: DataFrame, words: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
     """``segments`` with ``text`` from the words wholly inside where it is blank."""
-    w = words.select(F.col("meeting_id").alias("m"), "word_idx", F.col("start").alias("w_start"), F.col("end").alias("w_end"), "word")
-    met = segments.select("meeting_id", "seg_idx", "start", "end").join(w, (F.col("meeting_id") == F.col("m")) & (F.col("w_start") >= F.col("start")) & (F.col("w_end") <= F.col("end")))
+    w = words.select("meeting_id", "word_idx", F.col("start").alias("w_start"), F.col("end").alias("w_end"), "word").where("w_start is not null")
+    spans = segments.select("meeting_id", "seg_idx", "start", "end").where("start <= end")
+    inside = (F.col("w_start") >= F.col("start")) & (F.col("w_end") <= F.col("end"))
+    met = _within(w, "w_start", spans, "start", "end", inside, bucket)
     said = met.groupBy("meeting_id", "seg_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_start", "word_idx", "word"))), lambda x: x.word), " ").alias("said"))
     text = squeeze(F.col("text"))
     return segments.join(said, ["meeting_id", "seg_idx"], "left").withColumn("text", F.when(text != "", text).otherwise(F.coalesce("said", F.lit("")))).drop("said")
 
 
-def der_sweep(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+def segments_from_words(texts: DataFrame, segments: DataFrame, words: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
+    """Segments (meeting_id, seg_idx, start, end, text) of recognizer output: ``contained``, without those that stay blank.
+
+    A meeting of ``texts`` (meeting_id, text) without any gets one from its first word's start to its last word's end, with
+    its text or that of its words; without words one from 0 to 0, if it has a text.
+    """
+    own = contained(segments, words, bucket).where("text <> ''").select("meeting_id", "seg_idx", "start", "end", "text")
+    order = F.struct("start", "word_idx")
+    timed = words.where("start is not null and end is not null").groupBy("meeting_id").agg(F.min_by("start", order).alias("start"), F.max_by("end", order).alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "word_idx", "word"))), lambda x: F.trim(x.word)), " ").alias("said"))
+    bare = texts.join(own.select("meeting_id").distinct(), "meeting_id", "left_anti").join(timed, "meeting_id", "left")
+    made = bare.select("meeting_id", F.lit(0).cast(dict(own.dtypes)["seg_idx"]).alias("seg_idx"), F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("end", F.lit(0.0)).alias("end"), F.coalesce(F.nullif("text", F.lit("")), "said", F.lit("")).alias("text"))
+    return own.unionByName(made.where("text <> ''"))
+
+
+def solid(intervals: DataFrame) -> DataFrame:
+    """(meeting_id, side, speaker, start, end): each speaker's intervals with those that overlap or touch as one."""
+    m = Window.partitionBy("meeting_id", "side", "speaker").orderBy("start", "end")
+    reach = F.max("end").over(m.rowsBetween(Window.unboundedPreceding, -1))
+    marked = intervals.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("run", F.sum("new").over(m))
+    return marked.groupBy("meeting_id", "side", "speaker", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def der_sweep(reference: DataFrame, hypothesis: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
     """(meeting_id, miss, false_alarm, confusion, total, der) of speaker intervals (meeting_id, start, end, speaker).
 
     Between neighbouring borders, r reference and h hypothesis speakers are active: missed is max(0, r - h), false alarm
-    max(0, h - r), confused min(r, h) less the matched ones. Speakers are matched to give the longest joint time, each once:
-    here by exact search over up to 6 speakers a side. No collar, overlap counted. Six speakers bound a meeting's collected rows.
+    max(0, h - r), confused min(r, h) less the matched ones. Speakers are matched one to one to give the longest joint time.
+    No collar, overlap counted. Numbers of active speakers are running sums over borders, joint times an overlap join of
+    both sides; a meeting's collected rows are its pairs of speakers that overlap. Meetings without a reference are left out.
     """
+    from .scoring import best_total  # scores build on intervals
+
     clean = lambda df, side: df.where("start < end").select("meeting_id", "start", "end", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"), F.lit(side).alias("side"))
-    both = clean(reference, "r").unionByName(clean(hypothesis, "h"))
-    from pyspark.sql import Window
-
-    edges = both.select("meeting_id", F.col("start").alias("t")).union(both.select("meeting_id", "end")).distinct()
-    atoms = edges.withColumn("u", F.lead("t").over(Window.partitionBy("meeting_id").orderBy("t"))).where("u is not null")
-    active = atoms.join(both, "meeting_id").where("start <= t and end >= u")
-    sets = active.groupBy("meeting_id", "t", "u").agg(F.collect_set(F.when(F.col("side") == "r", F.col("speaker"))).alias("r"), F.collect_set(F.when(F.col("side") == "h", F.col("speaker"))).alias("h")).withColumn("d", F.col("u") - F.col("t"))
-    joint = sets.select("meeting_id", "d", F.explode("r").alias("rs"), "h").select("meeting_id", "d", "rs", F.explode("h").alias("hs")).groupBy("meeting_id", "rs", "hs").agg(F.sum("d").alias("gain"))
-    from .scoring import best_total
-
-    matched = best_total(joint.select("meeting_id", F.col("rs").alias("ref"), F.col("hs").alias("hyp"), F.col("gain").alias("weight")))
-    sums = sets.groupBy("meeting_id").agg(
-        F.sum(F.greatest(F.size("r") - F.size("h"), F.lit(0)) * F.col("d")).alias("miss"), F.sum(F.greatest(F.size("h") - F.size("r"), F.lit(0)) * F.col("d")).alias("false_alarm"),
-        F.sum(F.least(F.size("r"), F.size("h")) * F.col("d")).alias("both"), F.sum(F.size("r") * F.col("d")).alias("total"),
-    )
-    out = sums.join(matched, "meeting_id", "left").withColumn("confusion", F.col("both") - F.coalesce("best", F.lit(0)))
+    both = solid(clean(reference, "r").unionByName(clean(hypothesis, "h")))
+    step = lambda side, by: F.sum(F.when(F.col("side") == side, by).otherwise(0)).alias(side)
+    borders = both.select("meeting_id", F.col("start").alias("t"), "side", F.lit(1).alias("by")).union(both.select("meeting_id", "end", "side", F.lit(-1)))
+    sums = borders.groupBy("meeting_id", "t").agg(step("r", F.col("by")), step("h", F.col("by")))
+    m = Window.partitionBy("meeting_id").orderBy("t")
+    spans = sums.select("meeting_id", (F.lead("t").over(m) - F.col("t")).alias("d"), F.sum("r").over(m).alias("r"), F.sum("h").over(m).alias("h")).where("d is not null")
+    r, h, d = F.col("r"), F.col("h"), F.col("d")
+    parts = spans.groupBy("meeting_id").agg(F.sum(F.greatest(r - h, F.lit(0)) * d).alias("miss"), F.sum(F.greatest(h - r, F.lit(0)) * d).alias("false_alarm"), F.sum(F.least(r, h) * d).alias("both"), F.sum(r * d).alias("total"))
+    mine = both.where("side = 'r'").select("meeting_id", "start", "end", F.col("speaker").alias("ref"))
+    other = both.where("side = 'h'").select("meeting_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("speaker").alias("hyp"))
+    joint = overlapping(mine, other, ["meeting_id"], bucket).groupBy("meeting_id", "ref", "hyp").agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("weight"))
+    out = parts.join(best_total(joint), "meeting_id", "left").withColumn("confusion", F.col("both") - F.coalesce("best", F.lit(0)))
     return out.where("total > 0").select("meeting_id", "miss", "false_alarm", "confusion", "total", F.bround((F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.col("total"), 6).alias("der"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CYRILLIC, LATIN, content_set, content_tokens, has_script, looks_foreign, overlap_ratio, source_ratio, squeeze, unsupported
-from .intervals import window_text
+from .intervals import BUCKET, window_text
 from .windows import uniform_words
 
 
@@ -33,11 +33,11 @@ def decide(canary: Column, ctc: Column, whisper: Column, language: Column) -> Co
     )
 
 
-def requests(base: DataFrame, ctc: DataFrame, whisper: DataFrame, ctc_words: DataFrame | None = None, whisper_words: DataFrame | None = None) -> DataFrame:
+def requests(base: DataFrame, ctc: DataFrame, whisper: DataFrame, ctc_words: DataFrame | None = None, whisper_words: DataFrame | None = None, bucket: float | None = BUCKET) -> DataFrame:
     """Base segments (meeting_id, seg_idx, start, end, text) with the texts of both others over the same time."""
     w = base.select("meeting_id", F.col("seg_idx").alias("window_id"), "start", "end", squeeze(F.col("text")).alias("canary_text"))
-    c = window_text(w, ctc, ctc_words).select("meeting_id", "window_id", F.col("text").alias("ctc_text"))
-    h = window_text(w, whisper, whisper_words).select("meeting_id", "window_id", F.col("text").alias("whisper_text"))
+    c = window_text(w, ctc, ctc_words, bucket).select("meeting_id", "window_id", F.col("text").alias("ctc_text"))
+    h = window_text(w, whisper, whisper_words, bucket).select("meeting_id", "window_id", F.col("text").alias("whisper_text"))
     return w.join(c, ["meeting_id", "window_id"]).join(h, ["meeting_id", "window_id"]).withColumnRenamed("window_id", "seg_idx")
 
 
@@ -50,7 +50,7 @@ def merged(asked: DataFrame, language: Column) -> DataFrame:
     return out.select("meeting_id", "seg_idx", "start", "end", text.alias("text"), "d.confidence", "d.source", "d.note").where("text <> ''")
 
 
-def replace_uniform(segments: DataFrame, words: DataFrame, ctc: DataFrame, ctc_words: DataFrame | None = None) -> DataFrame:
+def replace_uniform(segments: DataFrame, words: DataFrame, ctc: DataFrame, ctc_words: DataFrame | None = None, bucket: float | None = BUCKET) -> DataFrame:
     """Segments whose word times look made up get the other transcript's text: confidence low, source ctc_fallback.
 
     Without such text they keep their own, low where nothing is set. ``flagged`` and ``reason`` tell.
@@ -59,7 +59,7 @@ def replace_uniform(segments: DataFrame, words: DataFrame, ctc: DataFrame, ctc_w
         segments = segments if c in segments.columns else segments.withColumn(c, F.lit(None).cast("string"))
     marked = segments.join(uniform_words(words), ["meeting_id", "seg_idx"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
     open_ = marked.where("flagged").select("meeting_id", F.col("seg_idx").alias("window_id"), "start", "end")
-    found = window_text(open_, ctc, ctc_words).select("meeting_id", F.col("window_id").alias("seg_idx"), F.col("text").alias("__ctc"))
+    found = window_text(open_, ctc, ctc_words, bucket).select("meeting_id", F.col("window_id").alias("seg_idx"), F.col("text").alias("__ctc"))
     out = marked.join(found, ["meeting_id", "seg_idx"], "left")
     hit = F.coalesce(F.col("flagged") & (F.col("__ctc") != ""), F.lit(False))
     return (
@@ -71,22 +71,37 @@ def replace_uniform(segments: DataFrame, words: DataFrame, ctc: DataFrame, ctc_w
     )
 
 
-def validate_base(segments: DataFrame, words: DataFrame, language: Column) -> DataFrame:
-    """Per meeting: counts, the share of timed words, and whether the base transcript is accepted, with reasons."""
+def flagged_ranges(marked: DataFrame) -> DataFrame:
+    """(meeting_id, ranges): the flagged segments of ``replace_uniform`` as sorted (start, end, reason)."""
+    one = F.struct("start", "end", "reason")
+    return marked.where("flagged").groupBy("meeting_id").agg(F.array_sort(F.collect_list(one)).alias("ranges"))
+
+
+def validate_base(segments: DataFrame, words: DataFrame, language: Column, meetings: DataFrame | None = None) -> DataFrame:
+    """Per meeting: counts, the share of timed words, and whether the base transcript is accepted, with reasons.
+
+    meetings: (meeting_id) of all meetings; those without a segment are missing their base. language is a segment's own or
+    fixed.
+    """
     timed = words.where("start is not null and end is not null").groupBy("meeting_id", "seg_idx").agg(F.count("*").alias("timed"))
     text = squeeze(F.col("text"))
     each = segments.withColumn("lang", language).join(timed, ["meeting_id", "seg_idx"], "left").select(
         "meeting_id", "lang", F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).alias("words"), F.coalesce("timed", F.lit(0)).alias("timed"), text.rlike(CYRILLIC).alias("cyr"), text.rlike(LATIN).alias("lat"),
     )
     sums = each.groupBy("meeting_id").agg(F.first("lang").alias("lang"), F.count("*").alias("segment_count"), F.sum("words").cast("long").alias("total_words"), F.sum("timed").cast("long").alias("timed_words"), F.count_if(F.col("timed") > 0).alias("timed_segment_count"), F.count_if(F.col("cyr")).alias("cyrillic_segment_count"), F.count_if(F.col("lat") & ~F.col("cyr")).alias("latin_only_segment_count"))
+    if meetings is not None:
+        sums = meetings.select("meeting_id").join(sums, "meeting_id", "left").fillna(0)
+    none = F.col("segment_count") == 0
     ratio = F.when(F.col("total_words") > 0, F.col("timed_words") / F.col("total_words")).otherwise(0.0)
-    guarded, latin = F.lower("lang").isin("ru", "uk"), F.col("latin_only_segment_count")
+    guarded, latin = F.coalesce(F.lower("lang").isin("ru", "uk"), F.lit(False)), F.col("latin_only_segment_count")
     reasons = F.array_compact(F.array(
-        F.when(guarded & (latin == F.col("segment_count")), "latin_only_transcript").when(guarded & (latin >= F.greatest(F.lit(2), F.floor(F.col("segment_count") / 2))), "predominantly_latin_transcript"),
+        F.when(none, "missing_canary_segments"),
+        F.when(guarded & ~none & (latin == F.col("segment_count")), "latin_only_transcript").when(guarded & ~none & (latin >= F.greatest(F.lit(2), F.floor(F.col("segment_count") / 2))), "predominantly_latin_transcript"),
         F.when(guarded & (F.col("cyrillic_segment_count") == 0) & (latin > 0) & (ratio < 0.2), "alignment_coverage_incompatible_with_transcript"),
     ))
-    out = sums.withColumn("timed_word_ratio", F.bround(ratio, 3)).withColumn("__r", reasons)
-    return out.withColumn("accepted", F.size("__r") == 0).withColumn("runtime_decision", F.when(F.size("__r") == 0, "accepted_canary").otherwise("accepted_with_warnings")).withColumn("fallback_reason", F.nullif(F.array_join("__r", "; "), F.lit(""))).drop("__r", "lang")
+    out = sums.withColumn("timed_word_ratio", F.bround(ratio, 3)).withColumn("__r", reasons).withColumn("accepted", F.size("__r") == 0)
+    decision = F.when(none, "missing_canary").when(F.col("accepted"), "accepted_canary").otherwise("accepted_with_warnings")
+    return out.withColumn("runtime_decision", decision).withColumn("fallback_reason", F.nullif(F.array_join("__r", "; "), F.lit(""))).drop("__r", "lang")
 
 
 def divergent(asked: DataFrame, most_tokens: int = 18, least_tokens: int = 3, limit: int = 8) -> DataFrame:

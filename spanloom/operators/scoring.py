@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import rate, word_distance
-from ..functions.text import characters, tokens
+from ..functions.distance import edit_counts, rate, word_distance
+from ..functions.text import tokens
+from .intervals import BUCKET, der_sweep
 
 EXACT_SPEAKERS = 6
 
@@ -18,23 +20,58 @@ EXACT_SPEAKERS = 6
 def error_rates(pairs: DataFrame, profile: str | None = None) -> DataFrame:
     """``pairs`` (ref_text, hyp_text) with word and character edits, lengths and rates.
 
-    From the number of edits alone substitutions, deletions and insertions don't follow; ``functions.distance.aligned``
-    gives them.
+    From the number of edits alone substitutions, deletions and insertions don't follow; ``error_counts`` has them.
     """
     r, h = tokens(F.col("ref_text"), profile), tokens(F.col("hyp_text"), profile)
     out = pairs.withColumn("__r", r).withColumn("__h", h)
     out = out.withColumn("ref_words", F.size("__r").cast("long")).withColumn("hyp_words", F.size("__h").cast("long")).withColumn("word_edits", word_distance(F.col("__r"), F.col("__h")))
-    a, b = characters(F.col("ref_text"), profile), characters(F.col("hyp_text"), profile)
+    a, b = F.array_join("__r", ""), F.array_join("__h", "")
     out = out.withColumn("ref_chars", F.length(a).cast("long")).withColumn("hyp_chars", F.length(b).cast("long")).withColumn("char_edits", F.levenshtein(a, b).cast("long"))
     out = out.withColumn("wer", rate(F.col("word_edits"), F.col("ref_words"), F.col("hyp_words"))).withColumn("cer", rate(F.col("char_edits"), F.col("ref_chars"), F.col("hyp_chars")))
     return out.drop("__r", "__h")
 
 
+def error_counts(pairs: DataFrame, profile: str | None = None) -> DataFrame:
+    """``error_rates`` with the split of edits: word_hits, word_substitutions, ..., char_insertions.
+
+    Null of pairs with more cells than ``functions.distance.CELLS``, as of characters of longer texts.
+    """
+    r, h = tokens(F.col("ref_text"), profile), tokens(F.col("hyp_text"), profile)
+    out = error_rates(pairs, profile).withColumn("__w", edit_counts(r, h)).withColumn("__c", edit_counts(letters(F.array_join(r, "")), letters(F.array_join(h, ""))))
+    kinds = ("hits", "substitutions", "deletions", "insertions")
+    return out.withColumns({f"{side}_{k}": F.col(f"__{side[0]}.{k}") for side in ("word", "char") for k in kinds}).drop("__w", "__c")
+
+
+def letters(text: Column) -> Column:
+    """A text as an array of characters."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def corpus_aggregate(items: DataFrame, *by: str) -> DataFrame:
     """Macro means of wer and cer, and micro rates of pooled edits and lengths; micro is null if an item has no edits."""
     micro = lambda e, n: F.when(F.count_if(F.col(e).isNull()) == 0, F.bround(F.sum(e) / F.nullif(F.sum(n), F.lit(0)), 6))
-    mean = lambda c: F.bround(F.sum(F.round(F.col(c) * 1_000_000).cast("long")) / F.count(c), 0) / 1_000_000
-    return items.groupBy(*by).agg(F.count("*").alias("n_items"), mean("wer").alias("macro_wer"), mean("cer").alias("macro_cer"), micro("word_edits", "ref_words").alias("micro_wer"), micro("char_edits", "ref_chars").alias("micro_cer"))
+    return items.groupBy(*by).agg(F.count("*").alias("n_items"), _mean("wer").alias("macro_wer"), _mean("cer").alias("macro_cer"), micro("word_edits", "ref_words").alias("micro_wer"), micro("char_edits", "ref_chars").alias("micro_cer"))
+
+
+def _mean(c: str) -> Column:
+    """Over whole millionths, so that no order of summing changes a digit; null of no values."""
+    return F.bround(F.sum(F.round(F.col(c) * 1_000_000).cast("long")) / F.count(c), 0) / 1_000_000
+
+
+def corpus_scores(items: DataFrame, *by: str) -> DataFrame:
+    """Whole-corpus scores of items with ``error_counts`` and, where known, cp_wer and der.
+
+    Macro means; micro rates of pooled substitutions, deletions and insertions, null if an item lacks the split; the pooled
+    counts themselves; means of cp_wer and der over the items that have them, null if none has.
+    """
+    for c in ("cp_wer", "der"):
+        items = items if c in items.columns else items.withColumn(c, F.lit(None).cast("double"))
+    kinds = ("substitutions", "deletions", "insertions")
+    edits = lambda side: sum((F.sum(f"{side}_{k}") for k in kinds[1:]), F.sum(f"{side}_{kinds[0]}"))
+    whole = lambda side: F.count_if(F.col(f"{side}_substitutions").isNull()) == 0
+    micro = lambda side: F.when(whole(side), F.bround(edits(side) / F.nullif(F.sum(f"ref_{side}s"), F.lit(0)), 6))
+    pooled = [F.when(whole(side), F.sum(f"{side}_{k}")).alias(f"{side}_{k}") for side in ("word", "char") for k in kinds]
+    return items.groupBy(*by).agg(F.count("*").alias("n_items"), _mean("wer").alias("macro_wer"), _mean("cer").alias("macro_cer"), micro("word").alias("micro_wer"), micro("char").alias("micro_cer"), *pooled, F.sum("ref_words").alias("ref_words"), F.sum("ref_chars").alias("ref_chars"), _mean("cp_wer").alias("macro_cp_wer"), _mean("der").alias("mean_der"))
 
 
 def by_speaker(segments: DataFrame) -> DataFrame:
@@ -100,7 +137,7 @@ def match(ref: list, hyp: list, cost: dict) -> tuple[int, int, float, bool, dict
 def best_total(weights: DataFrame) -> DataFrame:
     """(meeting_id, best): the largest sum of weights (meeting_id, ref, hyp, weight) with each ref and hyp used once.
 
-    By dynamic programming over sets of the smaller side, so 12 speakers a side are fine.
+    By shortest augmenting paths (Hungarian method), so time grows with the cube of a meeting's speakers.
     """
     packed = weights.groupBy("meeting_id").agg(F.collect_list(F.struct("ref", "hyp", F.col("weight").cast("double").alias("weight"))).alias("w"))
 
@@ -108,40 +145,68 @@ def best_total(weights: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for meeting, w in zip(pdf.meeting_id, pdf.w, strict=True):
-                refs, hyps = (sorted({x[k] for x in w}) for k in ("ref", "hyp"))
-                flip = len(hyps) > len(refs)
-                gain = {((x["hyp"], x["ref"]) if flip else (x["ref"], x["hyp"])): x["weight"] for x in w}
-                many, few = (hyps, refs) if flip else (refs, hyps)
-                best = {0: 0.0}
-                for a in many:
-                    new = dict(best)
-                    for used, total in best.items():
-                        for k, b in enumerate(few):
-                            if not used >> k & 1 and (a, b) in gain:
-                                key = used | 1 << k
-                                new[key] = max(new.get(key, 0.0), total + gain[a, b])
-                    best = new
-                out.append((meeting, max(best.values())))
+                refs, hyps = ({name: k for k, name in enumerate(sorted({x[side] for x in w}))} for side in ("ref", "hyp"))
+                gain = np.zeros((len(refs), len(hyps)))
+                for x in w:
+                    gain[refs[x["ref"]], hyps[x["hyp"]]] += x["weight"]
+                out.append((meeting, assignment(gain)))
             yield pd.DataFrame(out, columns=["meeting_id", "best"])
 
     return packed.mapInPandas(run, f"meeting_id {dict(packed.dtypes)['meeting_id']}, best double")
 
 
-def score_transcripts(reference: DataFrame, hypothesis: DataFrame, profile: str | None = None) -> DataFrame:
+def assignment(gain: np.ndarray) -> float:
+    """The largest sum of non-negative gains with each row and column used once.
+
+    Rows are added one by one. Each looks for the cheapest way to a free column, over columns that are taken and whose rows
+    would move on; prices of rows and columns keep all costs at 0 or more.
+    """
+    if gain.shape[0] > gain.shape[1]:
+        gain = gain.T
+    cost = gain.max(initial=0.0) - gain
+    n, m = cost.shape
+    row_price, column_price, taken = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for new in range(n):
+        far, before, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, column, reached = new, -1, 0.0
+        while True:
+            way = reached + cost[row] - row_price[row] - column_price
+            shorter = ~done & (way < far)
+            far[shorter], before[shorter] = way[shorter], column
+            column = int(np.argmin(np.where(done, np.inf, far)))
+            reached, done[column] = far[column], True
+            if taken[column] < 0:
+                break
+            row = taken[column]
+        seen = np.flatnonzero(done & (taken >= 0))
+        row_price[new] += reached
+        row_price[taken[seen]] += reached - far[seen]
+        column_price[done] -= reached - far[done]
+        while column >= 0:
+            taken[column] = taken[before[column]] if before[column] >= 0 else new
+            column = before[column]
+    used = taken >= 0
+    return float(gain[taken[used], np.flatnonzero(used)].sum())
+
+
+def score_transcripts(reference: DataFrame, hypothesis: DataFrame, profile: str | None = None, bucket: float | None = BUCKET, split: bool = False) -> DataFrame:
     """Each meeting's wer and cer over whole texts, cp_wer, der, and why any of these was left out.
 
     Inputs: segments (meeting_id, seg_idx, speaker, start, end, text). Meetings of ``reference`` without a hypothesis have
-    an empty one.
+    an empty one. With ``split``, also the counts of ``error_counts``.
     """
-    from .intervals import der_sweep
-
     able = reference.groupBy("meeting_id").agg(F.bool_or(F.coalesce(F.col("speaker") != "", F.lit(False))).alias("has_speakers"), F.bool_and(F.col("start").isNotNull()).alias("has_times"))
     texts = able.join(flat_text(reference).withColumnRenamed("text", "ref_text"), "meeting_id", "left").join(flat_text(hypothesis).withColumnRenamed("text", "hyp_text"), "meeting_id", "left")
-    scores = error_rates(texts.fillna("", ["ref_text", "hyp_text"]), profile).drop("ref_text", "hyp_text")
+    texts = texts.join(hypothesis.groupBy("meeting_id").agg(F.lit(True).alias("heard")), "meeting_id", "left")
+    scores = (error_counts if split else error_rates)(texts.fillna("", ["ref_text", "hyp_text"]), profile).drop("ref_text", "hyp_text")
     cp = cp_wer(reference, hypothesis, profile).select("meeting_id", "cp_wer")
-    sweep = der_sweep(reference, hypothesis).select("meeting_id", "der")
+    named = lambda df: df.withColumn("speaker", F.coalesce(F.nullif("speaker", F.lit("")), F.lit("UNKNOWN")))
+    sweep = der_sweep(named(reference), named(hypothesis), bucket).select("meeting_id", "der")
     out = scores.join(cp, "meeting_id", "left").join(sweep, "meeting_id", "left")
-    talk = F.col("has_speakers") & (F.col("hyp_words") > 0)
-    out = out.withColumn("cp_wer", F.when(talk, F.col("cp_wer"))).withColumn("der", F.when(F.col("has_times"), F.col("der")))
-    why = F.array_compact(F.array(F.when(~F.col("has_speakers"), "cp_wer: reference has no speakers"), F.when(F.col("has_speakers") & (F.col("hyp_words") == 0), "cp_wer: empty hypothesis"), F.when(~F.col("has_times"), "der: reference has no times")))
-    return out.withColumn("skipped", why).drop("has_speakers", "has_times")
+    talk = F.col("has_speakers") & F.coalesce("heard", F.lit(False))
+    out = out.withColumn("cp_wer", F.when(talk, F.coalesce("cp_wer", F.lit(0.0)))).withColumn("der", F.when(F.col("has_times"), F.col("der")))
+    why = F.array_compact(F.array(
+        F.when(~F.col("has_speakers"), "cp_wer: reference has no speaker labels").when(~talk, "cp_wer: empty hypothesis"),
+        F.when(~F.col("has_times"), "der: reference has no segment timings").when(F.col("der").isNull(), "der: empty reference"),
+    ))
+    return out.withColumn("skipped", why).drop("has_speakers", "has_times", "heard")

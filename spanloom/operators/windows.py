@@ -51,15 +51,26 @@ def uniform_words(words: DataFrame, least: int = 4, low: float = 0.4, high: floa
     return marked.withColumn("__hit", hit).groupBy("meeting_id", "seg_idx").agg(F.bool_or(F.coalesce("__hit", F.lit(False))).alias("flagged"))
 
 
+def record_order(*ties: str) -> list[Column]:
+    """Records by start, missing ones last, then end, which is the start where it is missing, then speaker."""
+    return [F.asc_nulls_last("start"), F.coalesce("end", "start"), F.coalesce("speaker", F.lit(UNKNOWN)), *(F.col(t) for t in ties)]
+
+
+def sorted_words(words: Column) -> Column:
+    """An array of words in the order of records; equal ones stay as they were."""
+    ranked = F.transform(words, lambda w, k: F.struct(w.start.isNull().alias("z"), w.start.alias("s"), F.coalesce(w.end, w.start).alias("e"), F.coalesce(w.speaker, F.lit(UNKNOWN)).alias("p"), k.alias("k"), w.alias("w")))
+    return F.transform(F.array_sort(ranked), lambda x: x.w)
+
+
 def merge_turns(segments: DataFrame, gap: float = 0.35) -> DataFrame:
     """Consecutive segments of one speaker as one, where the next starts ``gap`` or less after the furthest end so far.
 
-    Sorted by (start, end, speaker). Texts are joined, dashes that begin the right one dropped; confidence low and source
-    ctc_fallback win, else the first that there is. Gaps and islands: runs of a speaker first, then breaks within them.
+    Sorted by (start, end, speaker). Texts are joined, dashes that begin the right one dropped; ``words``, if there are any,
+    are put together and sorted; confidence low and source ctc_fallback win, else the first that there is. Gaps and islands:
+    runs of a speaker first, then breaks within them.
     """
     s = segments.withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN)))
-    order = [F.asc_nulls_last("start"), F.coalesce("end", "start"), "speaker", "seg_idx"]
-    m = Window.partitionBy("meeting_id").orderBy(*order)
+    m = Window.partitionBy("meeting_id").orderBy(*record_order("seg_idx"))
     s = s.withColumn("__n", F.row_number().over(m)).withColumn("__new", (F.coalesce(F.lag("speaker").over(m) != F.col("speaker"), F.lit(True))).cast("int"))
     s = s.withColumn("__run", F.sum("__new").over(m))
     r = Window.partitionBy("meeting_id", "__run").orderBy("__n")
@@ -67,21 +78,42 @@ def merge_turns(segments: DataFrame, gap: float = 0.35) -> DataFrame:
     s = s.withColumn("__break", F.when(F.col("start") - reach > gap, 1).otherwise(F.col("__new")))
     s = s.withColumn("__island", F.sum("__break").over(m))
     one = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__n")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("__n", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x.t)
-    text = F.aggregate(parts, F.lit(""), joined)
+    inner = F.coalesce("words", F.array().cast(segments.schema["words"].dataType)) if "words" in segments.columns else F.lit(None)
+    parts = F.array_sort(F.collect_list(F.struct("__n", F.coalesce("text", F.lit("")).alias("t"), inner.alias("w"))))
     extra = [c for c in ("confidence", "source") if c in segments.columns]
     wins = {"confidence": "low", "source": "ctc_fallback"}
-    out = s.groupBy("meeting_id", "__island").agg(F.min("seg_idx").alias("seg_idx"), F.first("speaker").alias("speaker"), F.min_by("start", "__n").alias("start"), F.max("end").alias("end"), text.alias("text"), F.count("*").alias("n_merged"), *(F.when(F.bool_or(F.coalesce(F.col(c) == wins[c], F.lit(False))), wins[c]).otherwise(one(c)).alias(c) for c in extra))
-    return out.drop("__island")
+    out = s.groupBy("meeting_id", "__island").agg(F.min("seg_idx").alias("seg_idx"), F.first("speaker").alias("speaker"), F.min_by("start", "__n").alias("start"), F.max("end").alias("end"), parts.alias("__parts"), F.count("*").alias("n_merged"), *(F.when(F.bool_or(F.coalesce(F.col(c) == wins[c], F.lit(False))), wins[c]).otherwise(one(c)).alias(c) for c in extra))
+    out = out.withColumn("text", F.aggregate(F.transform("__parts", lambda x: x.t), F.lit(""), joined))
+    if "words" in segments.columns:
+        out = out.withColumn("words", sorted_words(F.flatten(F.transform("__parts", lambda x: x.w))))
+    return out.select("meeting_id", "seg_idx", "speaker", "start", "end", "text", *(["words"] if "words" in segments.columns else []), "n_merged", *extra)
 
 
-def alpha_labels(segments: DataFrame) -> DataFrame:
-    """``segments`` with ``label``: A, B, ..., Z, AA, ... by first appearance; the unknown speaker keeps its name."""
-    named = segments.where(F.col("speaker") != UNKNOWN).groupBy("meeting_id", "speaker").agg(F.min("seg_idx").alias("__first"))
-    n = F.row_number().over(Window.partitionBy("meeting_id").orderBy("__first")) - 1
+def alpha_name(n: Column) -> Column:
+    """A to Z, AA to ZZ, AAA to ZZZ, of 0, 1, ..."""
     letter = lambda x: F.char(F.pmod(x, F.lit(26)) + 65)
-    label = F.when(n < 26, letter(n)).when(n < 702, F.concat(letter(F.floor(n / 26) - 1), letter(n))).otherwise(F.concat(letter(F.floor(n / 676) - 1 - F.when(F.pmod(F.floor(n / 26), F.lit(26)) == 0, 1).otherwise(0)), letter(F.floor(n / 26) - 1), letter(n)))
-    return segments.join(named.withColumn("label", label).drop("__first"), ["meeting_id", "speaker"], "left").withColumn("label", F.coalesce("label", "speaker"))
+    two, three = n - 26, n - 702
+    return F.when(n < 26, letter(n)).when(n < 702, F.concat(letter(F.floor(two / 26)), letter(two))).otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26)), letter(three)))
+
+
+def alpha_labels(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``label``: A, B, ..., Z, AA, ... by first appearance; the unknown speaker keeps its name.
+
+    Segments come in the order of seg_idx, a segment's speaker before those of its ``words``, if it has any, whose speakers
+    are replaced by their labels. A meeting's speakers and labels, not its segments, are gathered as one map.
+    """
+    said = segments.select("meeting_id", "seg_idx", F.lit(-1).alias("at"), F.coalesce("speaker", F.lit(UNKNOWN)).alias("who"))
+    if "words" in segments.columns:
+        said = said.union(segments.select("meeting_id", "seg_idx", F.posexplode("words").alias("at", "w")).select("meeting_id", "seg_idx", "at", "w.speaker").where("speaker is not null"))
+    first = said.where(F.col("who") != UNKNOWN).groupBy("meeting_id", "who").agg(F.min(F.struct("seg_idx", "at")).alias("first"))
+    named = first.select("meeting_id", "who", alpha_name(F.row_number().over(Window.partitionBy("meeting_id").orderBy("first")) - 1).alias("label"))
+    maps = named.groupBy("meeting_id").agg(F.map_from_entries(F.collect_list(F.struct("who", "label"))).alias("__map"))
+    out = segments.join(maps, "meeting_id", "left")
+    label = lambda who: F.coalesce(F.try_element_at("__map", who), who)
+    out = out.withColumn("label", label(F.coalesce("speaker", F.lit(UNKNOWN))))
+    if "words" in segments.columns:
+        out = out.withColumn("words", F.transform("words", lambda w: w.withField("speaker", label(w.speaker))))
+    return out.drop("__map")
 
 
 def fixed_windows(meetings: DataFrame, width: float) -> DataFrame:

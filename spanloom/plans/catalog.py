@@ -2,70 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import distance, text
+from ..functions import text
 from ..operators import corpus, intervals, merge, quality, ranking, scoring, search, stages, windows
 from ..sources import writers
-from . import roles
+from . import roles, scores  # noqa: F401
+from .registry import BUCKET, ORACLES, QUERIES, query  # noqa: F401
 from .roles import content, norm, using
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-#: Edit distance row by row: state (key, i, w, r, h), as in the survey's rules for oracles.
-_DP = """, dp AS (
-  SELECT k, 0::BIGINT AS i, range(0, len(h) + 1) AS w, r, h FROM pair
-  UNION ALL
-  SELECT k, i + 1, list_reduce(list_prepend([i + 1], list_transform(range(1, len(h) + 1), lambda j: [j::BIGINT])),
-    lambda acc, x: list_append(acc, least(acc[-1] + 1, w[x[1] + 1] + 1, w[x[1]] + (r[i + 1] <> h[x[1]])::BIGINT))), r, h FROM dp WHERE i < len(r)
-), edit AS (SELECT k, w[-1]::BIGINT AS edits, len(r)::BIGINT AS n, len(h)::BIGINT AS m FROM dp WHERE i = len(r))"""
-_RATE = "CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 0.0 ELSE 1.0 END ELSE round_even(edits::DOUBLE / n, 6) END"
-_CTC_PAIR = f", pair AS (SELECT s.meeting_id * 1000 + s.seg_idx AS k, {norm('s.text')} AS r, {norm(chr(39).join(['array_to_string(c.w, ', ' ', ')']))} AS h FROM seg s JOIN ctc c USING (meeting_id, seg_idx))"
-
-
-def _ctc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = roles.segments(spark, d)
-    c = roles.ctc(s).select("meeting_id", "seg_idx", F.col("text").alias("hyp_text"))
-    return s.select("meeting_id", "seg_idx", F.col("text").alias("ref_text")).join(c, ["meeting_id", "seg_idx"])
-
-
-@query(using("seg", "ctc", recursive=True) + _CTC_PAIR + _DP + f", item AS (SELECT k // 1000 AS meeting_id, edits, n, {_RATE} AS wer FROM edit) SELECT meeting_id, count(*) AS n_items, round_even(sum(CAST(round(wer * 1000000) AS BIGINT))::DOUBLE / count(*), 0) / 1000000 AS macro_wer, round_even(sum(edits)::DOUBLE / nullif(sum(n), 0), 6) AS micro_wer, sum(edits)::BIGINT AS edits, sum(n)::BIGINT AS ref_words FROM item GROUP BY 1")
-def corpus_wer(spark: SparkSession, d: str) -> DataFrame:
-    """Word error rates of an edited transcript by meeting: macro, micro, pooled edits."""
-    items = scoring.error_rates(_ctc_pairs(spark, d))
-    out = scoring.corpus_aggregate(items, "meeting_id").select("meeting_id", "n_items", "macro_wer", "micro_wer")
-    return out.join(items.groupBy("meeting_id").agg(F.sum("word_edits").alias("edits"), F.sum("ref_words").alias("ref_words")), "meeting_id")
-
-
-@query()
-def char_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Character error rates of turns; too slow in SQL."""
-    return scoring.error_rates(_ctc_pairs(spark, d)).select("meeting_id", "seg_idx", "char_edits", "ref_chars", "cer")
-
-
-@query(using("seg", "ctc", recursive=True) + _CTC_PAIR + _DP + " SELECT k // 1000 AS meeting_id, k % 1000 AS seg_idx, edits, n AS ref_words, m AS hyp_words FROM edit")
-def align_ops(spark: SparkSession, d: str) -> DataFrame:
-    """Edits counted from aligned operations; how they split is the aligner's own choice."""
-    p = _ctc_pairs(spark, d).withColumn("ops", distance.aligned(text.tokens(F.col("ref_text")), text.tokens(F.col("hyp_text"))))
-    n = {t: distance.counted(F.col("ops"), t) for t in ("equal", "replace", "delete", "insert")}
-    return p.select("meeting_id", "seg_idx", (n["replace"] + n["delete"] + n["insert"]).alias("edits"), (n["equal"] + n["replace"] + n["delete"]).alias("ref_words"), (n["equal"] + n["replace"] + n["insert"]).alias("hyp_words"))
-
-
 @query(f"SELECT doc_id, array_to_string({norm('text')}, ' ') AS normalized FROM documents")
 def normalize_default(spark: SparkSession, d: str) -> DataFrame:
     return roles.table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
@@ -115,7 +61,7 @@ def fixed_windows(spark: SparkSession, d: str) -> DataFrame:
 def window_text_join(spark: SparkSession, d: str) -> DataFrame:
     """Words of fixed windows, across the segments that overlap."""
     s = roles.segments(spark, d)
-    return intervals.window_text(_windows(spark, d), s, roles.words(s)).select("meeting_id", F.col("window_id").cast("long").alias("window_id"), "text")
+    return intervals.window_text(_windows(spark, d), s, roles.words(s), BUCKET).select("meeting_id", F.col("window_id").cast("long").alias("window_id"), "text")
 
 
 _DIAR = "SELECT meeting_id, speaker, seg_idx, s + 900 AS s, e + 900 AS e FROM seg"
@@ -129,7 +75,7 @@ def _shifted(s: DataFrame) -> DataFrame:
 def assign_speakers(spark: SparkSession, d: str) -> DataFrame:
     """Segments' speakers by their words, against intervals shifted by 0.9 s."""
     s = roles.segments(spark, d)
-    return intervals.segment_speakers(s.where("size(w) > 0").drop("w"), roles.words(s), _shifted(s)).select("meeting_id", "seg_idx", "speaker")
+    return intervals.segment_speakers(s.where("size(w) > 0").drop("w"), roles.words(s), _shifted(s), BUCKET).select("meeting_id", "seg_idx", "speaker")
 
 
 @query(using("seg") + f", dz AS ({_DIAR}) SELECT q.meeting_id, q.seg_idx, coalesce(arg_min(z.speaker, struct_pack(s := z.s, e := z.e, sp := z.speaker)), 'SPEAKER_UNKNOWN') AS speaker FROM seg q LEFT JOIN dz z ON z.meeting_id = q.meeting_id AND q.s BETWEEN z.s AND z.e GROUP BY q.meeting_id, q.seg_idx")
@@ -137,7 +83,7 @@ def point_speaker(spark: SparkSession, d: str) -> DataFrame:
     """Who speaks at each segment's start."""
     s = roles.segments(spark, d)
     points = s.select("meeting_id", F.col("seg_idx").alias("span_id"), "start", F.col("start").alias("end"))
-    return intervals.speakers(points, _shifted(s)).select("meeting_id", F.col("span_id").alias("seg_idx"), "speaker")
+    return intervals.speakers(points, _shifted(s), BUCKET).select("meeting_id", F.col("span_id").alias("seg_idx"), "speaker")
 
 
 @query(using("seg") + ", q AS (SELECT meeting_id, seg_idx, s / 1000.0::DOUBLE AS s, CASE WHEN seg_idx % 2 = 0 THEN e / 1000.0::DOUBLE END AS e FROM seg), t AS (SELECT *, lead(s) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS nx, coalesce(avg(CASE WHEN e > s THEN e - s END) OVER (PARTITION BY meeting_id), 2.0) AS ty FROM q) SELECT meeting_id, seg_idx, round_even(CASE WHEN e IS NOT NULL THEN e WHEN nx > s THEN nx ELSE s + ty END, 6) AS \"end\", e IS NULL AS inferred FROM t")
@@ -183,7 +129,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d)
     c, h = roles.ctc(s), roles.whisper(s)
     blank = F.when((F.col("seg_idx") % 5 == 3), "").otherwise(F.col("text"))
-    return merge.requests(s.withColumn("text", blank), c, h)
+    return merge.requests(s.withColumn("text", blank), c, h, bucket=BUCKET)
 
 
 _J01 = "string_agg(array_to_string(x.w, ' '), ' ' ORDER BY x.s, x.e) FILTER (len(x.w) > 0)"
@@ -245,27 +191,6 @@ def proxy_quality(spark: SparkSession, d: str) -> DataFrame:
     return out.select("meeting_id", "labeled_speaker_ratio", "empty_or_short_segment_ratio", "repetition_ratio", "proxy_quality_score")
 
 
-@query()
-def cpwer_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Concatenated minimum-permutation word error rate against the edited transcript with two roles swapped."""
-    s = roles.segments(spark, d)
-    swap = F.when(F.col("speaker") == "user", "assistant").when(F.col("speaker") == "assistant", "user").otherwise(F.col("speaker"))
-    return scoring.cp_wer(s, roles.ctc(s).withColumn("speaker", swap)).select("meeting_id", "edits", "ref_words", "cp_wer")
-
-
-@query()
-def der_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Diarization error of the turns shifted by 0.9 s."""
-    s = roles.segments(spark, d).select("meeting_id", "start", "end", "speaker")
-    return intervals.der_sweep(s, _shifted(s))
-
-
-@query()
-def score_transcript(spark: SparkSession, d: str) -> DataFrame:
-    s = roles.segments(spark, d)
-    return scoring.score_transcripts(s, roles.ctc(s)).withColumn("skipped", F.array_join("skipped", "; "))
-
-
 _LB = "a AS (SELECT variant, count(*) AS n_items, count(*) FILTER (status = 'completed') AS n_completed, round_even(avg(wer) FILTER (status = 'completed'), 6) AS macro_wer, round_even(avg(cer) FILTER (status = 'completed'), 6) AS macro_cer, round_even(avg(realtime_factor) FILTER (status = 'completed'), 6) AS mean_rtf, sum(fallback_count)::BIGINT AS fallbacks FROM runs GROUP BY 1)"
 
 
@@ -345,20 +270,13 @@ def markup_clean(spark: SparkSession, d: str) -> DataFrame:
 def training_pairs_fixed(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d)
     meetings = s.groupBy("meeting_id").agg(F.max("end").alias("duration"))
-    return corpus.fixed_pairs(meetings, roles.whisper(s), roles.ctc(s), s, 30_000).select("meeting_id", F.col("window_id").cast("long").alias("window_id"), "whisper", "ctc", "clean")
+    return corpus.fixed_pairs(meetings, roles.whisper(s), roles.ctc(s), s, 30_000, BUCKET).select("meeting_id", F.col("window_id").cast("long").alias("window_id"), "whisper", "ctc", "clean")
 
 
 @query()
 def training_pairs_primary(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d)
-    return corpus.primary_pairs(roles.whisper(s), roles.ctc(s), s)
-
-
-@query()
-def diff_context(spark: SparkSession, d: str) -> DataFrame:
-    """Readable differences with four words around each."""
-    p = _ctc_pairs(spark, d).withColumn("ops", distance.aligned(text.tokens(F.col("ref_text")), text.tokens(F.col("hyp_text"))))
-    return p.select("meeting_id", "seg_idx", distance.marked_errors(F.col("ops")).alias("diff"))
+    return corpus.primary_pairs(roles.whisper(s), roles.ctc(s), s, BUCKET)
 
 
 @query(f"WITH q AS (SELECT item_id AS query_id, list_filter({content('text')}, lambda x, i: i <= 8) AS terms FROM benchmark), t AS (SELECT conv_id, turn, {content('text')} AS w FROM conversations), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS a FROM t), u AS (SELECT conv_id, turn, len(w) AS l, unnest(w) AS term FROM t), tf AS (SELECT conv_id, turn, any_value(l) AS l, term, count(*) AS f FROM u GROUP BY conv_id, turn, term), df AS (SELECT term, count(*)::DOUBLE AS d FROM tf GROUP BY 1), qt AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q), s AS (SELECT query_id, conv_id, turn, round_even(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS rank FROM s) SELECT query_id, conv_id AS meeting_id, turn AS seg_idx, score, rank FROM r WHERE rank <= 5")
@@ -402,7 +320,7 @@ def contained_words(spark: SparkSession, d: str) -> DataFrame:
     """Words wholly inside segments that are narrowed by a second on either side."""
     s = roles.segments(spark, d)
     narrow = s.select("meeting_id", "seg_idx", (F.col("start") + 1000).alias("start"), (F.col("end") - 1000).alias("end"), F.lit("").alias("text"))
-    return intervals.contained(narrow, roles.words(s)).select("meeting_id", "seg_idx", "text")
+    return intervals.contained(narrow, roles.words(s), BUCKET).select("meeting_id", "seg_idx", "text")
 
 
 @query(using("seg") + " SELECT meeting_id, seg_idx, round_even(s / 1000.0::DOUBLE + 12.3456::DOUBLE, 3) AS start, round_even(e / 1000.0::DOUBLE + 12.3456::DOUBLE, 3) AS \"end\" FROM seg")
