@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -158,19 +159,58 @@ def without_nested(text: Column, opener: str, closer: str) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc.out)
 
 
+# What a page's mark-up looks like, each with its purpose; results depend on them and on their order.
+COMMENTS = r"(?s)<!--.*?-->"
+REFERENCES = r"(?si)<ref[^>/]*?>.*?</ref>|<ref[^>]*/>"
+TAGGED_BLOCKS = r"(?si)<(math|code|nowiki|gallery|timeline|syntaxhighlight|table)[^>]*?>.*?</\1>"
+OUTER_LINKS = r"\[(https?://[^\s\]]+)(?:\s+([^\]]+))?\]"
+FILE_LINKS = r"(?iu)\[\[(file|image|category|файл|изображение|категория):[^\[\]]*\]\]"
+INNER_LINKS = r"\[\[(?:[^\[\]]*\|)?\s*([^\[\]|]*?)\s*\]\]"
+HEADINGS = r"=+\s*(.*?)\s*=+"
+EMPHASIS = r"''+"
+TAGS = r"<[^>]+>"
+SPACED_MARKS = r"([,.;:!?()«»\"“”„])"
+
+_LONG_NAMES = sorted(k[:-1] for k in html5 if k.endswith(";"))
+_SHORT_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+
+
+def unescaped(text: Column) -> Column:
+    """HTML entities as characters: named ones, those that may lack their semicolon included, and numbers.
+
+    Names come from Python's table of them. Numbers that name no character become U+FFFD; unknown names stay.
+    """
+    parts = F.split(text, "&")
+    names = F.create_map(*(F.lit(x) for k in _LONG_NAMES for x in (k, html5[f"{k};"])))
+    short = F.create_map(*(F.lit(x) for k in _SHORT_NAMES for x in (k, html5[k])))
+    common = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "apos": "'"}
+
+    def named(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        head = F.regexp_extract(part, f"^({'|'.join(_SHORT_NAMES)})", 1)
+        char = F.lit(None).cast("string")
+        for k, c in common.items():
+            char = F.when(name == k, c).otherwise(char)
+        char = F.when(name == "", F.lit(None).cast("string")).when(name.isin(*common), char).otherwise(F.try_element_at(names, name))
+        whole = F.concat(char, F.substring(part, F.length(name) + 2, F.length(part)))
+        return F.coalesce(whole, F.when(head != "", F.concat(F.try_element_at(short, head), F.substring(part, F.length(head) + 1, F.length(part)))), F.concat(F.lit("&"), part))
+
+    def numbered(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"^#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?", 0)
+        code = F.coalesce(F.conv(F.regexp_extract(part, r"^#[xX]0*([0-9a-fA-F]{1,8})(?![0-9a-fA-F])", 1), 16, 10).try_cast("long"), F.regexp_extract(part, r"^#0*([0-9]{1,8})(?![0-9])", 1).try_cast("long"), F.lit(1 << 40))
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(digits == "", F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substring(part, F.length(digits) + 1, F.length(part))))
+
+    each = F.transform(parts, lambda p, k: F.when(k == 0, p).when(p.startswith("#"), numbered(p)).otherwise(named(p)))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(each, "")).otherwise(text)
+
+
 def plain_sentences(markup: Column) -> Column:
     """Sentences of a marked-up page: comments, references, tagged blocks, templates, tables, links and tags removed."""
-    t = F.coalesce(markup, F.lit(""))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?si)<ref[^>/]*?>.*?</ref>|<ref[^>]*/>", " ")
-    t = F.regexp_replace(t, r"(?si)<(math|code|nowiki|gallery|timeline|syntaxhighlight|table)[^>]*?>.*?</\1>", " ")
+    t = F.regexp_replace(unescaped(F.coalesce(markup, F.lit(""))), COMMENTS, " ")
+    t = F.regexp_replace(F.regexp_replace(t, REFERENCES, " "), TAGGED_BLOCKS, " ")
     t = without_nested(without_nested(t, "{{", "}}"), "{|", "|}")
-    t = F.regexp_replace(t, r"\[(https?://[^\s\]]+)(?:\s+([^\]]+))?\]", " $2 ")
-    t = F.regexp_replace(t, r"(?iu)\[\[(file|image|category|файл|изображение|категория):[^\[\]]*\]\]", " ")
-    t = F.regexp_replace(t, r"\[\[(?:[^\[\]]*\|)?\s*([^\[\]|]*?)\s*\]\]", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"=+\s*(.*?)\s*=+", " $1. "), r"''+", "")
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
-    t = F.regexp_replace(t, r"([,.;:!?()«»\"“”„])", " $1 ")
-    return F.filter(F.split(squeeze(t), r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 3)
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, OUTER_LINKS, " $2 "), FILE_LINKS, " "), INNER_LINKS, "$1")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, HEADINGS, " $1. "), EMPHASIS, ""), TAGS, " ")
+    return F.filter(F.split(squeeze(F.regexp_replace(t, SPACED_MARKS, " $1 ")), r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 3)

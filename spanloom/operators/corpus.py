@@ -49,19 +49,23 @@ def best_slice(clean: Column, ctc: Column, whisper: Column) -> Column:
 
     The first of equal runs; the whole text if it has one sentence, or the sources no words.
     """
+    parts = sentences(clean, ".!?…")
     facts = F.struct(
-        sentences(clean, ".!?…").alias("parts"), F.array_distinct(F.concat(content_tokens(ctc), content_tokens(whisper))).alias("source"),
+        parts.alias("parts"), F.transform(parts, content_tokens).alias("words"), F.array_distinct(F.concat(content_tokens(ctc), content_tokens(whisper))).alias("source"),
         F.greatest(F.size(content_tokens(ctc)), F.size(content_tokens(whisper)), F.lit(1)).alias("target"), squeeze(clean).alias("whole"),
     )
 
     def chosen(f: Column) -> Column:
         def scored(i: Column, j: Column) -> Column:
-            text = F.array_join(F.slice(f.parts, i + 1, j - i + 1), " ")
             score = lambda w: source_ratio(F.array_distinct(w), f.source) - 0.25 * F.abs(F.size(w) - f.target) / F.greatest(F.size(w), F.lit(1))
-            return bound(content_tokens(text), lambda w: F.when(F.size(w) > 0, F.struct(score(w).alias("score"), (-i).alias("i"), (-j).alias("j"), text.alias("text"))))
-
-        spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size(f.parts) - 1), lambda i: F.transform(F.sequence(i, F.size(f.parts) - 1), lambda j: scored(i, j))))
-        return F.when((F.size(f.parts) <= 1) | (F.size(f.source) == 0), f.whole).otherwise(F.coalesce(F.array_max(F.array_compact(spans)).text, f.whole))
+            words = F.flatten(F.slice(f.words, i + 1, j - i + 1))  # a sentence's words are split once, not for each run
+            return bound(words, lambda w: F.when(F.size(w) > 0, F.struct(score(w).alias("score"), (-i).alias("i"), (-j).alias("j"))))
+
+        last = F.size(f.parts) - 1
+        spans = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: scored(i, j))))
+        best = F.array_max(F.array_compact(spans))
+        text = bound(best, lambda b: F.array_join(F.slice(f.parts, 1 - b.i, b.i - b.j + 1), " "))
+        return F.when((F.size(f.parts) <= 1) | (F.size(f.source) == 0), f.whole).otherwise(F.coalesce(text, f.whole))
 
     return bound(facts, chosen)
 

@@ -22,29 +22,49 @@ DP = """, dp AS (
 ),
 edit AS (SELECT k, w[-1]::BIGINT AS edits, len(r)::BIGINT AS n, len(h)::BIGINT AS m FROM dp WHERE i = len(r))"""
 
-#: The same with each cell's path: E equal, R replace, D delete, I insert; ties go to E and R, then D.
-PATHS = """, dp AS (
-  SELECT k, 0::BIGINT AS i, list_transform(range(0, len(h) + 1), lambda j: {'c': j::BIGINT, 'o': repeat('I', j)}) AS w, r, h FROM pair
+#: The same with a count of substitutions and deletions in each cell: edits * 2^40 + substitutions * 2^20 + deletions. Ties
+#: go across, then to a deletion.
+SPLIT = """, dp AS (
+  SELECT k, 0::BIGINT AS i, list_transform(range(0, len(h) + 1), lambda j: j::BIGINT << 40) AS w, r, h FROM pair
   UNION ALL
   SELECT k, i + 1, list_reduce(
-    list_prepend([{'c': i + 1, 'o': repeat('D', i + 1)}], list_transform(range(1, len(h) + 1), lambda j: [{'c': j::BIGINT, 'o': ''}])),
+    list_prepend([((i + 1) << 40) + i + 1], list_transform(range(1, len(h) + 1), lambda j: [j::BIGINT])),
     lambda acc, x: list_append(acc, CASE
-      WHEN w[x[1].c].c + (r[i + 1] <> h[x[1].c])::BIGINT <= least(w[x[1].c + 1].c, acc[-1].c) + 1
-        THEN {'c': w[x[1].c].c + (r[i + 1] <> h[x[1].c])::BIGINT, 'o': w[x[1].c].o || CASE WHEN r[i + 1] <> h[x[1].c] THEN 'R' ELSE 'E' END}
-      WHEN w[x[1].c + 1].c <= acc[-1].c THEN {'c': w[x[1].c + 1].c + 1, 'o': w[x[1].c + 1].o || 'D'}
-      ELSE {'c': acc[-1].c + 1, 'o': acc[-1].o || 'I'} END)), r, h
+      WHEN (w[x[1]] >> 40) + (r[i + 1] <> h[x[1]])::BIGINT <= least(w[x[1] + 1] >> 40, acc[-1] >> 40) + 1 THEN w[x[1]] + (r[i + 1] <> h[x[1]])::BIGINT * ((1::BIGINT << 40) + (1 << 20))
+      WHEN (w[x[1] + 1] >> 40) <= (acc[-1] >> 40) THEN w[x[1] + 1] + (1::BIGINT << 40) + 1
+      ELSE acc[-1] + (1::BIGINT << 40) END)), r, h
   FROM dp WHERE i < len(r)
 ),
-path AS (SELECT k, w[-1].c AS edits, w[-1].o AS o, r, h FROM dp WHERE i = len(r))"""
+n AS (
+  SELECT k, w[-1] >> 40 AS edits, len(r)::BIGINT AS ref_words, len(h)::BIGINT AS hyp_words, (w[-1] >> 20) & 1048575 AS word_substitutions, w[-1] & 1048575 AS word_deletions,
+    (w[-1] >> 40) - ((w[-1] >> 20) & 1048575) - (w[-1] & 1048575) AS word_insertions, len(r) - ((w[-1] >> 20) & 1048575) - (w[-1] & 1048575) AS word_hits FROM dp WHERE i = len(r)
+)"""
+
+#: The way back through the table: E equal, R replace, D delete, I insert, in the same order of preference.
+PATHS = DP + """, rows_ AS MATERIALIZED (SELECT k, i, w FROM dp),
+back AS (
+  SELECT k, len(r)::BIGINT AS i, len(h)::BIGINT AS j, '' AS o, r, h FROM pair
+  UNION ALL
+  SELECT k, i - (t <> 'I')::BIGINT, j - (t <> 'D')::BIGINT, t || o, r, h FROM (
+    SELECT b.*, CASE WHEN b.i > 0 AND b.j > 0 AND y.w[b.j] + (r[b.i] <> h[b.j])::BIGINT = x.w[b.j + 1] THEN CASE WHEN r[b.i] = h[b.j] THEN 'E' ELSE 'R' END
+      WHEN b.i > 0 AND y.w[b.j + 1] + 1 = x.w[b.j + 1] THEN 'D' ELSE 'I' END AS t
+    FROM back b JOIN rows_ x ON x.k = b.k AND x.i = b.i LEFT JOIN rows_ y ON y.k = b.k AND y.i = b.i - 1 WHERE b.i > 0 OR b.j > 0)
+),
+path AS (SELECT k, o, r, h FROM back WHERE i = 0 AND j = 0)"""
 
 
 def rate(edits: str, n: str, m: str) -> str:
     return f"CASE WHEN {n} = 0 THEN CASE WHEN {m} = 0 THEN 0.0 ELSE 1.0 END ELSE round_even(({edits})::DOUBLE / {n}, 6) END"
 
 
+#: As many ASCII characters as stand for those of a pair of texts, which DuckDB's byte-wise distance then compares.
+_ASCII = "".join(chr(c) for c in range(35, 127) if chr(c) not in "'\\")
+
+
 def char_edits(a: str, b: str) -> str:
-    """SQL of the edits between two texts of at most 95 distinct characters: each becomes one ASCII character."""
-    coded = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: chr((31 + list_position(list_distinct(list_concat(string_split({a}, ''), string_split({b}, ''))), c))::INTEGER)), '')"
+    """SQL of the edits between two texts of at most 90 distinct characters."""
+    known = f"array_to_string(list_distinct(string_split({a} || {b}, '')), '')"
+    coded = lambda x: f"translate({x}, {known}, left('{_ASCII}', length({known})))"
     return f"CASE WHEN {a} = '' OR {b} = '' THEN length({a} || {b})::BIGINT ELSE levenshtein({coded(a)}, {coded(b)})::BIGINT END"
 
 
@@ -84,13 +104,7 @@ def char_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return scoring.error_rates(pairs(spark, d)).select("meeting_id", "seg_idx", "char_edits", "ref_chars", "cer")
 
 
-_COUNTS = """, n AS (
-  SELECT k, edits, len(r)::BIGINT AS ref_words, (length(o) - length(replace(o, 'E', '')))::BIGINT AS word_hits, (length(o) - length(replace(o, 'R', '')))::BIGINT AS word_substitutions,
-    (length(o) - length(replace(o, 'D', '')))::BIGINT AS word_deletions, (length(o) - length(replace(o, 'I', '')))::BIGINT AS word_insertions, len(h)::BIGINT AS hyp_words FROM path
-)"""
-
-
-@query(using("seg", "whisper", recursive=True) + PAIR.replace("ctc c", "whisper c") + PATHS + _COUNTS + " SELECT k // 1000 AS meeting_id, k % 1000 AS seg_idx, word_hits, word_substitutions, word_deletions, word_insertions, edits AS word_edits FROM n")
+@query(using("seg", "whisper", recursive=True) + PAIR.replace("ctc c", "whisper c") + SPLIT + " SELECT k // 1000 AS meeting_id, k % 1000 AS seg_idx, word_hits, word_substitutions, word_deletions, word_insertions, edits AS word_edits FROM n")
 def error_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hits, substitutions, deletions and insertions of turns against a transcript with words replaced."""
     s = roles.segments(spark, d)
@@ -99,7 +113,7 @@ def error_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    using("seg", "ctc", recursive=True) + _CHARS.replace(", pair AS", ", pair AS", 1) + PATHS + _COUNTS + f"""
+    using("seg", "ctc", recursive=True) + _CHARS + SPLIT + f"""
 , i AS (
   SELECT k // 1000 % 7 AS corpus, n.*, c.edits AS char_edits, c.n AS ref_chars, {rate('n.edits', 'n.ref_words', 'n.hyp_words')} AS wer, {rate('c.edits', 'c.n', 'c.m')} AS cer,
     CASE WHEN k % 1000 % 2 = 0 THEN k // 1000 % 10 / 10.0::DOUBLE END AS cp_wer, CASE WHEN k // 1000 % 7 < 5 THEN k % 1000 / 100.0::DOUBLE END AS der
