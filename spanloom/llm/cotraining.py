@@ -37,6 +37,8 @@ for _k, _v in enumerate(_CLASSES.values()):
     _KIND[list(_v)] = _k
 N_TEXT = 2 * (len(_CLASSES) + 7) + 1
 _LANGS, _SOURCES, _LENGTHS = 16, 64, 12
+#: Tasks that sum what all others give.
+SUMMERS = 4
 N_META, N_CODES = _LANGS + _SOURCES + _LENGTHS, _LANGS * _SOURCES * _LENGTHS
 
 
@@ -111,7 +113,7 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, s
         sums = sums_of(x, y, weight, w) + (more(w) if more else 0)
         step = np.linalg.solve(sums[n:].reshape(n, n) + np.diag(penalty + 1e-9), sums[:n] + penalty * w)
         w = w - step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < (1e-4 if more else 1e-6):
+        if np.abs(step).max() < (1e-3 if more else 1e-6):
             break
     return np.round(w, 8)  # beyond that the order of summing shows
 
@@ -172,37 +174,37 @@ class Table:
     def __init__(self, rows: DataFrame):
         self.rows = rows.select("text", "code")
 
-    def _total(self, make: Callable[[Pool], np.ndarray]) -> np.ndarray:
-        """The sum over all batches of what ``make`` gives for one, as many numbers each time: one row of them a task."""
+    def _total(self, make: Callable[[Pool], np.ndarray], size: int) -> np.ndarray:
+        """The sum over all batches of the ``size`` numbers that ``make`` gives for one.
+
+        Each task gives one packed row, a few tasks sum those, and only their sums come to the driver.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total = np.zeros(size)
             for batch in batches:
                 if batch.num_rows:
-                    made = make(Pool(_stacked(batch.column("text")), np.asarray(batch.column("code")).astype(np.int64))).ravel()
-                    total = made if total is None else total + made
-            if total is not None:
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(float))], names=["k", "v"])
-
-        rows = self.rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        size = 1 + max([r.k for r in rows], default=-1)
-        out = np.zeros(size)
-        out[[r.k for r in rows]] = [r.v for r in rows]
-        return out
+                    total += make(Pool(_stacked(batch.column("text")), np.asarray(batch.column("code")).astype(np.int64))).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["v"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                for v in batch.column("v").to_pylist():
+                    total += np.frombuffer(v)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["v"])
+
+        rows = self.rows.mapInArrow(run, "v binary").repartition(SUMMERS).mapInArrow(add, "v binary").collect()
+        return sum((np.frombuffer(r.v) for r in rows), np.zeros(size))
 
     def counts(self) -> np.ndarray:
-        return _padded(self._total(lambda p: p.counts()), N_CODES)
+        return self._total(lambda p: p.counts(), N_CODES)
 
     def named(self, odds: Callable[[np.ndarray], np.ndarray], least: float) -> np.ndarray:
-        return _padded(self._total(lambda p: p.named(odds, least)), 2 * N_CODES).reshape(2, -1)
+        return self._total(lambda p: p.named(odds, least), 2 * N_CODES).reshape(2, -1)
 
     def sums(self, w: np.ndarray, scale: tuple[np.ndarray, np.ndarray], label: np.ndarray) -> np.ndarray:
-        return _padded(self._total(lambda p: p.sums(w, scale, label)), len(w) + len(w) ** 2)
-
-
-def _padded(x: np.ndarray, size: int) -> np.ndarray:
-    return np.concatenate([x, np.zeros(size - len(x))])
+        return self._total(lambda p: p.sums(w, scale, label), len(w) + len(w) ** 2)
 
 
 def _stacked(column: pa.Array) -> np.ndarray:

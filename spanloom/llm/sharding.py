@@ -69,9 +69,9 @@ class Store:
 
     def _write(self, rows: DataFrame, files: int) -> str:
         """``rows`` (row, shard, size, file) as files of a new folder, each written by one task."""
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        folder = f"{self.path}/data/change={uuid.uuid4().hex}"
         rows.repartition(max(1, 3 * files), "file").write.option("compression", "zstd").partitionBy("file").parquet(folder)
-        self.schemas[folder] = T.StructType([*rows.drop("file").schema.fields, T.StructField("file", T.StringType())])
+        self.schemas[folder] = rows.drop("file").schema
         return folder
 
     def append(self, docs: DataFrame, shard: Column, shards: int = 64, first: int | None = None, columns: list[str] | None = None) -> int:
@@ -82,7 +82,8 @@ class Store:
         """
         base = self.version()
         before = self.manifest(base)
-        free = (before.agg(F.max("shard")).first()[0] + 1) if base and not before.isEmpty() else 0
+        top = before.agg(F.max("shard")).first()[0] if base else None
+        free = 0 if top is None else top + 1
         first = free if first is None else first
         if first < free:
             raise ValueError(f"shards from {first} on were asked for, but those below {free} are in use")
@@ -93,7 +94,8 @@ class Store:
         folder = self._write(docs.select(F.struct(*stored).alias("row"), number.alias("shard"), size.alias("size"), F.concat(F.lit("s"), number).alias("file")), shards)
         own = self.spark.read.schema("shard long, size long").parquet(folder).groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"))
         new = own.select(F.lit(folder).alias("folder"), F.concat(F.lit("s"), F.col("shard")).alias("file"), "shard", "n_rows", "n_bytes", F.col("n_rows").alias("file_rows"), F.col("n_bytes").alias("file_bytes"), F.lit(base + 1).cast("long").alias("version"))
-        return self._commit(before.unionByName(new), base)
+        version = self._commit(before.unionByName(new), base)
+        return version
 
     def _merges(self, files: DataFrame) -> DataFrame:
         """(first, low) of ``files`` (first, size) that come together: low is the first shard of the file that they make.
@@ -111,7 +113,7 @@ class Store:
     def plan(self, manifest: DataFrame) -> DataFrame:
         """``manifest`` with ``into``: the file that a shard's rows go to, null if they stay."""
         stages = Stages(self.spark, "plan")
-        now = stages.write(manifest.withColumn("was", F.min("shard").over(Window.partitionBy("folder", "file"))).withColumn("first", F.col("was")), "files")
+        now = manifest.withColumn("was", F.min("shard").over(Window.partitionBy("folder", "file"))).withColumn("first", F.col("was"))
         while True:
             merges = stages.write(self._merges(now.groupBy("first").agg(F.sum("n_bytes").alias("size"))), "merges")
             if merges.isEmpty():
@@ -136,12 +138,22 @@ class Store:
     def _rows(self, manifest: DataFrame) -> DataFrame:
         """Rows (row, shard, size) of the files in ``manifest``, with its columns file, file_rows, file_bytes and into."""
         tags = ["file_rows", "file_bytes", *(c for c in ("into",) if c in manifest.columns)]
-        files = manifest.select("folder", "file", *tags).distinct()
-        out = None
-        for folder in sorted(r[0] for r in files.select("folder").distinct().collect()):
-            reader = self.spark.read.schema(self.schemas[folder]) if folder in self.schemas else self.spark.read
-            of = files.where(F.col("folder") == folder).drop("folder").withColumnRenamed("file", "name")
-            part = reader.parquet(folder).join(bounded(of), F.col("file") == F.col("name")).drop("name")
+        files = manifest.select(F.col("folder").alias("of"), F.col("file").alias("name"), *tags).distinct()
+        alike: list[tuple[T.StructType, list[str]]] = []  # folders by schema
+        for folder in sorted(r[0] for r in files.select("of").distinct().collect()):
+            if folder not in self.schemas:
+                self.schemas[folder] = self.spark.read.parquet(folder).drop("file").schema
+            for schema, folders in alike:
+                if schema == self.schemas[folder]:
+                    folders.append(folder)
+                    break
+            else:
+                alike.append((self.schemas[folder], [folder]))
+        files, out = bounded(files), None
+        for schema, folders in alike:
+            whole = T.StructType([*schema.fields, T.StructField("change", T.StringType()), T.StructField("file", T.StringType())])
+            rows = self.spark.read.option("basePath", f"{self.path}/data").schema(whole).parquet(*folders)
+            part = rows.join(files, (F.col("file") == F.col("name")) & (F.col("change") == F.regexp_extract("of", "/change=([^/]+)$", 1))).drop("change", "name", "of")
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         if out is None:
             kinds = [T.StructField("row", self.schema or T.StructType([])), T.StructField("shard", T.LongType()), T.StructField("size", T.LongType()), T.StructField("file", T.StringType())]
