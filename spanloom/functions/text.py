@@ -120,6 +120,11 @@ def sentences(text: Column, ends: str = ".!?") -> Column:
     return F.filter(F.transform(F.split(squeeze(text), rf"(?<=[{ends}])\s+"), F.trim), lambda s: s != "")
 
 
+def has_adjacent_repeat(text: Column) -> Column:
+    """Whether a content word comes twice in a row."""
+    return bound(content_tokens(text), lambda w: F.size(F.filter(w, lambda x, k: (k > 0) & (F.get(w, k - 1) == x))) > 0)
+
+
 def slug(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._\-]+", "_"), r"^[._\-]+|[._\-]+$", "")
     return F.when(out == "", "case").otherwise(out)
@@ -178,11 +183,13 @@ _SHORT_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (
 def unescaped(text: Column) -> Column:
     """HTML entities as characters: named ones, those that may lack their semicolon included, and numbers.
 
-    Names come from Python's table of them. Numbers that name no character become U+FFFD; unknown names stay.
+    Names come from Python's table of them. Numbers from 128 to 159 are those of Windows-1252, other control characters
+    and noncharacters vanish, numbers beyond Unicode become U+FFFD; unknown names stay.
     """
     parts = F.split(text, "&")
     names = F.create_map(*(F.lit(x) for k in _LONG_NAMES for x in (k, html5[f"{k};"])))
     short = F.create_map(*(F.lit(x) for k in _SHORT_NAMES for x in (k, html5[k])))
+    windows = F.create_map(*(F.lit(x) for k in range(128, 160) for x in (k, bytes([k]).decode("cp1252", "ignore") or chr(k))))
     common = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "apos": "'"}
 
     def named(part: Column) -> Column:
@@ -199,7 +206,8 @@ def unescaped(text: Column) -> Column:
         digits = F.regexp_extract(part, r"^#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?", 0)
         code = F.coalesce(F.conv(F.regexp_extract(part, r"^#[xX]0*([0-9a-fA-F]{1,8})(?![0-9a-fA-F])", 1), 16, 10).try_cast("long"), F.regexp_extract(part, r"^#0*([0-9]{1,8})(?![0-9])", 1).try_cast("long"), F.lit(1 << 40))
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        nothing = code.between(1, 8) | code.isin(11, 127) | code.between(14, 31) | code.between(128, 159) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+        char = F.when(code == 13, "\r").when(F.try_element_at(windows, code).isNotNull(), F.try_element_at(windows, code)).when(valid & nothing, "").when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
         return F.when(digits == "", F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substring(part, F.length(digits) + 1, F.length(part))))
 
     each = F.transform(parts, lambda p, k: F.when(k == 0, p).when(p.startswith("#"), numbered(p)).otherwise(named(p)))

@@ -55,24 +55,64 @@ def stability(runs: DataFrame) -> DataFrame:
 
 
 Check = Callable[[dict[str, DataFrame]], DataFrame]
-_checks: dict[str, Check] = {}
+_checks: dict[str, tuple[str, Check]] = {}
+SECTIONS = ("performance", "stability", "metrics")
 
 
-def register(name: str, check: Check) -> None:
-    """A check takes named tables and returns rows keyed by meeting_id."""
-    _checks[name] = check
+def register(name: str, check: Check, section: str = "metrics") -> None:
+    """A check takes named tables and returns rows keyed by meeting_id, for a section of the report."""
+    _checks[name] = section, check
 
 
+def _performance(t: dict[str, DataFrame]) -> DataFrame:
+    return stability(t["runs"]).select("meeting_id", F.coalesce("wall_clock_sec", F.lit(0.0)).alias("wall_clock_sec"), "realtime_factor")
+
+
+def _stability(t: dict[str, DataFrame]) -> DataFrame:
+    return stability(t["runs"]).select("meeting_id", "fallback_reasons", "fallback_count", "skipped_stages", "skipped_stage_count")
+
+
+def _reference(t: dict[str, DataFrame]) -> DataFrame:
+    from .scoring import error_rates, flat_text
+
+    said = flat_text(t["segments"]).withColumnRenamed("text", "hyp_text")
+    known = flat_text(t["reference"]).withColumnRenamed("text", "ref_text")
+    heard = t["segments"].select("meeting_id").distinct()
+    return error_rates(known.join(heard, "meeting_id").join(said, "meeting_id", "left").fillna("", ["hyp_text"])).select("meeting_id", "wer", "cer")
+
+
+register("performance", _performance, "performance")
+register("stability", _stability, "stability")
 register("proxy_transcript_quality", lambda t: proxy_quality(t["segments"], t["words"]))
+register("reference_transcript_quality", _reference)
+_NEEDS = {"performance": ("runs",), "stability": ("runs",), "proxy_transcript_quality": ("segments", "words"), "reference_transcript_quality": ("segments", "reference")}
+
+
+def default_checks(tables: dict[str, DataFrame]) -> list[str]:
+    """The registered checks whose tables are there; the reference's only with a reference."""
+    return [name for name in _checks if all(t in tables for t in _NEEDS.get(name, ()))]
 
 
 def report(tables: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
-    """All checks' columns by meeting; of equal columns the later check's."""
+    """All checks' columns by meeting; of equal columns the later check's. Meetings without values of a check have nulls."""
     out = None
-    for name in names or list(_checks):
-        made = _checks[name](tables)
+    for name in names or default_checks(tables):
+        made = _checks[name][1](tables)
         if out is None:
             out = made
         else:
             out = out.drop(*(c for c in made.columns if c in out.columns and c != "meeting_id")).join(made, "meeting_id", "full")
     return out
+
+
+def report_sections(tables: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
+    """The report as one struct for each section; a section without checks is empty."""
+    names = names or default_checks(tables)
+    out = None
+    for section in SECTIONS:
+        mine = [n for n in names if _checks[n][0] == section]
+        if mine:
+            flat = report(tables, mine)
+            made = flat.select("meeting_id", F.struct(*(c for c in flat.columns if c != "meeting_id")).alias(section))
+            out = made if out is None else out.join(made, "meeting_id", "full")
+    return out

@@ -6,10 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
 from ..model import UNKNOWN
 
 #: Pieces that decoders and tokenizers use as marks.
@@ -84,14 +83,20 @@ def decoder_labels(pieces: Column, size: Column) -> Column:
     return F.when((n + 1 == size) & (blanks == 0), F.concat(own, F.array(F.lit(BLANK)))).when((n == size) & (blanks == 1) & (size > 0), own).otherwise(wrong)
 
 
-def prompts(requests: DataFrame, instructions: dict[str, str], variant: str, model: str) -> DataFrame:
-    """Requests with ``payload``, the JSON of a model call: deterministic, empty texts marked, the named instructions last."""
-    if variant not in instructions:
-        raise ValueError(f"no instructions {variant!r}; there are {', '.join(instructions)}")
-    shown = lambda c: F.when(squeeze(F.col(c)) == "", "[empty]").otherwise(squeeze(F.col(c)))
-    text = F.format_string("Canary: %s\nCTC: %s\nWhisper: %s\n%s", shown("canary_text"), shown("ctc_text"), shown("whisper_text"), F.lit(instructions[variant]))
-    call = F.struct(F.lit(model).alias("model"), text.alias("prompt"), F.lit(False).alias("stream"), F.struct(F.lit(0).alias("temperature"), F.lit(1).alias("top_k"), F.lit(96).alias("num_predict")).alias("options"))
-    return requests.withColumn("payload", F.to_json(call))
+def zipped(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """Segments with ``columns`` filled in, where they are null, from those of the same position in the other transcript.
+
+    Both are taken in the order of (start, end, seg_idx); positions beyond the shorter one stay as they are.
+    """
+    n = F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.asc_nulls_last("start"), "end", "seg_idx"))
+    other = right.select(F.col("meeting_id").alias("__m"), n.alias("__k"), *(F.col(c).alias(f"__{c}") for c in columns))
+    out = left.withColumn("__n", n).join(other, (F.col("meeting_id") == F.col("__m")) & (F.col("__n") == F.col("__k")), "left")
+    return out.withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop("__n", "__m", "__k", *(f"__{c}" for c in columns))
+
+
+def longest_end(segments: DataFrame) -> DataFrame:
+    """(meeting_id, end): where a meeting's last segment ends, which is its start if it has no end; 0 of none with either."""
+    return segments.groupBy("meeting_id").agg(F.coalesce(F.max(F.coalesce("end", "start")), F.lit(0)).alias("end"))
 
 
 def resampled(audio: DataFrame, source: int, target: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import corpus, intervals, merge, quality, ranking, scoring, search, stages, windows
 from ..sources import writers
-from . import corpora, roles, scores  # noqa: F401
+from . import corpora, lifecycle, roles, scores  # noqa: F401
 from .registry import BUCKET, ORACLES, QUERIES, query  # noqa: F401
 from .roles import content, norm, using
 
@@ -414,3 +414,6 @@ def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(text.content_tokens(F.col("text")))
     q = roles.table(spark, d, "benchmark").select(F.concat(F.lit("v"), F.col("item_id") % 4).alias("variant"), F.bround(n / 7.0, 4).alias("score"), (n / 100.0).alias("anchor_overlap"), (n % 3).alias("unsupported"), F.when(F.col("item_id") % 2 == 0, "merged").otherwise("canary_base").alias("source"), (F.col("item_id") % 3 == 0).alias("changed"), F.col("item_id").alias("position"))
     return ranking.prompt_summary(q).drop("avg_anchor_overlap")
+
+
+from . import wording  # noqa: E402, F401  its queries build on those above

@@ -105,8 +105,54 @@ def read_texts(spark: SparkSession, path: str, label: str, weight: int = 1) -> D
     return files.select(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
+def read_groups(spark: SparkSession, groups: list[tuple[str, int, str]], extra: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Sentences (label, weight, doc_id, pos, sentence) of groups (label, weight, path), and of ``extra`` paths at weight 1.
+
+    A blank label is group_1, group_2, ...; limit: the first sentences over all groups, in their order, then by file name.
+    """
+    from ..operators.corpus import corpus_sentences
+
+    listed = [((label.strip() or f"group_{k}"), weight, path) for k, (label, weight, path) in enumerate(groups, 1)] + [("extra", 1, path) for path in extra or []]
+    out = None
+    for k, (label, weight, path) in enumerate(listed):
+        part = corpus_sentences(read_texts(spark, path, label, weight)).withColumn("group", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("a corpus needs a group or an extra text")
+    return (out if limit is None else out.orderBy("group", "doc_id", "pos").limit(limit)).drop("group")
+
+
+#: Kinds of audio files that are known; only the first is decoded here, others by a registered audio stage.
+AUDIO = (".wav", ".mp3", ".mp4", ".m4a", ".ogg", ".flac", ".webm")
+
+
+def read_audio(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
+    """(path, samples, duration) of one audio file or a folder of WAV files; a missing or unknown file raises at once."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise FileNotFoundError(path)
+    suffix = PurePosixPath(path).suffix.lower()
+    if not fs.getFileStatus(where).isDirectory() and suffix not in AUDIO:
+        raise ValueError(f"{path} isn't one of {', '.join(AUDIO)}")
+    if suffix in AUDIO[1:]:
+        raise ValueError(f"{suffix} files need a registered audio stage that decodes them")
+    return read_wav(spark, path, rate)
+
+
+def cached_audio(audio: DataFrame, path: str) -> DataFrame:
+    """``audio`` written once to ``path`` and read from there, by later runs, too."""
+    audio.write.mode("ignore").parquet(path)
+    return audio.sparkSession.read.schema(audio.schema).parquet(path)
+
+
 def read_wav(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
-    """(path, samples, duration) of mono 16-bit WAV files; other kinds raise. Decoded in Arrow batches."""
+    """(path, samples, duration) of mono 16-bit WAV files; other kinds raise."""
+    return decoded_wav(spark.read.format("binaryFile").load(path).select("path", "content"), rate)
+
+
+def decoded_wav(files: DataFrame, rate: int = 16000) -> DataFrame:
+    """``read_wav`` of files (path, content) that are a table already, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +161,9 @@ def read_wav(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
                     if (w.getnchannels(), w.getsampwidth(), w.getframerate()) != (1, 2, rate):
                         raise ValueError(f"{name} isn't mono 16-bit at {rate} Hz")
                     x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32768
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([x], pa.list_(pa.float32())), pa.array([len(x) / rate])], names=["path", "samples", "duration"])
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([x], pa.list_(pa.float32())), pa.array([len(x) / rate])], names=["path", "samples", "duration"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, samples array<float>, duration double")
+    return files.select("path", "content").mapInArrow(run, "path string, samples array<float>, duration double")
 
 
 def clipped(audio: DataFrame, seconds: float, rate: int = 16000) -> DataFrame:
@@ -228,10 +274,30 @@ def read_experiment(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "experiment_id string, preset_id string, description string, pipeline string, backend string")
 
 
+#: What a preset may say of the pipeline, and its modes.
+PIPELINE_KEYS = {"language", "min_speakers", "max_speakers", "content_mode", "duration_limit", "parallel_post_asr", "skip_alignment", "skip_diarization"}
+CONTENT_MODES = ("single-speaker", "multi-speaker")
+
+
 def read_presets(spark: SparkSession, folder: str) -> DataFrame:
-    """(preset_id, pipeline, backend_id, options) of the .json files of a folder; equal ids raise."""
-    raw = spark.read.schema("id string, pipeline string, backend string").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    """(preset_id, description, pipeline, backend_id, options) of the .json files of a folder, options as JSON.
+
+    A missing or repeated id, an unknown pipeline key or mode, and a backend without an id are errors.
+    """
+    raw = spark.read.schema("id string, description string, pipeline string, backend string").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    keys = F.json_object_keys(F.coalesce("pipeline", F.lit("{}")))
+    unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, sorted(PIPELINE_KEYS)))))
+    mode = F.coalesce(F.nullif(F.get_json_object("pipeline", "$.content_mode"), F.lit("")), F.lit(CONTENT_MODES[1]))
+    problem = (
+        F.when(F.coalesce("id", F.lit("")) == "", "a preset lacks its id")
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown pipeline keys in "), F.col("id"), F.lit(": "), F.array_join(unknown, ", ")))
+        .when(~mode.isin(*CONTENT_MODES), F.concat(F.lit("no content mode "), mode, F.lit(" in "), F.col("id")))
+        .when(F.coalesce(F.get_json_object("backend", "$.id"), F.lit("")) == "", F.concat(F.lit("no backend id in "), F.col("id")))
+    )
+    wrong = raw.select(problem.alias("p")).where("p is not null").limit(1).collect()
+    if wrong:
+        raise ValueError(wrong[0].p)
     twice = raw.groupBy("id").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"two presets have the id {twice[0].id!r}")
-    return raw.select(F.col("id").alias("preset_id"), "pipeline", F.get_json_object("backend", "$.id").alias("backend_id"), F.get_json_object("backend", "$.options").alias("options"))
+    return raw.select(F.col("id").alias("preset_id"), "description", "pipeline", F.get_json_object("backend", "$.id").alias("backend_id"), F.coalesce(F.get_json_object("backend", "$.options"), F.lit("{}")).alias("options"))

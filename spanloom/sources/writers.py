@@ -80,6 +80,10 @@ def wav_bytes(audio: DataFrame, rate: int = 16000) -> DataFrame:
     return audio.select("path", "samples").mapInArrow(run, "path string, content binary")
 
 
+#: Fixed value: what a blank review template tells its reader.
+INSTRUCTIONS = "Upload the WAV file to Gemini, then fill this JSON template's `segments` list with the timestamped speaker-attributed transcript."
+
+
 def review_manifest(meetings: DataFrame, seconds: float = 600.0) -> DataFrame:
     """(meeting_id, chunk_id, start_sec, end_sec, segments): blank review templates for fixed chunks."""
     from ..operators.windows import fixed_windows
@@ -88,6 +92,63 @@ def review_manifest(meetings: DataFrame, seconds: float = 600.0) -> DataFrame:
     return w.select("meeting_id", F.format_string("chunk_%03d", "window_id").alias("chunk_id"), F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), F.array().cast("array<string>").alias("segments"))
 
 
+def review_chunks(audio: DataFrame, seconds: float = 600.0, rate: int = 16000) -> DataFrame:
+    """(path, chunk_id, start_sec, end_sec, content, template) of audio (path, samples): WAV chunks and blank templates.
+
+    template is JSON; its audio_path is the chunk's name below audio_chunks.
+    """
+    from .readers import audio_chunks
+
+    if seconds <= 0:
+        raise ValueError(f"a chunk's length must be positive, not {seconds}")
+    name = F.format_string("chunk_%03d", "chunk")
+    cut = audio_chunks(audio, seconds, rate).withColumn("chunk_id", name).withColumn("key", F.concat_ws("/", "path", "chunk_id"))
+    wav = wav_bytes(cut.select(F.col("key").alias("path"), "samples"), rate).withColumnRenamed("path", "key")
+    blank = F.struct("chunk_id", F.concat(F.lit("audio_chunks/"), F.col("chunk_id"), F.lit(".wav")).alias("audio_path"), F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), F.lit(INSTRUCTIONS).alias("instructions"), F.array().cast("array<string>").alias("segments"))
+    return cut.join(wav, "key").select("path", "chunk_id", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), "content", F.to_json(blank).alias("template"))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Files (path, content; binary or text) of their own below ``folder``, one after the other through the driver."""
+    spark = files.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in files.select("path", F.col("content").cast("binary").alias("content")).toLocalIterator():
+        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.path}")
+        out = where.getFileSystem(conf).create(where, True)
+        out.write(r.content)
+        out.close()
+
+
+def run_events(runs: DataFrame, stage: str, percent: int, status: str = "running") -> DataFrame:
+    """Progress events (run_id, ts, seq, status, percent, stage, details) of runs (run_id, details) that reach a stage now."""
+    return runs.select("run_id", F.current_timestamp().alias("ts"), F.lit(percent).cast("long").alias("seq"), F.lit(status).alias("status"), F.lit(percent).cast("double").alias("percent"), F.lit(stage).alias("stage"), "details")
+
+
+def error_records(failed: DataFrame) -> DataFrame:
+    """(run_id, timestamp_utc, stage, error, traceback) of failed runs (run_id, stage, error, traceback)."""
+    from ..operators.experiments import iso
+
+    return failed.select("run_id", iso(F.current_timestamp()).alias("timestamp_utc"), "stage", "error", "traceback")
+
+
+def write_experiment(presets: DataFrame, ranked: DataFrame, folder: str) -> None:
+    """An experiment's preset snapshots, ranked runs and summary, as JSON lines below ``folder``."""
+    from ..operators.experiments import summaries
+
+    presets.write.mode("overwrite").json(f"{folder}/presets")
+    ranked.orderBy("experiment_id", "rank").write.mode("overwrite").json(f"{folder}/runs")
+    summaries(ranked).write.mode("overwrite").json(f"{folder}/summary")
+
+
+def write_language_corpus(sentences: DataFrame, folder: str, size: int = 100_000) -> None:
+    """corpus (sentences by weight), vocab (the ``size`` most frequent tokens, one a line, in order) and meta (group counts)."""
+    from ..operators.corpus import group_stats, vocabulary
+
+    write_corpus(sentences, f"{folder}/corpus")
+    vocabulary(sentences, size).orderBy(F.desc("n"), "token").coalesce(1).select("token").write.mode("overwrite").text(f"{folder}/vocab")
+    group_stats(sentences).coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+
+
 def first_blank(templates: DataFrame) -> DataFrame:
     """Each meeting's first template, by name, that has no segments yet."""
     return templates.where(F.size("segments") == 0).groupBy("meeting_id").agg(F.min("chunk_id").alias("chunk_id"))
@@ -95,7 +156,7 @@ def first_blank(templates: DataFrame) -> DataFrame:
 
 def markdown(headers: list[str], rows: Iterable[Iterable]) -> str:
     """A padded table; floats with four digits, null as a dash."""
-    shown = [["-" if c is None else f"{c:.4f}" if isinstance(c, float) else str(c) for c in r] for r in rows]
+    shown = [[_shown(c) for c in r] for r in rows]
     if not shown:
         return "_(no rows)_"
     width = [max(len(x) for x in column) for column in zip(headers, *shown, strict=True)]
@@ -107,3 +168,40 @@ def report(df: DataFrame, order: list[str], title: str | None = None) -> str:
     """A small result as Markdown."""
     body = markdown(df.columns, (list(r) for r in df.orderBy(*order).collect()))
     return f"# {title}\n\n{body}" if title else body
+
+
+def _shown(x: object) -> str:
+    return "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
+
+
+def score_report(score: dict, title: str | None = None, diff: str | None = None) -> str:
+    """One transcript's scores (a row of ``scoring.score_transcripts``, split or not) as Markdown."""
+    names = [("WER", "wer"), ("CER", "cer"), *((n, k) for n, k in (("cpWER", "cp_wer"), ("DER", "der")) if score.get(k) is not None)]
+    lines = [f"## {title}"] if title else []
+    lines.append(markdown([n for n, _ in names], [[score.get(k) for _, k in names]]))
+    if score.get("word_substitutions") is not None:
+        lines.append(f"\nWER breakdown: {score['word_substitutions']} sub, {score['word_deletions']} del, {score['word_insertions']} ins over {score['ref_words']} ref words (profile `{score.get('profile', 'default')}`).")
+    if score.get("skipped"):
+        lines.append("\nSkipped: " + ", ".join(f"{k} ({why})" for k, why in (x.split(": ", 1) for x in score["skipped"])))
+    if score.get("inferred_ends"):
+        lines.append("\n> Note: reference segment end-times were inferred from neighboring starts (DER is approximate).")
+    return "\n".join([*lines, *(["\n### Diff (reference | hypothesis)\n", f"```\n{diff}\n```"] if diff else [])])
+
+
+def corpus_report(corpus: str, items: DataFrame, missing: DataFrame, aggregate: DataFrame, profile: str = "default") -> str:
+    """A corpus: items (item_id, wer, cer, cp_wer, der, ref_words), missing (item_id), one row of ``scoring.corpus_scores``."""
+    rows = [list(r) for r in items.select("item_id", "wer", "cer", "cp_wer", "der", "ref_words").orderBy("item_id").collect()]
+    gone = [str(r[0]) for r in missing.select("item_id").orderBy("item_id").collect()]
+    lines = [f"# Corpus `{corpus}` (profile `{profile}`)", f"\nScored {len(rows)}/{len(rows) + len(gone)} items.", *(["Missing hypotheses: " + ", ".join(gone)] if gone else [])]
+    lines.append("\n" + markdown(["item", "WER", "CER", "cpWER", "DER", "ref_words"], rows))
+    found = aggregate.select("macro_wer", "macro_cer", "micro_wer", "micro_cer", "macro_cp_wer", "mean_der").first()
+    if found is not None:
+        kept = [(v, k) for k, v in found.asDict().items() if v is not None or k.startswith("mi")]
+        lines += ["\n## Aggregate\n", markdown(["value", "metric"], kept)]
+    return "\n".join(lines)
+
+
+def leaderboard_report(board: DataFrame, title: str = "Leaderboard") -> str:
+    """``ranking.leaderboard`` as Markdown, best first."""
+    rows = [[r["rank"], r.variant, f"{r.n_completed}/{r.n_items}", r.macro_wer, r.macro_cer, r.macro_cp_wer, r.mean_der, r.mean_rtf, r.proxy, r.fallbacks] for r in board.orderBy("rank").collect()]
+    return f"## {title}\n\n" + markdown(["#", "variant", "done", "WER", "CER", "cpWER", "DER", "RTF", "proxy", "fallbacks"], rows)

@@ -51,7 +51,7 @@ def test_cleaning(spark):
 def test_unescaped(spark):
     from html import unescape
 
-    texts = ["&lt;b&gt; &amp;lt; &amp", "&copy 2020 &copyx &notin; &notit; &mdash;&#160;&#xA9;&#x1F600; &#0; &#xD800; &#99999999;", "a & b &; &unknown; && &#; &#x;", "none", "", "&Aacute;&eacute &NotEqualTilde; &#0065;x &#x41x"]
+    texts = ["&lt;b&gt; &amp;lt; &amp", "&copy 2020 &copyx &notin; &notit; &mdash;&#160;&#xA9;&#x1F600; &#0; &#xD800; &#99999999;", "a & b &; &unknown; && &#; &#x;", "&#150;&#x80;&#129;&#1;&#11;&#13;&#xFFFF;|", "none", "", "&Aacute;&eacute &NotEqualTilde; &#0065;x &#x41x"]
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     for k, got in frame.select("k", text.unescaped(F.col("t"))).collect():
         assert got == unescape(texts[k]), texts[k]
