@@ -16,13 +16,13 @@ from .text import bound
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edits between two word arrays: each distinct word becomes one character, which ``levenshtein`` then compares.
 
-    Characters are Unicode's 1,111,000 beyond the first thousand, without surrogates: more distinct words in a pair than
-    that raise. Time grows with the product of both lengths, for finding words' numbers as for comparing them.
+    Characters are Unicode's from 1,000 to its surrogates, then those beyond the basic plane, 1,100,000 in all; more distinct
+    words in a pair than that raise. Time grows with the product of both lengths, for finding words' numbers as for comparing them.
     """
 
     def char(v: Column, w: Column) -> Column:
         at = F.array_position(v, w) + 1000
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(at < 55296, at).otherwise(at + 2048)), 8, "0")), "UTF-32")
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(at < 55296, at).otherwise(at + 10240)), 8, "0")), "UTF-32")
 
     coded = lambda v, words: F.array_join(F.transform(words, lambda w: char(v, w)), "")
     return bound(F.array_distinct(F.concat(reference, hypothesis)), lambda v: F.levenshtein(coded(v, reference), coded(v, hypothesis))).cast("long")

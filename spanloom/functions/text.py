@@ -187,8 +187,8 @@ def unescaped(text: Column) -> Column:
     and noncharacters vanish, numbers beyond Unicode become U+FFFD; unknown names stay.
     """
     parts = F.split(text, "&")
-    names = F.create_map(*(F.lit(x) for k in _LONG_NAMES for x in (k, html5[f"{k};"])))
-    short = F.create_map(*(F.lit(x) for k in _SHORT_NAMES for x in (k, html5[k])))
+    table = lambda pairs: F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs)), F.lit("\x01"), F.lit("\x02"))  # noqa: E731  folded to one literal
+    names, short = table((k, html5[f"{k};"]) for k in _LONG_NAMES), table((k, html5[k]) for k in _SHORT_NAMES)
     windows = F.create_map(*(F.lit(x) for k in range(128, 160) for x in (k, bytes([k]).decode("cp1252", "ignore") or chr(k))))
     common = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "apos": "'"}
 

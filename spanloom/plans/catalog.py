@@ -416,4 +416,4 @@ def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
     return ranking.prompt_summary(q).drop("avg_anchor_overlap")
 
 
-from . import wording  # noqa: E402, F401  its queries build on those above
+from . import files, wording  # noqa: E402, F401  their queries build on those above

@@ -113,13 +113,15 @@ def read_groups(spark: SparkSession, groups: list[tuple[str, int, str]], extra:
     from ..operators.corpus import corpus_sentences
 
     listed = [((label.strip() or f"group_{k}"), weight, path) for k, (label, weight, path) in enumerate(groups, 1)] + [("extra", 1, path) for path in extra or []]
-    out = None
+    texts = None
     for k, (label, weight, path) in enumerate(listed):
-        part = corpus_sentences(read_texts(spark, path, label, weight)).withColumn("group", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        part = read_texts(spark, path, label, weight).withColumn("doc_id", F.struct(F.lit(k).alias("group"), "doc_id"))
+        texts = part if texts is None else texts.unionByName(part)
+    if texts is None:
         raise ValueError("a corpus needs a group or an extra text")
-    return (out if limit is None else out.orderBy("group", "doc_id", "pos").limit(limit)).drop("group")
+    out = corpus_sentences(texts)
+    out = out if limit is None else out.orderBy("doc_id", "pos").limit(limit)
+    return out.withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
 #: Kinds of audio files that are known; only the first is decoded here, others by a registered audio stage.
@@ -190,15 +192,15 @@ def audio_chunks(audio: DataFrame, seconds: float, rate: int = 16000) -> DataFra
     return each.select("path", "chunk", F.bround(F.col("chunk") * n / rate, 3).alias("start"), F.bround(F.least(total, (F.col("chunk") + 1) * n) / rate, 3).alias("end"), F.slice("samples", F.col("chunk") * n + 1, n).alias("samples"))
 
 
-# ---- manifests: small files of configuration, read where the driver runs
+# ---- manifests: small files of configuration, from wherever Spark reads
 
 CORPUS_KEYS, ITEM_KEYS = {"name", "profile", "defaults", "items"}, {"id", "audio", "reference", "hypothesis", "language", "duration_limit", "notes"}
 EXPERIMENT_KEYS = {"id", "description", "audio", "corpus", "reference", "profile", "max_workers", "output_dir", "defaults", "variants"}
 VARIANT_KEYS = {"id", "description", "extends", "pipeline", "backend"}
 
 
-def _load(path: str) -> dict:
-    text = open(path, encoding="utf-8").read()
+def _load(spark: SparkSession, path: str) -> dict:
+    text = spark.read.text(path, wholetext=True).first().value
     if path.endswith((".yaml", ".yml")):
         import yaml
 
@@ -217,7 +219,7 @@ def _closed(found: dict, allowed: set[str], where: str) -> None:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(corpus, profile, item_id, reference, audio, hypothesis, language, duration_limit, notes) of a corpus manifest."""
-    found = _load(path)
+    found = _load(spark, path)
     _closed(found, CORPUS_KEYS, path)
     if not isinstance(found.get("items"), list) or not found["items"]:
         raise ValueError(f"{path} has no items")
@@ -250,7 +252,7 @@ def read_experiment(spark: SparkSession, path: str) -> DataFrame:
     A variant is merged over the one it extends, that over the defaults; unknown parents and cycles are errors, as are
     both or neither of audio and corpus.
     """
-    found = _load(path)
+    found = _load(spark, path)
     _closed(found, EXPERIMENT_KEYS, path)
     if bool(found.get("audio")) == bool(found.get("corpus")):
         raise ValueError(f"{path} needs one of audio and corpus")

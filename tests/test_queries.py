@@ -13,9 +13,8 @@ def test_matches_sql(spark, name):
     assert by_spark(spark, QUERIES[name]) == by_sql(ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
@@ -26,6 +25,7 @@ def test_entry(spark):
 
 
 def test_plans_are_joins_by_meeting(spark):
-    for name in ("window_text_join", "assign_speakers", "merge_requests"):
+    for name in ("window_text_join", "assign_speakers", "merge_requests", "contained_words", "training_pairs_fixed"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "slot" in plan or "__p" in plan  # time buckets are among the keys
         assert "CartesianProduct" not in plan and "Python" not in plan and "BroadcastNestedLoopJoin" not in plan
