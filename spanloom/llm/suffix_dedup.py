@@ -93,8 +93,16 @@ def anchors(texts: list[bytes], size: int) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
+#: Marks an anchor whose other places in its batch of texts are known already, and itself among them.
+_KNOWN_HERE = np.uint32(1 << 31)
+
+
 def _packed_anchors(size: int, parts: int):
-    """(key, text) to packed rows: for each hash partition the anchors there, by text."""
+    """(key, text) to packed rows: for each hash partition the anchors there, by text.
+
+    An anchor that occurs several times among a batch's texts repeats, so its places need no partition to say so: they go on
+    by text, as rows without owners, and one of them alone, marked, goes to the anchor's partition to tell other batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +114,25 @@ def _packed_anchors(size: int, parts: int):
                 place = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
                 gram = np.concatenate([np.zeros(0, np.uint64), *(f[1] for f in found)])
                 # of the strings that an anchor has, how far before it the first and the last start
-                reach = np.concatenate([np.zeros(0, np.int64), *((f[0] - f[2]) << 16 | (f[0] - f[3]) for f in found)])
+                reach = np.concatenate([np.zeros(0, np.int64), *((f[0] - f[2]) << 16 | (f[0] - f[3]) for f in found)]).astype(np.uint32)
+                order = np.argsort(gram, kind="stable")
+                lead = np.ones(len(gram), bool)
+                lead[1:] = gram[order][1:] != gram[order][:-1]
+                more = np.zeros(len(gram), bool)
+                more[order] = (np.bincount(np.cumsum(lead) - 1)[np.cumsum(lead) - 1] > 1) if len(gram) else False
+                rows = []
+                for a, b in runs(owner[more]):
+                    p, g, r = place[more][a:b], gram[more][a:b], reach[more][a:b]
+                    key = keys[owner[more][a]]
+                    rows.append((int.from_bytes(key[:6], "little") % parts, key, None, p.tobytes(), g.tobytes(), r.tobytes()))
+                one = order[lead]
+                owner, place, gram, reach = owner[one], place[one], gram[one], np.where(more[one], reach[one] | _KNOWN_HERE, reach[one])
                 part = (((gram >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint32)
                 order = np.argsort(part, kind="stable")
-                part, owner, place, gram, reach = part[order], owner[order], place[order], gram[order], reach[order].astype(np.uint32)
-                rows = []
+                part, owner, place, gram, reach = part[order], owner[order], place[order], gram[order], reach[order]
                 for a, b in runs(part):
                     who, index = np.unique(owner[a:b], return_inverse=True)
-                    rows.append((int(part[a]), b"".join(keys[k] for k in who), index.astype(np.uint16).tobytes(), place[a:b].astype(np.int64).tobytes(), gram[a:b].tobytes(), reach[a:b].tobytes()))
+                    rows.append((int(part[a]), b"".join(keys[k] for k in who), index.astype(np.uint16).tobytes(), place[a:b].tobytes(), gram[a:b].tobytes(), reach[a:b].tobytes()))
                 yield _batch(rows, [pa.int32(), *[pa.binary()] * 5], ["part", "keys", "owners", "places", "grams", "reaches"])
         release()
 
@@ -122,21 +141,24 @@ def _packed_anchors(size: int, parts: int):
 
 def _repeated(packed: list[tuple]) -> pa.RecordBatch:
     """(key, places, grams, reaches) of the anchors of a partition that occur more than once, by text."""
-    keys = np.concatenate([np.frombuffer(x[0], "V16") for x in packed])
-    skip = np.cumsum([0, *(len(x[0]) // 16 for x in packed)])
-    owner = np.concatenate([np.frombuffer(x[1], np.uint16).astype(np.int64) + s for x, s in zip(packed, skip, strict=False)])
-    place = np.concatenate([np.frombuffer(x[2], np.int64) for x in packed])
-    gram = np.concatenate([np.frombuffer(x[3], np.uint64) for x in packed])
-    reach = np.concatenate([np.frombuffer(x[4], np.uint32) for x in packed])
-    order = np.argsort(gram)
-    same = gram[order][1:] == gram[order][:-1]
-    twice = np.zeros(len(gram), bool)
-    twice[1:] = same
-    twice[:-1] |= same
-    keep = np.sort(order[twice])
-    keep = keep[np.argsort(owner[keep], kind="stable")]
-    owner, place, gram, reach = owner[keep], place[keep], gram[keep], reach[keep]
-    return _batch([(keys[owner[a]].tobytes(), place[a:b].tobytes(), gram[a:b].tobytes(), reach[a:b].tobytes()) for a, b in runs(owner)], [pa.binary()] * 4, ["key", "places", "grams", "reaches"])
+    out = [(x[0], x[2], x[3], x[4]) for x in packed if x[1] is None]
+    packed = [x for x in packed if x[1] is not None]
+    if packed:
+        keys = np.concatenate([np.frombuffer(x[0], "V16") for x in packed])
+        skip = np.cumsum([0, *(len(x[0]) // 16 for x in packed)])
+        owner = np.concatenate([np.frombuffer(x[1], np.uint16).astype(np.int64) + s for x, s in zip(packed, skip, strict=False)])
+        place, gram, reach = (np.concatenate([np.frombuffer(x[k], kind) for x in packed]) for k, kind in ((2, np.int64), (3, np.uint64), (4, np.uint32)))
+        order = np.argsort(gram)
+        same = gram[order][1:] == gram[order][:-1]
+        twice = np.zeros(len(gram), bool)
+        twice[1:] = same
+        twice[:-1] |= same
+        keep = order[twice]
+        keep = np.sort(keep[reach[keep] & _KNOWN_HERE == 0])
+        keep = keep[np.argsort(owner[keep], kind="stable")]
+        owner, place, gram, reach = owner[keep], place[keep], gram[keep], reach[keep]
+        out += [(keys[owner[a]].tobytes(), place[a:b].tobytes(), gram[a:b].tobytes(), reach[a:b].tobytes()) for a, b in runs(owner)]
+    return _batch(out, [pa.binary()] * 4, ["key", "places", "grams", "reaches"])
 
 
 def _contexts(size: int):
