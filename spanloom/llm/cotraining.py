@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Words, as_bytes, chunks
+from .bytetext import Words, as_bytes, chunks, release
 from .shared import Stages, unused
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "other": range(128, 256), "space": (32, 9, 13), "line": (10,), "stop": b".,;:?'\"-()", "bang": b"!", "bar": b"|<>{}[]\\/=+_~^`", "odd": b"#$%&*@"}
@@ -270,6 +270,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, codes = _features(batch)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.tobytes() for t in text.astype(np.float32)], pa.binary()), pa.array(codes.astype(np.int32))], names=["doc_id", "text", "code"])
+    release()
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -323,5 +324,6 @@ def kept(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
             view = pa.RecordBatch.from_struct_array(batch.column(batch.num_columns - 1))
             good = model.score(*_features(view))[2] >= fit.keep_from
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(good))
+        release()
 
     return docs.select("*", F.struct(*typed).alias(unused(docs.columns, "view")[0])).mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetext import as_bytes, mix, runs, shingle_sets
+from .bytetext import as_bytes, mix, release, runs, shingle_sets
 from .components import components
 from .shared import Stages, parts_for, planned_bytes, unused
 
@@ -49,6 +49,7 @@ def _packed(size: int, parts: int):
                 doc, key = (np.asarray(piece.column(c)).astype(np.int64) for c in ("doc_id", "th"))
                 sets = list(shingle_sets(as_bytes(piece.column("text")), size))
                 yield from _rows(doc, key, sets, parts)
+        release()
 
     return run
 
@@ -135,6 +136,7 @@ def _by_part(make):
                 held.append(tuple(c[k].as_py() for c in batch.columns[1:]))
         if held:
             yield make(held)
+        release()
 
     return run
 
@@ -147,6 +149,7 @@ def _class_sets(size: int):
             sets = [s.tobytes() for s in shingle_sets(as_bytes(piece.column("text")), size)]
             digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("th"), pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "th", "set_id", "tokens"])
+        release()
 
     return run
 
@@ -225,6 +228,7 @@ def _verified(percent: int):
                     both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                     out.append((a, b, both, 100 * both >= percent * (n + m - both)))
             yield _batch(out, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], ["a", "b", "both", "link"])
+        release()
 
     return run
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Stages, bounded, filesystem, remove, remove_at_exit, shared_dir, unused
+from .shared import Stages, bounded, filesystem, plain, remove, remove_at_exit, shared_dir, unused
 
 #: Shards whose sizes are summed together, in order, when files are planned.
 SPAN = 4096
@@ -59,7 +59,8 @@ class Store:
     def _commit(self, rows: DataFrame, base: int) -> int:
         """Makes ``rows`` version base + 1, unless there is one."""
         spare, final = f"{self.path}/manifest/.{uuid.uuid4().hex}", f"{self.path}/manifest/v{base + 1:08d}"
-        rows.select(*_NAMES).coalesce(8).write.parquet(spare)
+        with plain(self.spark):
+            rows.select(*_NAMES).coalesce(8).write.parquet(spare)
         jvm = self.spark.sparkContext._jvm
         source, target = jvm.org.apache.hadoop.fs.Path(spare), jvm.org.apache.hadoop.fs.Path(final)
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -125,10 +126,11 @@ class Store:
     def compact(self) -> int:
         """Merges files of like size and commits; the version as it was if there is nothing to merge."""
         base = self.version()
-        planned = Stages(self.spark, "compaction").write(self.plan(self.manifest(base)), "plan")
-        moved = planned.where("into is not null")
-        sums = moved.groupBy(F.col("into").alias("g")).agg(F.sum("n_rows").alias("r"), F.sum("n_bytes").alias("b"))
-        n = sums.count()
+        with plain(self.spark):
+            planned = Stages(self.spark, "compaction").write(self.plan(self.manifest(base)), "plan")
+            moved = planned.where("into is not null")
+            sums = moved.groupBy(F.col("into").alias("g")).agg(F.sum("n_rows").alias("r"), F.sum("n_bytes").alias("b"))
+            n = sums.count()
         if not n:
             return base
         folder = self._write(self._rows(moved).select("row", "shard", "size", F.col("into").alias("file")), n)

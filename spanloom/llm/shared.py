@@ -89,6 +89,18 @@ def tidy(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def plain(spark: SparkSession):
+    """Small tables are planned in here without generated code, which driver and executors would compile and keep for each."""
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Stages:
     """Tables written once and read back, so that later steps neither recompute nor lose them.
 
