@@ -125,6 +125,11 @@ def has_adjacent_repeat(text: Column) -> Column:
     return bound(content_tokens(text), lambda w: F.size(F.filter(w, lambda x, k: (k > 0) & (F.get(w, k - 1) == x))) > 0)
 
 
+def hot_words(raw: Column) -> Column:
+    """The words of a comma-separated list, trimmed; empty ones dropped, null as none."""
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), F.trim), lambda w: w != "")
+
+
 def slug(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._\-]+", "_"), r"^[._\-]+|[._\-]+$", "")
     return F.when(out == "", "case").otherwise(out)

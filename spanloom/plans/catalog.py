@@ -36,7 +36,8 @@ def content_tokens(spark: SparkSession, d: str) -> DataFrame:
 _SETS = f"p AS (SELECT s.meeting_id, s.seg_idx, list_distinct({content('s.text')}) AS a, list_distinct({content(chr(39).join(['array_to_string(h.w, ', ' ', ')']))}) AS b FROM seg s JOIN whisper h USING (meeting_id, seg_idx))"
 
 
-@query(using("seg", "whisper") + f", {_SETS} SELECT meeting_id, seg_idx, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round_even(len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)), 6) END AS overlap, CASE WHEN len(b) = 0 THEN 0.0 ELSE round_even(len(list_intersect(a, b))::DOUBLE / len(b), 6) END AS support, (len(b) - len(list_intersect(a, b)))::BIGINT AS unsupported FROM p")
+@query(using("seg", "whisper") + f""", {_SETS} SELECT meeting_id, seg_idx, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round_even(len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)), 6) END AS overlap, CASE
+  WHEN len(b) = 0 THEN 0.0 ELSE round_even(len(list_intersect(a, b))::DOUBLE / len(b), 6) END AS support, (len(b) - len(list_intersect(a, b)))::BIGINT AS unsupported FROM p""")
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d)
     p = s.join(roles.whisper(s).select("meeting_id", "seg_idx", F.col("text").alias("h")), ["meeting_id", "seg_idx"])
@@ -57,7 +58,10 @@ def fixed_windows(spark: SparkSession, d: str) -> DataFrame:
     return _windows(spark, d).select("meeting_id", F.col("window_id").cast("long").alias("window_id"), "start", "end")
 
 
-@query(using("seg", "word") + f", {_FIXED}, piece AS (SELECT x.meeting_id, x.window_id, w.seg_idx, string_agg(w.word, ' ' ORDER BY w.word_idx) AS t FROM fx x JOIN word w ON w.meeting_id = x.meeting_id AND w.ws < x.e AND x.s < w.we GROUP BY ALL), txt AS (SELECT meeting_id, window_id, string_agg(t, ' ' ORDER BY seg_idx) AS t FROM piece GROUP BY ALL) SELECT x.meeting_id, x.window_id, coalesce(t, '') AS text FROM fx x LEFT JOIN txt USING (meeting_id, window_id)")
+@query(using("seg", "word") + f""", {_FIXED}, piece AS (SELECT x.meeting_id, x.window_id, w.seg_idx, string_agg(w.word, ' ' ORDER BY w.word_idx) AS t FROM fx x
+  JOIN word w ON w.meeting_id = x.meeting_id AND w.ws < x.e AND x.s < w.we GROUP BY ALL),
+txt AS (SELECT meeting_id, window_id, string_agg(t, ' ' ORDER BY seg_idx) AS t FROM piece GROUP BY ALL)
+SELECT x.meeting_id, x.window_id, coalesce(t, '') AS text FROM fx x LEFT JOIN txt USING (meeting_id, window_id)""")
 def window_text_join(spark: SparkSession, d: str) -> DataFrame:
     """Words of fixed windows, across the segments that overlap."""
     s = roles.segments(spark, d)
@@ -71,14 +75,21 @@ def _shifted(s: DataFrame) -> DataFrame:
     return s.select("meeting_id", "speaker", (F.col("start") + 900).alias("start"), (F.col("end") + 900).alias("end"))
 
 
-@query(using("seg", "word") + f", dz AS ({_DIAR}), o AS (SELECT w.meeting_id, w.seg_idx, w.word_idx, any_value(w.we - w.ws) AS len, z.speaker, sum(least(w.we, z.e) - greatest(w.ws, z.s)) AS ov FROM word w JOIN dz z ON z.meeting_id = w.meeting_id AND z.s < w.we AND w.ws < z.e GROUP BY ALL EXCLUDE (len), 1, 2, 3), b AS (SELECT meeting_id, seg_idx, word_idx, any_value(len) AS len, arg_max(speaker, struct_pack(ov := ov, sp := speaker)) AS speaker FROM o GROUP BY meeting_id, seg_idx, word_idx), a AS (SELECT w.meeting_id, w.seg_idx, coalesce(b.speaker, 'SPEAKER_UNKNOWN') AS speaker, sum(w.we - w.ws) AS t FROM word w LEFT JOIN b USING (meeting_id, seg_idx, word_idx) GROUP BY ALL) SELECT meeting_id, seg_idx, arg_max(speaker, struct_pack(t := t, sp := speaker)) AS speaker FROM a GROUP BY meeting_id, seg_idx".replace("GROUP BY ALL EXCLUDE (len), 1, 2, 3", "GROUP BY w.meeting_id, w.seg_idx, w.word_idx, z.speaker"))
+@query(using("seg", "word") + f""", dz AS ({_DIAR}),
+o AS (SELECT w.meeting_id, w.seg_idx, w.word_idx, any_value(w.we - w.ws) AS len, z.speaker, sum(least(w.we, z.e) - greatest(w.ws, z.s)) AS ov FROM word w
+  JOIN dz z ON z.meeting_id = w.meeting_id AND z.s < w.we AND w.ws < z.e GROUP BY ALL EXCLUDE (len), 1, 2, 3),
+b AS (SELECT meeting_id, seg_idx, word_idx, any_value(len) AS len, arg_max(speaker, struct_pack(ov := ov, sp := speaker)) AS speaker FROM o GROUP BY meeting_id, seg_idx, word_idx),
+a AS (SELECT w.meeting_id, w.seg_idx, coalesce(b.speaker, 'SPEAKER_UNKNOWN') AS speaker, sum(w.we - w.ws) AS t FROM word w LEFT JOIN b USING (meeting_id, seg_idx, word_idx) GROUP BY ALL)
+SELECT meeting_id, seg_idx, arg_max(speaker, struct_pack(t := t, sp := speaker)) AS speaker FROM a GROUP BY meeting_id, seg_idx""".replace("GROUP BY ALL EXCLUDE (len), 1, 2, 3", "GROUP BY w.meeting_id, w.seg_idx, w.word_idx, z.speaker"))
 def assign_speakers(spark: SparkSession, d: str) -> DataFrame:
     """Segments' speakers by their words, against intervals shifted by 0.9 s."""
     s = roles.segments(spark, d)
     return intervals.segment_speakers(s.where("size(w) > 0").drop("w"), roles.words(s), _shifted(s), BUCKET).select("meeting_id", "seg_idx", "speaker")
 
 
-@query(using("seg") + f", dz AS ({_DIAR}) SELECT q.meeting_id, q.seg_idx, coalesce(arg_min(z.speaker, struct_pack(s := z.s, e := z.e, sp := z.speaker)), 'SPEAKER_UNKNOWN') AS speaker FROM seg q LEFT JOIN dz z ON z.meeting_id = q.meeting_id AND q.s BETWEEN z.s AND z.e GROUP BY q.meeting_id, q.seg_idx")
+@query(using("seg") + f""", dz AS ({_DIAR})
+SELECT q.meeting_id, q.seg_idx, coalesce(arg_min(z.speaker, struct_pack(s := z.s, e := z.e, sp := z.speaker)), 'SPEAKER_UNKNOWN') AS speaker FROM seg q LEFT
+  JOIN dz z ON z.meeting_id = q.meeting_id AND q.s BETWEEN z.s AND z.e GROUP BY q.meeting_id, q.seg_idx""")
 def point_speaker(spark: SparkSession, d: str) -> DataFrame:
     """Who speaks at each segment's start."""
     s = roles.segments(spark, d)
@@ -86,19 +97,29 @@ def point_speaker(spark: SparkSession, d: str) -> DataFrame:
     return intervals.speakers(points, _shifted(s), BUCKET).select("meeting_id", F.col("span_id").alias("seg_idx"), "speaker")
 
 
-@query(using("seg") + ", q AS (SELECT meeting_id, seg_idx, s / 1000.0::DOUBLE AS s, CASE WHEN seg_idx % 2 = 0 THEN e / 1000.0::DOUBLE END AS e FROM seg), t AS (SELECT *, lead(s) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS nx, coalesce(avg(CASE WHEN e > s THEN e - s END) OVER (PARTITION BY meeting_id), 2.0) AS ty FROM q) SELECT meeting_id, seg_idx, round_even(CASE WHEN e IS NOT NULL THEN e WHEN nx > s THEN nx ELSE s + ty END, 6) AS \"end\", e IS NULL AS inferred FROM t")
+@query(using("seg") + """, q AS (SELECT meeting_id, seg_idx, s / 1000.0::DOUBLE AS s, CASE WHEN seg_idx % 2 = 0 THEN e / 1000.0::DOUBLE END AS e FROM seg),
+t AS (SELECT *, lead(s) OVER (PARTITION BY meeting_id ORDER BY seg_idx) AS nx, coalesce(avg(CASE WHEN e > s THEN e - s END) OVER (PARTITION BY meeting_id), 2.0) AS ty FROM q)
+SELECT meeting_id, seg_idx, round_even(CASE WHEN e IS NOT NULL THEN e WHEN nx > s THEN nx ELSE s + ty END, 6) AS \"end\", e IS NULL AS inferred FROM t""")
 def infer_ends(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d).select("meeting_id", "seg_idx", F.col("seg_idx").alias("pos"), (F.col("start") / 1000).alias("start"), F.when(F.col("seg_idx") % 2 == 0, F.col("end") / 1000).alias("end"))
     return windows.infer_ends(s).select("meeting_id", "seg_idx", F.bround("end", 6).alias("end"), "inferred")
 
 
-@query(using("seg") + ", q AS (SELECT meeting_id, seg_idx, s / 1000.0::DOUBLE AS s, lead(s / 1000.0::DOUBLE) OVER (PARTITION BY meeting_id ORDER BY s, seg_idx) AS nx FROM seg), g AS (SELECT meeting_id, least(15.0, greatest(2.0, median(nx - s))) AS sp FROM q WHERE nx > s GROUP BY 1) SELECT meeting_id, seg_idx, round_even(coalesce(nx, s + coalesce(sp, 5.0)), 6) AS \"end\" FROM q LEFT JOIN g USING (meeting_id)")
+@query(using("seg") + """, q AS (SELECT meeting_id, seg_idx, s / 1000.0::DOUBLE AS s, lead(s / 1000.0::DOUBLE) OVER (PARTITION BY meeting_id ORDER BY s, seg_idx) AS nx FROM seg),
+g AS (SELECT meeting_id, least(15.0, greatest(2.0, median(nx - s))) AS sp FROM q WHERE nx > s GROUP BY 1)
+SELECT meeting_id, seg_idx, round_even(coalesce(nx, s + coalesce(sp, 5.0)), 6) AS \"end\" FROM q LEFT JOIN g USING (meeting_id)""")
 def review_ends(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d).select("meeting_id", "seg_idx", F.col("seg_idx").alias("pos"), (F.col("start") / 1000).alias("start"), F.lit(None).cast("double").alias("end"), "text")
     return windows.review_ends(s).select("meeting_id", "seg_idx", F.bround("end", 6).alias("end"))
 
 
-@query(using("talk") + ", o AS (SELECT *, row_number() OVER m AS n, lag(speaker) OVER m AS p FROM talk WINDOW m AS (PARTITION BY meeting_id ORDER BY s, e, speaker, seg_idx)), r AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM speaker THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY n) AS run FROM o), b AS (SELECT *, CASE WHEN p IS DISTINCT FROM speaker OR s - max(e) OVER (PARTITION BY meeting_id, run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 1800 THEN 1 ELSE 0 END AS br FROM r), i AS (SELECT *, sum(br) OVER (PARTITION BY meeting_id ORDER BY n) AS isl FROM b) SELECT meeting_id, any_value(speaker) AS speaker, min(s) AS start, max(e) AS \"end\", count(*) AS n_merged, string_agg('said ' || seg_idx, ' ' ORDER BY n) AS text FROM i GROUP BY meeting_id, isl")
+@query(using("talk") + """, o AS (SELECT *, row_number() OVER m AS n, lag(speaker) OVER m AS p FROM talk WINDOW m AS (PARTITION BY meeting_id ORDER BY s, e, speaker, seg_idx)),
+r AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM speaker THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY n) AS run FROM o),
+b AS (SELECT *, CASE WHEN p IS DISTINCT FROM speaker OR s - max(e) OVER (PARTITION BY meeting_id, run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 1800 THEN 1
+  ELSE 0 END AS br FROM r),
+i AS (SELECT *, sum(br) OVER (PARTITION BY meeting_id ORDER BY n) AS isl FROM b)
+SELECT meeting_id, any_value(speaker) AS speaker, min(s) AS start, max(e) AS \"end\", count(*) AS n_merged, string_agg('said ' || seg_idx, ' ' ORDER BY n) AS text FROM i
+  GROUP BY meeting_id, isl""")
 def merge_same_speaker(spark: SparkSession, d: str) -> DataFrame:
     """A user's neighbouring intervals of one kind, 30 minutes apart at most, as one."""
     t = roles.talk(spark, d).withColumn("text", F.concat(F.lit("— said "), F.col("seg_idx")))
@@ -126,7 +147,10 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 _J01 = "string_agg(array_to_string(x.w, ' '), ' ' ORDER BY x.s, x.e) FILTER (len(x.w) > 0)"
-_REQ = f"b AS (SELECT meeting_id, seg_idx, s, e, CASE WHEN seg_idx % 5 = 3 THEN '' ELSE array_to_string(w, ' ') END AS c FROM seg), ct AS (SELECT b.meeting_id, b.seg_idx, {_J01} AS t FROM b JOIN ctc x ON x.meeting_id = b.meeting_id AND x.s < b.e AND b.s < x.e GROUP BY 1, 2), wt AS (SELECT b.meeting_id, b.seg_idx, {_J01} AS t FROM b JOIN whisper x ON x.meeting_id = b.meeting_id AND x.s < b.e AND b.s < x.e GROUP BY 1, 2), rq AS (SELECT b.*, coalesce(ct.t, '') AS t, coalesce(wt.t, '') AS h FROM b LEFT JOIN ct USING (meeting_id, seg_idx) LEFT JOIN wt USING (meeting_id, seg_idx))"
+_REQ = f"""b AS (SELECT meeting_id, seg_idx, s, e, CASE WHEN seg_idx % 5 = 3 THEN '' ELSE array_to_string(w, ' ') END AS c FROM seg),
+ct AS (SELECT b.meeting_id, b.seg_idx, {_J01} AS t FROM b JOIN ctc x ON x.meeting_id = b.meeting_id AND x.s < b.e AND b.s < x.e GROUP BY 1, 2),
+wt AS (SELECT b.meeting_id, b.seg_idx, {_J01} AS t FROM b JOIN whisper x ON x.meeting_id = b.meeting_id AND x.s < b.e AND b.s < x.e GROUP BY 1, 2),
+rq AS (SELECT b.*, coalesce(ct.t, '') AS t, coalesce(wt.t, '') AS h FROM b LEFT JOIN ct USING (meeting_id, seg_idx) LEFT JOIN wt USING (meeting_id, seg_idx))"""
 
 
 @query(using("seg", "ctc", "whisper") + f", {_REQ} SELECT meeting_id, seg_idx, c AS canary_text, t AS ctc_text, h AS whisper_text FROM rq")
@@ -137,7 +161,14 @@ def merge_requests(spark: SparkSession, d: str) -> DataFrame:
 _L = "regexp_matches({0}, '[A-Za-z]')"
 
 
-@query(using("seg", "ctc", "whisper") + f", {_REQ}, n AS (SELECT *, CASE WHEN c = '' THEN CASE WHEN {_L.format('t')} THEN 'missing_canary_ctc_anchor' WHEN {_L.format('h')} THEN 'missing_canary_whisper_fallback' ELSE 'missing_canary_transcript' END WHEN NOT {_L.format('c')} THEN CASE WHEN {_L.format('t')} THEN 'canary_script_guard_ctc_anchor' WHEN {_L.format('h')} THEN 'canary_script_guard_whisper_fallback' ELSE 'language_script_guard_drop' END WHEN t = '' THEN 'missing_ctc_canary_base' WHEN NOT {_L.format('t')} THEN 'unexpected_ctc_script_canary_base' WHEN t = c THEN 'canary_ctc_consensus' WHEN t = h THEN 'ctc_whisper_consensus_override' ELSE 'rule_based_canary_base' END AS note FROM rq), o AS (SELECT meeting_id, seg_idx, note, CASE WHEN note LIKE '%ctc_anchor' OR note LIKE '%override' THEN t WHEN note LIKE '%whisper_fallback' THEN h WHEN note = 'language_script_guard_drop' THEN '' WHEN note = 'missing_canary_transcript' THEN coalesce(nullif(t, ''), h) ELSE c END AS text FROM n) SELECT * FROM o WHERE text <> ''")
+@query(using("seg", "ctc", "whisper") + f""", {_REQ}, n AS (SELECT *, CASE WHEN c = '' THEN CASE WHEN {_L.format('t')} THEN 'missing_canary_ctc_anchor' WHEN {_L.format('h')} THEN 'missing_canary_whisper_fallback'
+  ELSE 'missing_canary_transcript' END WHEN NOT {_L.format('c')} THEN CASE WHEN {_L.format('t')} THEN 'canary_script_guard_ctc_anchor'
+  WHEN {_L.format('h')} THEN 'canary_script_guard_whisper_fallback' ELSE 'language_script_guard_drop' END WHEN t = '' THEN 'missing_ctc_canary_base'
+  WHEN NOT {_L.format('t')} THEN 'unexpected_ctc_script_canary_base' WHEN t = c THEN 'canary_ctc_consensus' WHEN t = h THEN 'ctc_whisper_consensus_override'
+  ELSE 'rule_based_canary_base' END AS note FROM rq),
+o AS (SELECT meeting_id, seg_idx, note, CASE WHEN note LIKE '%ctc_anchor' OR note LIKE '%override' THEN t WHEN note LIKE '%whisper_fallback' THEN h
+  WHEN note = 'language_script_guard_drop' THEN '' WHEN note = 'missing_canary_transcript' THEN coalesce(nullif(t, ''), h) ELSE c END AS text FROM n)
+SELECT * FROM o WHERE text <> ''""")
 def rule_based_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge.merged(_requests(spark, d), F.lit("en")).select("meeting_id", "seg_idx", "note", "text")
 
@@ -238,7 +269,10 @@ _OV = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0::DOUBLE ELSE len(list_int
 _SETS3 = f"st AS (SELECT *, list_distinct({content('c')}) AS a, list_distinct({content('t')}) AS b, list_distinct({content('h')}) AS x FROM rq)"
 
 
-@query(using("seg", "ctc", "whisper") + f", {_REQ}, {_SETS3}, v AS (SELECT *, 1.0 - greatest({_OV.format('a', 'b')}, {_OV.format('a', 'x')}) AS gap FROM st WHERE c <> '' AND t <> '' AND len(a) >= 3 AND len(b) >= 3 AND greatest(len(a), len(b), len(x)) <= 120), n AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY round_even(gap, 3) DESC, s, seg_idx) AS k FROM v WHERE gap > 0) SELECT meeting_id, seg_idx, round_even(gap, 3) AS divergence, greatest(len(a), len(b), len(x))::BIGINT AS max_token_count FROM n WHERE k <= 3")
+@query(using("seg", "ctc", "whisper") + f""", {_REQ}, {_SETS3}, v AS (SELECT *, 1.0 - greatest({_OV.format('a', 'b')}, {_OV.format('a', 'x')}) AS gap FROM st
+  WHERE c <> '' AND t <> '' AND len(a) >= 3 AND len(b) >= 3 AND greatest(len(a), len(b), len(x)) <= 120),
+n AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY round_even(gap, 3) DESC, s, seg_idx) AS k FROM v WHERE gap > 0)
+SELECT meeting_id, seg_idx, round_even(gap, 3) AS divergence, greatest(len(a), len(b), len(x))::BIGINT AS max_token_count FROM n WHERE k <= 3""")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     return merge.divergent(_requests(spark, d), 120, 3, 3).select("meeting_id", "seg_idx", "divergence", "max_token_count")
 
@@ -262,7 +296,13 @@ def decision_score(spark: SparkSession, d: str) -> DataFrame:
     return _requests(spark, d).select("meeting_id", "seg_idx", merge.decision_score(decided, c, t, h, F.lit("en")).alias("score"))
 
 
-@query(using("seg") + f", z AS (SELECT meeting_id, seg_idx, e - s AS len, speaker, {norm('text')} AS t, len(w) AS nw FROM seg), a AS (SELECT meeting_id, count(*) AS n, count(*) FILTER (speaker IN ('user', 'assistant')) AS named, count(*) FILTER (len(t) = 0 OR len < 350) AS sh, sum(nw) AS m FROM z GROUP BY 1), u AS (SELECT meeting_id, x, count(*) AS c FROM (SELECT meeting_id, unnest(t) AS x FROM z) GROUP BY 1, 2), r AS (SELECT meeting_id, sum(c) AS al, sum(c - 1) AS ag FROM u GROUP BY 1), p AS (SELECT a.meeting_id, CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END AS tw, CASE WHEN m > 0 THEN 0.5 ELSE 0.0 END AS ms, round_even(named::DOUBLE / n, 6) AS ls, round_even(sh::DOUBLE / n, 6) AS es, coalesce(round_even(ag::DOUBLE / al, 6), 0.0) AS rr FROM a LEFT JOIN r USING (meeting_id)) SELECT meeting_id, ls AS labeled_speaker_ratio, es AS empty_or_short_segment_ratio, rr AS repetition_ratio, round_even(tw * 0.35::DOUBLE + ms * 0.25::DOUBLE + ls * 0.20::DOUBLE + (1 - es) * 0.10::DOUBLE + (1 - rr) * 0.10::DOUBLE, 6) AS proxy_quality_score FROM p")
+@query(using("seg") + f""", z AS (SELECT meeting_id, seg_idx, e - s AS len, speaker, {norm('text')} AS t, len(w) AS nw FROM seg),
+a AS (SELECT meeting_id, count(*) AS n, count(*) FILTER (speaker IN ('user', 'assistant')) AS named, count(*) FILTER (len(t) = 0 OR len < 350) AS sh, sum(nw) AS m FROM z GROUP BY 1),
+u AS (SELECT meeting_id, x, count(*) AS c FROM (SELECT meeting_id, unnest(t) AS x FROM z) GROUP BY 1, 2),
+r AS (SELECT meeting_id, sum(c) AS al, sum(c - 1) AS ag FROM u GROUP BY 1),
+p AS (SELECT a.meeting_id, CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END AS tw, CASE WHEN m > 0 THEN 0.5
+  ELSE 0.0 END AS ms, round_even(named::DOUBLE / n, 6) AS ls, round_even(sh::DOUBLE / n, 6) AS es, coalesce(round_even(ag::DOUBLE / al, 6), 0.0) AS rr FROM a LEFT JOIN r USING (meeting_id))
+SELECT meeting_id, ls AS labeled_speaker_ratio, es AS empty_or_short_segment_ratio, rr AS repetition_ratio, round_even(tw * 0.35::DOUBLE + ms * 0.25::DOUBLE + ls * 0.20::DOUBLE + (1 - es) * 0.10::DOUBLE + (1 - rr) * 0.10::DOUBLE, 6) AS proxy_quality_score FROM p""")
 def proxy_quality(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d)
     w = roles.words(s).withColumn("score", F.lit(0.5))
@@ -296,13 +336,20 @@ def rank_runs_noref(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank_runs(_presets(spark, d), False).select("experiment_id", "preset_id", "rank")
 
 
-@query(using("runs") + ", a AS (SELECT variant || '_' || (item_id % 40) AS candidate_id, bool_and(status = 'completed') AS ok, avg(wer) AS w, avg(cer) AS c, avg(realtime_factor) AS r, sum(wall_clock_sec) AS wall FROM runs GROUP BY 1), b AS (SELECT candidate_id, CASE WHEN ok THEN 'completed' ELSE 'failed' END AS status, CASE WHEN ok THEN round_even(w, 6) ELSE 1.0 END AS wer, CASE WHEN ok THEN round_even(c, 6) ELSE 1.0 END AS cer, CASE WHEN ok THEN round_even(r, 6) ELSE 1e9 END AS realtime_factor, round_even(wall, 6) AS wall_clock_sec FROM a) SELECT *, row_number() OVER (ORDER BY (status <> 'completed')::INT, wer, cer, realtime_factor, candidate_id) AS rank FROM b")
+@query(using("runs") + """, a AS (SELECT variant || '_' || (item_id % 40) AS candidate_id, bool_and(status = 'completed') AS ok, avg(wer) AS w, avg(cer) AS c, avg(realtime_factor) AS r, sum(wall_clock_sec) AS wall FROM runs GROUP BY 1),
+b AS (SELECT candidate_id, CASE WHEN ok THEN 'completed' ELSE 'failed' END AS status, CASE WHEN ok THEN round_even(w, 6) ELSE 1.0 END AS wer, CASE WHEN ok THEN round_even(c, 6)
+  ELSE 1.0 END AS cer, CASE WHEN ok THEN round_even(r, 6) ELSE 1e9 END AS realtime_factor, round_even(wall, 6) AS wall_clock_sec FROM a)
+SELECT *, row_number() OVER (ORDER BY (status <> 'completed')::INT, wer, cer, realtime_factor, candidate_id) AS rank FROM b""")
 def tuning_rank(spark: SparkSession, d: str) -> DataFrame:
     cases = roles.runs(spark, d).withColumn("candidate_id", F.concat("variant", F.lit("_"), (F.col("item_id") % 40).cast("string")))
     return ranking.tuning_results(cases)
 
 
-@query("WITH w AS (SELECT unnest([8, 16, 32]) AS bw), a AS (SELECT unnest([0.3, 0.5]) AS a), b AS (SELECT unnest([1.0, 1.5]) AS b) SELECT 'greedy' AS candidate_id, 'greedy' AS family UNION ALL SELECT 'beam_no_lm_bw' || bw, 'beam_no_lm' FROM w UNION ALL SELECT format('beam_{}_bw{}_a{:.2f}_b{:.2f}', k, bw, a::DOUBLE, b::DOUBLE), 'beam_' || k || '_lm' FROM w, a, b, (SELECT unnest(['external', 'self']) AS k)")
+@query("""WITH w AS (SELECT unnest([8, 16, 32]) AS bw),
+a AS (SELECT unnest([0.3, 0.5]) AS a),
+b AS (SELECT unnest([1.0, 1.5]) AS b)
+SELECT 'greedy' AS candidate_id, 'greedy' AS family UNION ALL SELECT 'beam_no_lm_bw' || bw, 'beam_no_lm' FROM w UNION ALL
+  SELECT format('beam_{}_bw{}_a{:.2f}_b{:.2f}', k, bw, a::DOUBLE, b::DOUBLE), 'beam_' || k || '_lm' FROM w, a, b, (SELECT unnest(['external', 'self']) AS k)""")
 def tuning_grid(spark: SparkSession, d: str) -> DataFrame:
     return ranking.tuning_grid(spark, [8, 16, 32], [0.3, 0.5], [1.0, 1.5]).select("candidate_id", "family")
 
@@ -334,26 +381,49 @@ def vocab_topk(spark: SparkSession, d: str) -> DataFrame:
     return corpus.vocabulary(_plain(spark, d), 500)
 
 
+@query(f"WITH {_PLAIN.replace('unnest(' + _SPLIT + ') AS sentence', 'unnest(' + _SPLIT + ') AS sentence, generate_subscripts(' + _SPLIT + ', 1) - 1 AS pos')} SELECT label, doc_id, pos::INTEGER AS pos, sentence FROM pl ORDER BY label, doc_id, pos LIMIT 120")
+def first_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The first 120 sentences over all groups, in their order."""
+    docs = roles.table(spark, d, "documents")
+    texts = docs.select(F.col("source").alias("label"), (F.length("source") % 3 + 1).alias("weight"), "doc_id", "text")
+    return corpus.corpus_sentences(texts, 120).select("label", "doc_id", "pos", "sentence")
+
+
 @query(f"WITH {_PLAIN} SELECT doc_id, count(*) AS n, sum(length(sentence))::BIGINT AS chars FROM pl GROUP BY 1")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return _plain(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"))
 
 
-@query(using("seg", "ctc", "whisper") + f", {_FIXED}, " + ", ".join(f"t_{n} AS (SELECT f.meeting_id, f.window_id, string_agg(array_to_string(x.w, ' '), ' ' ORDER BY x.s, x.e) FILTER (len(x.w) > 0) AS t FROM fx f JOIN {n} x ON x.meeting_id = f.meeting_id AND x.s < f.e AND f.s < x.e GROUP BY 1, 2)" for n in ("seg", "ctc", "whisper")) + " SELECT meeting_id, window_id, w.t AS whisper, c.t AS ctc, g.t AS clean FROM t_whisper w JOIN t_ctc c USING (meeting_id, window_id) JOIN t_seg g USING (meeting_id, window_id) WHERE w.t <> '' AND c.t <> '' AND g.t <> ''")
+@query(using("seg", "ctc", "whisper") + f", {_FIXED}, " + ", ".join(f"""t_{n} AS (SELECT f.meeting_id, f.window_id, string_agg(array_to_string(x.w, ' '), ' ' ORDER BY x.s, x.e) FILTER (len(x.w) > 0) AS t FROM fx f
+  JOIN {n} x ON x.meeting_id = f.meeting_id AND x.s < f.e AND f.s < x.e GROUP BY 1, 2)""" for n in ("seg", "ctc", "whisper")) + """ SELECT meeting_id, window_id, w.t AS whisper, c.t AS ctc, g.t AS clean FROM t_whisper w JOIN t_ctc c USING (meeting_id, window_id) JOIN t_seg g USING (meeting_id, window_id)
+  WHERE w.t <> '' AND c.t <> '' AND g.t <> ''""")
 def training_pairs_fixed(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d)
     meetings = s.groupBy("meeting_id").agg(F.max("end").alias("duration"))
     return corpus.fixed_pairs(meetings, roles.whisper(s), roles.ctc(s), s, 30_000, BUCKET).select("meeting_id", F.col("window_id").cast("long").alias("window_id"), "whisper", "ctc", "clean")
 
 
-@query(f"WITH q AS (SELECT item_id AS query_id, {content('text')} AS terms FROM benchmark), t AS (SELECT conv_id, turn, {content('text')} AS w FROM conversations), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS a FROM t), u AS (SELECT conv_id, turn, len(w) AS l, unnest(w) AS term FROM t), tf AS (SELECT conv_id, turn, any_value(l) AS l, term, count(*) AS f FROM u GROUP BY conv_id, turn, term), df AS (SELECT term, count(*)::DOUBLE AS d FROM tf GROUP BY 1), qt AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q), s AS (SELECT query_id, conv_id, turn, round_even(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS rank FROM s) SELECT query_id, conv_id AS meeting_id, turn AS seg_idx, score, rank FROM r WHERE rank <= 5")
+@query(f"""WITH q AS (SELECT item_id AS query_id, {content('text')} AS terms FROM benchmark),
+t AS (SELECT conv_id, turn, {content('text')} AS w FROM conversations),
+n AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS a FROM t),
+u AS (SELECT conv_id, turn, len(w) AS l, unnest(w) AS term FROM t),
+tf AS (SELECT conv_id, turn, any_value(l) AS l, term, count(*) AS f FROM u GROUP BY conv_id, turn, term),
+df AS (SELECT term, count(*)::DOUBLE AS d FROM tf GROUP BY 1),
+qt AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q),
+s AS (SELECT query_id, conv_id, turn, round_even(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM qt JOIN tf USING (term)
+  JOIN df USING (term), n GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS rank FROM s)
+SELECT query_id, conv_id AS meeting_id, turn AS seg_idx, score, rank FROM r WHERE rank <= 5""")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     """Documented only: keyword search over segments, by all words of each benchmark text."""
     queries = roles.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.content_tokens(F.col("text")).alias("terms"))
     return search.bm25(roles.turns(spark, d).select("meeting_id", "seg_idx", "text"), queries, 5)
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, v.vec_id, round_even(list_cosine_similarity(v.embedding::DOUBLE[], q.e::DOUBLE[]), 4) AS score FROM embeddings v, q WHERE v.vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, v.vec_id, round_even(list_cosine_similarity(v.embedding::DOUBLE[], q.e::DOUBLE[]), 4) AS score FROM embeddings v, q WHERE v.vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5""")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """Documented only: nearest vectors of a few."""
     v = roles.table(spark, d, "embeddings")
@@ -366,7 +436,8 @@ def segment_page(spark: SparkSession, d: str) -> DataFrame:
     return search.page(roles.turns(spark, d).select("meeting_id", "seg_idx", "speaker"), 50, 20, "user")
 
 
-@query(using("seg") + ", q AS (SELECT *, s / 1000.0::DOUBLE AS a, e / 1000.0::DOUBLE AS b FROM seg) SELECT meeting_id, seg_idx, printf('[%02d:%02d:%05.2f -> %02d:%02d:%05.2f] %s: %s', CAST(floor(a / 3600) AS BIGINT), CAST(floor((a % 3600) / 60) AS BIGINT), a % 60, CAST(floor(b / 3600) AS BIGINT), CAST(floor((b % 3600) / 60) AS BIGINT), b % 60, speaker, text) AS line FROM q")
+@query(using("seg") + """, q AS (SELECT *, s / 1000.0::DOUBLE AS a, e / 1000.0::DOUBLE AS b FROM seg)
+SELECT meeting_id, seg_idx, printf('[%02d:%02d:%05.2f -> %02d:%02d:%05.2f] %s: %s', CAST(floor(a / 3600) AS BIGINT), CAST(floor((a % 3600) / 60) AS BIGINT), a % 60, CAST(floor(b / 3600) AS BIGINT), CAST(floor((b % 3600) / 60) AS BIGINT), b % 60, speaker, text) AS line FROM q""")
 def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
     return writers.transcript_lines(s)
@@ -382,7 +453,9 @@ def flat_text(spark: SparkSession, d: str) -> DataFrame:
     return scoring.flat_text(roles.segments(spark, d))
 
 
-@query(using("seg", "word") + ", b AS (SELECT meeting_id, seg_idx, s + 1000 AS s, e - 1000 AS e FROM seg) SELECT b.meeting_id, b.seg_idx, coalesce(string_agg(w.word, ' ' ORDER BY w.ws, w.seg_idx, w.word_idx), '') AS text FROM b LEFT JOIN word w ON w.meeting_id = b.meeting_id AND w.ws >= b.s AND w.we <= b.e GROUP BY 1, 2")
+@query(using("seg", "word") + """, b AS (SELECT meeting_id, seg_idx, s + 1000 AS s, e - 1000 AS e FROM seg)
+SELECT b.meeting_id, b.seg_idx, coalesce(string_agg(w.word, ' ' ORDER BY w.ws, w.seg_idx, w.word_idx), '') AS text FROM b LEFT
+  JOIN word w ON w.meeting_id = b.meeting_id AND w.ws >= b.s AND w.we <= b.e GROUP BY 1, 2""")
 def contained_words(spark: SparkSession, d: str) -> DataFrame:
     """Words wholly inside segments that are narrowed by a second on either side."""
     s = roles.segments(spark, d)
@@ -409,7 +482,10 @@ def squeezed(spark: SparkSession, d: str) -> DataFrame:
     return roles.table(spark, d, "benchmark").select("item_id", F.length(s).cast("long").alias("n"), s.alias("squeezed"))
 
 
-@query(f"WITH p AS (SELECT item_id % 4 AS v, item_id, {content('text')} AS w FROM benchmark), q AS (SELECT 'v' || v AS variant, round_even(len(w) / 7.0::DOUBLE, 4) AS score, len(w) / 100.0::DOUBLE AS anchor_overlap, len(w) % 3 AS unsupported, item_id % 2 = 0 AS merged, item_id % 3 = 0 AS changed, item_id FROM p), a AS (SELECT variant, count(*) AS candidate_count, round_even(avg(score), 4) AS avg_score, sum(unsupported)::BIGINT AS unsupported_token_total, count(*) FILTER (merged) AS llm_accepted_count, count(*) FILTER (changed) AS changed_from_canary_count, min(item_id) AS position FROM q GROUP BY 1) SELECT * EXCLUDE (position), row_number() OVER (ORDER BY avg_score DESC, unsupported_token_total, llm_accepted_count DESC, position) AS rank FROM a")
+@query(f"""WITH p AS (SELECT item_id % 4 AS v, item_id, {content('text')} AS w FROM benchmark),
+q AS (SELECT 'v' || v AS variant, round_even(len(w) / 7.0::DOUBLE, 4) AS score, len(w) / 100.0::DOUBLE AS anchor_overlap, len(w) % 3 AS unsupported, item_id % 2 = 0 AS merged, item_id % 3 = 0 AS changed, item_id FROM p),
+a AS (SELECT variant, count(*) AS candidate_count, round_even(avg(score), 4) AS avg_score, sum(unsupported)::BIGINT AS unsupported_token_total, count(*) FILTER (merged) AS llm_accepted_count, count(*) FILTER (changed) AS changed_from_canary_count, min(item_id) AS position FROM q GROUP BY 1)
+SELECT * EXCLUDE (position), row_number() OVER (ORDER BY avg_score DESC, unsupported_token_total, llm_accepted_count DESC, position) AS rank FROM a""")
 def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(text.content_tokens(F.col("text")))
     q = roles.table(spark, d, "benchmark").select(F.concat(F.lit("v"), F.col("item_id") % 4).alias("variant"), F.bround(n / 7.0, 4).alias("score"), (n / 100.0).alias("anchor_overlap"), (n % 3).alias("unsupported"), F.when(F.col("item_id") % 2 == 0, "merged").otherwise("canary_base").alias("source"), (F.col("item_id") % 3 == 0).alias("changed"), F.col("item_id").alias("position"))

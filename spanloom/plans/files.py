@@ -148,7 +148,10 @@ def group_files(spark: SparkSession, d: str) -> DataFrame:
     return corpus.group_stats(_groups(spark, d)).select("label", F.col("weight").cast("long").alias("weight"))
 
 
-@query(f"WITH {_PLAIN}, t AS (SELECT weight, unnest(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_\\-]+|[.,;:!?()«»\"“”„]')) AS token FROM pl), c AS (SELECT token, sum(weight) AS n FROM t GROUP BY 1 ORDER BY n DESC, token LIMIT 300), s AS (SELECT sum(weight)::BIGINT AS lines FROM pl) SELECT token, lines FROM c, s")
+@query(f"""WITH {_PLAIN}, t AS (SELECT weight, unnest(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_\\-]+|[.,;:!?()«»\"“”„]')) AS token FROM pl),
+c AS (SELECT token, sum(weight) AS n FROM t GROUP BY 1 ORDER BY n DESC, token LIMIT 300),
+s AS (SELECT sum(weight)::BIGINT AS lines FROM pl)
+SELECT token, lines FROM c, s""")
 def language_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The vocabulary file of a language corpus, beside the number of lines of its corpus file."""
     docs, folder = roles.table(spark, d, "documents"), scratch(spark, "corpus")
@@ -158,7 +161,8 @@ def language_corpus(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(f"{folder}/vocab").select(F.col("value").alias("token")).crossJoin(F.broadcast(lines))
 
 
-@query("SELECT 'p' || doc_id AS preset_id, CASE WHEN doc_id % 2 = 0 THEN 'about ' || doc_id ELSE '-' END AS description, 'b' || (doc_id % 4) AS backend_id, CASE WHEN doc_id % 3 = 0 THEN '{\"k\":' || doc_id || '}' ELSE '{}' END AS options FROM documents WHERE doc_id % 20 = 0")
+@query("""SELECT 'p' || doc_id AS preset_id, CASE WHEN doc_id % 2 = 0 THEN 'about ' || doc_id ELSE '-' END AS description, 'b' || (doc_id % 4) AS backend_id, CASE
+  WHEN doc_id % 3 = 0 THEN '{\"k\":' || doc_id || '}' ELSE '{}' END AS options FROM documents WHERE doc_id % 20 = 0""")
 def preset_files(spark: SparkSession, d: str) -> DataFrame:
     """Presets, one to a file."""
     k, folder = F.col("doc_id"), scratch(spark, "presets")
@@ -274,7 +278,8 @@ def stage_files(spark: SparkSession, d: str) -> DataFrame:
     return back.unionByName(reviews.read_artifact(spark, f"{folder}/02_never.json", kind))
 
 
-@query(f"WITH {_WAVE}, k AS (SELECT id, len(x) AS n, unnest(range(0, (len(x) + 79) // 80)) AS k FROM w) SELECT id::VARCHAR AS path, 'chunk_' || lpad(k::VARCHAR, 3, '0') AS chunk_id, round_even(k * 80 / 16000.0::DOUBLE, 3) AS start_sec, round_even(least(n, (k + 1) * 80) / 16000.0::DOUBLE, 3) AS end_sec, (44 + 2 * least(80, n - k * 80))::BIGINT AS n_bytes, 0 AS n_segments FROM k")
+@query(f"""WITH {_WAVE}, k AS (SELECT id, len(x) AS n, unnest(range(0, (len(x) + 79) // 80)) AS k FROM w)
+SELECT id::VARCHAR AS path, 'chunk_' || lpad(k::VARCHAR, 3, '0') AS chunk_id, round_even(k * 80 / 16000.0::DOUBLE, 3) AS start_sec, round_even(least(n, (k + 1) * 80) / 16000.0::DOUBLE, 3) AS end_sec, (44 + 2 * least(80, n - k * 80))::BIGINT AS n_bytes, 0 AS n_segments FROM k""")
 def review_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Review chunks of 80 samples as WAV files with blank templates."""
     c = writers.review_chunks(_audio(spark, d), 80 / 16000)

@@ -241,7 +241,8 @@ def planned_runs(spark: SparkSession, d: str) -> DataFrame:
     return experiments.planned(v, i).select("preset_id", "item_id", "duration_limit")
 
 
-@query("WITH w AS (SELECT count(*) FILTER (n_chars % 997 = 0) AS bad FROM documents) SELECT 4 AS requested, CASE WHEN bad = 0 THEN 4 ELSE 1 END AS effective, CASE WHEN bad > 0 THEN 'Non-CPU preset detected; compare mode was serialized for stability.' END AS reason FROM w")
+@query("""WITH w AS (SELECT count(*) FILTER (n_chars % 997 = 0) AS bad FROM documents)
+SELECT 4 AS requested, CASE WHEN bad = 0 THEN 4 ELSE 1 END AS effective, CASE WHEN bad > 0 THEN 'Non-CPU preset detected; compare mode was serialized for stability.' END AS reason FROM w""")
 def effective_workers(spark: SparkSession, d: str) -> DataFrame:
     """Workers of an experiment, clamped to one unless all its presets run on the CPU."""
     devices = F.array(F.lit("cpu"), F.when(F.col("n_chars") % 997 == 0, "mps").otherwise("cpu"))

@@ -54,7 +54,9 @@ def adjacent_repeats(spark: SparkSession, d: str) -> DataFrame:
 _FEW = ", ".join(f"'{w}'" for w in text.LOW_INFORMATION)
 
 
-@query(f"WITH t AS (SELECT item_id, 'ну ' || replace(text, ' ', ' не ') AS text FROM benchmark), u AS (SELECT item_id, {content('text')} AS w FROM t) SELECT item_id, array_to_string(list_filter(w, lambda x: x NOT IN ({_FEW})), ' ') AS kept, len(w)::BIGINT AS n FROM u")
+@query(f"""WITH t AS (SELECT item_id, 'ну ' || replace(text, ' ', ' не ') AS text FROM benchmark),
+u AS (SELECT item_id, {content('text')} AS w FROM t)
+SELECT item_id, array_to_string(list_filter(w, lambda x: x NOT IN ({_FEW})), ' ') AS kept, len(w)::BIGINT AS n FROM u""")
 def meaningful_words(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark texts with little words put in between, and these taken out again."""
     mixed = F.concat(F.lit("ну "), F.replace("text", F.lit(" "), F.lit(" не ")))
@@ -62,6 +64,13 @@ def meaningful_words(spark: SparkSession, d: str) -> DataFrame:
     return t.select("item_id", F.array_join(text.meaningful_tokens(F.col("t")), " ").alias("kept"), F.size(text.content_tokens(F.col("t"))).cast("long").alias("n"))
 
 
+@query("WITH t AS (SELECT item_id, list_filter(list_transform(string_split(CASE WHEN item_id % 5 <> 4 THEN replace(text, ' ', ' , ') || ',,' ELSE '' END, ','), lambda w: trim(w)), lambda w: w <> '') AS w FROM benchmark) SELECT item_id, len(w)::BIGINT AS n, array_to_string(w, '|') AS words FROM t")
+def hot_word_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Words for a decoder from comma-separated lists, some of which are missing."""
+    raw = F.when(F.col("item_id") % 5 != 4, F.concat(F.replace("text", F.lit(" "), F.lit(" , ")), F.lit(",,")))
+    return roles.table(spark, d, "benchmark").select("item_id", F.size(text.hot_words(raw)).cast("long").alias("n"), F.array_join(text.hot_words(raw), "|").alias("words"))
+
+
 @query(
     """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) WHEN 2 THEN trim(text) || ' end' WHEN 3 THEN trim(text) ELSE '' END AS text FROM conversations"""
 )
@@ -160,7 +169,8 @@ g AS (SELECT *, CASE WHEN c = '' AND t = '' AND h = '' THEN 'empty_inputs' WHEN
   WHEN y IS NULL THEN 'ollama_fallback' ELSE {_GUARD} END AS note FROM f)"""
 
 
-@query(using("seg", "ctc", "whisper") + f", {_REQ}, {_SETS}, {_LADDER} SELECT meeting_id, seg_idx, calls, note, CASE WHEN note = '' THEN trim(y) WHEN rule LIKE '%ctc_anchor' OR rule LIKE '%override' THEN t WHEN rule LIKE '%whisper_fallback' THEN h WHEN rule = 'missing_canary_transcript' THEN '' ELSE c END AS text FROM g")
+@query(using("seg", "ctc", "whisper") + f""", {_REQ}, {_SETS}, {_LADDER} SELECT meeting_id, seg_idx, calls, note, CASE WHEN note = '' THEN trim(y) WHEN rule LIKE '%ctc_anchor' OR rule LIKE '%override' THEN t
+  WHEN rule LIKE '%whisper_fallback' THEN h WHEN rule = 'missing_canary_transcript' THEN '' ELSE c END AS text FROM g""")
 def llm_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Merge decisions with a model's replies for the first two requests of up to 40 words of each meeting."""
     asked = _replied(spark, d)
@@ -200,7 +210,8 @@ def _audio(spark: SparkSession, d: str) -> DataFrame:
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("path"), F.transform(F.filter(F.split("text", ""), lambda c: c != ""), sample).alias("samples"))
 
 
-@query(f"WITH {_WAVE}, y AS (SELECT id, list_transform(x, lambda v: round_even(greatest(-1.0, least(1.0, v)) * 32767, 0) / 32768) AS y FROM w) SELECT id::VARCHAR AS path, len(y)::BIGINT AS n, round_even(list_sum(y)::DOUBLE, 6) AS total, round_even(len(y) / 16000.0::DOUBLE, 6) AS duration FROM y")
+@query(f"""WITH {_WAVE}, y AS (SELECT id, list_transform(x, lambda v: round_even(greatest(-1.0, least(1.0, v)) * 32767, 0) / 32768) AS y FROM w)
+SELECT id::VARCHAR AS path, len(y)::BIGINT AS n, round_even(list_sum(y)::DOUBLE, 6) AS total, round_even(len(y) / 16000.0::DOUBLE, 6) AS duration FROM y""")
 def wav_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Samples written as WAV files and read again: clipped, and quantized with both scales."""
     back = readers.decoded_wav(writers.wav_bytes(_audio(spark, d)))
