@@ -117,7 +117,7 @@ def looks_foreign(text: Column, language: Column) -> Column:
 
 
 def sentences(text: Column, ends: str = ".!?") -> Column:
-    return F.filter(F.transform(F.split(squeeze(text), rf"(?<=[{ends}])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(squeeze(text), rf"(?<=[{ends}])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def has_adjacent_repeat(text: Column) -> Column:
@@ -127,7 +127,7 @@ def has_adjacent_repeat(text: Column) -> Column:
 
 def hot_words(raw: Column) -> Column:
     """The words of a comma-separated list, trimmed; empty ones dropped, null as none."""
-    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), F.trim), lambda w: w != "")
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda x: F.trim(x)), lambda w: w != "")
 
 
 def slug(text: Column) -> Column:

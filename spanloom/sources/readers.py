@@ -51,7 +51,7 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     js = files.withColumn("kind", kind).where("js").select("meeting_id", "kind", F.posexplode(F.when(F.col("kind") == "list", listed).otherwise(nested)).alias("pos", "s"))
     number = lambda *c: F.coalesce(*(F.col(x).try_cast("double") for x in c))
     timed = js.select("meeting_id", "pos", "s.speaker", number("s.start", "s.start_sec").alias("start"), number("s.end", "s.end_sec").alias("end"), F.coalesce("s.text", F.lit("")).alias("text"), "kind")
-    lines = files.where("not js").select("meeting_id", F.posexplode(F.filter(F.transform(F.split("value", r"\R"), F.trim), lambda x: x != "")).alias("pos", "line"))
+    lines = files.where("not js").select("meeting_id", F.posexplode(F.filter(F.transform(F.split("value", r"\R"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "line"))
     pattern = r"^\[[^\]]*\]\s+([^:]+):\s*(.*)$"
     hit = F.col("line").rlike(pattern)
     flat = lines.select("meeting_id", "pos", F.when(hit, F.trim(F.regexp_extract("line", pattern, 1))).alias("speaker"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.when(hit, F.trim(F.regexp_extract("line", pattern, 2))).otherwise(F.col("line")).alias("text"), F.lit("text").alias("kind"))

@@ -57,6 +57,12 @@ def test_unescaped(spark):
         assert got == unescape(texts[k]), texts[k]
 
 
+def test_sentences_keep_their_digits(spark):
+    """Only white space is trimmed, whatever a sentence's position."""
+    t = "0 is first. 1 is next 1. 2 and 2. Ten times 3"
+    assert one(spark, F.array_join(text.sentences(F.col("t")), "|"), t=t) == ("0 is first.|1 is next 1.|2 and 2.|Ten times 3",)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
