@@ -104,10 +104,10 @@ def sums_of(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) ->
     return np.concatenate([x.T @ (weight * (p - y)), ((x * (weight * p * (1 - p))[:, None]).T @ x).ravel()])
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30, more: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; ``more`` gives the sums of further rows."""
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30, start: np.ndarray | None = None, more: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton steps from ``start`` or 0; ``more`` gives the sums of further rows."""
     n = x.shape[1] + 1
-    w, penalty = np.zeros(n), np.full(n, ridge)
+    w, penalty = np.zeros(n) if start is None else start, np.full(n, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         sums = sums_of(x, y, weight, w) + (more(w) if more else 0)
@@ -237,7 +237,9 @@ def train(text: np.ndarray, codes: np.ndarray, label: np.ndarray, pool: Pool | T
             (lambda w: trust(given[1]) * sum(sums_of(hot, np.full(len(hot), float(c)), said[c, of_codes], w) for c in (0, 1))) if given[1] else None,
         ]
         for v in (0, 1):
-            weights[v] = _fit(x[v][learn], y, np.ones(len(learn)), steps=30 if v or more[v] is None else fit.steps, more=more[v])
+            # the fit of the first round with pseudo-labels starts afresh, as without them weights can be far too large
+            start = weights[v] if turn > 1 and more[v] is not None else None
+            weights[v] = _fit(x[v][learn], y, np.ones(len(learn)), steps=30 if v or more[v] is None else fit.steps, start=start, more=more[v])
             z = _odds(x[v][held], weights[v])
             # calibration keeps the order: a view that tells nothing has slope 0
             c = _fit(z[:, None], label[held].astype(float), np.ones(len(held)), ridge=0.1)

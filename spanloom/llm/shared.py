@@ -91,14 +91,16 @@ def tidy(spark: SparkSession):
 
 @contextlib.contextmanager
 def plain(spark: SparkSession):
-    """Small tables are planned in here without generated code, which driver and executors would compile and keep for each."""
-    key = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    """Small tables are worked out in here without generated code, which driver and executors would compile and keep for each."""
+    keys = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Stages:
