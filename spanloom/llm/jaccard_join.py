@@ -297,7 +297,7 @@ class JaccardJoin:
                 met = placed.join(open_, "token").where((F.col("comp") != F.col("lead.comp")) & self._fits("size", "lead.size", "hits", "lead.hits"))
                 pairs = met.groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("lead")).select("a", F.col("lead.node").alias("b"))
             else:
-                pairs = self._across(placed.join(open_.select("token"), "token", "left_semi").join(led, "node", "left"))
+                pairs = self._across(placed.join(open_.select("token"), "token", "left_semi").join(led, "node", "left"), stages)
             found = stages.write(self._verify(self._filtered(pairs.distinct(), live), live), "links")
             if k == 0:
                 led = found.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("both").alias("over"))
@@ -324,18 +324,21 @@ class JaccardJoin:
     def _enough(self, both: Column, n: Column, m: Column) -> Column:
         return both * (100 + self.percent) >= (n + m) * self.percent
 
-    def _across(self, placed: DataFrame) -> DataFrame:
+    def _across(self, placed: DataFrame, stages: Stages) -> DataFrame:
         """All pairs of a bucket's classes of different components that can link. Large parts of a component never meet.
 
         At the first shingle that two sets share, neither can share more than what follows it. Of two classes that were
         matched with the same leader, the shared shingles are some of the fewer that one shares with it and some of the
         fewer that one has besides.
         """
+        rows = stages.write(placed, "across")
         # rows of a large part are spread by node: the part's few sizes are repeated for each share
-        size = placed.groupBy(F.col("token").alias("t"), F.col("comp").alias("c")).agg(F.count("*").alias("members")).where("members > 8")
+        size = rows.groupBy(F.col("token").alias("t"), F.col("comp").alias("c")).agg(F.count("*").alias("members")).where("members > 8")
         size = size.select("t", "c", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("s"), F.lit(True).alias("big"))
-        placed = placed.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(_SHARES)).cast("int"))
-        placed = placed.join(size, (F.col("token") == F.col("t")) & (F.col("comp") == F.col("c")) & (F.col("share") == F.col("s")), "left").select(*placed.columns, F.coalesce("big", F.lit(False)).alias("large"))
+        shared = rows.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(_SHARES)).cast("int"))
+        marked = shared.join(size, (F.col("token") == F.col("t")) & (F.col("comp") == F.col("c")) & (F.col("share") == F.col("s")), "left").select(*rows.columns, F.coalesce("big", F.lit(False)).alias("large"))
+        placed = stages.write(marked, "open")  # rows of open buckets alone, which six sides of joins read
+        stages.drop(rows)
 
         def side(c: str, large: bool) -> DataFrame:
             return placed.where(F.col("large") == large).select(*(F.col(x).alias(f"{c}_{x}") for x in ("token", "pos", "comp", "node", "size", "hits", "lead", "over")))
