@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
@@ -15,7 +15,8 @@ from .registry import BUCKET, query
 from .roles import using
 from .wording import _WAVE, _audio
 
-_ID = F.col("meeting_id").cast("string")
+def _id() -> Column:
+    return F.col("meeting_id").cast("string")
 
 
 def _seconds(s: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def _transcripts(spark: SparkSession, d: str) -> DataFrame:
     return writers.nested(s.drop("w"), w, meetings)
 
 
-def _as_files(rows: DataFrame, content, suffix: str = ".json") -> DataFrame:
-    return rows.select(F.concat(_ID, F.lit(suffix)).alias("path"), content.alias("content"))
+def _as_files(rows: DataFrame, content: Column, suffix: str = ".json") -> DataFrame:
+    return rows.select(F.concat(_id(), F.lit(suffix)).alias("path"), content.alias("content"))
 
 
 @query(
@@ -185,7 +186,7 @@ def hypothesis_files(spark: SparkSession, d: str) -> DataFrame:
     content = F.to_json(F.struct(F.when(k == 0, "folder").otherwise("own path").alias("language"), "duration", F.slice("segments", 1, 1).alias("segments")))
     writers.write_files(_as_files(t.where(k == 0), content), f"{folder}/hypotheses")
     writers.write_files(_as_files(t.where(k == 1), content, "-own.json"), folder)
-    one = F.struct(_ID.alias("id"), F.lit("r.json").alias("reference"), F.when(k != 0, F.concat(_ID, F.lit("-own.json"))).alias("hypothesis"), F.when(F.col("meeting_id") % 2 == 0, "ru").alias("language"))
+    one = F.struct(_id().alias("id"), F.lit("r.json").alias("reference"), F.when(k != 0, F.concat(_id(), F.lit("-own.json"))).alias("hypothesis"), F.when(F.col("meeting_id") % 2 == 0, "ru").alias("language"))
     whole = t.agg(F.concat(F.lit('{"name":"n","defaults":{"language":"en"},"items":['), F.array_join(F.array_sort(F.collect_list(F.to_json(one))), ","), F.lit("]}")).alias("content"))
     writers.write_files(whole.select(F.lit("corpus.json").alias("path"), "content"), folder)
     items = readers.read_corpus(spark, f"{folder}/corpus.json")
@@ -210,8 +211,6 @@ def review_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_turn():
-    from pyspark.sql import Window
-
     return Window.partitionBy("meeting_id").orderBy("turn")
 
 
