@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, fingerprints, importance, jaccard_join, periodic_runs, pfair, sharding, suffix_dedup, token_counts, toxicity, url_lists
+from . import contextual_pii, cotraining, decontamination, fingerprints, importance, jaccard_join, periodic_runs, pfair, sharding, suffix_dedup, token_counts, toxicity, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.schedule(docs, pfair.by_number(F.col("source"))).drop("row")
 
 
+def op11_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each text, by form and by the contexts that known instances share."""
+    return contextual_pii.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's periodic runs of 12 words or more, the longest of them, and the text without their repeats."""
     return periodic_runs.op12(table(spark, sf_dir, "documents"))
@@ -76,6 +81,6 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_sharding, op3_decontamination, op4_fingerprints, op5_url_filters, op6_token_counts, op7_toxicity, op8_suffix_dedup, op9_quality, op10_mixing, op12_periodic_runs, op13_importance)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_sharding, op3_decontamination, op4_fingerprints, op5_url_filters, op6_token_counts, op7_toxicity, op8_suffix_dedup, op9_quality, op10_mixing, op11_contextual_pii, op12_periodic_runs, op13_importance)}
 
-ORACLES: dict[str, str] = {"op2_sharding": sharding.SQL, "op3_decontamination": decontamination.SQL, "op5_url_filters": url_lists.SQL, "op10_mixing": pfair.SQL, "op13_importance": importance.SQL}
+ORACLES: dict[str, str] = {"op11_contextual_pii": contextual_pii.SQL, "op2_sharding": sharding.SQL, "op3_decontamination": decontamination.SQL, "op5_url_filters": url_lists.SQL, "op10_mixing": pfair.SQL, "op13_importance": importance.SQL}

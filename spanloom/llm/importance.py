@@ -83,7 +83,7 @@ def resampled(docs: DataFrame, target: DataFrame, orders: int = 2, buckets: int
     hundred, rounded down, are drawn.
     """
     stages = Stages(docs.sparkSession, "importance")
-    table = stages.write(gains(docs, target, orders, buckets).coalesce(1), "gains")
+    table = stages.write(gains(docs, target, orders, buckets), "gains")
     read = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), orders, "doc_id").withColumn("bucket", _bucket(buckets))
     valued = read.join(F.broadcast(table), "bucket", "left")
     sums = valued.groupBy("row", "doc_id").agg(F.count("feature").alias("n_features"), F.count("pos").alias("n_words"), F.coalesce(F.sum("gain"), F.lit(0)).alias("weight"))
