@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import corpus, intervals, merge, quality, ranking, scoring, search, stages, windows
 from ..sources import writers
-from . import corpora, lifecycle, roles, scores  # noqa: F401
+from . import corpora, lifecycle, retrieval, roles, scores  # noqa: F401
 from .registry import BUCKET, ORACLES, QUERIES, query  # noqa: F401
 from .roles import content, norm, using
 

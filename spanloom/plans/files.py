@@ -10,7 +10,7 @@ from ..operators import corpus, ranking, scoring
 from ..sources import readers, reviews, writers
 from ..sources.scratch import scratch
 from . import roles
-from .catalog import _PLAIN, _RK
+from .catalog import _PLAIN, _RK, _SPLIT
 from .registry import BUCKET, query
 from .roles import using
 from .wording import _WAVE, _audio
@@ -97,8 +97,7 @@ def tuning_files(spark: SparkSession, d: str) -> DataFrame:
     """Tuning cases as JSON lines; a missing id comes from the audio file's name."""
     k, folder = F.col("doc_id"), scratch(spark, "tuning")
     case = F.struct(F.when(k % 2 == 0, F.concat(F.lit("case-"), k)).alias("case_id"), F.concat(F.lit("audio/a "), k, F.lit(".wav")).alias("audio_path"), F.concat(F.lit(" ref/"), k, F.lit(".json ")).alias("reference_path"), F.when(k % 3 == 0, (k % 90).cast("double")).alias("duration_limit"))
-    lines = roles.table(spark, d, "documents").agg(F.array_join(F.array_sort(F.collect_list(F.to_json(case))), "\n").alias("content")).select(F.lit("cases.jsonl").alias("path"), "content")
-    writers.write_files(lines, folder)
+    roles.table(spark, d, "documents").select(F.to_json(case).alias("value")).write.text(f"{folder}/cases.jsonl")
     return readers.read_tuning_cases(spark, f"{folder}/cases.jsonl").withColumn("duration_limit", F.coalesce("duration_limit", F.lit(-1.0)))
 
 
@@ -133,20 +132,24 @@ def wiki_files(spark: SparkSession, d: str) -> DataFrame:
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     docs, folder = roles.table(spark, d, "documents"), scratch(spark, "groups")
-    docs.select("source", F.concat("text", F.lit("\n")).alias("value")).repartition("source").write.partitionBy("source").option("lineSep", "\n\n").text(folder)
+    docs.select("source", F.col("text").alias("value")).write.partitionBy("source").option("lineSep", "\n\n").text(folder)
     names = sorted(r.source for r in docs.select("source").distinct().collect())  # a config's worth of groups
     listed = [(n, 1 + len(n) % 3, f"{folder}/source={n}") for n in names[1:]]
-    return readers.read_groups(spark, listed, [f"{folder}/source={names[0]}"])
+    return readers.read_groups(spark, listed, [f"{folder}/source={names[0]}"], blocks=True)
 
 
-_PER_FILE = """WITH t AS (SELECT CASE WHEN source = (SELECT min(source) FROM documents) THEN 'extra' ELSE source END AS label, CASE WHEN source = (SELECT min(source) FROM documents) THEN 1 ELSE 1 + length(source) % 3 END AS weight, count(*) AS docs FROM documents GROUP BY 1, 2)
-SELECT label, weight::BIGINT AS weight FROM t"""
+_PER_FILE = f"""WITH b AS (SELECT CASE WHEN source = (SELECT min(source) FROM documents) THEN 'extra' ELSE source END AS label, CASE WHEN source = (SELECT min(source) FROM documents) THEN 1 ELSE 1 + length(source) % 3 END AS weight,
+  unnest(string_split(text, chr(10) || chr(10))) AS text FROM documents),
+t AS (SELECT label, weight, unnest({_SPLIT}) AS sentence FROM b)
+SELECT label, max(weight)::BIGINT AS weight, count(*) AS raw_sentences, sum(weight)::BIGINT AS weighted_sentences, sum(length(sentence))::BIGINT AS chars FROM t GROUP BY 1"""
 
 
 @query(_PER_FILE)
 def group_files(spark: SparkSession, d: str) -> DataFrame:
-    """Text folders as weighted groups, and one as an extra of weight 1."""
-    return corpus.group_stats(_groups(spark, d)).select("label", F.col("weight").cast("long").alias("weight"))
+    """Text folders as weighted groups, and one as an extra of weight 1, read block by block."""
+    s = _groups(spark, d)
+    chars = s.groupBy("label").agg(F.sum(F.length("sentence")).alias("chars"))
+    return corpus.group_stats(s).withColumn("weight", F.col("weight").cast("long")).join(chars, "label")
 
 
 @query(f"""WITH {_PLAIN}, t AS (SELECT weight, unnest(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_\\-]+|[.,;:!?()«»\"“”„]')) AS token FROM pl),
@@ -163,45 +166,47 @@ def language_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'p' || doc_id AS preset_id, CASE WHEN doc_id % 2 = 0 THEN 'about ' || doc_id ELSE '-' END AS description, 'b' || (doc_id % 4) AS backend_id, CASE
-  WHEN doc_id % 3 = 0 THEN '{\"k\":' || doc_id || '}' ELSE '{}' END AS options FROM documents WHERE doc_id % 20 = 0""")
+  WHEN doc_id % 3 = 0 THEN '{\"k\":' || doc_id || '}' ELSE '{}' END AS options FROM documents""")
 def preset_files(spark: SparkSession, d: str) -> DataFrame:
     """Presets, one to a file."""
     k, folder = F.col("doc_id"), scratch(spark, "presets")
-    docs = roles.table(spark, d, "documents").where(k % 20 == 0)
+    docs = roles.table(spark, d, "documents")
     backend = F.struct(F.concat(F.lit("b"), k % 4).alias("id"), F.when(k % 3 == 0, F.struct(k.alias("k"))).alias("options"))
     one = F.to_json(F.struct(F.concat(F.lit("p"), k).alias("id"), F.when(k % 2 == 0, F.concat(F.lit("about "), k)).alias("description"), F.struct(F.lit("single-speaker").alias("content_mode")).alias("pipeline"), backend.alias("backend")))
     writers.write_files(docs.select(F.concat(F.lit("p"), k, F.lit(".json")).alias("path"), one.alias("content")), folder)
     return readers.read_presets(spark, folder).select("preset_id", F.coalesce("description", F.lit("-")).alias("description"), "backend_id", "options")
 
 
-_HELD = "WITH i AS (SELECT DISTINCT conv_id AS m FROM conversations)"
+_HELD = "WITH i AS (SELECT conv_id AS m, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1)"
 
 
-@query(_HELD + " SELECT m::VARCHAR AS item_id, CASE WHEN m % 3 = 0 THEN 'folder' WHEN m % 3 = 1 THEN 'own path' ELSE 'missing' END AS found, CASE WHEN m % 2 = 0 THEN 'ru' ELSE 'en' END AS language FROM i")
+@query(_HELD + " SELECT m::VARCHAR AS item_id, CASE WHEN m % 3 = 0 THEN 'folder' WHEN m % 3 = 1 THEN 'own path' ELSE 'missing' END AS found, CASE WHEN m % 2 = 0 THEN 'ru' ELSE 'en' END AS language, CASE WHEN m % 3 < 2 THEN n ELSE 0 END AS n_segments, CASE WHEN m % 3 < 2 THEN chars ELSE 0 END AS n_chars FROM i")
 def hypothesis_files(spark: SparkSession, d: str) -> DataFrame:
     """A corpus manifest's items with their transcripts: by id in a folder, else by a path of their own, else missing."""
     folder = scratch(spark, "corpus")
     t = _transcripts(spark, d)
     k = F.col("meeting_id") % 3
-    content = F.to_json(F.struct(F.when(k == 0, "folder").otherwise("own path").alias("language"), "duration", F.slice("segments", 1, 1).alias("segments")))
+    content = F.to_json(F.struct(F.when(k == 0, "folder").otherwise("own path").alias("language"), "duration", "segments"))
     writers.write_files(_as_files(t.where(k == 0), content), f"{folder}/hypotheses")
-    writers.write_files(_as_files(t.where(k == 1), content, "-own.json"), folder)
-    one = F.struct(_id().alias("id"), F.lit("r.json").alias("reference"), F.when(k != 0, F.concat(_id(), F.lit("-own.json"))).alias("hypothesis"), F.when(F.col("meeting_id") % 2 == 0, "ru").alias("language"))
-    whole = t.agg(F.concat(F.lit('{"name":"n","defaults":{"language":"en"},"items":['), F.array_join(F.array_sort(F.collect_list(F.to_json(one))), ","), F.lit("]}")).alias("content"))
-    writers.write_files(whole.select(F.lit("corpus.json").alias("path"), "content"), folder)
-    items = readers.read_corpus(spark, f"{folder}/corpus.json")
-    heard = reviews.read_hypotheses(spark, items.select("item_id", "hypothesis"), f"{folder}/hypotheses").select("item_id", F.col("language").alias("found"))
-    return items.join(heard, "item_id", "left").select("item_id", F.coalesce("found", F.lit("missing")).alias("found"), "language")
+    writers.write_files(_as_files(t.where(k == 1), content), f"{folder}/own")
+    one = F.struct(_id().alias("id"), F.lit("r.json").alias("reference"), F.when(k != 0, F.concat(F.lit("own/"), _id(), F.lit(".json"))).alias("hypothesis"), F.when(F.col("meeting_id") % 2 == 0, "ru").alias("language"))
+    # a manifest for each hundred meetings
+    whole = t.groupBy(F.floor(F.col("meeting_id") / 100).alias("part")).agg(F.concat(F.lit('{"name":"n","defaults":{"language":"en"},"items":['), F.array_join(F.array_sort(F.collect_list(F.to_json(one))), ","), F.lit("]}")).alias("content"))
+    writers.write_files(whole.select(F.concat(F.lit("corpus-"), "part", F.lit(".json")).alias("path"), "content"), folder)
+    items = readers.read_corpora(spark, folder)
+    heard = reviews.read_hypotheses(spark, items.select("item_id", "hypothesis"), f"{folder}/hypotheses")
+    heard = heard.select("item_id", F.col("language").alias("found"), F.size("segments").cast("long").alias("n_segments"), F.aggregate("segments", F.lit(0), lambda a, s: a + F.length(s.text)).cast("long").alias("n_chars"))
+    return items.join(heard, "item_id", "left").fillna(0, ["n_segments", "n_chars"]).select("item_id", F.coalesce("found", F.lit("missing")).alias("found"), "language", "n_segments", "n_chars")
 
 
 @query(
     """WITH c AS (SELECT conv_id, turn, text, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
 SELECT conv_id::VARCHAR AS meeting_id, turn * 10.0::DOUBLE AS start, CASE WHEN n = 1 THEN turn * 10.0::DOUBLE + 3 WHEN nx IS NOT NULL THEN nx * 10.0::DOUBLE WHEN conv_id % 2 = 0 THEN 999.0::DOUBLE ELSE turn * 10.0::DOUBLE + CASE WHEN n = 1 THEN 5 ELSE 10 END END AS "end",
-  CASE WHEN conv_id % 4 = 3 THEN 'SPEAKER_UNKNOWN' ELSE 'S' || (turn % 2) END AS speaker FROM c WHERE conv_id % 5 < 3"""
+  CASE WHEN conv_id % 4 = 3 THEN 'SPEAKER_UNKNOWN' ELSE 'S' || (turn % 2) END AS speaker FROM c"""
 )
 def review_files(spark: SparkSession, d: str) -> DataFrame:
     """Reviewed templates, lists and objects, with ends filled in."""
-    t, folder = roles.table(spark, d, "conversations").withColumnRenamed("conv_id", "meeting_id").where("meeting_id % 5 < 3"), scratch(spark, "reviews")
+    t, folder = roles.table(spark, d, "conversations").withColumnRenamed("conv_id", "meeting_id"), scratch(spark, "reviews")
     n = F.row_number().over(_by_turn())
     seg = F.struct(F.when(F.col("meeting_id") % 4 != 3, F.concat(F.lit("S"), F.col("turn") % 2)).alias("speaker"), (F.col("turn") * 10.0).alias("start_sec"), F.when(F.col("n") == 1, F.col("turn") * 10.0 + 3).alias("end"), "text")
     listed = t.withColumn("n", n).groupBy("meeting_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", seg.alias("s"))), False), lambda x: x.s).alias("segments"))
@@ -248,21 +253,19 @@ def payload_files(spark: SparkSession, d: str) -> DataFrame:
     return reviews.read_segment_payloads(spark, folder).select("name", "pos", "start", "text")
 
 
-@query(using("seg") + " SELECT meeting_id, seg_idx, text, 'de' AS language, 0::BIGINT AS missing FROM seg WHERE meeting_id = (SELECT min(meeting_id) FROM seg)")
+@query(using("seg", "ctc") + """ SELECT meeting_id::VARCHAR AS run, 'base' AS stage, (row_number() OVER (PARTITION BY meeting_id ORDER BY seg_idx) - 1)::INTEGER AS seg_idx, text, CASE meeting_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'uk' ELSE 'ru' END AS language FROM seg
+UNION ALL SELECT meeting_id::VARCHAR, 'ctc', (row_number() OVER (PARTITION BY meeting_id ORDER BY seg_idx) - 1)::INTEGER, array_to_string(w, ' '), CASE meeting_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'uk' ELSE 'ru' END FROM ctc WHERE meeting_id % 2 = 0""")
 def saved_run(spark: SparkSession, d: str) -> DataFrame:
-    """A saved run's base segments and language; the stages that weren't saved are empty."""
+    """All meetings as saved runs, half of them with a second stage, a third without a record of their language."""
     s, folder = roles.segments(spark, d), scratch(spark, "run")
-    one = s.where(F.col("meeting_id") == s.agg(F.min("meeting_id")).first()[0])
-    listed = one.groupBy("meeting_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.struct("start", "end", "text").alias("s")))), lambda x: x.s)).alias("content"))
-    writers.write_files(listed.select(F.lit(reviews.SAVED["base"]).alias("path"), "content"), folder)
-    writers.write_files(listed.select(F.lit(reviews.RUN_META).alias("path"), F.lit('{"requested_language": null, "detected_language": "de"}').alias("content")), folder)
-    language, stages = reviews.read_saved_run(spark, folder)
-    missing = stages["ctc"].count() + stages["whisper"].count()
-    return stages["base"].select(listed_id(one), F.col("seg_idx").cast("long").alias("seg_idx"), "text", F.lit(language).alias("language"), F.lit(missing).cast("long").alias("missing"))
-
-
-def listed_id(one: DataFrame):
-    return F.lit(one.select("meeting_id").first()[0]).alias("meeting_id")
+    m = F.col("meeting_id")
+    as_json = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.struct("start", "end", "text").alias("s")))), lambda x: x.s))
+    place = lambda file: F.concat(_id(), F.lit(f"/{file}")).alias("path")
+    for name, rows in (("base", s), ("ctc", roles.ctc(s).where(m % 2 == 0))):
+        writers.write_files(rows.groupBy("meeting_id").agg(as_json.alias("content")).select(place(reviews.SAVED[name]), "content"), folder)
+    said = F.to_json(F.struct(F.when(m % 3 == 1, "uk").alias("requested_language"), F.lit("de").alias("detected_language")))
+    writers.write_files(s.select("meeting_id").distinct().where(m % 3 != 2).select(place(reviews.RUN_META), said.alias("content")), folder)
+    return reviews.read_saved_runs(spark, folder).select("run", "stage", "seg_idx", "text", "language")
 
 
 @query(using("seg") + " SELECT meeting_id, seg_idx, speaker, 'whole' AS state FROM seg")

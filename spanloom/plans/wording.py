@@ -33,7 +33,7 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ru' WHEN 1 THEN 'UK' ELSE 'en' END AS lang, CASE WHEN doc_id % 5 = 0 THEN text || ' да' WHEN doc_id % 7 = 0 THEN left(text, 7) ELSE text END AS t FROM documents)
+    r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ru' WHEN 1 THEN 'UK' ELSE 'en' END AS lang, CASE WHEN doc_id % 5 = 0 THEN text || ' да' WHEN doc_id % 7 = 0 THEN regexp_replace(text, '[A-Za-z]', '', 'g') ELSE text END AS t FROM documents)
 SELECT doc_id, lang <> 'en' AND NOT regexp_matches(t, '[А-Яа-яЁёІіЇїЄєҐґ]') AND len(regexp_extract_all(t, '[A-Za-z]')) >= 6 AS looks_foreign,
   CASE WHEN trim(t) = '' THEN false WHEN lang = 'en' THEN regexp_matches(t, '[A-Za-z]') ELSE regexp_matches(t, '[А-Яа-яЁёІіЇїЄєҐґ]') END AS has_script FROM t"""
 )
@@ -41,7 +41,7 @@ def script_flags(spark: SparkSession, d: str) -> DataFrame:
     """Which texts look foreign for their language, and which have a letter of its script."""
     k = F.col("doc_id")
     lang = F.when(k % 3 == 0, "ru").when(k % 3 == 1, "UK").otherwise("en")
-    t = F.when(k % 5 == 0, F.concat("text", F.lit(" да"))).when(k % 7 == 0, F.substring("text", 1, 7)).otherwise(F.col("text"))
+    t = F.when(k % 5 == 0, F.concat("text", F.lit(" да"))).when(k % 7 == 0, F.regexp_replace("text", "[A-Za-z]", "")).otherwise(F.col("text"))
     return roles.table(spark, d, "documents").select("doc_id", text.looks_foreign(t, lang).alias("looks_foreign"), text.has_script(t, lang).alias("has_script"))
 
 
@@ -148,16 +148,20 @@ def candidate_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    using("seg") + f""", p AS (SELECT meeting_id, seg_idx, array_to_string(w[1:seg_idx + 2], ' ') AS t, CASE WHEN seg_idx % 3 = 0 THEN array_to_string(w[1:seg_idx + 2], ' ') || '!' ELSE array_to_string(w[1:seg_idx + 3], ' ') END AS h FROM seg),
+    using("seg") + f""", k AS (SELECT *, seg_idx % 5 + 2 AS n FROM seg), i AS (SELECT *, unnest(range(0, (len(w) + n - 1) // n)) AS piece FROM k),
+p AS (SELECT meeting_id, seg_idx, piece, array_to_string(w[piece * n + 1:piece * n + n], ' ') AS t,
+  CASE WHEN piece % 3 = 0 THEN array_to_string(w[piece * n + 1:piece * n + n], ' ') || '!' ELSE array_to_string(w[piece * n + 1:piece * n + n + 1], ' ') END AS h FROM i),
 q AS (SELECT *, {content('t')} AS a, {content('h')} AS b FROM p)
-SELECT meeting_id, seg_idx, t <> '' AND h <> '' AND t <> h AND {_OV.format('list_distinct(a)', 'list_distinct(b)')} >= 0.8 AND abs(len(a) - len(b)) <= 2 AND greatest(len(a), len(b)) <= 5 AS tried, 'ctc: ' || t || ' whisper: ' || h AS asked FROM q"""
+SELECT meeting_id, seg_idx, piece, t <> '' AND h <> '' AND t <> h AND {_OV.format('list_distinct(a)', 'list_distinct(b)')} >= 0.8 AND abs(len(a) - len(b)) <= 2 AND greatest(len(a), len(b)) <= 5 AS tried, 'ctc: ' || t || ' whisper: ' || h AS asked FROM q"""
 )
 def corrections_tried(spark: SparkSession, d: str) -> DataFrame:
-    """Short texts that nearly agree, for which a corrector is asked, and what it is asked."""
-    k = F.col("seg_idx").cast("int")
-    first = lambda n: F.array_join(F.slice("w", 1, n), " ")
-    s = roles.segments(spark, d).select("meeting_id", "seg_idx", first(k + 2).alias("t"), F.when(k % 3 == 0, F.concat(first(k + 2), F.lit("!"))).otherwise(first(k + 3)).alias("h"))
-    return s.select("meeting_id", "seg_idx", merge.worth_correcting(F.col("t"), F.col("h"), F.lit("en")).alias("tried"), merge.corrector_input(F.col("t"), F.col("h")).alias("asked"))
+    """All turns in pieces of a few words, heard twice: those that nearly agree, for which a corrector is asked, and what it is asked."""
+    n = (F.col("seg_idx") % 5 + 2).cast("int")
+    s = roles.segments(spark, d).withColumn("n", n).where("size(w) > 0")
+    s = s.select("meeting_id", "seg_idx", "w", "n", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / F.col("n")).cast("int"))).alias("piece"))
+    words = lambda more: F.array_join(F.slice("w", F.col("piece") * F.col("n") + 1, F.col("n") + more), " ")
+    s = s.select("meeting_id", "seg_idx", F.col("piece").cast("long").alias("piece"), words(0).alias("t"), F.when(F.col("piece") % 3 == 0, F.concat(words(0), F.lit("!"))).otherwise(words(1)).alias("h"))
+    return s.select("meeting_id", "seg_idx", "piece", merge.worth_correcting(F.col("t"), F.col("h"), F.lit("en")).alias("tried"), merge.corrector_input(F.col("t"), F.col("h")).alias("asked"))
 
 
 _LADDER = f"""n AS (SELECT *, CASE WHEN c = '' THEN CASE WHEN regexp_matches(t, '[A-Za-z]') THEN 'missing_canary_ctc_anchor' WHEN regexp_matches(h, '[A-Za-z]') THEN 'missing_canary_whisper_fallback' ELSE 'missing_canary_transcript' END
@@ -229,6 +233,15 @@ def audio_measures(spark: SparkSession, d: str) -> DataFrame:
     return a.select("path", F.size("samples").cast("long").alias("n"), "duration", readers.voiced(F.col("samples")).alias("voiced"), F.bround(readers.rms(F.col("samples").cast("array<double>")), 9).alias("rms"))
 
 
+@query(
+    f"""WITH {_WAVE} SELECT id::VARCHAR AS path, len(x)::BIGINT AS n, len(list_filter(x, lambda v: abs(v) > 0.00001)) > 0 AS voiced, round_even(sqrt(list_sum(list_transform(x, lambda v: v * v))::DOUBLE / len(x) + 1e-8::DOUBLE), 9) AS rms FROM w"""
+)
+def audio_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Whether whole recordings are silent, and their loudness."""
+    a = _audio(spark, d)
+    return a.select("path", F.size("samples").cast("long").alias("n"), readers.voiced(F.col("samples")).alias("voiced"), F.bround(readers.rms(F.col("samples").cast("array<double>")), 9).alias("rms"))
+
+
 @query(
     f"""WITH {_WAVE}, k AS (SELECT id, x, unnest(range(0, (len(x) + 79) // 80)) AS k FROM w)
 SELECT id::VARCHAR AS path, k AS chunk, round_even(k * 80 / 16000.0::DOUBLE, 3) AS start, round_even(least(len(x), (k + 1) * 80) / 16000.0::DOUBLE, 3) AS "end", list_sum(x[k * 80 + 1:(k + 1) * 80])::DOUBLE AS total FROM k"""

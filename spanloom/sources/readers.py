@@ -10,7 +10,7 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug, squeeze
@@ -21,11 +21,11 @@ def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(meeting_id, language, duration, segments) of transcript files, by file name; missing words are none, scores 0."""
+def read_transcripts(spark: SparkSession, path: str | list[str], *more: Column) -> DataFrame:
+    """(meeting_id, language, duration, segments, ``more``) of transcript files, by file name; missing words are none, scores 0."""
     raw = spark.read.schema(TRANSCRIPT).option("multiLine", True).option("mode", "FAILFAST").json(path)
     words = lambda s: F.coalesce(F.transform(s.words, lambda w: w.withField("score", F.coalesce(w.score, F.lit(0.0)))), F.array().cast(raw.schema["segments"].dataType.elementType["words"].dataType))
-    return raw.select(_stem(F.col("_metadata.file_path")).alias("meeting_id"), "language", "duration", F.transform("segments", lambda s: s.withField("words", words(s))).alias("segments"))
+    return raw.select(_stem(F.col("_metadata.file_path")).alias("meeting_id"), "language", "duration", F.transform("segments", lambda s: s.withField("words", words(s))).alias("segments"), *more)
 
 
 def segments_of(transcripts: DataFrame) -> DataFrame:
@@ -97,17 +97,21 @@ def read_wiki(spark: SparkSession, path: str, pages: int | None = None) -> DataF
     return out if pages is None else out.limit(pages)
 
 
-def read_texts(spark: SparkSession, path: str, label: str, weight: int = 1) -> DataFrame:
-    """(label, weight, doc_id, text) of all files of a folder or of one file."""
+def read_texts(spark: SparkSession, path: str, label: str, weight: int = 1, blocks: bool = False) -> DataFrame:
+    """(label, weight, doc_id, text) of all files of a folder or of one file; ``blocks``: a row from each blank line to the next."""
     if weight <= 0:
         raise ValueError(f"the weight of {label} must be positive, not {weight}")
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    read = spark.read.option("recursiveFileLookup", True)
+    files = read.option("lineSep", "\n\n").text(path) if blocks else read.text(path, wholetext=True)
     return files.select(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
-def read_groups(spark: SparkSession, groups: list[tuple[str, int, str]], extra: list[str] | None = None, limit: int | None = None) -> DataFrame:
+def read_groups(spark: SparkSession, groups: list[tuple[str, int, str]], extra: list[str] | None = None, limit: int | None = None, blocks: bool = False) -> DataFrame:
     """Sentences (label, weight, doc_id, pos, sentence) of groups (label, weight, path), and of ``extra`` paths at weight 1.
 
+    ``blocks``: a file is read in pieces, from one blank line to the next, so that one of any size is many rows in many tasks;
+    a sentence then ends at a blank line at the latest, and pieces of a file are in no order. Else a file is one row.
+
     A blank label is group_1, group_2, ...; limit: the first sentences over all groups, in their order, then by file name.
     """
     from ..operators.corpus import corpus_sentences
@@ -115,7 +119,7 @@ def read_groups(spark: SparkSession, groups: list[tuple[str, int, str]], extra:
     listed = [((label.strip() or f"group_{k}"), weight, path) for k, (label, weight, path) in enumerate(groups, 1)] + [("extra", 1, path) for path in extra or []]
     texts = None
     for k, (label, weight, path) in enumerate(listed):
-        part = read_texts(spark, path, label, weight).withColumn("doc_id", F.struct(F.lit(k).alias("group"), "doc_id"))
+        part = read_texts(spark, path, label, weight, blocks).withColumn("doc_id", F.struct(F.lit(k).alias("group"), "doc_id"))
         texts = part if texts is None else texts.unionByName(part)
     if texts is None:
         raise ValueError("a corpus needs a group or an extra text")
@@ -238,6 +242,49 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "corpus string, profile string, item_id string, reference string, audio string, hypothesis string, language string, duration_limit double, notes string")
 
 
+def decoded(path: Column) -> Column:
+    """A row's file path as the file system has it."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def read_corpora(spark: SparkSession, folder: str, checked: bool = True) -> DataFrame:
+    """``read_corpus`` of every .json manifest of a folder, in one scan, with its ``path`` and a ``problem``.
+
+    A manifest with unknown keys, without items, with an item that lacks an id or reference or has unknown keys, or with two
+    items of one id has a problem on each of its rows, of which there is at least one; ``checked`` raises it.
+    """
+    kind = "name string, profile string, defaults map<string,string>, items array<map<string,string>>"
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(decoded(F.col("_metadata.file_path")).alias("path"), "value")
+    read = files.select("path", F.from_json("value", kind).alias("m"), F.from_json("value", "map<string,string>").alias("top"))
+    unknown = lambda found, keys: F.array_sort(F.array_except(F.map_keys(found), F.array(*map(F.lit, sorted(keys)))))
+    named = lambda what, keys: F.when(F.size(keys) > 0, F.concat(F.lit(f"unknown keys {what}: "), F.array_join(keys, ", ")))
+    items = F.coalesce("m.items", F.array().cast("array<map<string,string>>"))
+    ids = F.transform(items, lambda i: F.try_element_at(i, F.lit("id")))
+    whole = F.coalesce(
+        F.when(F.col("m").isNull() | F.col("top").isNull(), "no JSON object"), named("of the manifest", unknown(F.col("top"), CORPUS_KEYS)),
+        F.when(F.size(items) == 0, "no items"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "two items of one id"),
+    )
+    each = read.select("path", "m", whole.alias("whole"), F.explode_outer(items).alias("own"))
+    none = F.create_map().cast("map<string,string>")
+    given = F.map_filter(F.coalesce("m.defaults", none), lambda k, v: ~F.map_contains_key(F.coalesce("own", none), k))
+    each = each.withColumn("item", F.map_concat(given, F.coalesce("own", none)))
+    of = lambda key: F.try_element_at("item", F.lit(key))
+    missing = F.when((F.coalesce(of("id"), F.lit("")) == "") | (F.coalesce(of("reference"), F.lit("")) == ""), "an item lacks id or reference")
+    problem = F.coalesce("whole", missing, named("of an item", unknown(F.col("item"), ITEM_KEYS)))
+    first = F.min("problem").over(Window.partitionBy("path"))
+    each = each.withColumn("problem", problem).withColumn("problem", first)
+    if checked:
+        each = each.withColumn("problem", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "problem"))).cast("string"))
+    base = F.regexp_replace("path", "/[^/]*$", "")
+    at = lambda key: F.when(of(key).startswith("/"), of(key)).otherwise(F.concat(base, F.lit("/"), of(key))).alias(key)
+    filled = lambda x, other: F.coalesce(F.nullif(x, F.lit("")), other)
+    stem = _stem(F.col("path"))
+    return each.select(
+        "path", filled(F.col("m.name"), stem).alias("corpus"), filled(F.col("m.profile"), F.lit("default")).alias("profile"), of("id").alias("item_id"), at("reference"), at("audio"), at("hypothesis"),
+        of("language").alias("language"), of("duration_limit").try_cast("double").alias("duration_limit"), of("notes").alias("notes"), "problem",
+    )
+
+
 def deep_merge(under: dict, over: dict) -> dict:
     """Nested keys of ``over`` win; lists are replaced."""
     out = dict(under)

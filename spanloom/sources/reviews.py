@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import squeeze
 from ..model import UNKNOWN
 from ..operators.windows import review_ends
-from .readers import _stem, read_transcripts
+from .readers import _stem, decoded, read_transcripts
 
 # Fields of review templates, and the names of a run's saved stages.
 SEGMENT = "struct<speaker:string,start_sec:string,start:string,end_sec:string,end:string,text:string>"
@@ -120,17 +120,61 @@ def read_saved_run(spark: SparkSession, folder: str) -> tuple[str, dict[str, Dat
     return language, stages
 
 
+def read_saved_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run, language, stage, seg_idx, start, end, text) of all saved runs, one to a folder below ``root``, in one scan.
+
+    A run without a stage has no rows of it; one without its record has the default language.
+    """
+    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(root, wholetext=True)
+    path = decoded(F.col("_metadata.file_path"))
+    files = files.select(F.element_at(F.split(path, "/"), -2).alias("run"), F.element_at(F.split(path, "/"), -1).alias("file"), "value")
+    said = lambda key: F.nullif(F.get_json_object("value", f"$.{key}"), F.lit(""))
+    meta = files.where(F.col("file") == RUN_META).select(F.col("run").alias("r"), F.coalesce(said("requested_language"), said("detected_language")).alias("said"))
+    stage = F.coalesce(*(F.when(F.col("file") == file, name) for name, file in SAVED.items()))
+    held = files.withColumn("stage", stage).where("stage is not null")
+    items = F.coalesce(_listed(F.col("value"), "segments", "chunks"), F.raise_error(F.concat(F.lit("no segment list in "), F.col("run"))).cast("array<string>"))
+    each = held.select("run", "stage", F.posexplode(items).alias("seg_idx", "item"))
+    number = lambda key: F.get_json_object("item", f"$.{key}").cast("double")
+    rows = each.select("run", "stage", "seg_idx", F.coalesce(number("start"), F.lit(0.0)).alias("start"), F.coalesce(number("end"), number("start"), F.lit(0.0)).alias("end"), F.coalesce(F.get_json_object("item", "$.text"), F.lit("")).alias("text"))
+    return rows.join(meta, F.col("run") == F.col("r"), "left").select("run", F.coalesce("said", F.lit(LANGUAGE)).alias("language"), "stage", "seg_idx", "start", "end", "text")
+
+
 def read_hypotheses(spark: SparkSession, items: DataFrame, folder: str | None) -> DataFrame:
     """Transcripts (item_id, language, duration, segments) of ``items`` (item_id, hypothesis): ``folder``'s <id>.json, else the item's own path.
 
-    Paths are configuration, a manifest's worth of them. Items with neither file have no row.
+    The folder is one scan, and so are all paths of the items' own, joined by the path that each row was read from. Paths are
+    configuration, a manifest's worth of them: the folders that they name are listed, not each path asked for. Items with
+    neither file have no row.
     """
-    out = None
+    none = spark.createDataFrame([], "item_id string, language string, duration double, segments array<string>")
+    held = None
     if folder is not None and _exists(spark, folder):
-        out = read_transcripts(spark, folder).withColumnRenamed("meeting_id", "item_id").join(items.select("item_id"), "item_id", "left_semi")
-    rest = items.where("hypothesis is not null") if out is None else items.where("hypothesis is not null").join(out.select("item_id"), "item_id", "left_anti")
-    own = [(r.item_id, r.hypothesis) for r in rest.select("item_id", "hypothesis").collect() if _exists(spark, r.hypothesis)]
-    for item, path in own:
-        one = read_transcripts(spark, path).withColumn("item_id", F.lit(item)).drop("meeting_id")
-        out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], "item_id string, language string, duration double, segments array<string>") if out is None else out
+        held = read_transcripts(spark, folder).withColumnRenamed("meeting_id", "item_id").join(items.select("item_id"), "item_id", "left_semi")
+    own = items.where("hypothesis is not null").withColumn("key", _bare(F.col("hypothesis")))
+    own = own if held is None else own.join(held.select("item_id"), "item_id", "left_anti")
+    there = _existing(spark, [r.hypothesis for r in own.select("hypothesis").distinct().collect()])
+    if not there:
+        return none if held is None else held
+    read = read_transcripts(spark, there, _bare(decoded(F.col("_metadata.file_path"))).alias("key")).drop("meeting_id")
+    out = own.select("item_id", "key").join(read, "key").select("item_id", "language", "duration", "segments")
+    return out if held is None else held.select(*out.columns).unionByName(out)
+
+
+def _bare(path: Column) -> Column:
+    """A path without scheme and host."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of ``paths`` that are files, by one listing of each folder among them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    by: dict[str, list[str]] = {}
+    for path in paths:
+        by.setdefault(path.rpartition("/")[0], []).append(path)
+    out = []
+    for folder, of in by.items():
+        where = jvm.org.apache.hadoop.fs.Path(folder or "/")
+        fs = where.getFileSystem(conf)
+        names = {x.getPath().getName() for x in fs.listStatus(where)} if fs.exists(where) else set()
+        out += [p for p in of if p.rpartition("/")[2] in names]
+    return sorted(out)

@@ -11,9 +11,17 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, or a temporary folder where that is unset (tests); removed at exit."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path below ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests).
+
+    It is removed at exit.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir isn't set: executors of {master} need a folder that all of them share")
+        root = tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clock
 from ..operators.corpus import repeated
+from .single_files import write_files  # noqa: F401
 
 
 def transcript_lines(segments: DataFrame) -> DataFrame:
@@ -108,17 +109,6 @@ def review_chunks(audio: DataFrame, seconds: float = 600.0, rate: int = 16000) -
     return cut.join(wav, "key").select("path", "chunk_id", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), "content", F.to_json(blank).alias("template"))
 
 
-def write_files(files: DataFrame, folder: str) -> None:
-    """Files (path, content; binary or text) of their own below ``folder``, one after the other through the driver."""
-    spark = files.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for r in files.select("path", F.col("content").cast("binary").alias("content")).toLocalIterator():
-        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.path}")
-        out = where.getFileSystem(conf).create(where, True)
-        out.write(r.content)
-        out.close()
-
-
 def run_events(runs: DataFrame, stage: str, percent: int, status: str = "running") -> DataFrame:
     """Progress events (run_id, ts, seq, status, percent, stage, details) of runs (run_id, details) that reach a stage now."""
     return runs.select("run_id", F.current_timestamp().alias("ts"), F.lit(percent).cast("long").alias("seq"), F.lit(status).alias("status"), F.lit(percent).cast("double").alias("percent"), F.lit(stage).alias("stage"), "details")

@@ -13,8 +13,12 @@ def test_matches_sql(spark, name):
     assert by_spark(spark, QUERIES[name]) == by_sql(ORACLES[name])
 
 
+#: Measured otherwise: recall, in test_retrieval.
+WITHOUT_SQL = {"vector_cells_near"}
+
+
 def test_all_have_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | WITHOUT_SQL
 
 
 def test_entry(spark):
