@@ -15,11 +15,7 @@ other, null sources are one source, null ids come first in theirs, and an empty
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,50 +41,20 @@ def period(weights: list[int]) -> list[int]:
 def _numbered(docs: DataFrame, stages: Stages) -> DataFrame:
     """``docs`` (source, doc_id, row) with ``at``, each row's number within its source by (doc_id, row), from 0.
 
-    Rows are sorted in ranges; each range counts its rows by source, and the counts before it are added. No source is
-    gathered anywhere.
+    Rows are sorted in ranges, and each range is a file; a row's place in its file, less that of its source's first one there,
+    and the source's rows in the ranges before make up its number. No source is gathered anywhere.
     """
     keys = [F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), F.asc("row")]
-    ranged = docs.repartitionByRange(parts_for(docs, 64), *keys).sortWithinPartitions(*keys)
-    placed = stages.write(ranged.mapInArrow(_counted, "part int, source string, doc_id long, row long, near long, last boolean"), "ranges")
-    ends = placed.where("last").select("part", "source", (F.col("near") + 1).alias("n"))
+    ranged = docs.repartitionByRange(parts_for(docs, 64), *keys).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*keys)
+    placed = stages.write(ranged, "ranges").select("source", "doc_id", "row", "part", F.col("_metadata.row_index").alias("near"))
     # one row for each range and source: their running sums within a source
+    ends = placed.groupBy("part", "source").agg(F.count("*").alias("n"), F.min("near").alias("first"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
-    starts = ends.select(F.col("part").alias("p"), F.col("source").alias("s"), before.alias("before"))
+    starts = ends.select(F.col("part").alias("p"), F.col("source").alias("s"), (before - F.col("first")).alias("before"))
     joined = placed.join(bounded(starts), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     return joined.select("source", "doc_id", "row", (F.col("near") + F.col("before")).alias("at"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, counted, held = TaskContext.get().partitionId(), None, None  # source and rows of it so far; the batch before
-
-    def made(batch: pa.RecordBatch, near: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(near), part, np.int32)), *(batch.column(c) for c in ("source", "doc_id", "row")), pa.array(near), pa.array(last)], names=["part", "source", "doc_id", "row", "near", "last"])
-
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        code = pa.compute.fill_null(batch.column("source").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        near = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-        head = batch.column("source")[0].as_py()
-        if counted is not None and counted[0] == head:
-            near[: first[1] if len(first) > 1 else n] += counted[1]
-        elif held is not None:
-            held[2][-1] = True
-        last = np.zeros(n, bool)
-        last[first[1:] - 1] = True
-        if held is not None:
-            yield made(*held)
-        held, counted = (batch, near, last), (batch.column("source")[n - 1].as_py(), int(near[-1]) + 1)
-    if held is not None:
-        held[2][-1] = True
-        yield made(*held)
-
-
 def schedule(docs: DataFrame, weight: Column, block: int = 16) -> DataFrame:
     """(doc_id, source, row, at, block, release, deadline, slot) of each row of ``docs`` (doc_id, source).
 
