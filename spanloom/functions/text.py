@@ -223,7 +223,8 @@ def plain_sentences(markup: Column) -> Column:
     """Sentences of a marked-up page: comments, references, tagged blocks, templates, tables, links and tags removed."""
     t = F.regexp_replace(unescaped(F.coalesce(markup, F.lit(""))), COMMENTS, " ")
     t = F.regexp_replace(F.regexp_replace(t, REFERENCES, " "), TAGGED_BLOCKS, " ")
-    t = without_nested(without_nested(t, "{{", "}}"), "{|", "|}")
+    braced = lambda x: without_nested(without_nested(x, "{{", "}}"), "{|", "|}")
+    t = bound(t, lambda x: F.when(F.contains(x, F.lit("{")) | F.contains(x, F.lit("|}")), braced(x)).otherwise(x))  # few texts have any
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, OUTER_LINKS, " $2 "), FILE_LINKS, " "), INNER_LINKS, "$1")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, HEADINGS, " $1. "), EMPHASIS, ""), TAGS, " ")
     return F.filter(F.split(squeeze(F.regexp_replace(t, SPACED_MARKS, " $1 ")), r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 3)

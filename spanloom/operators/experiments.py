@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import ranking
 from .quality import share
+from .search import few
 
 #: What a hybrid backend's options are where they aren't given.
 DEFAULTS = {
@@ -23,10 +24,10 @@ _KINDS = {float: "double", int: "int", bool: "boolean", str: "string"}
 def planned(variants: DataFrame, items: DataFrame) -> DataFrame:
     """Every variant (preset_id, ...) on every item (item_id, duration_limit, ...); an item's limit wins over the variant's.
 
-    Variants are configuration and go to each task; items, of any number, stay where they are.
+    Variants are configuration and, up to ``search.FEW`` of them, go to each task; items, of any number, stay where they are.
     """
     limit = F.col("item_limit").cast("double")
-    out = items.withColumnRenamed("duration_limit", "item_limit").crossJoin(F.broadcast(variants))
+    out = items.withColumnRenamed("duration_limit", "item_limit").crossJoin(few(variants))
     return out.withColumn("duration_limit", F.coalesce(limit, F.col("duration_limit"))).drop("item_limit")
 
 

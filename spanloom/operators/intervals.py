@@ -7,11 +7,12 @@ tables, seconds by default; None compares whole meetings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
 from ..model import UNKNOWN
+from .scans import WIDTH, Scan, slot_of
 
 
 def overlap(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
@@ -130,31 +131,38 @@ def segments_from_words(texts: DataFrame, segments: DataFrame, words: DataFrame,
     return own.unionByName(made.where("text <> ''"))
 
 
-def solid(intervals: DataFrame) -> DataFrame:
-    """(meeting_id, side, speaker, start, end): each speaker's intervals with those that overlap or touch as one."""
-    m = Window.partitionBy("meeting_id", "side", "speaker").orderBy("start", "end")
-    reach = F.max("end").over(m.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("run", F.sum("new").over(m))
+def solid(intervals: DataFrame, width: float = WIDTH) -> DataFrame:
+    """(meeting_id, side, speaker, start, end): each speaker's intervals with those that overlap or touch as one.
+
+    ``width``: the slots of the scan, so that a speaker's intervals may be in many tasks.
+    """
+    scan = Scan(["meeting_id", "side", "speaker"], "slot", ["start", "end"])
+    rows = scan.highest_before(intervals.withColumn("slot", slot_of(F.col("start"), width)), "end", "reach")
+    new = (F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int")
+    marked = scan.summed(rows, new, "run")
     return marked.groupBy("meeting_id", "side", "speaker", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def der_sweep(reference: DataFrame, hypothesis: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
+def der_sweep(reference: DataFrame, hypothesis: DataFrame, bucket: float | None = BUCKET, width: float = WIDTH) -> DataFrame:
     """(meeting_id, miss, false_alarm, confusion, total, der) of speaker intervals (meeting_id, start, end, speaker).
 
     Between neighbouring borders, r reference and h hypothesis speakers are active: missed is max(0, r - h), false alarm
     max(0, h - r), confused min(r, h) less the matched ones. Speakers are matched one to one to give the longest joint time.
-    No collar, overlap counted. Numbers of active speakers are running sums over borders, joint times an overlap join of
-    both sides; a meeting's collected rows are its pairs of speakers that overlap. Meetings without a reference are left out.
+    No collar, overlap counted. Numbers of active speakers are running sums over borders, scanned in slots of ``width``,
+    joint times an overlap join of both sides; a meeting's collected rows are its pairs of speakers that overlap. Meetings without a reference are left out.
     """
     from .scoring import best_total  # scores build on intervals
 
     clean = lambda df, side: df.where("start < end").select("meeting_id", "start", "end", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"), F.lit(side).alias("side"))
-    both = solid(clean(reference, "r").unionByName(clean(hypothesis, "h")))
+    both = solid(clean(reference, "r").unionByName(clean(hypothesis, "h")), width)
     step = lambda side, by: F.sum(F.when(F.col("side") == side, by).otherwise(0)).alias(side)
     borders = both.select("meeting_id", F.col("start").alias("t"), "side", F.lit(1).alias("by")).union(both.select("meeting_id", "end", "side", F.lit(-1)))
     sums = borders.groupBy("meeting_id", "t").agg(step("r", F.col("by")), step("h", F.col("by")))
-    m = Window.partitionBy("meeting_id").orderBy("t")
-    spans = sums.select("meeting_id", (F.lead("t").over(m) - F.col("t")).alias("d"), F.sum("r").over(m).alias("r"), F.sum("h").over(m).alias("h")).where("d is not null")
+    scan = Scan(["meeting_id"], "slot", ["t"])
+    rows = scan.previous(sums.withColumn("slot", slot_of(F.col("t"), width)), "t", "since")
+    for side in ("r", "h"):  # as many as are active before each border
+        rows = scan.summed(rows, F.col(side), "upto").withColumn(side, F.col("upto") - F.col(side)).drop("upto")
+    spans = rows.select("meeting_id", (F.col("t") - F.col("since")).alias("d"), "r", "h").where("d is not null")
     r, h, d = F.col("r"), F.col("h"), F.col("d")
     parts = spans.groupBy("meeting_id").agg(F.sum(F.greatest(r - h, F.lit(0)) * d).alias("miss"), F.sum(F.greatest(h - r, F.lit(0)) * d).alias("false_alarm"), F.sum(F.least(r, h) * d).alias("both"), F.sum(r * d).alias("total"))
     mine = both.where("side = 'r'").select("meeting_id", "start", "end", F.col("speaker").alias("ref"))

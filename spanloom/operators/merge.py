@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CYRILLIC, LATIN, content_set, content_tokens, has_script, looks_foreign, overlap_ratio, source_ratio, squeeze, unsupported
 from .intervals import BUCKET, window_text
-from .windows import uniform_words
+from .windows import uniform_words, within_budget
 
 
 def decide(canary: Column, ctc: Column, whisper: Column, language: Column) -> Column:
@@ -174,8 +174,7 @@ def with_replies(asked: DataFrame, language: Column, most_tokens: int = 12, budg
     blank = (c == "") & (t == "") & (w == "")
     open_ = (F.col("d.note") == "rule_based_canary_base") & ~blank
     fits = open_ & (longest <= most_tokens)
-    running = F.count_if(fits).over(Window.partitionBy("meeting_id").orderBy("start", "end", "seg_idx").rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("calls", fits & (running <= budget)).withColumn("fits", fits).withColumn("open", open_)
+    out = within_budget(out.withColumn("fits", fits).withColumn("open", open_), F.col("fits"), budget, "start", "end", "seg_idx")
     if replies is None:
         replies = asked.sparkSession.createDataFrame([], f"meeting_id {dict(asked.dtypes)['meeting_id']}, seg_idx {dict(asked.dtypes)['seg_idx']}, reply string, failed boolean")
     out = out.join(replies, ["meeting_id", "seg_idx"], "left")

@@ -26,7 +26,7 @@ def error_rates(pairs: DataFrame, profile: str | None = None) -> DataFrame:
     out = pairs.withColumn("__r", r).withColumn("__h", h)
     out = out.withColumn("ref_words", F.size("__r").cast("long")).withColumn("hyp_words", F.size("__h").cast("long")).withColumn("word_edits", word_distance(F.col("__r"), F.col("__h")))
     a, b = F.array_join("__r", ""), F.array_join("__h", "")
-    out = out.withColumn("ref_chars", F.length(a).cast("long")).withColumn("hyp_chars", F.length(b).cast("long")).withColumn("char_edits", F.levenshtein(a, b).cast("long"))
+    out = out.withColumn("ref_chars", F.length(a).cast("long")).withColumn("hyp_chars", F.length(b).cast("long")).withColumn("char_edits", word_distance(a, b))
     out = out.withColumn("wer", rate(F.col("word_edits"), F.col("ref_words"), F.col("hyp_words"))).withColumn("cer", rate(F.col("char_edits"), F.col("ref_chars"), F.col("hyp_chars")))
     return out.drop("__r", "__h")
 

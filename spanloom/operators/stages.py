@@ -124,6 +124,10 @@ def register(kind: str, name: str, stage: Stage, schema: str) -> None:
     _stages[kind, name] = stage, schema
 
 
+def registered(kind: str, name: str) -> bool:
+    return (kind, name) in _stages
+
+
 def apply(kind: str, name: str, table: DataFrame) -> DataFrame:
     """The registered stage's output, cast to its schema; a stage that isn't there is an error before anything runs."""
     if (kind, name) not in _stages:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import joined
 from ..model import UNKNOWN
+from .scans import WIDTH, Scan, slot_of
 
 
 def infer_ends(items: DataFrame) -> DataFrame:
@@ -62,21 +63,22 @@ def sorted_words(words: Column) -> Column:
     return F.transform(F.array_sort(ranked), lambda x: x.w)
 
 
-def merge_turns(segments: DataFrame, gap: float = 0.35) -> DataFrame:
+def merge_turns(segments: DataFrame, gap: float = 0.35, width: float = WIDTH) -> DataFrame:
     """Consecutive segments of one speaker as one, where the next starts ``gap`` or less after the furthest end so far.
 
     Sorted by (start, end, speaker). Texts are joined, dashes that begin the right one dropped; ``words``, if there are any,
     are put together and sorted; confidence low and source ctc_fallback win, else the first that there is. Gaps and islands:
-    runs of a speaker first, then breaks within them.
+    runs of a speaker first, then breaks within them, each by a scan over slots of ``width``, so that a meeting's segments may
+    be in many tasks; only those of one turn meet.
     """
-    s = segments.withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN)))
-    m = Window.partitionBy("meeting_id").orderBy(*record_order("seg_idx"))
-    s = s.withColumn("__n", F.row_number().over(m)).withColumn("__new", (F.coalesce(F.lag("speaker").over(m) != F.col("speaker"), F.lit(True))).cast("int"))
-    s = s.withColumn("__run", F.sum("__new").over(m))
-    r = Window.partitionBy("meeting_id", "__run").orderBy("__n")
-    reach = F.max("end").over(r.rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("__break", F.when(F.col("start") - reach > gap, 1).otherwise(F.col("__new")))
-    s = s.withColumn("__island", F.sum("__break").over(m))
+    s = segments.withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN))).withColumn("__slot", slot_of(F.col("start"), width))
+    scan = Scan(["meeting_id"], "__slot", record_order("seg_idx"))
+    s = scan.previous(s, "speaker", "__last")
+    s = s.withColumn("__new", (F.coalesce(F.col("__last") != F.col("speaker"), F.lit(True))).cast("int"))
+    s = scan.summed(s, F.col("__new"), "__run")
+    s = scan.highest_before(s, "end", "__reach", "__run")
+    s = scan.summed(s, F.when(F.col("start") - F.col("__reach") > gap, 1).otherwise(F.col("__new")), "__island")
+    s = s.withColumn("__n", F.struct(F.col("start").isNull().alias("z"), "start", F.coalesce("end", "start").alias("e"), "seg_idx"))
     one = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__n")))
     inner = F.coalesce("words", F.array().cast(segments.schema["words"].dataType)) if "words" in segments.columns else F.lit(None)
     parts = F.array_sort(F.collect_list(F.struct("__n", F.coalesce("text", F.lit("")).alias("t"), inner.alias("w"))))
@@ -126,10 +128,15 @@ def fixed_windows(meetings: DataFrame, width: float) -> DataFrame:
     return rows.select("meeting_id", "window_id", F.bround(F.col("window_id") * F.lit(float(width)), 3).alias("start"), F.bround(end, 3).alias("end"))
 
 
-def within_budget(rows: DataFrame, eligible: Column, budget: int, *order: str) -> DataFrame:
-    """``rows`` with ``calls``: whether a row is one of the first ``budget`` eligible ones of its meeting."""
-    running = F.count_if(eligible).over(Window.partitionBy("meeting_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("calls", eligible & (running <= budget))
+def within_budget(rows: DataFrame, eligible: Column, budget: int, *order: str, width: float = WIDTH) -> DataFrame:
+    """``rows`` with ``calls``: whether a row is one of the first ``budget`` eligible ones of its meeting.
+
+    ``order``: columns, the first of them a number; it is cut into slots of ``width``, each counted by itself.
+    """
+    marked = rows.withColumn("__may", F.coalesce(eligible, F.lit(False))).withColumn("__slot", slot_of(F.col(order[0]), width))
+    nulls_last = [F.asc_nulls_last(order[0]), *order[1:]]
+    counted = Scan(["meeting_id"], "__slot", nulls_last).summed(marked, F.col("__may").cast("int"), "__so_far")
+    return counted.withColumn("calls", F.col("__may") & (F.col("__so_far") <= budget)).drop("__may", "__slot", "__so_far")
 
 
 def carried_prompt(chunks: DataFrame, most: int = 200) -> DataFrame:

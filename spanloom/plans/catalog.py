@@ -300,15 +300,17 @@ def decision_score(spark: SparkSession, d: str) -> DataFrame:
 a AS (SELECT meeting_id, count(*) AS n, count(*) FILTER (speaker IN ('user', 'assistant')) AS named, count(*) FILTER (len(t) = 0 OR len < 350) AS sh, sum(nw) AS m FROM z GROUP BY 1),
 u AS (SELECT meeting_id, x, count(*) AS c FROM (SELECT meeting_id, unnest(t) AS x FROM z) GROUP BY 1, 2),
 r AS (SELECT meeting_id, sum(c) AS al, sum(c - 1) AS ag FROM u GROUP BY 1),
-p AS (SELECT a.meeting_id, CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END AS tw, CASE WHEN m > 0 THEN 0.5
-  ELSE 0.0 END AS ms, round_even(named::DOUBLE / n, 6) AS ls, round_even(sh::DOUBLE / n, 6) AS es, coalesce(round_even(ag::DOUBLE / al, 6), 0.0) AS rr FROM a LEFT JOIN r USING (meeting_id))
-SELECT meeting_id, ls AS labeled_speaker_ratio, es AS empty_or_short_segment_ratio, rr AS repetition_ratio, round_even(tw * 0.35::DOUBLE + ms * 0.25::DOUBLE + ls * 0.20::DOUBLE + (1 - es) * 0.10::DOUBLE + (1 - rr) * 0.10::DOUBLE, 6) AS proxy_quality_score FROM p""")
+i AS (SELECT meeting_id, count(*) FILTER (i % 4 <> 3) AS timed, sum(i % 3) * 0.25::DOUBLE AS score FROM (SELECT meeting_id, unnest(range(0, nw)) AS i FROM z) GROUP BY 1),
+p AS (SELECT a.meeting_id, CASE WHEN m > 0 THEN round_even(timed::DOUBLE / m, 6) ELSE 0.0 END AS tw, CASE WHEN m > 0 THEN round_even(score / m, 6)
+  ELSE 0.0 END AS ms, round_even(named::DOUBLE / n, 6) AS ls, round_even(sh::DOUBLE / n, 6) AS es, coalesce(round_even(ag::DOUBLE / al, 6), 0.0) AS rr FROM a LEFT JOIN r USING (meeting_id) LEFT JOIN i USING (meeting_id))
+SELECT meeting_id, tw AS timed_word_ratio, ms AS mean_word_score, ls AS labeled_speaker_ratio, es AS empty_or_short_segment_ratio, rr AS repetition_ratio, round_even(tw * 0.35::DOUBLE + ms * 0.25::DOUBLE + ls * 0.20::DOUBLE + (1 - es) * 0.10::DOUBLE + (1 - rr) * 0.10::DOUBLE, 6) AS proxy_quality_score FROM p""")
 def proxy_quality(spark: SparkSession, d: str) -> DataFrame:
     s = roles.segments(spark, d)
-    w = roles.words(s).withColumn("score", F.lit(0.5))
+    k = F.col("word_idx")
+    w = roles.words(s).withColumn("score", F.when(k % 3 > 0, k % 3 * 0.25)).withColumn("start", F.when(k % 4 != 3, F.col("start")))
     named = F.when(F.col("speaker").isin("user", "assistant"), F.col("speaker")).otherwise("SPEAKER_UNKNOWN")
     out = quality.proxy_quality(s.withColumn("speaker", named).withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000), w)
-    return out.select("meeting_id", "labeled_speaker_ratio", "empty_or_short_segment_ratio", "repetition_ratio", "proxy_quality_score")
+    return out.select("meeting_id", "timed_word_ratio", "mean_word_score", "labeled_speaker_ratio", "empty_or_short_segment_ratio", "repetition_ratio", "proxy_quality_score")
 
 
 _LB = "a AS (SELECT variant, count(*) AS n_items, count(*) FILTER (status = 'completed') AS n_completed, round_even(avg(wer) FILTER (status = 'completed'), 6) AS macro_wer, round_even(avg(cer) FILTER (status = 'completed'), 6) AS macro_cer, round_even(avg(realtime_factor) FILTER (status = 'completed'), 6) AS mean_rtf, sum(fallback_count)::BIGINT AS fallbacks FROM runs GROUP BY 1)"
@@ -492,4 +494,4 @@ def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
     return ranking.prompt_summary(q).drop("avg_anchor_overlap")
 
 
-from . import files, wording  # noqa: E402, F401  their queries build on those above
+from . import files, runs, wording  # noqa: E402, F401  their queries build on those above

@@ -13,7 +13,7 @@ from .roles import content, using
 
 
 def _plain_sql(x: str) -> str:
-    """SQL of a page's sentences: the same steps in DuckDB's patterns, for pages whose templates and tables aren't nested."""
+    """SQL of a page's sentences: the same steps in DuckDB's patterns, templates and tables up to two within each other."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&euml;", "ë"), ("&eacute;", "é")):
         x = f"replace({x}, '{entity}', '{char}')"
     x = f"regexp_replace({x}, '&amp;?', '&', 'g')"
@@ -21,7 +21,8 @@ def _plain_sql(x: str) -> str:
     x = f"regexp_replace({x}, '(?si)<ref[^>/]*?>.*?</ref>|<ref[^>]*/>', ' ', 'g')"
     blocks = "|".join(f"<{t}[^>]*?>.*?</{t}>" for t in ("math", "code", "nowiki", "gallery", "timeline", "syntaxhighlight", "table"))
     x = f"regexp_replace({x}, '(?si){blocks}', ' ', 'g')"
-    x = rf"regexp_replace(regexp_replace({x}, '\{{\{{[^{{}}]*\}}\}}', '', 'g'), '(?s)\{{\|.*?\|\}}', '', 'g')"
+    for mark in (r"\{\{[^{}]*\}\}", r"\{\|[^{}]*\|\}"):  # the inner ones first
+        x = f"regexp_replace(regexp_replace({x}, '{mark}', '', 'g'), '{mark}', '', 'g')"
     x = rf"regexp_replace({x}, '\[(https?://[^\s\]]+)(?:\s+([^\]]+))?\]', ' \2 ', 'g')"
     x = rf"regexp_replace({x}, '\[\[(?:[^\[\]]*\|)?\s*([^\[\]|]*?)\s*\]\]', '\1', 'g')"
     x = rf"""regexp_replace(regexp_replace({x}, '=+\s*(.*?)\s*=+', ' \1. ', 'g'), '''''+', '', 'g')"""
@@ -30,10 +31,14 @@ def _plain_sql(x: str) -> str:
     return rf"list_filter(string_split(regexp_replace({x}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda q: length(q) >= 3)"
 
 
-@query(f"WITH p AS (SELECT page_id, {_plain_sql('html')} AS s FROM pages) SELECT page_id, len(s)::INTEGER AS n, array_to_string(s, chr(10)) AS text FROM p")
+#: Put behind each page: templates and tables within each other.
+_NESTED = " {{x|{{y|1}} z {{w}}}} kept text. {| a {| b |} c |} and more {{t}}kept. "
+
+
+@query(f"WITH h AS (SELECT page_id, html || '{_NESTED}' AS html FROM pages), p AS (SELECT page_id, {_plain_sql('html')} AS s FROM h) SELECT page_id, len(s)::INTEGER AS n, array_to_string(s, chr(10)) AS text FROM p")
 def markup_clean(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of web pages without their markup."""
-    p = roles.table(spark, d, "pages").select("page_id", text.plain_sentences(F.col("html")).alias("s"))
+    p = roles.table(spark, d, "pages").select("page_id", text.plain_sentences(F.concat("html", F.lit(_NESTED))).alias("s"))
     return p.select("page_id", F.size("s").alias("n"), F.array_join("s", "\n").alias("text"))
 
 

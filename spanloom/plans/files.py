@@ -154,14 +154,14 @@ def group_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_PLAIN}, t AS (SELECT weight, unnest(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_\\-]+|[.,;:!?()«»\"“”„]')) AS token FROM pl),
 c AS (SELECT token, sum(weight) AS n FROM t GROUP BY 1 ORDER BY n DESC, token LIMIT 300),
-s AS (SELECT sum(weight)::BIGINT AS lines FROM pl)
-SELECT token, lines FROM c, s""")
+s AS (SELECT sum(weight)::BIGINT AS lines, sum(weight * length(sentence))::BIGINT AS chars, count(DISTINCT sentence) AS different FROM pl)
+SELECT token, lines, chars, different FROM c, s""")
 def language_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The vocabulary file of a language corpus, beside the number of lines of its corpus file."""
+    """The vocabulary file of a language corpus, beside the number of lines, characters and different lines of its corpus file."""
     docs, folder = roles.table(spark, d, "documents"), scratch(spark, "corpus")
     s = corpus.corpus_sentences(docs.select(F.col("source").alias("label"), (F.length("source") % 3 + 1).alias("weight"), "doc_id", "text"))
     writers.write_language_corpus(s, folder, 300)
-    lines = spark.read.text(f"{folder}/corpus").agg(F.count("*").alias("lines"))
+    lines = spark.read.text(f"{folder}/corpus").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"), F.count_distinct("value").alias("different"))  # one row
     return spark.read.text(f"{folder}/vocab").select(F.col("value").alias("token")).crossJoin(F.broadcast(lines))
 
 
@@ -238,6 +238,27 @@ def template_files(spark: SparkSession, d: str) -> DataFrame:
     return out.select("chunk_id", F.coalesce("problem", F.lit("-")).alias("problem"), F.col("n_segments").cast("long").alias("n_segments"))
 
 
+@query(
+    """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos FROM conversations)
+SELECT conv_id::VARCHAR AS chunk_id, pos, 'S' || (turn % 2) AS speaker, turn * 10.0::DOUBLE AS start, turn * 10.0::DOUBLE + 5 AS "end", text, '{"a":[1,"x"]}' AS note FROM c WHERE conv_id % 3 < 2
+UNION ALL SELECT DISTINCT conv_id::VARCHAR, -1, '-', 0.0, 0.0, '-', '-' FROM c WHERE conv_id % 3 = 2"""
+)
+def accepted_files(spark: SparkSession, d: str) -> DataFrame:
+    """Templates filled in backwards, written back in canonical form; those that can't be accepted stay as they were."""
+    t, folder = roles.table(spark, d, "conversations").withColumnRenamed("conv_id", "meeting_id"), scratch(spark, "accepted")
+    k = F.col("meeting_id") % 3
+    seg = F.struct((F.col("turn") * 10.0).cast("string").alias("start"), (F.col("turn") * 10 + 5).alias("end_sec"), "text", F.concat(F.lit("S"), F.col("turn") % 2).alias("speaker"))
+    listed = t.groupBy("meeting_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("turn", seg.alias("s"))), False), lambda x: x.s)).alias("segments"))
+    whole = F.when(k < 2, F.concat(F.lit('{"note": {"a": [1, "x"]}, "segments": '), "segments", F.lit("}"))).otherwise(F.lit('{"segments": []}'))
+    writers.write_files(_as_files(listed, whole), folder)
+    reviews.accept(spark, folder)
+    back = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(.*)\.json", 1).alias("chunk_id"), "value")
+    item = "array<struct<speaker:string,start_sec:double,end_sec:double,text:string>>"
+    each = back.select("chunk_id", F.get_json_object("value", "$.note").alias("note"), F.posexplode_outer(F.from_json(F.get_json_object("value", "$.segments"), item)).alias("pos", "s"))
+    none = F.col("s").isNull()
+    return each.select("chunk_id", F.when(none, -1).otherwise(F.col("pos")).alias("pos"), F.coalesce("s.speaker", F.lit("-")).alias("speaker"), F.coalesce("s.start_sec", F.lit(0.0)).alias("start"), F.coalesce("s.end_sec", F.lit(0.0)).alias("end"), F.coalesce("s.text", F.lit("-")).alias("text"), F.when(none, "-").otherwise(F.col("note")).alias("note"))
+
+
 @query(
     """WITH c AS (SELECT conv_id, turn, trim(text) AS text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos FROM conversations)
 SELECT conv_id::VARCHAR AS name, pos, turn * 2.5::DOUBLE AS start, text FROM c"""
@@ -280,13 +301,14 @@ def stage_files(spark: SparkSession, d: str) -> DataFrame:
     return back.unionByName(reviews.read_artifact(spark, f"{folder}/02_never.json", kind))
 
 
-@query(f"""WITH {_WAVE}, k AS (SELECT id, len(x) AS n, unnest(range(0, (len(x) + 79) // 80)) AS k FROM w)
-SELECT id::VARCHAR AS path, 'chunk_' || lpad(k::VARCHAR, 3, '0') AS chunk_id, round_even(k * 80 / 16000.0::DOUBLE, 3) AS start_sec, round_even(least(n, (k + 1) * 80) / 16000.0::DOUBLE, 3) AS end_sec, (44 + 2 * least(80, n - k * 80))::BIGINT AS n_bytes, 0 AS n_segments FROM k""")
+@query(f"""WITH {_WAVE}, k AS (SELECT id, len(x) AS n, unnest(range(0, (len(x) + 79) // 80)) AS k, x FROM w)
+SELECT id::VARCHAR AS path, round_even(coalesce(list_sum(list_transform(x[k * 80 + 1:(k + 1) * 80], lambda v: round_even(greatest(-1.0, least(1.0, v)) * 32767, 0) / 32768)), 0)::DOUBLE, 6) AS total, 'chunk_' || lpad(k::VARCHAR, 3, '0') AS chunk_id, round_even(k * 80 / 16000.0::DOUBLE, 3) AS start_sec, round_even(least(n, (k + 1) * 80) / 16000.0::DOUBLE, 3) AS end_sec, (44 + 2 * least(80, n - k * 80))::BIGINT AS n_bytes, 0 AS n_segments FROM k""")
 def review_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Review chunks of 80 samples as WAV files with blank templates."""
     c = writers.review_chunks(_audio(spark, d), 80 / 16000)
     blank = F.from_json("template", "struct<segments:array<string>>")
-    return c.select("path", "chunk_id", "start_sec", "end_sec", F.octet_length("content").cast("long").alias("n_bytes"), F.size(blank.segments).alias("n_segments"))
+    heard = readers.decoded_wav(c.select(F.concat_ws("/", "path", "chunk_id").alias("path"), "content")).select(F.col("path").alias("key"), F.bround(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return c.join(heard, F.concat_ws("/", c["path"], c["chunk_id"]) == F.col("key")).select("path", "total", "chunk_id", "start_sec", "end_sec", F.octet_length("content").cast("long").alias("n_bytes"), F.size(blank.segments).alias("n_segments"))
 
 
 @query(f"WITH {_WAVE} SELECT id::VARCHAR AS path, len(x)::BIGINT AS n, list_sum(x)::DOUBLE AS total FROM w")
@@ -298,12 +320,15 @@ def audio_cache(spark: SparkSession, d: str) -> DataFrame:
     return again.select("path", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0.0), lambda x, y: x + y).alias("total"))
 
 
-@query(using("runs") + ", k AS (" + _RK.format("(status <> 'completed')::INT, -proxy_quality_score, fallback_count, skipped_stage_count, wall_clock_sec") + ") SELECT experiment_id, count(*) AS n_runs, arg_min(preset_id, rank) AS best_preset_id FROM k GROUP BY 1")
+@query(using("runs") + ", k AS (" + _RK.format("(status <> 'completed')::INT, -proxy_quality_score, fallback_count, skipped_stage_count, wall_clock_sec") + ") SELECT experiment_id, count(*) AS n_runs, arg_min(preset_id, rank) AS best_preset_id, sum(rank)::BIGINT AS ranks, count(DISTINCT preset_id) AS n_presets FROM k GROUP BY 1")
 def experiment_files(spark: SparkSession, d: str) -> DataFrame:
-    """An experiment's snapshots, runs and summary as files; the summary read again."""
+    """An experiment's snapshots, runs and summary as files, all read again."""
     r, folder = roles.runs(spark, d).withColumn("experiment_id", F.col("variant")).withColumn("preset_id", F.lpad(F.col("item_id").cast("string"), 12, "0")), scratch(spark, "experiment")
     writers.write_experiment(r.select("preset_id").distinct(), ranking.rank_runs(r, False), folder)
-    return spark.read.schema("experiment_id string, n_runs long, best_preset_id string").json(f"{folder}/summary")
+    summary = spark.read.schema("experiment_id string, n_runs long, best_preset_id string").json(f"{folder}/summary")
+    presets = spark.read.schema("preset_id string").json(f"{folder}/presets")
+    ran = spark.read.schema("experiment_id string, preset_id string, rank long").json(f"{folder}/runs").join(presets, "preset_id")
+    return summary.join(ran.groupBy("experiment_id").agg(F.sum("rank").alias("ranks"), F.count_distinct("preset_id").alias("n_presets")), "experiment_id")
 
 
 @query("SELECT doc_id AS run_id, CASE WHEN doc_id % 3 = 0 THEN 'align' ELSE 'asr' END AS stage, CASE WHEN doc_id % 3 = 0 THEN 50.0::DOUBLE ELSE 10.0::DOUBLE END AS percent, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'running' END AS status FROM documents")
@@ -315,3 +340,13 @@ def run_progress(spark: SparkSession, d: str) -> DataFrame:
     errors = writers.error_records(later.select("run_id", F.lit("align").alias("stage"), F.lit("went wrong").alias("error"), F.lit("").alias("traceback")))
     out = writers.latest_events(events).join(errors.select("run_id", F.col("stage").alias("failed_at")), "run_id", "left")
     return out.select("run_id", F.coalesce("failed_at", "stage").alias("stage"), "percent", "status")
+
+
+@query(using("seg") + """, m AS (SELECT meeting_id, max(e) / 1000.0::DOUBLE AS d FROM seg GROUP BY 1 HAVING max(e) > 0), n AS (SELECT meeting_id, CAST(ceil(d / 20) AS BIGINT) AS n FROM m)
+SELECT meeting_id, n, 'chunk_' || lpad((meeting_id % 2)::VARCHAR, 3, '0') AS first FROM n WHERE meeting_id % 2 < n""")
+def blank_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Blank templates of 20 s of each meeting, and the first one left to fill in; every other meeting's first is filled in."""
+    m = roles.segments(spark, d).groupBy("meeting_id").agg((F.max("end") / 1000).alias("duration")).where("duration > 0")
+    blank = writers.review_manifest(m, 20.0)
+    filled = blank.withColumn("segments", F.when((F.col("meeting_id") % 2 == 1) & (F.col("chunk_id") == "chunk_000"), F.array(F.lit("x"))).otherwise(F.col("segments")))
+    return writers.first_blank(filled).withColumnRenamed("chunk_id", "first").join(blank.groupBy("meeting_id").agg(F.count("*").alias("n")), "meeting_id")

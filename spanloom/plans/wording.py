@@ -190,7 +190,7 @@ def _prompt_sql(name: str, rules: str) -> str:
   || chr(10) || 'Auxiliary transcript [Whisper]: ' || {shown('h')} || chr(10) || 'Instruction profile [{name}]:' || chr(10) || '{said}' || chr(10) || 'Output corrected ' || l || ' only. No commentary.'"""
 
 
-@query(using("seg", "ctc", "whisper") + f", {_REQ}, q AS (SELECT *, CASE meeting_id % 3 WHEN 0 THEN 'English' WHEN 1 THEN 'Russian' ELSE 'fr' END AS l FROM rq) " + " UNION ALL ".join(f"SELECT meeting_id, seg_idx, '{n}' AS variant, {_prompt_sql(n, r)} AS prompt FROM q" for n, r in [*prompts.INSTRUCTIONS.items(), ("custom", "Keep it as it is.")]))
+@query(using("seg", "ctc", "whisper") + f", {_REQ}, q AS (SELECT *, CASE meeting_id % 3 WHEN 0 THEN 'English' WHEN 1 THEN 'Russian' ELSE 'fr' END AS l FROM rq) " + " UNION ALL ".join(f"SELECT meeting_id, seg_idx, '{n}' AS variant, {_prompt_sql(n, r)} AS prompt, 'm|0|1|96|false|false|true' AS call FROM q" for n, r in [*prompts.INSTRUCTIONS.items(), ("custom", "Keep it as it is.")]))
 def merge_prompts(spark: SparkSession, d: str) -> DataFrame:
     """All requests under each named variant, and under instructions of one's own."""
     asked = _requests(spark, d)
@@ -198,7 +198,9 @@ def merge_prompts(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name in [*prompts.INSTRUCTIONS, "custom"]:
         made = prompts.prompts(asked, lang, "m", None if name == "custom" else name.upper(), " Keep it\n as it is. " if name == "custom" else None)
-        one = made.select("meeting_id", "seg_idx", F.lit(name).alias("variant"), "prompt")
+        said = lambda key: F.get_json_object("payload", f"$.{key}")
+        call = F.concat_ws("|", *(said(k) for k in ("model", "options.temperature", "options.top_k", "options.num_predict", "stream", "think")), (said("prompt") == F.col("prompt")).cast("string"))
+        one = made.select("meeting_id", "seg_idx", F.lit(name).alias("variant"), "prompt", call.alias("call"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -253,10 +255,15 @@ def audio_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_WAVE}, g AS (SELECT id, x, unnest(range(0, 2 * len(x))) AS j FROM w)
-SELECT id::VARCHAR AS path, count(*) AS n, sum(CASE WHEN j % 2 = 0 OR j // 2 + 2 > len(x) THEN x[j // 2 + 1] ELSE (x[j // 2 + 1] + x[j // 2 + 2]) / 2 END)::DOUBLE AS total FROM g GROUP BY 1"""
+    f"""WITH {_WAVE}, r AS (SELECT id, x, unnest([2, 1]) AS source, unnest([1, 4]) AS target FROM w),
+g AS (SELECT *, unnest(range(0, CASE WHEN len(x) = 0 THEN 0 ELSE greatest(1, CAST(round_even(len(x) * target / source::DOUBLE, 0) AS BIGINT)) END)) * source / target::DOUBLE AS t FROM r),
+v AS (SELECT *, CAST(floor(t) AS BIGINT) AS i FROM g)
+SELECT id::VARCHAR AS path, target, count(*) AS n, sum(CASE WHEN i + 2 > len(x) THEN x[len(x)] ELSE x[i + 1] + (x[i + 2] - x[i + 1]) * (t - i) END)::DOUBLE AS total FROM v GROUP BY 1, 2"""
 )
 def resampled_audio(spark: SparkSession, d: str) -> DataFrame:
-    """Twice the rate, by linear interpolation; the last value holds."""
-    a = stages.resampled(_audio(spark, d), 8000, 16000)
-    return a.select("path", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    """Half and four times the rate, by linear interpolation; the last value holds."""
+    out = None
+    for source, target in ((2, 1), (1, 4)):
+        a = stages.resampled(_audio(spark, d), source, target).where("size(samples) > 0").withColumn("target", F.lit(target))
+        out = a if out is None else out.unionByName(a)
+    return out.select("path", "target", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"))

@@ -103,6 +103,24 @@ def checked_templates(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("name").alias("chunk_id"), problem.alias("problem"), F.coalesce("n", F.lit(0)).alias("n_segments"), F.when(problem.isNull(), F.col("segments")).alias("canonical"))
 
 
+def accepted(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content): a folder's templates that can be accepted, rewritten: segments in canonical form, all else as it was."""
+    checked = checked_templates(spark, folder).where("canonical is not null").select("chunk_id", "canonical")
+    own = _whole(spark, folder).join(checked, F.col("name") == F.col("chunk_id"))
+    quoted = lambda key: F.expr(f"substring(to_json(array({key})), 2, length(to_json(array({key}))) - 2)")
+    each = own.select("name", "canonical", F.posexplode(F.map_entries(F.from_json("value", "map<string,variant>"))).alias("pos", "e")).select("name", "pos", F.col("e.key").alias("key"), F.when(F.col("e.key") == "segments", F.col("canonical")).otherwise(F.to_json("e.value")).alias("json"))
+    line = F.concat(quoted("key"), F.lit(": "), F.coalesce("json", F.lit("null")))
+    listed = each.withColumn("line", line).groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), ", ").alias("all"))
+    return listed.select(F.concat("name", F.lit(".json")).alias("path"), F.concat(F.lit("{"), "all", F.lit("}\n")).alias("content"))
+
+
+def accept(spark: SparkSession, folder: str) -> None:
+    """Writes the templates that can be accepted in canonical form over what they were; the others stay as they are."""
+    from .single_files import write_files
+
+    write_files(accepted(spark, folder), folder)
+
+
 def read_saved_run(spark: SparkSession, folder: str) -> tuple[str, dict[str, DataFrame]]:
     """A saved run's language, and its base, ctc and whisper segments (meeting_id, seg_idx, start, end, text).
 

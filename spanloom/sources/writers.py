@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
+import time
 import wave
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock
@@ -47,6 +49,22 @@ def write_stage(df: DataFrame, folder: str | None, name: str, partial: bool = Fa
         df.write.mode("ignore" if partial else "overwrite").json(f"{folder}/{name}")
 
 
+def write_recorded(df: DataFrame, folder: str, name: str, run_id: str, percent: float, status: str = "running") -> DataFrame:
+    """A stage table as JSON, and its progress event (run_id, ts, seq, status, percent, stage, details), as ``run_events``.
+
+    details is JSON: rows, bytes and seconds. Rows and bytes are observed while the stage is written, not read again.
+    """
+    from pyspark.sql import Observation
+
+    seen, began = Observation(), time.perf_counter()
+    lines = df.select(F.to_json(F.struct("*")).alias("value"))
+    size = F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes")
+    lines.observe(seen, F.count("*").alias("rows"), size).write.mode("overwrite").text(f"{folder}/{name}")
+    details = {**seen.get, "seconds": round(time.perf_counter() - began, 6)}
+    run = df.sparkSession.createDataFrame([(run_id, json.dumps(details))], "run_id string, details string")
+    return run_events(run, name, int(percent), status)
+
+
 def latest_events(events: DataFrame) -> DataFrame:
     """The last progress event of each run (run_id, ts, seq, status, percent, stage, details)."""
     last = F.max(F.struct("ts", "seq", "status", "percent", "stage", "details")).alias("e")
@@ -160,6 +178,24 @@ def report(df: DataFrame, order: list[str], title: str | None = None) -> str:
     return f"# {title}\n\n{body}" if title else body
 
 
+def markdown_lines(rows: DataFrame, by: list[str], order: list[Column | str], columns: dict[str, str]) -> DataFrame:
+    """(``by``, place, line): ``markdown`` of every group of ``rows`` at once, lines numbered from 0.
+
+    columns: headers by column. A group's widths are maxima over the group; its lines stay rows, wherever they are.
+    """
+    kinds = dict(rows.dtypes)
+    shaped = lambda c: F.format_string("%.4f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    cell = {c: F.when(F.col(c).isNull(), "-").otherwise(shaped(c)) for c in columns}
+    shown = rows.select(*by, *(x.alias(f"__{k}") for k, x in enumerate(cell.values())), F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("place"))
+    names = list(columns.values())
+    widths = shown.groupBy(*by).agg(*(F.greatest(F.max(F.length(f"__{k}")), F.lit(len(h))).alias(f"w{k}") for k, h in enumerate(names)))
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *(F.rpad(c, F.col(f"w{k}"), " ") for k, c in enumerate(cells))), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.repeat(F.lit("-"), F.col(f"w{k}")) for k in range(len(names)))), F.lit(" |"))
+    head = widths.select(*by, F.posexplode(F.array(line([F.lit(h) for h in names]), rule)).alias("place", "line"))
+    body = shown.join(widths, by).select(*by, (F.col("place") + 1).alias("place"), line([F.col(f"__{k}") for k in range(len(names))]).alias("line"))
+    return head.unionByName(body)
+
+
 def _shown(x: object) -> str:
     return "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
 
