@@ -159,9 +159,9 @@ def der_sweep(reference: DataFrame, hypothesis: DataFrame, bucket: float | None
     borders = both.select("meeting_id", F.col("start").alias("t"), "side", F.lit(1).alias("by")).union(both.select("meeting_id", "end", "side", F.lit(-1)))
     sums = borders.groupBy("meeting_id", "t").agg(step("r", F.col("by")), step("h", F.col("by")))
     scan = Scan(["meeting_id"], "slot", ["t"])
-    rows = scan.previous(sums.withColumn("slot", slot_of(F.col("t"), width)), "t", "since")
+    rows = scan.together(sums.withColumn("slot", slot_of(F.col("t"), width)), {"upto_r": F.col("r"), "upto_h": F.col("h")}, {"since": "t"})
     for side in ("r", "h"):  # as many as are active before each border
-        rows = scan.summed(rows, F.col(side), "upto").withColumn(side, F.col("upto") - F.col(side)).drop("upto")
+        rows = rows.withColumn(side, F.col(f"upto_{side}") - F.col(side))
     spans = rows.select("meeting_id", (F.col("t") - F.col("since")).alias("d"), "r", "h").where("d is not null")
     r, h, d = F.col("r"), F.col("h"), F.col("d")
     parts = spans.groupBy("meeting_id").agg(F.sum(F.greatest(r - h, F.lit(0)) * d).alias("miss"), F.sum(F.greatest(h - r, F.lit(0)) * d).alias("false_alarm"), F.sum(F.least(r, h) * d).alias("both"), F.sum(r * d).alias("total"))

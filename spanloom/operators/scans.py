@@ -2,7 +2,8 @@
 
 Rows are dealt to ranges of (key, slot); slots are in the order of the scan, as spans of time are. Within a range a window
 gives each row its state so far; a range's state at its end is one row; these are scanned along the key, and what came before
-a range is joined back to its rows. A key's second level has a row for each slot, however many rows a slot has.
+a range is joined back to its rows. A key's second level has a row for each slot, however many rows a slot has. Such a join
+reads the rows' plan twice, so scans that don't need each other's results are done together.
 """
 
 from __future__ import annotations
@@ -40,20 +41,27 @@ class Scan:
         """``rows`` with the columns that ``ends`` has for their range."""
         return rows.join(ends, [*self.keys, self.slot, *more], "left")
 
+    def together(self, rows: DataFrame, sums: dict[str, Column], previous: dict[str, str] | None = None) -> DataFrame:
+        """``rows`` with a column for each of ``sums``, the sum of its values up to and including each row, and for each of
+        ``previous``, the value that another column, never null, has in the row before; null of a key's first row.
+
+        All of them share one table of ranges, and one join.
+        """
+        previous = previous or {}
+        near = rows.withColumns({f"__v{k}": v.cast("long") for k, v in enumerate(sums.values())})
+        upto = self._near().rowsBetween(Window.unboundedPreceding, 0)
+        near = near.withColumns({f"__s{k}": F.sum(f"__v{k}").over(upto) for k in range(len(sums))} | {f"__p{k}": F.lag(c).over(self._near()) for k, c in enumerate(previous.values())} | {"__rank": F.row_number().over(self._near())})
+        whole = [F.sum(f"__v{k}").alias(f"__t{k}") for k in range(len(sums))] + [F.max_by(c, "__rank").alias(f"__l{k}") for k, c in enumerate(previous.values())]
+        ends = near.groupBy(*self.keys, self.slot).agg(*whole)
+        ends = ends.select(*self.keys, self.slot, *(F.coalesce(F.sum(f"__t{k}").over(self._along()), F.lit(0)).alias(f"__b{k}") for k in range(len(sums))), *(F.last(f"__l{k}").over(self._along()).alias(f"__q{k}") for k in range(len(previous))))
+        out = self._joined(near, ends)
+        made = {name: F.col(f"__s{k}") + F.col(f"__b{k}") for k, name in enumerate(sums)} | {name: F.coalesce(f"__p{k}", f"__q{k}") for k, name in enumerate(previous)}
+        used = [f"__{x}{k}" for k in range(len(sums)) for x in "vsb"] + [f"__{x}{k}" for k in range(len(previous)) for x in "pq"]
+        return out.withColumns(made).drop("__rank", *used)
+
     def summed(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
         """``rows`` with ``name``: the sum of ``value`` up to and including each row."""
-        rows = rows.withColumn("__v", value.cast("long"))
-        ends = rows.groupBy(*self.keys, self.slot).agg(F.sum("__v").alias("__sum"))
-        ends = ends.withColumn("__before", F.coalesce(F.sum("__sum").over(self._along()), F.lit(0))).drop("__sum")
-        near = rows.withColumn("__near", F.sum("__v").over(self._near().rowsBetween(Window.unboundedPreceding, 0)))
-        return self._joined(near, ends).withColumn(name, F.col("__near") + F.col("__before")).drop("__v", "__near", "__before")
-
-    def previous(self, rows: DataFrame, value: str, name: str) -> DataFrame:
-        """``rows`` with ``name``: ``value`` of the row before; null of a key's first row. ``value`` is never null."""
-        near = rows.withColumn("__near", F.lag(value).over(self._near())).withColumn("__rank", F.row_number().over(self._near()))
-        ends = near.groupBy(*self.keys, self.slot).agg(F.max_by(value, "__rank").alias("__last"))
-        ends = ends.withColumn("__before", F.last("__last").over(self._along())).drop("__last")
-        return self._joined(near, ends).withColumn(name, F.coalesce("__near", "__before")).drop("__near", "__rank", "__before")
+        return self.together(rows, {name: value})
 
     def highest_before(self, rows: DataFrame, value: str, name: str, *within: str) -> DataFrame:
         """``rows`` with ``name``: the highest ``value`` of the rows before of the same key and the same ``within``, if given."""

@@ -72,12 +72,30 @@ def merge_turns(segments: DataFrame, gap: float = 0.35, width: float = WIDTH) ->
     be in many tasks; only those of one turn meet.
     """
     s = segments.withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN))).withColumn("__slot", slot_of(F.col("start"), width))
-    scan = Scan(["meeting_id"], "__slot", record_order("seg_idx"))
-    s = scan.previous(s, "speaker", "__last")
-    s = s.withColumn("__new", (F.coalesce(F.col("__last") != F.col("speaker"), F.lit(True))).cast("int"))
-    s = scan.summed(s, F.col("__new"), "__run")
-    s = scan.highest_before(s, "end", "__reach", "__run")
-    s = scan.summed(s, F.when(F.col("start") - F.col("__reach") > gap, 1).otherwise(F.col("__new")), "__island")
+    order = record_order("seg_idx")
+    near = Window.partitionBy("meeting_id", "__slot").orderBy(*order)
+    s = s.withColumn("__last", F.lag("speaker").over(near))
+    s = s.withColumn("__own", F.sum(F.coalesce((F.col("__last") != F.col("speaker")).cast("int"), F.lit(0))).over(near))  # runs within the slot, from 0
+    before = Window.partitionBy("meeting_id", "__slot", "__own").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("__reach", F.max("end").over(before))
+    # a row for each slot: its first and last run's speakers, how many runs it adds, how far the last one reaches, and the last
+    # start in the first run that is a break unless what comes from before reaches further
+    wide = F.col("start") - F.col("__reach") > gap
+    slots = s.groupBy("meeting_id", "__slot").agg(F.min_by("speaker", "__own").alias("first"), F.max_by("speaker", "__own").alias("last"), F.max("__own").alias("more"), F.max(F.struct("__own", "end"))["end"].alias("tail"), F.max(F.when((F.col("__own") == 0) & F.coalesce(wide, F.lit(True)), F.col("start"))).alias("breaks"), F.coalesce(F.bool_or((F.col("__own") == 0) & wide), F.lit(False)).alias("broken"))
+    along = Window.partitionBy("meeting_id").orderBy("__slot")
+    slots = slots.withColumn("__new", F.coalesce((F.lag("last").over(along) != F.col("first")).cast("int"), F.lit(1)))
+    slots = slots.withColumn("run", F.sum(F.col("__new") + F.col("more")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    slots = slots.withColumn("far", F.max("tail").over(Window.partitionBy("meeting_id", "run").orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)))
+    slots = slots.withColumn("__carried", F.when(F.col("__new") == 0, F.lag("far").over(along)))
+    opens = (F.col("__new") == 1) | (F.col("more") > 0) | F.coalesce(F.col("breaks") - F.col("__carried") > gap, F.col("broken"))
+    home = F.last(F.when(opens, F.col("__slot")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    s = s.join(slots.select("meeting_id", "__slot", "__new", "__carried", home.alias("__home")), ["meeting_id", "__slot"], "left")
+    s = s.withColumn("__reach", F.greatest("__reach", F.when(F.col("__own") == 0, F.col("__carried"))))
+    new = F.when(F.col("__last").isNull(), F.col("__new")).otherwise((F.col("__last") != F.col("speaker")).cast("int"))
+    s = s.withColumn("__break", F.when(F.col("start") - F.col("__reach") > gap, 1).otherwise(new))
+    s = s.withColumn("__so_far", F.sum("__break").over(near)).withColumn("__all", F.sum("__break").over(Window.partitionBy("meeting_id", "__slot")))
+    # a turn is known by the slot that it begins in and its number there from the end, so that the last one is 0 wherever it goes on
+    s = s.withColumn("__island", F.when(F.col("__so_far") > 0, F.struct(F.col("__slot").alias("slot"), (F.col("__all") - F.col("__so_far")).alias("k"))).otherwise(F.struct(F.col("__home").alias("slot"), F.lit(0).cast("long").alias("k"))))
     s = s.withColumn("__n", F.struct(F.col("start").isNull().alias("z"), "start", F.coalesce("end", "start").alias("e"), "seg_idx"))
     one = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__n")))
     inner = F.coalesce("words", F.array().cast(segments.schema["words"].dataType)) if "words" in segments.columns else F.lit(None)
