@@ -14,8 +14,8 @@ long list. Scores depend on the numbers of all batches, and are worked out when
 A search takes three passes. Blocks of level 0 give some segments a sum that their scores can't be below; the k-th best of
 these is the query's threshold. Then each query's weakest terms are left aside while their highest gains together stay
 below half the threshold, and of every other term only blocks are read that promise more than an equal share of what
-remains: a segment that is in none of these can't reach the threshold. At last the candidates' whole scores come from
-``forward``. Results are those of ``search.bm25``, ties included.
+remains: a segment that is in none of these can't reach the threshold. The sums over these blocks make a better threshold, and
+of the segments that can reach it, with all that their sums may lack, the whole scores come from ``forward`` at last. Results are those of ``search.bm25``, ties included.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, content_tokens
+from ..sources.scratch import at_exit_removed
 from .search import few, ranked
 
 BLOCK = 128
@@ -134,6 +135,15 @@ class KeywordIndex:
         wanted = asked.join(terms, "term")
         promise = _gain(F.col("f"), F.col("len"), F.col("idf"), F.col("mean"), k, b)
         promised = wanted.join(heads, "term").withColumn("most", promise).select("query_id", "term", "idf", "mean", "batch", "part", "block", "level", "n", "most")
+        folder = f"{self.path}/searches/{uuid.uuid4().hex}"
+        at_exit_removed(self.spark, folder)
+
+        def once(df: DataFrame, step: str) -> DataFrame:
+            """Later steps read a step's result several times."""
+            df.write.parquet(f"{folder}/{step}")
+            return self.spark.read.schema(df.schema).parquet(f"{folder}/{step}")
+
+        promised = once(promised, "promised")
         partial = lambda chosen, level: self._partial(chosen, level, k, b, keep)
         first = partial(promised.where("level = 0"), 0)
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
@@ -147,12 +157,18 @@ class KeywordIndex:
         left = F.sum(F.when(F.col("aside"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query_id"))
         each = F.count_if(~F.col("aside")).over(Window.partitionBy("query_id"))
         bar = F.when(F.col("floor") > 0, (F.col("floor") - left) / each).otherwise(F.lit(-1.0))
-        chosen = marked.withColumn("bar", bar).where(~F.col("aside")).select("query_id", "term", "bar")
-        needed = promised.join(chosen, ["query_id", "term"]).where(F.col("most") >= F.col("bar"))
-        seen = partial(needed, None).select("query_id", *_KEY)
+        chosen = marked.withColumn("bar", bar).withColumn("left", left).withColumn("each", each).where(~F.col("aside")).select("query_id", "term", "bar", "left", "each")
+        chosen = once(chosen, "chosen")
+        needed = promised.join(chosen.select("query_id", "term", "bar"), ["query_id", "term"]).where(F.col("most") >= F.col("bar"))
+        # these sums make a better threshold; with all that may be missing, few segments reach it
+        seen = once(partial(needed, None), "seen")
+        better = seen.withColumn("nth", nth).where(F.col("nth") == top).select("query_id", (F.col("score") - _SLACK).alias("least"))
+        rest = chosen.groupBy("query_id").agg(F.max("bar").alias("bar"), F.max("left").alias("left"), F.max("each").alias("each"))
+        missing = F.col("left") + (F.col("each") - F.col("n")) * F.greatest("bar", F.lit(0.0))
+        seen = seen.join(rest, "query_id").join(better, "query_id", "left").where(F.col("least").isNull() | (F.col("score") + missing >= F.col("least"))).select("query_id", *_KEY)
         asked_of = wanted.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"), F.max("mean").alias("mean"))
         own = self.forward().select(*_KEY, "len", "terms")
-        met = seen.join(own, list(_KEY)).join(few(asked_of), "query_id")
+        met = seen.join(own, list(_KEY)).join(asked_of, "query_id")
         each_ = F.transform("terms", lambda t: F.struct(F.try_element_at("idf", t["term"]).alias("idf"), t["f"].alias("f")))
         gains = F.transform(F.filter(each_, lambda t: t["idf"].isNotNull()), lambda t: _gain(t["f"], F.col("len"), t["idf"], F.col("mean"), k, b))
         scored = met.select("query_id", *_KEY, F.bround(F.aggregate(gains, F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
@@ -165,4 +181,4 @@ class KeywordIndex:
         blocks = blocks if level is None else blocks.where(F.col("level") == level)
         met = blocks.join(chosen.select("query_id", "idf", "mean", *at), at).select("query_id", "idf", "mean", F.explode("postings").alias("p")).select("query_id", "idf", "mean", "p.*")
         met = met if keep is None else met.where(keep)
-        return met.groupBy("query_id", *_KEY).agg(F.sum(_gain(F.col("f"), F.col("len"), F.col("idf"), F.col("mean"), k, b)).alias("score"))
+        return met.groupBy("query_id", *_KEY).agg(F.sum(_gain(F.col("f"), F.col("len"), F.col("idf"), F.col("mean"), k, b)).alias("score"), F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import language_model
+from ..operators import language_model, search
 from ..operators.keyword_index import KeywordIndex
 from ..operators.vector_cells import VectorCells
 from ..sources.scratch import scratch
@@ -90,6 +90,15 @@ def vector_cells_near(spark: SparkSession, d: str) -> DataFrame:
     return cells.search(probes, 5, near=cells.near_for(0.95, 5))
 
 
+@query("SELECT 5 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def vector_cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether ``vector_cells_near`` finds nine in ten of the exact search's five nearest."""
+    cells, probes = vector_cells(spark, d)
+    exact = search.cosine(roles.table(spark, d, "embeddings").select("vec_id", "embedding"), probes, 5).select("query_id", "vec_id")
+    near = cells.search(probes, 5, near=cells.near_for(0.95, 5)).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["query_id", "vec_id"], "left").agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 def _model_sql(order: int, names: str = "") -> str:
     """SQL of the model: n-grams ``k1`` to ``k{order}``, sums of contexts ``x1`` on, probabilities ``p1`` on."""
     out = using("whisper") + f""", sent AS (SELECT list_filter(w, lambda x: x NOT IN ('<s>', '</s>', '<unk>', '')) AS w, CASE WHEN speaker = 'user' THEN 1 ELSE 2 END AS weight FROM tok),

@@ -22,10 +22,15 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError(f"spark.checkpoint.dir isn't set: executors of {master} need a folder that all of them share")
         root = tempfile.gettempdir()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    at_exit_removed(spark, path)
     return path
 
 
+def at_exit_removed(spark: SparkSession, path: str) -> None:
+    """Has ``path``, which a lazy result may still read, removed when the driver ends."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session's JVM may be gone
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
