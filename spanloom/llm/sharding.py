@@ -22,6 +22,7 @@ rows without one are spread by their text.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -98,6 +99,45 @@ class Store:
         version = self._commit(before.unionByName(new), base)
         return version
 
+    def append_each(self, docs: DataFrame, number: Column, per: int, arrivals: int, columns: list[str] | None = None) -> Iterator[int]:
+        """Appends ``arrivals`` that came together, one after the other; yields each one's version.
+
+        ``number`` is a row's shard, counted from the first number that isn't used yet; ``per`` shards in a row are one
+        arrival. One pass over ``docs`` writes all of them aside, in a folder each. An append moves its arrival's folder to
+        the others by a rename and commits it, so that a reader sees whole arrivals, and the store may be compacted between
+        two. An arrival without rows is a version without new shards. columns: as in ``append``.
+        """
+        base = self.version()
+        top = self.manifest(base).agg(F.max("shard")).first()[0] if base else None
+        first = 0 if top is None else top + 1
+        stored = [F.col(f"`{c}`") for c in columns or docs.columns]
+        self.schema = docs.select(*stored).schema
+        size = F.coalesce(F.octet_length(F.col(self.weight).cast("string")), F.lit(0)).cast("long")
+        batch = uuid.uuid4().hex
+        aside = f"{self.path}/.arrivals-{batch}"
+        change = F.concat(F.lit(f"{batch}-"), F.floor(number / per).cast("string"))
+        rows = docs.select(F.struct(*stored).alias("row"), (number + first).cast("long").alias("shard"), size.alias("size"), change.alias("change"), F.concat(F.lit("s"), (number + first).cast("long")).alias("file"))
+        rows.repartition(max(1, 3 * per * arrivals), "change", "file").write.option("compression", "zstd").partitionBy("change", "file").parquet(aside)
+        schema = rows.drop("change", "file").schema
+        own = self.spark.read.schema("shard long, size long, change string").parquet(aside)
+        sizes = Stages(self.spark, "arrivals").write(own.groupBy("change", "shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes")), "sizes")
+        names = [f"{batch}-{k}" for k in range(arrivals)]
+        seen = {r[0] for r in sizes.select("change").distinct().limit(arrivals + 1).collect()}
+        if not seen <= set(names):
+            raise ValueError(f"a shard's number isn't in 0 to {per * arrivals - 1}")
+        for name in names:
+            folder = f"{self.path}/data/change={name}"
+            if name in seen:
+                fs, target = filesystem(self.spark, folder)
+                fs.mkdirs(target.getParent())
+                if not fs.rename(filesystem(self.spark, f"{aside}/change={name}")[1], target):
+                    raise OSError(f"{folder} couldn't be put in place")
+                self.schemas[folder] = schema
+            base = self.version()
+            new = sizes.where(F.col("change") == name).select(F.lit(folder).alias("folder"), F.concat(F.lit("s"), F.col("shard")).alias("file"), "shard", "n_rows", "n_bytes", F.col("n_rows").alias("file_rows"), F.col("n_bytes").alias("file_bytes"), F.lit(base + 1).cast("long").alias("version"))
+            yield self._commit(self.manifest(base).unionByName(new), base)
+        remove(self.spark, aside)
+
     def _merges(self, files: DataFrame) -> DataFrame:
         """(first, low) of ``files`` (first, size) that come together: low is the first shard of the file that they make.
 
@@ -232,9 +272,7 @@ def sharded(docs: DataFrame, arrivals: int = 8, small: int = 8 << 20, target: in
         nameless = F.conv(F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
         at = F.coalesce(doc, nameless)
         marked = docs.withColumn(number, F.pmod(at, F.lit(arrivals)) * shards + F.pmod(F.floor(at / arrivals), F.lit(shards)))
-    for k in range(arrivals):
-        mine = marked.where(F.floor(F.col(number) / shards) == k)
-        store.append(mine, F.col(number) - k * shards, shards, k * shards, docs.columns)
+    for k, _ in enumerate(store.append_each(marked, F.col(number), shards, arrivals, docs.columns)):
         if k in (arrivals // 2 - 1, arrivals - 1):
             store.compact()
             store.vacuum()

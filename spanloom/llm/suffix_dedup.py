@@ -13,9 +13,10 @@ dealt out so that all which share ``size`` bytes meet:
    Equal contexts become one, with its number and first place. Contexts are dealt by anchor; those of an anchor with more
    than ``MANY`` are cut further, into single strings dealt by digest. Equal ones become one there, too, and do so first
    among the contexts of each task, so that neither a common anchor nor a common string is gathered anywhere.
-4. For each other anchor, suffixes of its contexts are sorted and longest previous and next factors found. A factor of more
-   than ``size`` bytes covers the starts behind it as well, so only starts that no factor covers yet become suffixes,
-   along with those that can share ``size`` bytes with them, as a hash of each string tells beforehand.
+4. For each other anchor, suffixes of its contexts are sorted and longest previous and next factors found; these alone
+   tell which strings repeat. A factor of more than ``size`` bytes covers the starts behind it as well, so only starts that
+   no factor covers yet become suffixes, along with those that agree with them in both ends: a hash of these rules out,
+   beforehand, strings that can't have an equal.
 5. Found ranges go back to the occurrences of their context, and by text to the documents.
 
 Texts, contexts and the single strings of very common anchors are equal if their 128-bit digests are; suffixes are compared
@@ -40,6 +41,8 @@ from .jaccard_join import _batch, _by_part
 from .shared import Stages, parts_for, planned_bytes, tidy
 
 GRAM = 32
+#: Bytes at each end of a string that its label is of.
+END = 64
 _AT = "at struct<z:boolean,low:bigint,key:string,place:bigint>"
 _SLICE = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
@@ -325,28 +328,45 @@ def _shared_with_smaller(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.where(at > 0, np.minimum(shared, common[at]), 0)
 
 
-def _sorted_suffixes(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order within groups, and common prefixes of neighbours (0 between groups).
-
-    A group's suffixes agree on their first ``known`` bytes, so what follows sorts them; prefixes are compared whole.
-    """
+def _sorted_suffixes(data: np.ndarray, group: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order within groups, and common prefixes of neighbours (0 between groups); all bytes are compared."""
     width = -(-int(length.max()) // 8) * 8
-    m = data[np.minimum(start[:, None] + np.arange(width), len(data) - 1)]
+    m = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[start]
     m[np.arange(width) >= length[:, None]] = 0
-    tail = np.ascontiguousarray(m[:, known // 8 * 8 :]).view(">u8")
-    order = np.lexsort([*(tail[:, k] for k in range(tail.shape[1] - 1, -1, -1)), group])
+    words = m.view(">u8").astype(np.uint64)
+    order, rank = np.argsort(group, kind="stable"), np.unique(group, return_inverse=True)[1]
+    for k in range(words.shape[1]):
+        # by eight more bytes, those alone that are equal so far
+        head = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
+        tied = ~head | ~np.append(head[1:], True)
+        open_ = order[tied]
+        if not len(open_):
+            break
+        open_ = open_[np.lexsort((words[open_, k], rank[open_]))]
+        new = np.concatenate([[True], (rank[open_][1:] != rank[open_][:-1]) | (words[open_, k][1:] != words[open_, k][:-1])])
+        order[tied] = open_
+        place = np.flatnonzero(tied)
+        rank[open_] = place[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        rank[order[~tied]] = np.flatnonzero(~tied)
     if len(order) < 2:
         return order, np.zeros(len(order), np.int64)
-    x = m[order]
-    diff = x[1:] != x[:-1]
-    lcp = np.where(diff.any(1), diff.argmax(1), width)
+    diff = words[order[1:]] != words[order[:-1]]
+    first = np.where(diff.any(1), diff.argmax(1), -1)
+    lcp = np.full(len(first), width)
+    apart = np.flatnonzero(first >= 0)
+    at = first[apart, None] * 8 + np.arange(8)
+    lcp[apart] = first[apart] * 8 + (m[order[1:][apart, None], at] != m[order[:-1][apart, None], at]).argmax(1)
     short = np.minimum(length[order][1:], length[order][:-1])
     lcp = np.where(group[order][1:] == group[order][:-1], np.minimum(lcp, short), 0)
     return order, np.concatenate([[0], lcp])
 
 
 def _strings(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(context, start within it, label) of the strings that hold their context's anchor."""
+    """(context, start within it, label) of the strings that hold their context's anchor.
+
+    label: a hash of the anchor, its place in the string and the string's first and last ``END`` bytes. It can rule out
+    that a string is equal to another, no more.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(bodies), 1000):
         part, left = bodies[a : a + 1000], lefts[a : a + 1000]
@@ -357,26 +377,27 @@ def _strings(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, size: i
         ctx = np.repeat(np.arange(len(part)), n)
         at = np.arange(len(ctx)) - np.repeat(np.cumsum(n) - n, n) + lo[ctx]
         start = offset[ctx] + at
-        mark = range_hash(prefix_sums(np.frombuffer(b"".join(part), np.uint8)), start, start + size)
+        sums = prefix_sums(np.frombuffer(b"".join(part), np.uint8))
         ctx += a
-        # strings that match stand the same way to their anchor
         place = (groups[ctx] * 1024 + at - lefts[ctx] + 512).astype(np.uint64)
-        out.append((ctx, at, mark ^ mix(place)))
+        ends = range_hash(sums, start, start + END) ^ mix(range_hash(sums, start + size - END, start + size))
+        out.append((ctx, at, ends ^ mix(place)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts: np.ndarray, ranks: np.ndarray, size: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, start, anywhere, before) of strings: whether each starts elsewhere; with ``keep_first``, or earlier.
 
-    A context that counts several occurrences repeats as a whole.
+    A context that counts several occurrences repeats as a whole. Of all others the longest factors tell which strings
+    repeat, and how far: strings of one label become suffixes together, some labels at a time.
     """
     ctx, at, label = _strings(groups, bodies, lefts, size)
     anywhere, before = counts[ctx] > 1, np.zeros(len(ctx), bool)
     order = np.argsort(label)
     same = label[order][1:] == label[order][:-1]
-    kind = np.empty(len(ctx), np.int64)  # strings of one kind are equal, as far as hashes tell
+    kind = np.empty(len(ctx), np.int64)
     kind[order] = np.concatenate([[0], np.cumsum(~same)])[: len(ctx)]
-    live = np.zeros(len(ctx), bool)
+    live = np.zeros(len(ctx), bool)  # not ruled out, and not known yet
     live[order[1:]] = same
     live[order[:-1]] |= same
     need = before if keep_first else anywhere
@@ -385,21 +406,22 @@ def covered(groups: np.ndarray, bodies: list[bytes], lefts: np.ndarray, counts:
     length = np.array([len(b) for b in bodies], np.int64)
     offset = np.cumsum([0, *length])[:-1]
     last = np.searchsorted(ctx, ctx, side="right") - 1
-    while live.any():
-        # the first open string of each run becomes a suffix, and so do all of its kind
-        head = live.copy()
-        head[1:] &= ~(live[:-1] & (ctx[1:] == ctx[:-1]))
+    for heads in (True, False):
+        # at first the first open string of each run, with all of its label; then those that no factor covers
+        some = live.copy()
+        if heads:
+            some[1:] &= ~(live[:-1] & (ctx[1:] == ctx[:-1]))
         wanted = np.zeros(len(ctx) + 1, bool)
-        wanted[kind[head]] = True
+        wanted[kind[some]] = True
         cand = np.flatnonzero(wanted[kind])
         cand = cand[np.argsort(kind[cand], kind="stable")]
-        border = np.flatnonzero(np.concatenate([[True], kind[cand][1:] != kind[cand][:-1], [True]]))
+        border = np.flatnonzero(np.concatenate([[True], kind[cand][1:] != kind[cand][:-1], [True]])) if len(cand) else np.zeros(1, np.int64)
         x = 0
-        while x < len(border) - 1:  # some kinds at a time
+        while x < len(border) - 1:
             y = max(x + 1, int(np.searchsorted(border, border[x] + 20_000, side="right")) - 1)
             some = cand[border[x] : border[y]]
             rest = length[ctx[some]] - at[some]
-            s_order, lcp = _sorted_suffixes(data, kind[some], offset[ctx[some]] + at[some], rest, size)
+            s_order, lcp = _sorted_suffixes(data, kind[some], offset[ctx[some]] + at[some], rest)
             rank = ranks[ctx[some]]
             reach = longest_factors(s_order, lcp, rank)
             if not keep_first:

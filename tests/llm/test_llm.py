@@ -198,6 +198,35 @@ def test_longest_factors():
             assert got.tolist() == [max((common(i, j) for j in range(len(t)) if rank[j] < rank[i]), default=0) for i in range(len(t))]
 
 
+def test_suffixes_by_factors(monkeypatch):
+    """Strings that share their anchor and both ends and differ between are told apart by their factors alone."""
+    r = random.Random(3)
+    size, bodies = 200, []
+    core = bytes(r.randrange(97, 123) for _ in range(260))
+    for k in range(20):
+        body = bytearray(core)
+        body[90 + k % 3] = 65 + k % 3  # before the anchor
+        body[150 + k % 4] = 65 + k % 2  # behind it
+        bodies.append(bytes(body))
+    n, left = len(bodies), 110
+    zeros, ranks = np.zeros(n, np.int64), np.arange(n)
+
+    def found(keep_first):
+        got = suffix_dedup.covered(zeros, bodies, np.full(n, left), np.ones(n, np.int64), ranks, size, keep_first)
+        return [(int(c), int(x), bool(b if keep_first else a)) for c, x, a, b in zip(*got, strict=True)]
+
+    for keep_first in (False, True):
+        got = found(keep_first)
+        for c, x, flag in got:
+            others = range(c) if keep_first else [k for k in range(n) if k != c]
+            assert flag == any(bodies[k][x : x + size] == bodies[c][x : x + size] for k in others)
+        assert {f for *_, f in got} == {False, True}
+        for constant in (0, size):
+            with monkeypatch.context() as m:
+                m.setattr(suffix_dedup, "longest_factors", lambda order, lcp, rank, constant=constant: np.full(len(order), constant))
+                assert found(keep_first) != got
+
+
 def test_suffixes_odd(odd, none):
     out = suffix_dedup.removed(odd).collect()
     assert len(out) == len(ODD) and all(r.n_removed == r.n_bytes for r in out if r.doc_id in (5, 6, 8)) and suffix_dedup.removed(none).count() == 0
@@ -295,6 +324,26 @@ def test_store(spark, odd, none, tmp_path):
         assert sorted(r.n_bytes for r in sharding.sharded(clash, ordered=ordered).collect()) == sorted(len((x[1] or "").encode()) for x in ODD)
 
 
+def test_store_arrivals(spark, odd, tmp_path):
+    """Arrivals written in one pass are versions of their own, numbered after the shards that are there; one has no rows."""
+    store = sharding.Store(spark, str(tmp_path / "s"), target=1000)
+    store.append(spark.createDataFrame([(70, "x"), (71, "y")], "doc_id long, text string"), F.col("doc_id") - 70)
+    named = odd.withColumns({"change": F.lit("c"), "file": F.lit(1)})
+    number = F.when(F.col("doc_id") > 4, 5).otherwise(F.coalesce(F.col("doc_id") % 2, F.lit(0)))  # shards 0 and 1, then 4 and 5
+    seen = []
+    for version in store.append_each(named, number, 2, 3):
+        seen.append((version, store.read().count()))
+        if version == 2:
+            assert store.compact() == 3
+    late = odd.where("doc_id > 4").count()
+    assert seen == [(2, 2 + len(ODD) - late), (4, 2 + len(ODD) - late), (5, 2 + len(ODD))]
+    assert {r.shard for r in store.manifest().collect()} == {0, 1, 2, 3, 7}
+    assert sorted(map(str, store.read().where("doc_id is null or doc_id < 70").select(named.columns).collect())) == sorted(map(str, named.collect()))
+    with pytest.raises(ValueError, match="isn't in 0 to 3"):
+        list(store.append_each(odd, F.lit(4), 2, 2))
+    assert store.version() == 5 and store.read().count() == 2 + len(ODD)
+
+
 def test_store_tiers_cascade(spark, tmp_path):
     """Merged files that fill the next tier are merged on in one rewrite; files of half the target and more stay."""
     store = sharding.Store(spark, str(tmp_path / "s"), target=1000)
