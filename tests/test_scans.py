@@ -157,6 +157,19 @@ def test_variants_that_extend_each_other(spark):
     assert len(got) == 11
 
 
+def test_variants_beyond_the_recursion_limit(spark):
+    rows = [("m", f"v{k}", f"v{k - 1}" if k else None, {"k": str(k)}) for k in range(70)] + [("m", f"c{k}", f"c{(k + 1) % 8}", {}) for k in range(8)] + [("m", "into", "c3", {}), ("m", None, "v1", {})]
+    v = spark.createDataFrame(rows, "manifest string, id string, extends string, options map<string,string>")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "60")
+    try:
+        got = {r.id: r for r in manifests.resolved(v).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(got) == 79 and got["v69"].lineage == [f"v{k}" for k in range(69, -1, -1)] and got["v69"].options == {"k": "69"}
+    assert (got["into"].lineage, got["into"].problem) == (["into", "c3", "c4", "c5", "c6", "c7", "c0", "c1", "c2"], "cycle at c3")
+    assert [got[f"c{k}"].problem for k in range(8)] == [f"cycle at c{k}" for k in range(8)]
+
+
 # runs as a stream
 
 
