@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ def read_arrivals(spark: SparkSession, folder: str, late: str = "10 minutes", fi
 def states(events: DataFrame, silence: str = "15 minutes") -> DataFrame:
     """(run_id, ts, seq, status, percent, stage, events) at every change; ts of a stalled run is its last event's.
 
-    events: how many different ones the run has had that were the furthest when they came.
+    events: how many different ones the run has had that were the furthest when they came, those of a micro-batch in order of
+    time. Spark may hand over a run's rows in several frames, in any order; of each event its time and number, 16 bytes, are
+    held until the micro-batch's last one.
     """
     from ..shipping import ship
 
@@ -50,12 +53,22 @@ def states(events: DataFrame, silence: str = "15 minutes") -> DataFrame:
             state.update(tuple(kept))  # without another timer: given out once
             yield pd.DataFrame([(key[0], pd.Timestamp(kept[0], unit="us"), *kept[1:])], columns=names)
             return
-        kept, before = (list(state.get), list(state.get)) if state.exists else (None, None)
+        before = list(state.get) if state.exists else None
+        kept, ahead = before, []  # ahead: (ts, seq) of events that are later than the one kept before
         for frame in frames:
-            for e in frame.sort_values(["ts", "seq"]).itertuples(index=False):
-                at = e.ts.value // 1000, int(e.seq)
-                if kept is None or at > (kept[0], kept[1]):
-                    kept = [*at, e.status, float(e.percent), e.stage, (kept[5] if kept else 0) + 1]
+            ts, seq = frame.ts.to_numpy("datetime64[us]").astype(np.int64), frame.seq.to_numpy(np.int64)
+            if before:
+                later = (ts > before[0]) | (ts == before[0]) & (seq > before[1])
+                frame, ts, seq = frame[later], ts[later], seq[later]
+            if not len(ts):
+                continue
+            ahead.append(np.unique(np.stack([ts, seq], 1), axis=0))
+            at = tuple(map(int, ahead[-1][-1]))
+            if kept is None or at > (kept[0], kept[1]):
+                e = frame.iloc[int(np.flatnonzero((ts == at[0]) & (seq == at[1]))[0])]
+                kept = [*at, e.status, float(e.percent), e.stage, 0]
+        if ahead:
+            kept[5] = (before[5] if before else 0) + len(np.unique(np.concatenate(ahead), axis=0))
         if kept == before:
             return
         state.update(tuple(kept))

@@ -204,6 +204,21 @@ def test_stream_restarts_and_stalls(spark, tmp_path):
     assert again == 3 and len(folders) == len(set(folders))
 
 
+def test_stream_of_runs_in_many_frames(spark, tmp_path):
+    """A run's rows reach its state in frames that no order of time goes with."""
+    events, out = str(tmp_path / "events"), str(tmp_path / "out")
+    put(events, 1, [("a", k, (k * 7) % 40, "running") for k in range(40)] + [("a", k, (k * 7) % 40, "running") for k in range(0, 40, 3)])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 3)
+    try:
+        runs.write_states(runs.states(runs.read_arrivals(spark, events)), out, str(tmp_path / "checkpoint")).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    last = runs.latest_states(spark, out).first()
+    assert (last.seq, last.events) == (17, 40)
+
+
 def test_recorded_stage(spark, tmp_path):
     df = spark.createDataFrame([(k, "text") for k in range(50)], "k int, t string").repartition(3)
     event = writers.write_recorded(df, str(tmp_path), "stage", "run", 30).first()
