@@ -37,16 +37,11 @@ def error_counts(pairs: DataFrame, profile: str | None = None) -> DataFrame:
     Null of pairs with more cells than ``functions.distance.CELLS``, as of characters of longer texts.
     """
     r, h = tokens(F.col("ref_text"), profile), tokens(F.col("hyp_text"), profile)
-    out = error_rates(pairs, profile).withColumn("__w", edit_counts(r, h)).withColumn("__c", edit_counts(letters(F.array_join(r, "")), letters(F.array_join(h, ""))))
+    out = error_rates(pairs, profile).withColumn("__w", edit_counts(r, h)).withColumn("__c", edit_counts(F.array_join(r, ""), F.array_join(h, "")))
     kinds = ("hits", "substitutions", "deletions", "insertions")
     return out.withColumns({f"{side}_{k}": F.col(f"__{side[0]}.{k}") for side in ("word", "char") for k in kinds}).drop("__w", "__c")
 
 
-def letters(text: Column) -> Column:
-    """A text as an array of characters."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
 def corpus_aggregate(items: DataFrame, *by: str) -> DataFrame:
     """Macro means of wer and cer, and micro rates of pooled edits and lengths; micro is null if an item has no edits."""
     micro = lambda e, n: F.when(F.count_if(F.col(e).isNull()) == 0, F.bround(F.sum(e) / F.nullif(F.sum(n), F.lit(0)), 6))

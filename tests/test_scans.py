@@ -7,9 +7,11 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import distance as edits
 from spanloom.functions import sql
 from spanloom.functions.distance import align, distance, word_distance
 from spanloom.operators import intervals, manifests, windows
@@ -136,6 +138,19 @@ def test_functions_in_sql(spark):
     assert one.n == 2 and one.c.asDict() == {"hits": 2, "substitutions": 1, "deletions": 0, "insertions": 1}
 
 
+def test_edits_are_handed_on_in_parts():
+    """Few of a batch's rows are Python objects at a time, whatever its size."""
+    words = [[f"w{(i * 7 + k) % 50}" for k in range(900)] for i in range(150)]
+    pairs = [(w, w[:100] + w[103:500] + ["new"] + w[500:]) for w in words] + [(None, ["a"]), ([], [])]
+    batch = tuple(pa.array(x, pa.list_(pa.string())) for x in zip(*pairs, strict=True))
+    parts = list(edits._aligned(iter([batch])))
+    assert len(parts) > 1 and max(len(p.flatten()) for p in parts) <= edits.HELD + 1000
+    ops = [[tuple(o.values()) for o in row] for p in parts for row in p.to_pylist()]
+    assert ops == [edits.align(a or [], b or []) for a, b in pairs]
+    assert pa.concat_arrays(list(edits._distances(iter([batch])))).to_pylist() == [4] * 150 + [None, 0]
+    assert pa.concat_arrays(list(edits._split(iter([batch])))).to_pylist()[0] == {"hits": 897, "substitutions": 0, "deletions": 3, "insertions": 1}
+
+
 # manifests
 
 
