@@ -48,12 +48,14 @@ def window_text(windows: DataFrame, segments: DataFrame, words: DataFrame | None
     start, end, word) if there are any, else its whole text. Windows without text have an empty one.
     """
     seg = segments.select("meeting_id", "seg_idx", F.coalesce("start", F.lit(0)).alias("r_start"), F.coalesce("end", "start", F.lit(0)).alias("r_end"), squeeze(F.col("text")).alias("r_text"))
+    if words is not None:  # a segment's words as one array beside its text, so that no row is a word with a text of its own
+        w = words.where("start < end").select("meeting_id", "seg_idx", F.struct("word_idx", squeeze(F.col("word")).alias("word"), "start", "end").alias("w")).where("w.word <> ''")
+        seg = seg.join(w.groupBy("meeting_id", "seg_idx").agg(F.array_sort(F.collect_list("w")).alias("r_words")), ["meeting_id", "seg_idx"], "left")
     met = overlapping(windows.select("meeting_id", "window_id", "start", "end"), seg, ["meeting_id"], bucket)
     if words is not None:
-        w = words.where("start is not null and end is not null").select(F.col("meeting_id").alias("w_meeting"), F.col("seg_idx").alias("w_seg"), "word_idx", F.col("start").alias("w_start"), F.col("end").alias("w_end"), squeeze(F.col("word")).alias("word"))
-        inside = (F.col("meeting_id") == F.col("w_meeting")) & (F.col("seg_idx") == F.col("w_seg")) & (F.col("w_start") < F.col("end")) & (F.col("start") < F.col("w_end")) & (F.col("w_start") < F.col("w_end")) & (F.col("word") != "")
-        met = met.join(w, inside, "left").groupBy("meeting_id", "window_id", "seg_idx", "r_start", "r_end", "r_text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word_idx", "word")))), lambda x: x.word), " ").alias("spoken"))
-        met = met.withColumn("r_text", F.when(F.col("spoken") != "", F.col("spoken")).otherwise(F.col("r_text")))
+        inside = F.filter("r_words", lambda w: (w.start < F.col("end")) & (F.col("start") < w.end))
+        spoken = F.array_join(F.transform(inside, lambda w: w.word), " ")
+        met = met.withColumn("r_text", F.coalesce(F.nullif(spoken, F.lit("")), "r_text")).drop("r_words")
     pieces = F.array_sort(F.collect_list(F.when(F.col("r_text") != "", F.struct("r_start", "r_end", "r_text", "seg_idx"))))
     text = met.groupBy("meeting_id", "window_id").agg(F.array_join(F.transform(pieces, lambda p: p.r_text), " ").alias("text"))
     return windows.join(text, ["meeting_id", "window_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))

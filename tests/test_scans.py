@@ -151,6 +151,16 @@ def test_edits_are_handed_on_in_parts():
     assert pa.concat_arrays(list(edits._split(iter([batch])))).to_pylist()[0] == {"hits": 897, "substitutions": 0, "deletions": 3, "insertions": 1}
 
 
+def test_window_text_shuffles_no_word_with_its_segments_text(spark):
+    s = spark.createDataFrame([(1, 0, 0, 4, "a b  c d"), (1, 1, 4, 8, "whole text")], "meeting_id int, seg_idx int, start int, end int, text string")
+    w = spark.createDataFrame([(1, 0, k, k, k + 1, x) for k, x in enumerate("abcd")] + [(1, 0, 9, None, 3, "x"), (1, 0, 5, 2, 2, "y")], "meeting_id int, seg_idx int, word_idx int, start int, end int, word string")
+    windows_ = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 2, 6), (1, 2, 8, 9)], "meeting_id int, window_id int, start int, end int")
+    out = intervals.window_text(windows_, s, w, 5)
+    assert sorted((r.window_id, r.text) for r in out.collect()) == [(0, "a b"), (1, "c d whole text"), (2, "")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate(key" in x and "r_text" in x.split("functions=")[0]]
+
+
 # manifests
 
 
