@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug, squeeze
 from ..model import REFERENCE_ITEM, TRANSCRIPT
+from .scratch import scratch
+from .single_files import read_files
 
 
 def _stem(path: Column) -> Column:
@@ -333,7 +335,13 @@ def read_presets(spark: SparkSession, folder: str) -> DataFrame:
 
     A missing or repeated id, an unknown pipeline key or mode, and a backend without an id are errors.
     """
-    raw = spark.read.schema("id string, description string, pipeline string, backend string").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    files = read_files(spark, folder, "*.json").where(~F.col("path").contains("/") & ~F.substring("path", 1, 1).isin("_", "."))
+    text = F.ltrim(F.col("content").cast("string"), F.lit("\ufeff"))
+    kind = "struct<id:string,description:string,pipeline:string,backend:string>"
+    one = F.coalesce(F.from_json(text, f"array<{kind}>"), F.array(F.lit(None).cast(kind)))  # what isn't JSON lacks its id
+    kept = scratch(spark, "presets")  # each file is opened once, not for each check
+    files.where(F.trim(text) != "").select(F.explode(one).alias("p")).select("p.*").write.parquet(kept)
+    raw = spark.read.schema("id string, description string, pipeline string, backend string").parquet(kept)
     keys = F.json_object_keys(F.coalesce("pipeline", F.lit("{}")))
     unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, sorted(PIPELINE_KEYS)))))
     mode = F.coalesce(F.nullif(F.get_json_object("pipeline", "$.content_mode"), F.lit("")), F.lit(CONTENT_MODES[1]))

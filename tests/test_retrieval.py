@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import shutil
 from collections import Counter, defaultdict
 
 import pytest
@@ -264,3 +265,20 @@ def test_manifests_of_a_folder(spark, tmp_path):
     assert (one.language, one.duration_limit, one.reference.endswith("/m/r.json")) == ("en", 2.5, True) and (two.language, two.reference) == ("ru", "/r") and two.hypothesis.endswith("/m/h/2.json")
     with pytest.raises(Exception, match="unknown keys|no items|two items|lacks|JSON"):
         readers.read_corpora(spark, f"{tmp_path}/m").collect()
+
+
+def test_presets_are_opened_once(spark, tmp_path):
+    whole = lambda k: '{"id": "%s", "pipeline": {"language": "en"}, "backend": {"id": "b", "options": {"k": [1]}}}' % k
+    (tmp_path / "one.json").write_text(whole("a"), encoding="utf-8-sig")
+    (tmp_path / "two.json").write_text(f"[{whole('b')},\n{whole('c')}]")
+    (tmp_path / "none.json").write_text("")
+    (tmp_path / "_left.json").write_text("{}")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "x.json").write_text("{}")
+    found = readers.read_presets(spark, str(tmp_path))
+    shutil.rmtree(tmp_path)
+    assert sorted((r.preset_id, r.description, r.pipeline, r.backend_id, r.options) for r in found.collect()) == [(k, None, '{"language":"en"}', "b", '{"k":[1]}') for k in "abc"]
+    tmp_path.mkdir()
+    (tmp_path / "bad.json").write_text("{not json")
+    with pytest.raises(ValueError, match="lacks its id"):
+        readers.read_presets(spark, str(tmp_path))
