@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clock
 from ..operators.corpus import repeated
+from .scratch import scratch
 from .single_files import write_files  # noqa: F401
 
 
@@ -152,6 +153,9 @@ def write_language_corpus(sentences: DataFrame, folder: str, size: int = 100_000
     """corpus (sentences by weight), vocab (the ``size`` most frequent tokens, one a line, in order) and meta (group counts)."""
     from ..operators.corpus import group_stats, vocabulary
 
+    kept = scratch(sentences.sparkSession, "sentences")  # each text is cut into sentences once
+    sentences.write.parquet(kept)
+    sentences = sentences.sparkSession.read.schema(sentences.schema).parquet(kept)
     write_corpus(sentences, f"{folder}/corpus")
     vocabulary(sentences, size).orderBy(F.desc("n"), "token").coalesce(1).select("token").write.mode("overwrite").text(f"{folder}/vocab")
     group_stats(sentences).coalesce(1).write.mode("overwrite").json(f"{folder}/meta")

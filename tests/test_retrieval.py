@@ -282,3 +282,21 @@ def test_presets_are_opened_once(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{not json")
     with pytest.raises(ValueError, match="lacks its id"):
         readers.read_presets(spark, str(tmp_path))
+
+
+def counted(df):
+    """``df``, and how many of its rows have been worked out so far."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_language_corpus_cuts_texts_once(spark, tmp_path):
+    s, seen = counted(spark.range(20).selectExpr("'a' AS label", "2 AS weight", "id AS doc_id", "0 AS pos", "concat('word ', id) AS sentence"))
+    writers.write_language_corpus(s, str(tmp_path), 5)
+    assert spark.read.text(f"{tmp_path}/corpus").count() == 40 and spark.read.text(f"{tmp_path}/vocab").first().value == "word" and seen.value == 20
