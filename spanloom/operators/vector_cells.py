@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from .search import ROWS, cosine, few, nearest, ranked, unit
 
 #: Scores are compared after rounding to four digits.
@@ -53,7 +54,9 @@ def fitted(vectors: DataFrame, cells: int = 64, sample: int = 50_000, rounds: in
 
     ship(vectors.sparkSession)
     key = F.xxhash64(F.col("vec_id"), F.lit("cells"))
-    drawn = vectors.select("vec_id", "embedding", key.alias("key")).orderBy("key").limit(sample)
+    spark, folder = vectors.sparkSession, scratch(vectors.sparkSession, "sample")
+    vectors.select("vec_id", "embedding", key.alias("key")).orderBy("key").limit(sample).write.parquet(folder)
+    drawn = spark.read.parquet(folder)  # so that the rounds read the sample, not all vectors
     start = [r.embedding for r in drawn.orderBy("key").limit(cells).collect()]
     if not start:
         return np.zeros((0, 1))

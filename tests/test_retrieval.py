@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import language_model, search
+from spanloom.operators import language_model, search, vector_cells
 from spanloom.operators.keyword_index import KeywordIndex
 from spanloom.operators.vector_cells import VectorCells
 from spanloom.plans.catalog import QUERIES
@@ -296,6 +296,11 @@ def counted(df):
     return df.mapInArrow(run, df.schema), seen
 
 
+def test_fit_reads_all_vectors_once(spark):
+    v, seen = counted(spark.range(64).selectExpr("id AS vec_id", "array(sin(id), cos(id * 3), sin(id * 7)) AS embedding"))
+    assert vector_cells.fitted(v, cells=4, sample=32, rounds=3).shape == (4, 3) and seen.value == 64
+
+
 def test_language_corpus_cuts_texts_once(spark, tmp_path):
     s, seen = counted(spark.range(20).selectExpr("'a' AS label", "2 AS weight", "id AS doc_id", "0 AS pos", "concat('word ', id) AS sentence"))
     writers.write_language_corpus(s, str(tmp_path), 5)
