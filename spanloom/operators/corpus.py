@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import VOCABULARY, bound, content_tokens, plain_sentences, sentences, source_ratio, squeeze
+from ..functions.text import VOCABULARY, content_tokens, plain_sentences, sentences, source_ratio, squeeze
 from .intervals import BUCKET, window_text
 from .windows import fixed_windows
 
@@ -44,30 +48,78 @@ def fixed_pairs(meetings: DataFrame, whisper: DataFrame, ctc: DataFrame, clean:
     return out.where("whisper <> '' and ctc <> '' and clean <> ''")
 
 
-def best_slice(clean: Column, ctc: Column, whisper: Column) -> Column:
-    """The run of a text's sentences that the sources support best, less a quarter of the relative difference in length.
-
-    The first of equal runs; the whole text if it has one sentence, or the sources no words.
-    """
-    parts = sentences(clean, ".!?…")
-    facts = F.struct(
-        parts.alias("parts"), F.transform(parts, content_tokens).alias("words"), F.array_distinct(F.concat(content_tokens(ctc), content_tokens(whisper))).alias("source"),
-        F.greatest(F.size(content_tokens(ctc)), F.size(content_tokens(whisper)), F.lit(1)).alias("target"), squeeze(clean).alias("whole"),
-    )
+#: Runs of sentences that are scored at a time.
+_RUNS = 65_536
 
-    def chosen(f: Column) -> Column:
-        def scored(i: Column, j: Column) -> Column:
-            score = lambda w: source_ratio(F.array_distinct(w), f.source) - 0.25 * F.abs(F.size(w) - f.target) / F.greatest(F.size(w), F.lit(1))
-            words = F.flatten(F.slice(f.words, i + 1, j - i + 1))  # a sentence's words are split once, not for each run
-            return bound(words, lambda w: F.when(F.size(w) > 0, F.struct(score(w).alias("score"), (-i).alias("i"), (-j).alias("j"))))
 
-        last = F.size(f.parts) - 1
-        spans = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: scored(i, j))))
-        best = F.array_max(F.array_compact(spans))
-        text = bound(best, lambda b: F.array_join(F.slice(f.parts, 1 - b.i, b.i - b.j + 1), " "))
-        return F.when((F.size(f.parts) <= 1) | (F.size(f.source) == 0), f.whole).otherwise(F.coalesce(text, f.whole))
+def best_run(lengths: np.ndarray, words: np.ndarray, source: np.ndarray, target: int) -> tuple[int, int] | None:
+    """The run (first, last) of sentences whose words ``source`` has most of, less a quarter of the relative difference of
+    their number from ``target``; the first of equal runs, None without words.
 
-    return bound(facts, chosen)
+    Words are numbers, those of all sentences after each other. A word counts in a run that begins behind the last sentence
+    before with the same word, so different words of all runs are running sums, and no run's words are gone through.
+    """
+    n, at = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+    if not len(words):
+        return None
+    order = np.argsort(words, kind="stable")
+    w, s = words[order], at[order]
+    before = np.where(np.append(False, w[1:] == w[:-1]), np.append(-1, s[:-1]), -1)
+    first = before < s  # not of a word's second place in a sentence
+    begin, place, known = before[first] + 1, s[first], np.isin(w[first], source)
+    upto, carried, top, best = np.append(0, np.cumsum(lengths)), np.zeros((2, n), np.int64), -np.inf, None
+    for i in range(0, n, max(1, _RUNS // n)):
+        rows = np.arange(i, min(n, i + max(1, _RUNS // n)))
+        here, runs = (begin >= i) & (begin <= rows[-1]), np.arange(n) >= rows[:, None]
+        sums = []
+        for k, which in enumerate((here, here & known)):
+            new = np.bincount((begin[which] - i) * n + place[which], minlength=len(rows) * n).reshape(len(rows), n)
+            new[0] += carried[k]
+            new = np.cumsum(new, axis=0)
+            carried[k] = new[-1]
+            sums.append(np.cumsum(np.where(runs, new, 0), axis=1))
+        total = upto[1:] - upto[rows][:, None]
+        score = sums[1] / np.maximum(sums[0], 1) - 0.25 * np.abs(total - target) / np.maximum(total, 1)
+        score = np.where(runs & (total > 0), score, -np.inf)
+        x, y = np.unravel_index(np.argmax(score), score.shape)
+        if score[x, y] > top:
+            top, best = score[x, y], (int(rows[x]), int(y))
+    return best
+
+
+def _best_runs(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    kind = pa.struct([("i", pa.int32()), ("j", pa.int32())])
+    ends = lambda lists: np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    for words, source, target in batches:  # texts' words as numbers, the same for the same word
+        parts = words.flatten()
+        said, known = parts.flatten(), source.flatten()
+        ids = pa.concat_arrays([said, known]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        of_text, of_part, of_source, ids, known = ends(words), ends(parts), ends(source), ids[: len(said)], ids[len(said) :]
+        out = []
+        for r, t in enumerate(target.to_pylist()):
+            cut = of_part[of_text[r] : of_text[r + 1] + 1]
+            out.append(best_run(np.diff(cut), ids[cut[0] : cut[-1]], known[of_source[r] : of_source[r + 1]], t))
+        yield pa.array([{"i": x[0], "j": x[1]} if x else None for x in out], kind)
+
+
+def best_slice(texts: DataFrame) -> DataFrame:
+    """``texts`` (clean, ctc, whisper) with ``clean`` as the run of its sentences that the sources support best, less a quarter
+    of the relative difference in length, and the content words of all three as ``clean_words``, ``ctc_words``, ``whisper_words``.
+
+    The first of equal runs; the whole text if it has one sentence, or the sources no words. Words are found once for each
+    text, and runs are scored by an Arrow UDF.
+    """
+    out = texts.withColumns({"ctc_words": content_tokens(F.col("ctc")), "whisper_words": content_tokens(F.col("whisper")), "__parts": sentences(F.col("clean"), ".!?…")})
+    out = out.withColumn("__words", F.transform("__parts", content_tokens))
+    source = F.array_distinct(F.concat("ctc_words", "whisper_words"))
+    scored = F.arrow_udf(_best_runs, "struct<i:int,j:int>").asNondeterministic()  # else conditions on the text work it out again
+    some = (F.size("__parts") > 1) & ((F.size("ctc_words") > 0) | (F.size("whisper_words") > 0))
+    out = out.withColumn("__run", scored(F.when(some, F.col("__words")), source, F.greatest(F.size("ctc_words"), F.size("whisper_words"), F.lit(1))))
+    picked = lambda x: F.slice(x, F.col("__run.i") + 1, F.col("__run.j") - F.col("__run.i") + 1)
+    none = F.col("__run").isNull()
+    clean = F.when(none, squeeze(F.col("clean"))).otherwise(F.array_join(picked("__parts"), " "))
+    words = F.flatten(F.when(none, F.col("__words")).otherwise(picked("__words")))
+    return out.withColumns({"clean": clean, "clean_words": words}).drop("__parts", "__words", "__run")
 
 
 def primary_pairs(whisper: DataFrame, ctc: DataFrame, clean: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
@@ -77,7 +129,7 @@ def primary_pairs(whisper: DataFrame, ctc: DataFrame, clean: DataFrame, bucket:
     out = w
     for name, segments in (("ctc", ctc), ("clean", clean)):
         out = out.join(window_text(w.select("meeting_id", "window_id", "start", "end"), segments, bucket=bucket).select("meeting_id", "window_id", F.col("text").alias(name)), ["meeting_id", "window_id"])
-    out = out.where("whisper <> '' and ctc <> '' and clean <> ''").withColumn("clean", best_slice(F.col("clean"), F.col("ctc"), F.col("whisper")))
-    a, b, c = (content_tokens(F.col(x)) for x in ("whisper", "ctc", "clean"))
+    out = best_slice(out.where("whisper <> '' and ctc <> '' and clean <> ''"))
+    a, b, c = (F.col(f"{x}_words") for x in ("whisper", "ctc", "clean"))
     good = (F.size(a) > 0) & (F.size(b) > 0) & (F.size(c) > 0) & (F.size(c) <= F.greatest(F.size(a), F.size(b)) + 6) & (source_ratio(F.array_distinct(c), a, b) >= 0.35)
     return out.where(good).select("meeting_id", F.format_string("segment_%04d", "n").alias("chunk_id"), "start", "end", "ctc", "whisper", "clean")

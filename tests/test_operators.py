@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import distance, text
 from spanloom.operators import corpus, intervals, merge, quality, ranking, scoring, windows
+from spanloom.plans import roles
 from spanloom.sources import readers, writers
 
 
@@ -259,6 +260,39 @@ def test_weighted_corpus(spark):
     assert corpus.repeated(s).count() == 7 and corpus.vocabulary(s, 1).first().token == "." and corpus.corpus_sentences(texts, 1).count() == 1
 
 
+def test_best_run_against_all_runs(monkeypatch):
+    r = random.Random(5)
+
+    def plain(words, source, target):
+        runs = []
+        for i in range(len(words)):
+            for j in range(i, len(words)):
+                w = [x for s in words[i : j + 1] for x in s]
+                if w:
+                    runs.append((len(set(w) & set(source)) / len(set(w)) - 0.25 * abs(len(w) - target) / len(w), -i, -j))
+        return (lambda best: (-best[1], -best[2]))(max(runs)) if runs else None
+
+    def found(words, source, target):
+        ids = {x: k for k, x in enumerate(dict.fromkeys([x for s in words for x in s] + source))}
+        number = lambda some: np.array([ids[x] for x in some], np.int64)
+        return corpus.best_run(np.array([len(s) for s in words], np.int64), number([x for s in words for x in s]), number(source), target)
+
+    monkeypatch.setattr(corpus, "_RUNS", 20)  # so that runs are scored in several parts
+    for _ in range(400):
+        words = [[r.choice("abcdefgh") for _ in range(r.choice([0, 1, 2, 3, 5]))] for _ in range(r.randrange(9))]
+        source, target = r.sample("abcdefgh", r.randrange(1, 6)), r.randrange(1, 12)
+        assert found(words, source, target) == plain(words, source, target)
+    monkeypatch.undo()
+    many = [[f"w{(i * 7 + k) % 900}" for k in range(8)] for i in range(3000)]  # all runs together: 36 billion words
+    assert found(many, [f"w{k}" for k in range(900)], 24000) == (0, 2999)
+
+
+def test_a_texts_runs_are_scored_once(spark):
+    s = roles.segments(spark, "/root/testdata/sf0.001")
+    plan = corpus.primary_pairs(roles.whisper(s), roles.ctc(s), s, 60_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_best_runs(") == 1
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"speaker": "A", "start_sec": 0.5, "text": "x"}, {"speaker": "B", "start": "bad", "text": "y"}]')
     (tmp_path / "b.json").write_text('{"language": "en", "segments": [{"speaker": "A", "start": 1, "end": 2, "text": "x"}]}')
