@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from .search import few
 
 START, END, UNKNOWN = "<s>", "</s>", "<unk>"
 _FALLBACK = (0.5, 1.0, 1.5)
@@ -92,8 +93,10 @@ class LanguageModel:
                 found = self._kept(known.unionByName(marks), "p-1")
             else:
                 lower = found.select(F.col("g").alias("s"), F.col("p").alias("q"))
-                met = own.withColumn("s", F.substring_index("g", " ", 1 - n)).join(lower, "s").join(backoff, "h")
-                found = self._kept(met.select("g", ((F.col("c") - F.col("d")) / F.col("all") + F.col("taken") * F.col("q")).alias("p")), f"p-{n}")
+                # what a join doesn't need of an n-gram is worked out behind it, not carried through its shuffle
+                met = counts[n].select("g", "c", F.substring_index("g", " ", 1 - n).alias("s")).join(lower, "s").select("g", "c", "q", F.substring_index("g", " ", n - 1).alias("h")).join(backoff, "h")
+                found = met.select("g", ((F.col("c") - off) / F.col("all") + F.col("taken") * F.col("q")).alias("p"))
+                found = self._kept(found, f"p-{n}") if n < self.order else found  # the last order's are written once, by _finish
             shares[n] = found
             if n > 1:
                 self._finish(n - 1, shares[n - 1], backoff)
@@ -132,25 +135,29 @@ class LanguageModel:
 
         ``key`` tells sentences apart. A word that the model doesn't know stands as ``<unk>``.
         """
-        each = sentences.select(*key, F.posexplode(F.concat(F.array(F.lit(START)), _kept(F.col("words")), F.array(F.lit(END)))).alias("at", "word"))
-        known = self.grams(1).select(F.col("g").alias("word"), F.lit(True).alias("known"))
-        each = each.join(known, "word", "left").withColumn("w", F.when(F.col("known"), F.col("word")).otherwise(UNKNOWN))
+        # a sentence's words stay in the task that its key is dealt to, where a vocabulary of few words meets them
+        some = sentences.select(*key, F.concat(F.array(F.lit(START)), _kept(F.col("words")), F.array(F.lit(END))).alias("w")).repartition(*key)
+        each = some.select(*key, F.posexplode("w").alias("at", "word"))
+        logs = lambda n: [F.log10("p").alias(f"p{n}"), F.log10("backoff").alias(f"b{n}")]
+        words = few(self.grams(1).select(F.col("g").alias("word"), *logs(1)))
+        other = F.broadcast(self.grams(1).where(F.col("g") == UNKNOWN).select(F.log10("p").alias("p0"), F.log10("backoff").alias("b0")))  # one row
+        each = each.join(words, "word", "left").crossJoin(other)
+        known = F.col("p1").isNotNull()
+        each = each.select(*key, "at", known.alias("known"), F.when(known, F.col("word")).otherwise(UNKNOWN).alias("w"), F.when(known, F.col("p1")).otherwise(F.col("p0")).alias("p1"), F.when(known, F.col("b1")).otherwise(F.col("b0")).alias("b1"))
         along = Window.partitionBy(*key).orderBy("at")
-        before = [F.lag("w", k).over(along).alias(f"h{k}") for k in range(1, self.order)]
-        each = each.select(*key, "at", "w", "known", *before).where("at > 0")
+        past = F.collect_list("w").over(along.rowsBetween(1 - self.order, 0))
+        each = each.select(*key, "at", "known", "p1", "b1", F.array_join(past, " ").alias("g"))
         nothing = F.concat(F.lit(" "), F.xxhash64(*key).cast("string"))  # is no n-gram, and another one for each sentence
-        for n in range(self.order, 0, -1):
-            parts = [F.col(f"h{k}") for k in range(n - 1, 0, -1)]
-            gram = F.concat_ws(" ", *parts, "w")
-            there = F.lit(True) if n == 1 else parts[0].isNotNull()
-            each = each.withColumn("g", F.when(there, gram).otherwise(nothing)).join(self.grams(n).select("g", F.log10("p").alias(f"p{n}")), "g", "left").drop("g")
-            if n > 1:
-                each = each.withColumn("g", F.when(there, F.concat_ws(" ", *parts)).otherwise(nothing))
-                each = each.join(self.grams(n - 1).select("g", F.log10("backoff").alias(f"b{n}")), "g", "left").drop("g").fillna(0.0, [f"b{n}"])
+        for n in range(2, self.order + 1):
+            # an n-gram is looked up once: its own probability, and its backoff for the word that follows it
+            mine = F.when(F.col("at") >= n - 1, F.substring_index("g", " ", -n)).otherwise(nothing)
+            found = self.grams(n).select(F.col("g").alias("__g"), *logs(n)[: 2 if n < self.order else 1])
+            each = each.withColumn("__g", mine).join(found, "__g", "left").drop("__g", *(["g"] if n == self.order else []))
         logp = F.col("p1")
         for n in range(2, self.order + 1):
-            logp = F.coalesce(f"p{n}", F.col(f"b{n}") + logp)
-        return each.groupBy(*key).agg((F.count("*") - 1).alias("n_words"), F.count_if(F.col("known").isNull()).alias("n_unknown"), F.sum(logp).alias("logp"))
+            logp = F.coalesce(f"p{n}", F.coalesce(F.lag(f"b{n - 1}").over(along), F.lit(0.0)) + logp)
+        each = each.select(*key, "at", "known", logp.alias("logp")).where("at > 0")
+        return each.groupBy(*key).agg((F.count("*") - 1).alias("n_words"), F.count_if(~F.col("known")).alias("n_unknown"), F.sum("logp").alias("logp"))
 
 
 def read_arpa(spark: SparkSession, path: str) -> DataFrame:

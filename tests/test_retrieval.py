@@ -227,6 +227,13 @@ def test_scores_and_arpa(spark, model, tmp_path):
     assert {r.g: r.logp for r in language_model.read_arpa(spark, str(tmp_path / "arpa")).collect()} == {r.g: r.logp for r in made.rows().collect()}
 
 
+def test_scores_deal_words_once_an_order(spark, model):
+    made = model[0]
+    s = spark.createDataFrame([(k, "a b c".split()) for k in range(9)], "k int, words array<string>")
+    plan = made.score(s, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == made.order  # a lookup for each order, none for the backoffs by themselves
+
+
 def test_discounts_fall_back():
     assert language_model.discounts([5, 0, 1, 1]) == (0.5, 1.0, 1.5) and language_model.discounts([10, 1, 100, 1]) == (0.5, 1.0, 1.5)
     assert all(0 < d < 3 for d in language_model.discounts([100, 40, 20, 12]))
