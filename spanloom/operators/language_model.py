@@ -120,15 +120,16 @@ class LanguageModel:
     def write_arpa(self, path: str) -> None:
         """The model as an ARPA file: text parts that follow each other in the order of their names."""
         rows = self.rows()
-        last = F.when(F.col("n") == self.order, "").otherwise(F.concat(F.lit("\t"), F.col("backoff").cast("string")))
-        lines = rows.select(F.col("n").alias("section"), F.lit(1).alias("place"), "g", F.concat(F.col("logp").cast("string"), F.lit("\t"), "g", last).alias("line"))
+        lines = rows.select(F.col("n").alias("section"), F.lit(1).alias("place"), "g", "logp", "backoff")
         sizes = {r.n: r["count"] for r in rows.groupBy("n").count().collect()}  # a row for each order
         head = [(0, 0, "", "\\data\\"), *((0, n, "", f"ngram {n}={sizes.get(n, 0)}") for n in range(1, self.order + 1))]
         for n in range(1, self.order + 1):
             head += [(n, 0, "", f"\n\\{n}-grams:")]
         head += [(self.order + 1, 0, "", "\n\\end\\")]
         marks = self.spark.createDataFrame(head, "section int, place int, g string, line string")
-        lines.unionByName(marks).sort("section", "place", "g").select("line").write.text(path)
+        last = F.when(F.col("section") == self.order, "").otherwise(F.concat(F.lit("\t"), F.col("backoff").cast("string")))
+        line = F.coalesce("line", F.concat(F.col("logp").cast("string"), F.lit("\t"), "g", last))  # made behind the sort, so that an n-gram is shuffled once
+        lines.unionByName(marks, allowMissingColumns=True).sort("section", "place", "g").select(line.alias("line")).write.text(path)
 
     def score(self, sentences: DataFrame, *key: str) -> DataFrame:
         """(``key``, n_words, n_unknown, logp) of sentences (``key``, words), in base-10 logarithms, ends of sentences included.

@@ -234,6 +234,11 @@ def test_scores_deal_words_once_an_order(spark, model):
     assert plan.count("LeftOuter") == made.order  # a lookup for each order, none for the backoffs by themselves
 
 
+def test_highest_order_is_written_once(model):
+    made = model[0]
+    assert os.path.exists(f"{made.path}/p-{made.order - 1}") and not os.path.exists(f"{made.path}/p-{made.order}")
+
+
 def test_discounts_fall_back():
     assert language_model.discounts([5, 0, 1, 1]) == (0.5, 1.0, 1.5) and language_model.discounts([10, 1, 100, 1]) == (0.5, 1.0, 1.5)
     assert all(0 < d < 3 for d in language_model.discounts([100, 40, 20, 12]))
