@@ -7,10 +7,12 @@ tables, seconds by default; None compares whole meetings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
+from ..functions.text import bound, squeeze
 from ..model import UNKNOWN
 from .scans import WIDTH, Scan, slot_of
 
@@ -26,13 +28,17 @@ def _slots(start: str, end: str, bucket: float) -> Column:
     return F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: list[str], bucket: float | None = None) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: list[str], bucket: float | None = None, touching: bool = False) -> DataFrame:
     """Rows of ``left`` (key, start, end) with each row of ``right`` (key, r_start, r_end) that overlaps for more than 0.
 
-    Pairs that share several buckets are kept in the first one only.
+    Pairs that share several buckets are kept in the first one only. ``touching``: also those that share but a point.
     """
-    left, right = left.where("start < end"), right.where("r_start < r_end")
-    meets = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    if touching:
+        left, right = left.where("start <= end"), right.where("r_start <= r_end")
+        meets = (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end"))
+    else:
+        left, right = left.where("start < end"), right.where("r_start < r_end")
+        meets = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     if bucket is None:
         return left.join(right, [left[k] == right[k] for k in key] + [meets]).drop(*(right[k] for k in key))
     l, r = left.withColumn("__slot", _slots("start", "end", bucket)), right.withColumn("__r_slot", _slots("r_start", "r_end", bucket))
@@ -61,12 +67,16 @@ def window_text(windows: DataFrame, segments: DataFrame, words: DataFrame | None
     return windows.join(text, ["meeting_id", "window_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def _named(diarization: DataFrame) -> DataFrame:
+    return diarization.select("meeting_id", F.coalesce("speaker", F.lit(UNKNOWN)).alias("who"), F.coalesce("start", F.lit(0)).alias("r_start"), F.coalesce("end", "start", F.lit(0)).alias("r_end"))
+
+
 def speakers(spans: DataFrame, diarization: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
     """``spans`` (meeting_id, span_id, start, end) with ``speaker``: who overlaps longest, ties to the last name.
 
     Overlap of 0 is nobody's. A span without length takes the first record, by (start, end, speaker), that holds its point.
     """
-    d = diarization.select("meeting_id", F.coalesce("speaker", F.lit(UNKNOWN)).alias("who"), F.coalesce("start", F.lit(0)).alias("r_start"), F.coalesce("end", "start", F.lit(0)).alias("r_end"))
+    d = _named(diarization)
     s = spans.select("meeting_id", "span_id", "start", "end")
     total = overlapping(s, d, ["meeting_id"], bucket).groupBy("meeting_id", "span_id", "who").agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("share"))
     best = total.where("share > 0").groupBy("meeting_id", "span_id").agg(F.max_by("who", F.struct("share", "who")).alias("speaker"))
@@ -91,19 +101,54 @@ def segment_speakers(segments: DataFrame, words: DataFrame, diarization: DataFra
 
     Unknown competes like others; ties go to the last name.
     """
-    return _by_words(segments, word_speakers(words, diarization, bucket), diarization, bucket)
+    listed, speaker = spoken_words(words.select("meeting_id", "seg_idx", "word_idx", "start", "end"), diarization, bucket)
+    told = F.transform("words", lambda w: F.struct(speaker(w).alias("speaker"), lasts(w).alias("lasts")))
+    return _by_words(segments, listed.select("meeting_id", "seg_idx", told.alias("words")), diarization, bucket).drop("words")
 
 
-def word_speakers(words: DataFrame, diarization: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
-    """(meeting_id, seg_idx, word_idx, start, end, speaker) of the words that have both times."""
-    timed = words.where("start is not null and end is not null").withColumn("span_id", F.struct("seg_idx", "word_idx"))
-    spoken = speakers(timed.select("meeting_id", "span_id", "start", "end"), diarization, bucket)
-    return spoken.select("meeting_id", "span_id.seg_idx", "span_id.word_idx", "start", "end", "speaker")
+def lasts(w: Column) -> Column:
+    return F.greatest(w["end"] - w["start"], F.lit(0))
 
 
-def _by_words(segments: DataFrame, spoken: DataFrame, diarization: DataFrame, bucket: float | None) -> DataFrame:
-    each = spoken.groupBy("meeting_id", "seg_idx", "speaker").agg(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0))).alias("share"))
-    best = each.groupBy("meeting_id", "seg_idx").agg(F.max(F.struct("share", "speaker")).alias("top")).where("top.share > 0").select("meeting_id", "seg_idx", F.col("top.speaker").alias("by_words"))
+def spoken_words(words: DataFrame, diarization: DataFrame, bucket: float | None = BUCKET) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """(meeting_id, seg_idx, words, near) with each segment's words as an array by word_idx, and the speaker of such a word, by
+    the rule of ``speakers``, as a column of these rows; null without both times.
+
+    A word is never a row of a shuffle of its own: the words of a segment that start in one bucket are a piece, of which only
+    the span is joined with intervals; a word is held against those of its piece.
+    """
+    keys = ["meeting_id", "seg_idx"]
+    piece = lambda start: F.lit(0).cast("long") if bucket is None else F.floor(start / bucket)
+    listed = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*(c for c in ("word_idx", "word", "start", "end", "score") if c in words.columns)))).alias("words"))
+    timed = words.where("start is not null and end is not null")
+    pieces = timed.groupBy(*keys, piece(F.col("start")).alias("piece")).agg(F.min("start").alias("start"), F.max(F.greatest("start", "end")).alias("end"))
+    met = overlapping(pieces, _named(diarization), ["meeting_id"], bucket, touching=True)
+    total = met.agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))).schema[0].dataType
+    near = met.groupBy(*keys, "piece").agg(F.array_sort(F.collect_list(F.struct("r_start", "r_end", "who"))).alias("near"))
+    near = near.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("piece", "near"))).alias("near"))
+
+    def longest(w: Column, met: Column) -> Column:
+        share = lambda who: F.aggregate(met, F.lit(0).cast(total), lambda sum_, x: (sum_ + F.when(x.who == who, overlap(w.start, w.end, x.r_start, x.r_end)).otherwise(0)).cast(total))
+        shares = F.transform(F.array_distinct(F.transform(met, lambda x: x.who)), lambda who: F.struct(share(who).alias("share"), who.alias("who")))
+        return F.when(F.size(met) < 2, F.get(met, F.lit(0))["who"]).otherwise(F.array_max(shares)["who"])
+
+    def speaker(w: Column) -> Column:
+        held = F.try_element_at("near", piece(w.start))
+        over = F.filter(held, lambda x: (x.r_start < x.r_end) & (w.start < x.r_end) & (x.r_start < w.end))
+        point = F.filter(held, lambda x: (x.r_start <= w.start) & (w.start <= x.r_end))
+        best = F.when(w.start < w.end, bound(over, lambda met: longest(w, met))).otherwise(F.get(point, F.lit(0))["who"])
+        return F.when(w.start.isNotNull() & w.end.isNotNull(), F.coalesce(best, F.lit(UNKNOWN)))
+
+    return listed.join(near, keys, "left"), speaker
+
+
+def _by_words(segments: DataFrame, told: DataFrame, diarization: DataFrame, bucket: float | None) -> DataFrame:
+    """``segments`` with ``speaker``, and ``words`` of ``told`` (meeting_id, seg_idx, words with speaker and lasts)."""
+    total = told.select(F.inline("words")).agg(F.sum("lasts")).schema[0].dataType
+    timed = F.filter("words", lambda w: w.speaker.isNotNull())
+    share = lambda who, own: F.aggregate(own, F.lit(0).cast(total), lambda sum_, w: (sum_ + F.when(w.speaker == who, w.lasts).otherwise(0)).cast(total))
+    top = bound(timed, lambda own: F.array_max(F.transform(F.array_distinct(F.transform(own, lambda w: w.speaker)), lambda who: F.struct(share(who, own).alias("share"), who.alias("speaker")))))
+    best = told.select("meeting_id", "seg_idx", "words", bound(top, lambda x: F.when(x.share > 0, x.speaker)).alias("by_words"))
     whole = speakers(segments.drop("speaker").withColumn("span_id", F.col("seg_idx")), diarization, bucket).drop("span_id")
     return whole.join(best, ["meeting_id", "seg_idx"], "left").withColumn("speaker", F.coalesce("by_words", "speaker")).drop("by_words")
 

@@ -71,6 +71,11 @@ def merge_turns(segments: DataFrame, gap: float = 0.35, width: float = WIDTH) ->
     runs of a speaker first, then breaks within them, each by a scan over slots of ``width``, so that a meeting's segments may
     be in many tasks; only those of one turn meet.
     """
+    return put_together(in_turns(segments, gap, width))
+
+
+def in_turns(segments: DataFrame, gap: float, width: float = WIDTH) -> DataFrame:
+    """``segments`` with ``__island``, the turn that ``merge_turns`` puts each into; of theirs it reads times, speakers and seg_idx."""
     s = segments.withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN))).withColumn("__slot", slot_of(F.col("start"), width))
     order = record_order("seg_idx")
     near = Window.partitionBy("meeting_id", "__slot").orderBy(*order)
@@ -96,7 +101,12 @@ def merge_turns(segments: DataFrame, gap: float = 0.35, width: float = WIDTH) ->
     s = s.withColumn("__so_far", F.sum("__break").over(near)).withColumn("__all", F.sum("__break").over(Window.partitionBy("meeting_id", "__slot")))
     # a turn is known by the slot that it begins in and its number there from the end, so that the last one is 0 wherever it goes on
     s = s.withColumn("__island", F.when(F.col("__so_far") > 0, F.struct(F.col("__slot").alias("slot"), (F.col("__all") - F.col("__so_far")).alias("k"))).otherwise(F.struct(F.col("__home").alias("slot"), F.lit(0).cast("long").alias("k"))))
-    s = s.withColumn("__n", F.struct(F.col("start").isNull().alias("z"), "start", F.coalesce("end", "start").alias("e"), "seg_idx"))
+    return s.select(*segments.columns, "__island")
+
+
+def put_together(segments: DataFrame) -> DataFrame:
+    """Segments of one ``__island`` as one."""
+    s = segments.withColumn("__n", F.struct(F.col("start").isNull().alias("z"), "start", F.coalesce("end", "start").alias("e"), "seg_idx"))
     one = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__n")))
     inner = F.coalesce("words", F.array().cast(segments.schema["words"].dataType)) if "words" in segments.columns else F.lit(None)
     parts = F.array_sort(F.collect_list(F.struct("__n", F.coalesce("text", F.lit("")).alias("t"), inner.alias("w"))))

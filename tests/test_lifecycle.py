@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import distance
-from spanloom.operators import experiments, prompts, quality, scoring, speakers, windows
+from spanloom.operators import experiments, intervals, prompts, quality, scoring, speakers, windows
 from spanloom.sources import readers, reviews, writers
 
 
@@ -82,6 +82,66 @@ def test_assigned_words_and_labels(spark):
             speakers.assigned(s, w, d, **bad)
 
 
+def drifting(seed=8):
+    """Segments with one key twice, words without times, length or order, one word twice; intervals of any length."""
+    r = np.random.default_rng(seed)
+    s, w, d = [], [], []
+    for m in range(3):
+        for k in range(9):
+            at = float(r.integers(0, 40))
+            s.append((m, k, at, at + float(r.integers(0, 12)), f"t{m}.{k}"))
+            for i in range(r.integers(0, 14)):
+                start = at + i + float(r.integers(-1, 2))
+                w.append((m, k, i, f"w{i}", None if r.random() < 0.1 else start, None if r.random() < 0.1 else start + float(r.choice([-1, 0, 0, 0.5, 1, 25]))))
+            for _ in range(2):
+                start = float(r.integers(0, 45))
+                d.append((m, r.choice(["ann", "bob", "eve", None]), start, start + float(r.choice([0, 1, 3, 30]))))
+    return s + [(0, 2, s[2][2], s[2][3], "again")], w + [x for x in w if x[1] == 4][:1], d
+
+
+def plain_speaker(start, end, d):
+    named = [(a, b, who or "SPEAKER_UNKNOWN") for _, who, a, b in d]
+    if end > start:
+        shares = {}
+        for a, b, who in named:
+            shares[who] = shares.get(who, 0) + max(0, min(end, b) - max(start, a))
+        return max(((n, who) for who, n in shares.items() if n > 0), default=(0, "SPEAKER_UNKNOWN"))[1]
+    return min((x for x in named if x[0] <= start <= x[1]), default=(0, 0, "SPEAKER_UNKNOWN"))[2]
+
+
+@pytest.mark.parametrize("bucket", [None, 4.0, 60.0])
+def test_assigned_equals_plain_rule(spark, bucket):
+    s, w, d = drifting()
+    want = []
+    for m, k, start, end, text in s:
+        own = sorted((x for x in w if x[:2] == (m, k)), key=lambda x: x[2])
+        told = [(x[3], plain_speaker(x[4], x[5], [y for y in d if y[0] == m]) if None not in x[4:6] else None, x) for x in own]
+        shares = {}
+        for _, who, x in told:
+            if who:
+                shares[who] = shares.get(who, 0) + max(0, x[5] - x[4])
+        share, who = max(((n, who) for who, n in shares.items()), default=(0, None))
+        want.append((m, text, who if share > 0 else plain_speaker(start, end, [y for y in d if y[0] == m]), tuple(sorted((x, p or "-") for x, p, _ in told))))
+    frames = (
+        spark.createDataFrame(s, "meeting_id long, seg_idx long, start double, end double, text string"),
+        spark.createDataFrame(w, "meeting_id long, seg_idx long, word_idx long, word string, start double, end double"),
+        spark.createDataFrame([(m, who if who is None else str(who), a, b) for m, who, a, b in d], "meeting_id long, speaker string, start double, end double"),
+    )
+    got = speakers.assigned(*frames, bucket=bucket).collect()
+    assert sorted((r.meeting_id, r.text, r.speaker, tuple(sorted((x.word, x.speaker or "-") for x in r.words))) for r in got) == sorted(want)
+    assert sorted((r.meeting_id, r.seg_idx) for r in got) == [(m, k) for m in range(3) for k in range(10 if m == 0 else 9)]
+    alone = intervals.segment_speakers(*frames, bucket).collect()
+    assert sorted((r.meeting_id, r.text, r.speaker) for r in alone) == sorted(x[:3] for x in want)
+
+
+def test_assignment_shuffles_no_single_words(spark):
+    s, w, d = drifting()
+    frames = spark.createDataFrame(s, "meeting_id long, seg_idx long, start double, end double, text string"), spark.createDataFrame(w, "meeting_id long, seg_idx long, word_idx long, word string, start double, end double"), spark.createDataFrame([(m, "a", a, b) for m, _, a, b in d], "meeting_id long, speaker string, start double, end double")
+    for out in (speakers.assigned(*frames, merge=True, label_style="alpha"), intervals.segment_speakers(*frames)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "word_idx" in x]
+
+
 def test_alpha_names(spark):
     frame = spark.range(20_000).select("id", windows.alpha_name(F.col("id")).alias("n"))
 
