@@ -132,9 +132,10 @@ def alpha_labels(segments: DataFrame) -> DataFrame:
     Segments come in the order of seg_idx, a segment's speaker before those of its ``words``, if it has any, whose speakers
     are replaced by their labels. A meeting's speakers and labels, not its segments, are gathered as one map.
     """
-    said = segments.select("meeting_id", "seg_idx", F.lit(-1).alias("at"), F.coalesce("speaker", F.lit(UNKNOWN)).alias("who"))
-    if "words" in segments.columns:
-        said = said.union(segments.select("meeting_id", "seg_idx", F.posexplode("words").alias("at", "w")).select("meeting_id", "seg_idx", "at", "w.speaker").where("speaker is not null"))
+    own = F.array(F.coalesce("speaker", F.lit(UNKNOWN)))
+    if "words" in segments.columns:  # one array, so that the segments' plan is read once for both
+        own = F.concat(own, F.coalesce(F.transform("words", lambda w: w.speaker), F.array().cast("array<string>")))
+    said = segments.select("meeting_id", "seg_idx", F.posexplode(own).alias("at", "who"))
     first = said.where(F.col("who") != UNKNOWN).groupBy("meeting_id", "who").agg(F.min(F.struct("seg_idx", "at")).alias("first"))
     named = first.select("meeting_id", "who", alpha_name(F.row_number().over(Window.partitionBy("meeting_id").orderBy("first")) - 1).alias("label"))
     maps = named.groupBy("meeting_id").agg(F.map_from_entries(F.collect_list(F.struct("who", "label"))).alias("__map"))
