@@ -16,6 +16,9 @@ from .intervals import BUCKET, der_sweep
 
 EXACT_SPEAKERS = 6
 
+#: Fixed value: unless asked for all, pairs with more cells than this have no split of their edits, only a distance.
+CELLS = 5_000_000
+
 
 def error_rates(pairs: DataFrame, profile: str | None = None) -> DataFrame:
     """``pairs`` (ref_text, hyp_text) with word and character edits, lengths and rates.
@@ -31,13 +34,20 @@ def error_rates(pairs: DataFrame, profile: str | None = None) -> DataFrame:
     return out.drop("__r", "__h")
 
 
-def error_counts(pairs: DataFrame, profile: str | None = None) -> DataFrame:
+def error_counts(pairs: DataFrame, profile: str | None = None, cells: int | None = CELLS) -> DataFrame:
     """``error_rates`` with the split of edits: word_hits, word_substitutions, ..., char_insertions.
 
-    Null of pairs with more cells than ``functions.distance.CELLS``, as of characters of longer texts.
+    Null of pairs with more than ``cells`` cells, as of characters of longer texts; with None every pair has its split.
     """
+
+    def split(side: str, a: Column, b: Column) -> Column:
+        if cells is None:
+            return edit_counts(a, b)
+        few = F.col(f"ref_{side}s") * F.col(f"hyp_{side}s") <= cells
+        return F.when(few, edit_counts(F.when(few, a), F.when(few, b)))
+
     r, h = tokens(F.col("ref_text"), profile), tokens(F.col("hyp_text"), profile)
-    out = error_rates(pairs, profile).withColumn("__w", edit_counts(r, h)).withColumn("__c", edit_counts(F.array_join(r, ""), F.array_join(h, "")))
+    out = error_rates(pairs, profile).withColumn("__w", split("word", r, h)).withColumn("__c", split("char", F.array_join(r, ""), F.array_join(h, "")))
     kinds = ("hits", "substitutions", "deletions", "insertions")
     return out.withColumns({f"{side}_{k}": F.col(f"__{side[0]}.{k}") for side in ("word", "char") for k in kinds}).drop("__w", "__c")
 
@@ -188,12 +198,13 @@ def score_transcripts(reference: DataFrame, hypothesis: DataFrame, profile: str
     """Each meeting's wer and cer over whole texts, cp_wer, der, and why any of these was left out.
 
     Inputs: segments (meeting_id, seg_idx, speaker, start, end, text). Meetings of ``reference`` without a hypothesis have
-    an empty one. With ``split``, also the counts of ``error_counts``.
+    an empty one. With ``split``, also the counts of ``error_counts``, of texts of any length.
     """
     able = reference.groupBy("meeting_id").agg(F.bool_or(F.coalesce(F.col("speaker") != "", F.lit(False))).alias("has_speakers"), F.bool_and(F.col("start").isNotNull()).alias("has_times"))
     texts = able.join(flat_text(reference).withColumnRenamed("text", "ref_text"), "meeting_id", "left").join(flat_text(hypothesis).withColumnRenamed("text", "hyp_text"), "meeting_id", "left")
     texts = texts.join(hypothesis.groupBy("meeting_id").agg(F.lit(True).alias("heard")), "meeting_id", "left")
-    scores = (error_counts if split else error_rates)(texts.fillna("", ["ref_text", "hyp_text"]), profile).drop("ref_text", "hyp_text")
+    texts = texts.fillna("", ["ref_text", "hyp_text"])
+    scores = (error_counts(texts, profile, cells=None) if split else error_rates(texts, profile)).drop("ref_text", "hyp_text")
     cp = cp_wer(reference, hypothesis, profile).select("meeting_id", "cp_wer")
     named = lambda df: df.withColumn("speaker", F.coalesce(F.nullif("speaker", F.lit("")), F.lit("UNKNOWN")))
     sweep = der_sweep(named(reference), named(hypothesis), bucket).select("meeting_id", "der")

@@ -109,7 +109,7 @@ def error_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hits, substitutions, deletions and insertions of turns against a transcript with words replaced."""
     s = roles.segments(spark, d)
     p = s.select("meeting_id", "seg_idx", F.col("text").alias("ref_text")).join(roles.whisper(s).select("meeting_id", "seg_idx", F.col("text").alias("hyp_text")), ["meeting_id", "seg_idx"])
-    return scoring.error_counts(p).select("meeting_id", "seg_idx", "word_hits", "word_substitutions", "word_deletions", "word_insertions", "word_edits")
+    return scoring.error_counts(p, cells=None).select("meeting_id", "seg_idx", "word_hits", "word_substitutions", "word_deletions", "word_insertions", "word_edits")
 
 
 @query(
@@ -128,7 +128,7 @@ FROM i GROUP BY 1"""
 def corpus_scores(spark: SparkSession, d: str) -> DataFrame:
     """Seven corpora of turns: macro means, micro rates from pooled counts, means of speaker scores where there are any."""
     m, k = F.col("meeting_id"), F.col("seg_idx")
-    items = scoring.error_counts(pairs(spark, d)).withColumn("corpus", m % 7)
+    items = scoring.error_counts(pairs(spark, d), cells=None).withColumn("corpus", m % 7)
     items = items.withColumn("cp_wer", F.when(k % 2 == 0, m % 10 / 10.0)).withColumn("der", F.when(m % 7 < 5, k / 100.0))
     out = scoring.corpus_scores(items, "corpus")
     return out.select("corpus", "n_items", "word_substitutions", "word_deletions", "word_insertions", "ref_words", "macro_wer", "macro_cer", "micro_wer", "micro_cer", "macro_cp_wer", "mean_der")

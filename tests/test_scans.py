@@ -6,15 +6,19 @@ import datetime as dt
 import json
 import os
 import random
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from oracle import DATA, by_spark, by_sql
 from pyspark.sql import functions as F
 
 from spanloom.functions import distance as edits
 from spanloom.functions import sql
 from spanloom.functions.distance import align, distance, word_distance
-from spanloom.operators import intervals, manifests, windows
+from spanloom.operators import intervals, manifests, scoring, windows
+from spanloom.plans.catalog import ORACLES, QUERIES
 from spanloom.sources import writers
 from spanloom.streaming import runs
 
@@ -151,6 +155,36 @@ def test_edits_are_handed_on_in_parts():
     assert pa.concat_arrays(list(edits._split(iter([batch])))).to_pylist()[0] == {"hits": 897, "substitutions": 0, "deletions": 3, "insertions": 1}
 
 
+def test_corpus_scores_count_the_edits_of_long_turns(spark, tmp_path):
+    """A turn whose characters make more than five million cells, against the SQL."""
+    for t in Path(DATA).iterdir():
+        if t.stem != "conversations":
+            (tmp_path / t.name).symlink_to(t)
+    given = pq.read_table(f"{DATA}/conversations.parquet")
+    text = " ".join(f"{k * k % 991:03d}" * 4 for k in range(250))
+    long = pa.Table.from_pylist([{"conv_id": 900_001, "turn": 0, "role": "user", "text": text}], given.schema)
+    pq.write_table(pa.concat_tables([given, long]), tmp_path / "conversations.parquet")
+    got = by_spark(spark, QUERIES["corpus_scores"], str(tmp_path))
+    assert got == by_sql(ORACLES["corpus_scores"], str(tmp_path)) and "None" not in "".join(r for r in got[1] if r.startswith("(4,"))
+
+
+def test_every_pair_has_its_split(spark):
+    rows = spark.createDataFrame([("a " * 2300, "b " * 2300), ("c " * 3000 + "d", "d " + "c " * 2990)], "ref_text string, hyp_text string")
+    got = [(x.word_hits, x.word_substitutions, x.word_deletions, x.word_insertions, x.char_substitutions) for x in scoring.error_counts(rows, cells=None).collect()]
+    assert got == [(0, 2300, 0, 0, 2300), (2990, 1, 10, 0, 1)]
+
+
+def test_ways_back_hold_few_columns(monkeypatch):
+    """Starts on several levels and masks made again give the same way back."""
+    r = random.Random(4)
+    for held in (0, 450, 3000):
+        monkeypatch.setattr(edits, "COLUMNS", held)
+        monkeypatch.setattr(edits, "MASKS", held)
+        for _ in range(150):
+            a, b = ([str(r.randrange(4)) for _ in range(r.randint(0, 60))] for _ in range(2))
+            assert align(a, b) == way_back(a, b) and distance(a, b) == table(a, b)[-1][-1]
+
+
 def test_window_text_shuffles_no_word_with_its_segments_text(spark):
     s = spark.createDataFrame([(1, 0, 0, 4, "a b  c d"), (1, 1, 4, 8, "whole text")], "meeting_id int, seg_idx int, start int, end int, text string")
     w = spark.createDataFrame([(1, 0, k, k, k + 1, x) for k, x in enumerate("abcd")] + [(1, 0, 9, None, 3, "x"), (1, 0, 5, 2, 2, "y")], "meeting_id int, seg_idx int, word_idx int, start int, end int, word string")
