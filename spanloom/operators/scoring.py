@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -20,36 +20,43 @@ EXACT_SPEAKERS = 6
 CELLS = 5_000_000
 
 
-def error_rates(pairs: DataFrame, profile: str | None = None) -> DataFrame:
-    """``pairs`` (ref_text, hyp_text) with word and character edits, lengths and rates.
+KINDS = ("hits", "substitutions", "deletions", "insertions")
 
-    From the number of edits alone substitutions, deletions and insertions don't follow; ``error_counts`` has them.
-    """
+
+def _rates(pairs: DataFrame, profile: str | None, edits: Callable[[str, Column, Column], Column]) -> DataFrame:
     r, h = tokens(F.col("ref_text"), profile), tokens(F.col("hyp_text"), profile)
     out = pairs.withColumn("__r", r).withColumn("__h", h)
-    out = out.withColumn("ref_words", F.size("__r").cast("long")).withColumn("hyp_words", F.size("__h").cast("long")).withColumn("word_edits", word_distance(F.col("__r"), F.col("__h")))
+    out = out.withColumn("ref_words", F.size("__r").cast("long")).withColumn("hyp_words", F.size("__h").cast("long")).withColumn("word_edits", edits("word", F.col("__r"), F.col("__h")))
     a, b = F.array_join("__r", ""), F.array_join("__h", "")
-    out = out.withColumn("ref_chars", F.length(a).cast("long")).withColumn("hyp_chars", F.length(b).cast("long")).withColumn("char_edits", word_distance(a, b))
+    out = out.withColumn("ref_chars", F.length(a).cast("long")).withColumn("hyp_chars", F.length(b).cast("long")).withColumn("char_edits", edits("char", a, b))
     out = out.withColumn("wer", rate(F.col("word_edits"), F.col("ref_words"), F.col("hyp_words"))).withColumn("cer", rate(F.col("char_edits"), F.col("ref_chars"), F.col("hyp_chars")))
     return out.drop("__r", "__h")
 
 
-def error_counts(pairs: DataFrame, profile: str | None = None, cells: int | None = CELLS) -> DataFrame:
-    """``error_rates`` with the split of edits: word_hits, word_substitutions, ..., char_insertions.
+def error_rates(pairs: DataFrame, profile: str | None = None) -> DataFrame:
+    """``pairs`` (ref_text, hyp_text) with word and character edits, lengths and rates.
 
-    Null of pairs with more than ``cells`` cells, as of characters of longer texts; with None every pair has its split.
+    From the number of edits alone substitutions, deletions and insertions don't follow; ``error_counts`` has them.
     """
+    return _rates(pairs, profile, lambda _, a, b: word_distance(a, b))
 
-    def split(side: str, a: Column, b: Column) -> Column:
-        if cells is None:
-            return edit_counts(a, b)
-        few = F.col(f"ref_{side}s") * F.col(f"hyp_{side}s") <= cells
-        return F.when(few, edit_counts(F.when(few, a), F.when(few, b)))
 
+def error_counts(pairs: DataFrame, profile: str | None = None, cells: int | None = CELLS) -> DataFrame:
+    """``error_rates`` with the split of edits: word_hits, word_substitutions, ..., char_insertions.
+
+    Null of pairs with more than ``cells`` cells, as of characters of longer texts; with None every pair has its split, and
+    the number of edits is its sum.
+    """
     r, h = tokens(F.col("ref_text"), profile), tokens(F.col("hyp_text"), profile)
-    out = error_rates(pairs, profile).withColumn("__w", split("word", r, h)).withColumn("__c", split("char", F.array_join(r, ""), F.array_join(h, "")))
-    kinds = ("hits", "substitutions", "deletions", "insertions")
-    return out.withColumns({f"{side}_{k}": F.col(f"__{side[0]}.{k}") for side in ("word", "char") for k in kinds}).drop("__w", "__c")
+    sides = {"word": (r, h), "char": (F.array_join(r, ""), F.array_join(h, ""))}
+    if cells is None:
+        split = pairs.withColumns({f"__{side}": edit_counts(a, b) for side, (a, b) in sides.items()})
+        total = lambda side: sum((F.col(f"__{side}.{k}") for k in KINDS[2:]), F.col(f"__{side}.{KINDS[1]}"))
+        out = _rates(split, profile, lambda side, *_: total(side))
+    else:
+        few = {side: F.col(f"ref_{side}s") * F.col(f"hyp_{side}s") <= cells for side in sides}
+        out = error_rates(pairs, profile).withColumns({f"__{side}": F.when(few[side], edit_counts(F.when(few[side], a), F.when(few[side], b))) for side, (a, b) in sides.items()})
+    return out.withColumns({f"{side}_{k}": F.col(f"__{side}.{k}") for side in sides for k in KINDS}).drop("__word", "__char")
 
 
 def corpus_aggregate(items: DataFrame, *by: str) -> DataFrame:
@@ -71,7 +78,7 @@ def corpus_scores(items: DataFrame, *by: str) -> DataFrame:
     """
     for c in ("cp_wer", "der"):
         items = items if c in items.columns else items.withColumn(c, F.lit(None).cast("double"))
-    kinds = ("substitutions", "deletions", "insertions")
+    kinds = KINDS[1:]
     edits = lambda side: sum((F.sum(f"{side}_{k}") for k in kinds[1:]), F.sum(f"{side}_{kinds[0]}"))
     whole = lambda side: F.count_if(F.col(f"{side}_substitutions").isNull()) == 0
     micro = lambda side: F.when(whole(side), F.bround(edits(side) / F.nullif(F.sum(f"ref_{side}s"), F.lit(0)), 6))
